@@ -115,7 +115,7 @@ def byte_codes(seed: int) -> np.ndarray:
 
 
 def multiplier(seed: int) -> int:
-    return int(np.random.default_rng(seed + 7919).integers(1 << 60, 1 << 62)) * 8 + 5
+    return int(np.random.default_rng(seed + 7919).integers(1 << 58, 1 << 60)) * 8 + 5
 
 
 def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
