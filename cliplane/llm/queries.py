@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import simhash, substring_dedup
+from cliplane.llm import mixing, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -34,17 +34,50 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(tables(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH c AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), t AS (
+  SELECT sum(n) AS n, round(sum(sqrt(n)), 6) AS w FROM c
+), r AS (
+  SELECT source, round(CAST(1.0 AS DOUBLE) * (sqrt(c.n) / t.w) * CAST(t.n AS DOUBLE) / c.n, 9) AS rate FROM c, t
+), p AS (
+  SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+  FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM r)
+), f AS (
+  SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p
+), d AS (
+  SELECT doc_id, source, CAST('0x' || substr(md5('17|' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents
+), n AS (
+  SELECT doc_id, any_value(rate) AS rate, count(*) FILTER (WHERE c <= u) AS n_copies
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source GROUP BY doc_id
+), x AS (
+  SELECT doc_id, rate, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM n
+)
+SELECT documents.*, copy, n_copies, rate,
+       CAST('0x' || substr(md5('17-order|' || x.doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+FROM x JOIN documents ON x.doc_id = documents.doc_id
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_mixing": op3_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op3_mixing": OP3_SQL,
 }
 
 
