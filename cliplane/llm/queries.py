@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import chat, mixing, packing, simhash, substring_dedup
+from cliplane.llm import chat, langid, mixing, packing, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -76,6 +76,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(tables(spark, sf_dir, "documents"), **vocabulary()))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(tables(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
+    "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
 }
