@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import chat, langid, mixing, packing, simhash, substring_dedup
+from cliplane.llm import chat, langid, mixing, packing, quality, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -76,6 +76,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(tables(spark, sf_dir, "documents"), **vocabulary()))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(tables(spark, sf_dir, "documents"))
 
@@ -110,6 +114,7 @@ FROM t GROUP BY conv_id
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
