@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import chat, langid, lm, mixing, packing, quality, simhash, substring_dedup
+from cliplane.llm import chat, langid, lm, media, mixing, packing, quality, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -80,6 +80,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.read(media.store(tables(spark, sf_dir, "documents"))))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(tables(spark, sf_dir, "documents"))
 
@@ -120,6 +124,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
+    "op6_media_columns": op6_media_columns,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
