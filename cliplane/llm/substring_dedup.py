@@ -16,7 +16,7 @@ Spark then works on the named symbols:
 2. The symbols of level ``ROUNDS`` (about six words) are counted over the corpus.
    A window whose interior holds a symbol that occurs once cannot occur twice and
    is ruled out; long repeats show as stretches in which all symbols are shared.
-3. The windows of those stretches are verified: each gets a 128-bit name, and
+3. The windows of those stretches are verified: each gets a 96-bit name, and
    names that start at two or more places mark their words for removal.
 
 Windows that a symbol cannot judge (its deciding span does not fit) are never
@@ -178,8 +178,8 @@ def _window_rows(window: int):
                 hashes = [kernels.word_hashes(words, s) for s in SEEDS]
                 start = candidate_windows(hashes[0], words.first, [names[at[i] : at[i + 1]] for i in range(a, b)], window)
                 text = np.searchsorted(words.first, start, side="right") - 1
-                fps = [kernels.spans_hash(kernels.mixed(h), start, start + window, s).view(np.int64) for h, s in zip(hashes, SEEDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(fps[0]), pa.array(fps[1]), pa.array(uids[a + text]), pa.array((start - words.first[text]).astype(np.int32))], ["f1", "f2", "uid", "pos"])
+                f1, f2 = (kernels.spans_hash(kernels.mixed(h), start, start + window, s) for h, s in zip(hashes, SEEDS, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(f1.view(np.int64)), pa.array(f2.astype(np.uint32).view(np.int32)), pa.array(uids[a + text]), pa.array((start - words.first[text]).astype(np.int32))], ["f1", "f2", "uid", "pos"])
 
     return run
 
@@ -265,10 +265,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     groups = own.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"))
     known = stash(groups.select("whole", "rep.id", "rep.th", "copies", F.monotonically_increasing_id().alias("uid")), "repeats-known")
     symbols = keyed.select("id", "th", "text").mapInArrow(_symbol_rows(window), "name long, many tinyint, id long, th int")
-    shared = symbols.groupBy("name").agg(F.sum("many").alias("n")).filter("n > 1").select("name")
-    by_text = symbols.join(shared, "name").groupBy("id", "th").agg(F.collect_set("name").alias("names"))
+    shared = symbols.withColumn("n", F.sum("many").over(Window.partitionBy("name"))).filter("n > 1")
+    by_text = shared.groupBy("id", "th").agg(F.collect_list("name").alias("names"))
     asked = known.join(by_text, ["id", "th"]).select("id", "th", "uid", "names")
-    rows = keyed.join(asked, ["id", "th"]).select("uid", "text", "names").mapInArrow(_window_rows(window), "f1 long, f2 long, uid long, pos int")
+    # doc_id is taken along so that this join and the last one read one and the same exchange of the texts.
+    rows = keyed.join(asked, ["id", "th"]).select("uid", "text", "names", "doc_id").mapInArrow(_window_rows(window), "f1 long, f2 int, uid long, pos int")
     repeated = rows.withColumn("n", F.count("*").over(Window.partitionBy("f1", "f2"))).filter("n > 1")
     places = repeated.groupBy("uid").agg(F.collect_list("pos").alias("places"))
     fate = own.join(known.select("whole", "copies", "uid"), "whole").join(places, "uid", "left")
