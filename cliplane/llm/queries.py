@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import chat, langid, lm, media, mixing, packing, quality, simhash, substring_dedup
+from cliplane.llm import ann, chat, langid, lm, media, mixing, packing, quality, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -34,6 +34,11 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = tables(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents"))
 
@@ -121,6 +126,7 @@ FROM t GROUP BY conv_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_mixing": op3_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
