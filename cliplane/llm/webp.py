@@ -35,6 +35,10 @@ NEAR = (
 )
 
 
+# All 16-bit numbers with their bits in reverse order.
+TURNED = np.packbits(np.unpackbits(np.arange(1 << 16, dtype=">u2").view(np.uint8)).reshape(-1, 16)[:, ::-1], axis=1).view(">u2").reshape(-1).astype(np.int64)
+
+
 class Bits:
     """Reads bits, lowest first."""
 
@@ -72,10 +76,7 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     top = int(size[-1])
     # Codes of one length follow each other; each takes 2**(top - length) of the numbers of the longest.
     code = np.concatenate([[0], np.cumsum(1 << (top - size))[:-1]]) >> (top - size)
-    turned = np.zeros(len(order), np.int64)
-    for b in range(top):
-        turned |= np.where(b < size, ((code >> np.maximum(size - 1 - b, 0)) & 1) << b, 0)
-    out[order] = turned
+    out[order] = TURNED[code] >> (16 - size)
     return out
 
 
@@ -169,15 +170,15 @@ def _literals(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
                 size = size.reshape(-1)
             seen.append((c, size))
             step = size if step is None else step + size[np.minimum(np.arange(total) + step, total - 1)]
-        jump, p, end, places = step.tobytes(), int(pos[0]), 8 * len(raw), []
-        note = places.append
-        for _ in range(n):
-            note(p)
-            p += jump[p]
-            if p > end:
-                raise ValueError("the image ends too early")
-        pos = np.array(places, np.int64)
-        bits.at = 8 * start + p
+        jump, p = step.tobytes(), int(pos[0])
+        try:
+            places = [p] + [p := p + jump[p] for _ in range(n)]
+        except IndexError:
+            places = [8 * len(raw) + 1]
+        if places[-1] > 8 * len(raw):
+            raise ValueError("the image ends too early")
+        pos = np.array(places, np.int64)[:-1]
+        bits.at = 8 * start + places[-1]
     out = np.zeros(n, np.uint32)
     for c, shift in zip(codes, (8, 16, 0, 24), strict=True):
         if not c.width:
