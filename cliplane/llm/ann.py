@@ -28,7 +28,7 @@ TREES = 64
 DEPTH = 32
 BLOCK_ROWS = 8192
 QUERY_ROWS = 4096
-WANTED = 2_500
+WANTED = 4_000
 SEED = 11
 
 
