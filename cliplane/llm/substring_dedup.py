@@ -111,6 +111,25 @@ def recompress(word: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Sym
     return x
 
 
+def spread_known(f1: np.ndarray, f2: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of windows, and their places, so that a frequent name doesn't meet in one task.
+
+    Windows that share their name with another one of the chunk are known to be
+    repeated; their place is given as ~pos. The first keeps the name and so tells
+    other chunks; the others only carry their own fact, under a name of their own.
+    """
+    order = np.lexsort((f2, f1))
+    same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1])
+    later, known = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    later[1:] = same
+    known[1:] = same
+    known[:-1] |= same
+    hit = order[later]
+    f1 = f1.copy()
+    f1[hit] = kernels.mixed(kernels.mixed(uid[hit].view(np.uint64)) + pos[hit].astype(np.uint64)).view(np.int64)
+    return f1, np.where(known[np.argsort(order)], ~pos, pos)
+
+
 def _symbol_rows(window: int):
     """(name, many, id, th) of each text's different symbols; many is 2 if it occurs more than once there."""
 
@@ -129,13 +148,13 @@ def _symbol_rows(window: int):
                 head[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
                 at = np.flatnonzero(head)
                 many = np.minimum(np.diff(np.append(at, len(name))), 2).astype(np.int8)
-                row = text[at] + a
+                name, row = name[at], text[at] + a
                 # A text with windows that no symbol judges is asked for in any case, by a name of its own.
                 start = open_windows(x, np.zeros(len(x.name), bool), words.first, window)
                 blind = np.unique(np.searchsorted(words.first, start, side="right") - 1) + a
                 own = kernels.mixed(kernels.mixed(ids[blind].view(np.uint64)) + ths[blind].astype(np.uint64))
-                name = np.concatenate([name[at], own]).view(np.int64)
-                many, row = np.concatenate([many, np.full(len(blind), 2, np.int8)]), np.concatenate([row, blind])
+                name, row = np.concatenate([name, own]).view(np.int64), np.concatenate([row, blind])
+                many = np.concatenate([many, np.full(len(blind), 2, np.int8)])
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(many), pa.array(ids[row]), pa.array(ths[row])], ["name", "many", "id", "th"])
 
     return run
@@ -179,7 +198,9 @@ def _window_rows(window: int):
                 start = candidate_windows(hashes[0], words.first, [names[at[i] : at[i + 1]] for i in range(a, b)], window)
                 text = np.searchsorted(words.first, start, side="right") - 1
                 f1, f2 = (kernels.spans_hash(kernels.mixed(h), start, start + window, s) for h, s in zip(hashes, SEEDS, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(f1.view(np.int64)), pa.array(f2.astype(np.uint32).view(np.int32)), pa.array(uids[a + text]), pa.array((start - words.first[text]).astype(np.int32))], ["f1", "f2", "uid", "pos"])
+                f1, f2, uid = f1.view(np.int64), f2.astype(np.uint32).view(np.int32), uids[a + text]
+                f1, pos = spread_known(f1, f2, uid, (start - words.first[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (f1, f2, uid, pos)], ["f1", "f2", "uid", "pos"])
 
     return run
 
@@ -194,8 +215,8 @@ def _cut(window: int):
                 lists = lists.fill_null([])
             places, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             at = at - at[0]
-            n_words, n_removed, digests, kept_texts = [], [], [], []
             for a, b in kernels.row_chunks(texts):
+                digests, kept_texts = [], []
                 words = kernels.words_of(kernels.part_of(texts, a, b))
                 first = words.first
                 size = np.diff(first)
@@ -216,13 +237,11 @@ def _cut(window: int):
                     kept = buf[stop[lo] : stop[hi] - 1].tobytes() if hi > lo else b""
                     digests.append(hashlib.sha256(kept).hexdigest())
                     kept_texts.append(kept.decode("utf-8", "replace"))
-                n_words.append(size)
-                n_removed.append(size - np.diff(kept_first))
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cat(n_words)), pa.array(cat(n_removed)), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+                own = [c.slice(a, b - a) for c in (batch.column(0), batch.column(4))]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(size), pa.array(size - np.diff(kept_first)), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
+                    ["doc_id", "rest", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                )
 
     return run
 
@@ -242,24 +261,25 @@ def _kept_words(words: kernels.Words, left: np.ndarray) -> tuple[np.ndarray, np.
     return buf, end - length, end
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """A row is known by its id and a hash of its text, so that rows with one id stay apart."""
+    rest = F.struct(F.lit(0).cast("tinyint").alias("_"), *keep).alias("rest")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text, and the columns in ``keep``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Each word that a repeated window of
     ``window`` words covers is removed; ``kept_text`` holds the others, one space
     apart. Null and empty texts have no words. Texts shorter than the window lose
     nothing. Rows that repeat an id and text repeat each other's windows and lose
-    them all. Null ids are kept as null. Other columns are ignored.
+    them all. Null ids are kept as null. Other columns are ignored unless kept.
     """
     spark = docs.sparkSession
     ship(spark)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, list(keep))
     # Equal texts: one row stands for all.
     own = stash(keyed.select("id", "th", F.md5("text").alias("whole")), "repeats-wholes")
     groups = own.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"))
@@ -268,11 +288,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     shared = symbols.withColumn("n", F.sum("many").over(Window.partitionBy("name"))).filter("n > 1")
     by_text = shared.groupBy("id", "th").agg(F.collect_list("name").alias("names"))
     asked = known.join(by_text, ["id", "th"]).select("id", "th", "uid", "names")
-    # doc_id is taken along so that this join and the last one read one and the same exchange of the texts.
-    rows = keyed.join(asked, ["id", "th"]).select("uid", "text", "names", "doc_id").mapInArrow(_window_rows(window), "f1 long, f2 int, uid long, pos int")
-    repeated = rows.withColumn("n", F.count("*").over(Window.partitionBy("f1", "f2"))).filter("n > 1")
-    places = repeated.groupBy("uid").agg(F.collect_list("pos").alias("places"))
+    # doc_id and rest are taken along so that this join and the last one read one and the same exchange of the texts.
+    rows = keyed.join(asked, ["id", "th"]).select("uid", "text", "names", "doc_id", "rest").mapInArrow(_window_rows(window), "f1 long, f2 int, uid long, pos int")
+    known_twice = F.when(F.col("pos") < 0, 2).otherwise(1)
+    repeated = rows.withColumn("n", F.sum(known_twice).over(Window.partitionBy("f1", "f2"))).filter("n > 1")
+    places = repeated.groupBy("uid").agg(F.collect_list(F.greatest("pos", F.bitwise_not("pos"))).alias("places"))
     fate = own.join(known.select("whole", "copies", "uid"), "whole").join(places, "uid", "left")
     fate = fate.select("id", "th", "copies", F.when(F.col("copies") == 1, F.col("places")).alias("places")).dropDuplicates(["id", "th"])
-    found = keyed.join(fate, ["id", "th"], "left").select("doc_id", "text", "copies", "places")
-    return found.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    found = keyed.join(fate, ["id", "th"], "left").select("doc_id", "text", "copies", "places", "rest")
+    out = found.mapInArrow(_cut(window), f"doc_id long, rest {found.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated words removed from their texts; n_chars follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = remove_repeats(docs, keep=others).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
