@@ -1 +1,193 @@
-"""Queries."""
+"""Queries of comparison, quality and readiness rules, and the phases that chain them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cliplane.functions import compare, rules, text
+from cliplane.operators import timeline
+from cliplane.plans.registry import query
+from cliplane.plans.text_queries import COUNT, SPACE
+from cliplane.sources.adapters import chunks, lines, segments, sql, table
+
+HOURS = """h AS (SELECT video_id, floor("start" / 3600) AS hour, string_agg(text, ' ' ORDER BY "start", seg) AS transcript, sum(CAST(round(("end" - "start") * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS spoken, count(*) AS n FROM segments GROUP BY ALL)"""
+
+
+def _hours(spark, d) -> DataFrame:
+    """One transcript for each hour of a video; spoken time from whole hundredths."""
+    s = segments(spark, d).withColumn("hour", F.floor(F.col("start") / 3600).cast("double"))
+    spoken = F.sum(F.round((F.col("end") - F.col("start")) * 100).cast("long")) / F.lit(100.0)
+    said = timeline.joined_text((F.col("start"), F.col("seg")), F.col("text"), " ").alias("transcript")
+    return s.groupBy("video_id", "hour").agg(said, spoken.alias("spoken"), F.count("*").alias("n_segments")).withColumn("duration", F.lit(900.0))
+
+
+@query("a_8_stt_quality", sql("segments", f""", {HOURS}, m AS (SELECT *, n_w / greatest(900, 1)::DOUBLE AS wps, 1 - spoken / 900 AS silence, CASE WHEN n_w > 5 THEN 1 - len(list_distinct(list_transform(w, lambda x: lower(x)))) / n_w::DOUBLE ELSE 0 END AS rep,
+length(transcript) / greatest(n_w, 1)::DOUBLE AS al FROM (SELECT *, string_split(transcript, ' ') AS w, len(string_split(transcript, ' ')) AS n_w FROM h)),
+i AS (SELECT *, list_filter([CASE WHEN n_w < 5 THEN 'very_few_words' END, CASE WHEN n_w >= 5 AND n_w < 10 THEN 'few_words' END, CASE WHEN silence > 0.7 THEN 'mostly_silence' END, CASE WHEN silence > 0.5 AND silence <= 0.7 THEN 'high_silence' END,
+CASE WHEN rep > 0.4 THEN 'high_repetition' END, CASE WHEN wps > 5 THEN 'possibly_fast_or_noise' END, CASE WHEN al < 2 THEN 'fragmented_words' END], lambda x: x IS NOT NULL) AS issues FROM m)
+SELECT video_id, hour, CAST(n_w AS INTEGER) AS word_count, CAST(length(transcript) AS INTEGER) AS char_count, round_even(wps, 2) AS words_per_second, round_even(silence, 2) AS silence_ratio, round_even(rep, 2) AS repetition_ratio, round_even(al, 1) AS avg_word_length, issues,
+CASE WHEN n_w < 5 OR silence > 0.7 OR len(issues) >= 3 THEN 'low' ELSE 'good' END AS quality FROM i"""))
+def a_8(spark, d) -> DataFrame:
+    out = rules.stt_quality(_hours(spark, d))
+    return out.select("video_id", "hour", "word_count", "char_count", "words_per_second", "silence_ratio", "repetition_ratio", "avg_word_length", "issues", "quality")
+
+
+def _frames(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Ten lines of a document are a frame."""
+    kept = (~text.is_noise(F.col("line"))).cast("int")
+    rows = lines(spark, d).withColumns({"frame": F.floor(F.col("pos") / 10), "kept": kept})
+    frames = rows.groupBy("video_id", "frame").agg(F.sum(F.col("kept") * F.length("line")).alias("char_count"), F.sum("kept").alias("n_clean"), F.count("*").alias("n_raw"))
+    return frames, frames.groupBy("video_id").agg((F.count("*") + F.max(F.col("video_id") % 3)).alias("total_frames"))
+
+
+@query("a_9_ocr_quality", sql("lines", """, k AS (SELECT video_id, pos // 10 AS frame, line, CASE WHEN length(line) < 2 OR regexp_matches(trim(lower(line)), '@[\\p{L}\\p{N}\\p{M}_]+|#[\\p{L}\\p{N}\\p{M}_]+|tiktok|douyin|capcut|♬|original sound|âm thanh gốc|^\\d+:\\d+$|^\\d+[km]$|^\\d{1,2}/\\d{1,2}$', 'i') THEN 0 ELSE 1 END AS kept FROM lines),
+f AS (SELECT video_id, frame, sum(kept * length(line)) AS c, sum(kept) AS l, count(*) AS r FROM k GROUP BY ALL),
+v AS (SELECT video_id, sum(c) AS c, sum(l) AS l, sum(r) AS r, count(*) FILTER (c > 5 AND l > 0) AS readable, count(*) + max(video_id % 3) AS frames FROM f GROUP BY video_id),
+m AS (SELECT *, readable / greatest(frames, 1)::DOUBLE AS rr, c / greatest(frames, 1)::DOUBLE AS a, (r - l) / greatest(r, 1)::DOUBLE AS nr FROM v),
+i AS (SELECT *, list_filter([CASE WHEN c < 5 THEN 'almost_no_text' END, CASE WHEN c >= 5 AND c < 20 THEN 'very_little_text' END, CASE WHEN rr < 0.1 THEN 'few_readable_frames' END, CASE WHEN nr > 0.6 THEN 'high_noise' END, CASE WHEN a < 2 THEN 'low_text_density' END], lambda x: x IS NOT NULL) AS issues FROM m)
+SELECT video_id, CAST(c AS BIGINT) AS total_chars, CAST(l AS BIGINT) AS total_lines, readable AS readable_frames, round_even(rr, 2) AS readable_ratio, round_even(nr, 2) AS noise_ratio, round_even(a, 1) AS avg_chars, issues,
+CASE WHEN c < 5 OR rr < 0.1 OR len(issues) >= 3 THEN 'low' ELSE 'good' END AS quality FROM i"""))
+def a_9(spark, d) -> DataFrame:
+    frames, totals = _frames(spark, d)
+    return rules.ocr_quality(frames, totals).select("video_id", "total_chars", "total_lines", "readable_frames", "readable_ratio", "noise_ratio", "avg_chars", "issues", "quality")
+
+
+LABEL = "CASE %s %% 3 WHEN 0 THEN 'good' WHEN 1 THEN 'low' ELSE 'medium' END"
+
+
+def _label(n):
+    return F.when(n % 3 == 0, "good").when(n % 3 == 1, "low").otherwise("medium")
+
+
+@query("a_17_richness", """SELECT doc_id, a + b AS score, CASE WHEN a + b >= 70 THEN 'high' WHEN a + b >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT doc_id,
+CASE WHEN w > 100 THEN 50 WHEN w > 50 THEN 40 WHEN w > 20 THEN 30 WHEN w > 10 THEN 20 WHEN w > 5 THEN 10 ELSE 0 END AS a, CASE WHEN c > 200 THEN 50 WHEN c > 100 THEN 40 WHEN c > 50 THEN 30 WHEN c > 20 THEN 20 WHEN c > 10 THEN 10 ELSE 0 END AS b
+FROM (SELECT doc_id, doc_id % 150 AS w, n_chars % 301 AS c FROM documents))""")
+def a_17(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", rules.richness(F.col("doc_id") % 150, F.col("n_chars") % 301).alias("r")).select("doc_id", "r.score", "r.level")
+
+
+@query("a_18_global_quality", f"""SELECT doc_id, CASE WHEN s = 'low' AND o = 'low' THEN 'weak' ELSE 'valid' END AS data_status,
+CASE WHEN s = 'good' AND o = 'good' THEN ['stt', 'ocr'] WHEN s = 'good' THEN ['stt'] WHEN o = 'good' THEN ['ocr'] ELSE ['metadata_only'] END AS usable_sources,
+CASE WHEN s = 'good' AND o = 'good' THEN 'both' WHEN s = 'good' THEN 'stt' WHEN o = 'good' THEN 'ocr' ELSE 'none' END AS primary_source FROM (SELECT doc_id, {LABEL % 'doc_id'} AS s, {LABEL % '(doc_id // 3)'} AS o FROM documents)""")
+def a_18(spark, d) -> DataFrame:
+    g = rules.global_quality(_label(F.col("doc_id")), _label(F.floor(F.col("doc_id") / 3)))
+    return table(spark, d, "documents").select("doc_id", g.alias("g")).select("doc_id", "g.data_status", "g.usable_sources", "g.primary_source")
+
+
+@query("j_6_common_keywords", sql("chunks", f"""SELECT video_id, pos, list_sort(list_distinct(list_intersect(a, b))) AS keywords FROM (SELECT video_id, pos, {'list_transform(list_filter(regexp_split_to_array(stt, %s), lambda w: length(w) >= 3), lambda w: lower(w))' % repr(SPACE + '+')} AS a,
+{'list_transform(list_filter(regexp_split_to_array(ocr, %s), lambda w: length(w) >= 3), lambda w: lower(w))' % repr(SPACE + '+')} AS b FROM chunks)""".replace("\\\\", "\\")))
+def j_6(spark, d) -> DataFrame:
+    return chunks(spark, d).select("video_id", "pos", compare.common_keywords(F.col("stt"), F.col("ocr")).alias("keywords"))
+
+
+@query("f_2_similarity")
+def f_2(spark, d) -> DataFrame:
+    return chunks(spark, d).select("video_id", "pos", compare.similarity(F.col("stt"), F.col("ocr")).alias("similarity"))
+
+
+def _with_quality(spark, d) -> DataFrame:
+    return chunks(spark, d).withColumns({"stt_quality": _label(F.col("video_id")), "ocr_quality": _label(F.floor(F.col("video_id") / 3))})
+
+
+@query("f_3_compare")
+def f_3(spark, d) -> DataFrame:
+    return compare.compared(_with_quality(spark, d)).select("video_id", "pos", "relation", "similarity", "keywords", "confidence")
+
+
+@query("f_6_chunk_comparison")
+def f_6(spark, d) -> DataFrame:
+    return compare.compared(_with_quality(spark, d)).select("video_id", "pos", "relation", "priority.primary_source", "priority.content_confidence")
+
+
+DENSITY = """CASE WHEN len(%(w)s) = 0 THEN 0 ELSE round_even(len(list_distinct(list_transform(%(w)s, lambda x: lower(x)))) / len(%(w)s)::DOUBLE * 0.4::DOUBLE
++ least(list_sum(list_transform(%(w)s, lambda x: length(x))) / len(%(w)s)::DOUBLE / 6, 1) * 0.3::DOUBLE + least(len(%(w)s) / 50::DOUBLE, 1) * 0.3::DOUBLE, 3) END"""
+WORDS = f"list_filter(regexp_split_to_array(%s, '{SPACE}+'), lambda w: w <> '')"
+
+
+@query("f_4_density", f"SELECT doc_id, {DENSITY % {'w': 'w'}} AS density FROM (SELECT doc_id, {WORDS % 'text'} AS w FROM documents)")
+def f_4(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", compare.density(F.col("text")).alias("density"))
+
+
+@query("f_5_prioritize", sql("chunks", f""", q AS (SELECT *, {LABEL % 'video_id'} AS sq, {LABEL % '(video_id // 3)'} AS oq, CASE pos %% 5 WHEN 0 THEN 'reinforce' WHEN 2 THEN 'complement' ELSE 'independent' END AS rel, {WORDS % 'stt'} AS sw, {WORDS % 'ocr'} AS ow FROM chunks),
+s AS (SELECT *, CASE sq WHEN 'good' THEN 1.0 WHEN 'low' THEN 0.3 ELSE 0.5 END::DOUBLE * 0.6::DOUBLE + {DENSITY % {'w': 'sw'}} * 0.4::DOUBLE AS ss, CASE oq WHEN 'good' THEN 1.0 WHEN 'low' THEN 0.3 ELSE 0.5 END::DOUBLE * 0.6::DOUBLE + {DENSITY % {'w': 'ow'}} * 0.4::DOUBLE AS os FROM q),
+c AS (SELECT *, CASE WHEN stt = '' AND ocr = '' THEN 'none' WHEN rel = 'reinforce' THEN 'm1' WHEN rel = 'complement' AND ss >= os THEN 'm2' WHEN rel = 'complement' THEN 'm3' WHEN ss > os AND stt <> '' THEN 'stt' WHEN ocr <> '' THEN 'ocr' ELSE 'rest' END AS k FROM s)
+SELECT video_id, pos, CASE WHEN k LIKE 'm_' THEN 'merged' WHEN k = 'rest' THEN 'stt' ELSE k END AS primary_source, CASE k WHEN 'none' THEN '' WHEN 'm3' THEN ocr WHEN 'ocr' THEN ocr ELSE stt END AS primary_text,
+CASE k WHEN 'none' THEN 0 WHEN 'm1' THEN 0.6 WHEN 'm2' THEN 0.5 WHEN 'm3' THEN 0.4 WHEN 'stt' THEN 0.8 WHEN 'ocr' THEN 0.2 ELSE 0.5 END::DOUBLE AS stt_weight,
+CASE k WHEN 'none' THEN 'low' WHEN 'm1' THEN 'high' WHEN 'm2' THEN 'medium' WHEN 'm3' THEN 'medium' WHEN 'stt' THEN CASE WHEN sq = 'low' THEN 'low' ELSE 'medium' END WHEN 'ocr' THEN CASE WHEN oq = 'low' THEN 'low' ELSE 'medium' END ELSE 'low' END AS content_confidence FROM c""".replace("%%", "%")))
+def f_5(spark, d) -> DataFrame:
+    rel = F.when(F.col("pos") % 5 == 0, "reinforce").when(F.col("pos") % 5 == 2, "complement").otherwise("independent")
+    return compare.prioritize(_with_quality(spark, d).withColumn("relation", rel)).select("video_id", "pos", "priority.primary_source", "priority.primary_text", "priority.stt_weight", "priority.content_confidence")
+
+
+@query("f_16_final_text")
+def f_16(spark, d) -> DataFrame:
+    rel = F.when(F.col("pos") % 5 == 0, "merged").otherwise("stt")
+    return chunks(spark, d).select("video_id", "pos", text.final_text(F.col("stt"), F.col("ocr"), rel).alias("final_text"))
+
+
+@query("a_13_relations")
+def a_13(spark, d) -> DataFrame:
+    return compare.compared(_with_quality(spark, d)).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+CONF = "CASE pos % 6 WHEN 0 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
+
+
+def _content(spark, d) -> tuple[DataFrame, DataFrame]:
+    conf = F.when(F.col("pos") % 6 == 0, "high").when(F.col("pos") % 6 == 2, "medium").otherwise("low")
+    short = F.when(F.col("video_id") % 4 == 0, F.regexp_extract("stt", "^(\\S+ ?\\S*)", 1)).otherwise(F.col("stt"))
+    rows = chunks(spark, d).select("video_id", "pos", short.alias("final_text"), F.lit("").alias("cleaned_text"), conf.alias("content_confidence"))
+    videos = table(spark, d, "conversations").select(F.col("conv_id").alias("video_id")).distinct().withColumn("data_status", F.when(F.col("video_id") % 2 == 0, "weak").otherwise("valid"))
+    return rows, videos
+
+
+@query("a_20_readiness", sql("chunks", f""", r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^([^ ]+ ?[^ ]*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
+g AS (SELECT video_id, count(*) AS n, sum(w) AS words, count(*) FILTER (w >= 3) AS full_, count(*) FILTER (w >= 5) AS ctx, count(*) FILTER (conf = 'high') AS hi, count(*) FILTER (conf = 'medium') AS me, count(*) FILTER (conf = 'low') AS lo FROM r GROUP BY video_id),
+v AS (SELECT DISTINCT conv_id AS video_id, CASE WHEN conv_id % 2 = 0 THEN 'weak' ELSE 'valid' END AS st FROM conversations),
+j AS (SELECT v.video_id, st, coalesce(n, 0) AS n, coalesce(words, 0) AS words, coalesce(full_, 0) AS full_, coalesce(ctx, 0) AS ctx, coalesce(hi, 0) AS hi, coalesce(me, 0) AS me, coalesce(lo, 0) AS lo FROM v LEFT JOIN g USING (video_id)),
+i AS (SELECT *, list_filter([CASE WHEN n = 0 THEN 'no_chunks' END, CASE WHEN n > 0 AND words < 5 THEN 'too_few_words' END, CASE WHEN n > 0 AND full_ < 1 THEN 'no_chunks_with_content' END, CASE WHEN n > 0 AND full_ / n::DOUBLE < 0.3 THEN 'low_content_density' END], lambda x: x IS NOT NULL) AS c1,
+list_filter([CASE WHEN n = 0 THEN 'no_chunks' END, CASE WHEN n > 0 AND lo / n::DOUBLE > 0.8 THEN 'mostly_low_confidence' END, CASE WHEN n > 0 AND NOT (n > 1 AND hi + me > 0) THEN 'no_clear_structure' END,
+CASE WHEN n = 0 THEN 'no_content' END, CASE WHEN n > 0 AND words < 5 THEN 'topic_unclear' END, CASE WHEN n > 0 AND ctx < 1 THEN 'no_context' END], lambda x: x IS NOT NULL) AS c2 FROM j),
+z AS (SELECT *, list_concat(c1, c2) AS issues, len(c1) = 0 AS ok, words >= 10 AND ctx >= 1 AS can FROM i)
+SELECT video_id, issues, ok AND can AS reasoning_ready, CASE WHEN len(issues) = 0 THEN 'high' WHEN len(issues) <= 2 THEN 'medium' ELSE 'low' END AS content_quality,
+CASE WHEN words >= 20 THEN 'clear' WHEN words >= 10 THEN 'partial' WHEN words >= 5 THEN 'vague' ELSE 'none' END AS topic_clarity, CASE WHEN ctx >= 3 THEN 'rich' WHEN ctx >= 2 THEN 'adequate' WHEN ctx >= 1 THEN 'minimal' ELSE 'none' END AS context_level,
+CASE WHEN ok AND can THEN 'Nội dung đủ rõ ràng và có cấu trúc để AI suy luận' ELSE concat_ws('; ', CASE WHEN NOT ok THEN 'Content không đủ đầy đủ' END, CASE WHEN NOT can THEN 'Không đủ context để suy luận' END, CASE WHEN st = 'weak' AND NOT ok THEN 'Dữ liệu yếu từ Phase 2' END) END AS reason FROM z"""))
+def a_20(spark, d) -> DataFrame:
+    """A-10 completeness, A-11 coherence and A-12 reasoning potential, combined."""
+    rows, videos = _content(spark, d)
+    return rules.readiness(rows, videos).select("video_id", "issues", "reasoning_ready", "content_quality", "topic_clarity", "context_level", "reason")
+
+
+def _measures(spark, d) -> DataFrame:
+    rows, videos = _content(spark, d)
+    return rules.readiness(rows, videos)
+
+
+GROUPED = f"""r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^([^ ]+ ?[^ ]*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
+g AS (SELECT video_id, count(*) AS n, sum(w) AS words, count(*) FILTER (w >= 3) AS f, count(*) FILTER (w >= 5) AS c, count(*) FILTER (conf = 'high') AS high, count(*) FILTER (conf = 'medium') AS medium, count(*) FILTER (conf = 'low') AS low FROM r GROUP BY video_id)"""
+
+
+@query("a_10_completeness", sql("chunks", f", {GROUPED} SELECT video_id, CAST(words AS BIGINT) AS words, f AS full_chunks, round_even(f / n::DOUBLE, 2) AS content_density, words >= 5 AND f >= 1 AND f / n::DOUBLE >= 0.3 AS complete FROM g"))
+def a_10(spark, d) -> DataFrame:
+    return _measures(spark, d).filter("n > 0").select("video_id", "words", F.col("full").alias("full_chunks"), "content_density", "complete")
+
+
+@query("a_11_coherence", sql("chunks", f", {GROUPED} SELECT video_id, high, medium, low, n > 1 AND high + medium > 0 AS has_structure, n > 1 AND high + medium > 0 AND low / n::DOUBLE <= 0.8 AS coherent FROM g"))
+def a_11(spark, d) -> DataFrame:
+    return _measures(spark, d).filter("n > 0").select("video_id", "high", "medium", "low", "has_structure", "coherent")
+
+
+@query("a_12_reasoning_potential", sql("chunks", f", {GROUPED} SELECT video_id, c AS context_chunks, words >= 10 AND c >= 1 AS can_reason FROM g"))
+def a_12(spark, d) -> DataFrame:
+    return _measures(spark, d).filter("n > 0").select("video_id", F.col("context").alias("context_chunks"), "can_reason")
+
+
+@query("phase_3_understanding")
+def phase_3(spark, d) -> DataFrame:
+    """Chunks compared, cleaned and judged, a row for each video, as one plan."""
+    content = compare.understood(_with_quality(spark, d))
+    videos = table(spark, d, "conversations").select(F.col("conv_id").alias("video_id")).distinct().withColumn("data_status", F.lit("valid"))
+    script = content.groupBy("video_id").agg(timeline.joined_text((F.col("pos"),), F.col("final_text"), "\n\n").alias("normalized_text"))
+    return rules.readiness(content, videos).join(script, "video_id", "left").select("video_id", "reasoning_ready", "content_quality", "issues", "normalized_text")
