@@ -200,10 +200,17 @@ def pooled(net: Network, texts: kernels.Texts) -> np.ndarray:
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """The sample: (lang, text), the first PER_LANGUAGE documents of each language by a hash of their id."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2) & F.col(text_col).rlike(r"\p{L}"))
-    drawn = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("h"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return drawn.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
+    usable = docs.filter(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
+    counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    # Hashes up to twice the share that is wanted: a language's rows meet in one task only as a small multiple of PER_LANGUAGE.
+    share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))
+    place = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
+    rows = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # At most MAX_LANGUAGES rows of counts, so this side may be broadcast at any scale.
+    near = rows.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") < share)
+    near = near.filter(F.col("text").rlike(r"\p{L}")).select("lang", "place", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network | None]:
@@ -222,15 +229,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return langs, net
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: id_col, held_out, lang_pred, score.
-
-    ``lang_pred`` is ``und`` with score 0 where the text is null or has no
-    letter, and where there is nothing to learn from. Whole texts are read,
-    whatever their length. Ties go to the language first in order. Rows that
-    repeat a document are labelled each; a null id is not held out and not learned
-    from. Other columns are ignored.
-    """
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with held_out, lang_pred and score; columns of these names are replaced. See ``identify``."""
     langs, net = fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +245,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 best = p.argmax(1)
                 score = np.where(letters, p[np.arange(len(p)), best], 0.0)
                 pred = [langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(pred, pa.string()), pa.array(score)], [id_col, "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(pred, pa.string()), pa.array(score)], ["doc", "held_out", "lang_pred", "score"])
 
     ship(docs.sparkSession)
-    ident = F.col(id_col).cast("long")
+    own = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
-    rows = docs.select(ident.alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), held.alias("held"))
-    return rows.mapInArrow(run, f"`{id_col}` long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.struct(*own).alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), held.alias("held"))
+    out = rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return out.select("doc.*", "held_out", "lang_pred", "score")
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of ``docs``: id_col, held_out, lang_pred, score.
+
+    ``lang_pred`` is ``und`` with score 0 where the text is null or has no
+    letter, and where there is nothing to learn from. Whole texts are read,
+    whatever their length. Ties go to the language first in order. Rows that
+    repeat a document are labelled each; a null id is not held out and not learned
+    from. Other columns are ignored.
+    """
+    return with_language(docs.select(id_col, text_col, lang_col), id_col, text_col, lang_col).select(id_col, "held_out", "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents whose language is told with a probability of ``least`` or more; their columns as they are."""
+    return with_language(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
