@@ -194,7 +194,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates stays: a row with the smallest id, all columns kept."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; all columns kept.
+
+    Of rows that share an id one stays. Rows without an id can't be told apart by
+    the result; of these, one stays for each text.
+    """
     found = near_duplicates(docs)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
