@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from cliplane.plans import library_queries, parsing_queries, rule_queries, text_queries, timeline_queries, tracker_queries  # noqa: F401
+    from cliplane.plans import library_queries, parsing_queries, rule_queries, stream_queries, text_queries, timeline_queries, tracker_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -11,3 +11,11 @@ def session(app: str = "cliplane", **conf: str) -> SparkSession:
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where the session names none."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return (found or tempfile.mkdtemp(prefix="cliplane-")).rstrip("/")
