@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cliplane.functions import compare, rules, text
 from cliplane.operators import timeline
 from cliplane.plans.registry import query
-from cliplane.plans.text_queries import COUNT, SPACE
-from cliplane.sources.adapters import chunks, lines, segments, sql, table
+from cliplane.plans.text_queries import CLEAN, COUNT, SPACE
+from cliplane.sources.adapters import chunks, lines, ocr_items, scenes, segments, sql, table
 
 HOURS = """h AS (SELECT video_id, floor("start" / 3600) AS hour, string_agg(text, ' ' ORDER BY "start", seg) AS transcript, sum(CAST(round(("end" - "start") * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS spoken, count(*) AS n FROM segments GROUP BY ALL)"""
 
@@ -191,3 +191,25 @@ def phase_3(spark, d) -> DataFrame:
     videos = table(spark, d, "conversations").select(F.col("conv_id").alias("video_id")).distinct().withColumn("data_status", F.lit("valid"))
     script = content.groupBy("video_id").agg(timeline.joined_text((F.col("pos"),), F.col("final_text"), "\n\n").alias("normalized_text"))
     return rules.readiness(content, videos).join(script, "video_id", "left").select("video_id", "reasoning_ready", "content_quality", "issues", "normalized_text")
+
+
+@query("phase_2_analysis")
+def phase_2(spark, d) -> DataFrame:
+    """Scenes, speech and on-screen text of each video, merged and judged, as one plan; a video without scenes has success false."""
+    shown, said, cut = ocr_items(spark, d), segments(spark, d), scenes(spark, d)
+    counts = timeline.scene_counts(timeline.merge(cut, said, shown))
+    spoken = F.sum(F.col("end") - F.col("start"))
+    speech = said.groupBy("video_id").agg(timeline.joined_text((F.col("start"), F.col("seg")), F.col("text"), " ").alias("transcript"), spoken.alias("spoken"), F.count("*").alias("n_segments")).withColumn("duration", F.lit(86400.0))
+    heard = rules.stt_quality(speech).select("video_id", F.col("quality").alias("stt_quality"), "word_count")
+    full = (F.col("text") != "").cast("int")
+    frames = shown.select("video_id", F.length("text").alias("char_count"), full.alias("n_clean"), F.lit(1).alias("n_raw"))
+    read = rules.ocr_quality(frames, frames.groupBy("video_id").agg(F.count("*").alias("total_frames"))).select("video_id", F.col("quality").alias("ocr_quality"), "total_chars")
+    rows = heard.join(read, "video_id", "full").join(counts, "video_id", "left")
+    judged = rows.withColumns({"q": rules.global_quality(F.coalesce("stt_quality", F.lit("low")), F.coalesce("ocr_quality", F.lit("low"))), "r": rules.richness(F.coalesce("word_count", F.lit(0)), F.coalesce("total_chars", F.lit(0)))})
+    return judged.select("video_id", F.col("scenes").isNotNull().alias("success"), "scenes", "scenes_with_speech", "scenes_with_text", "stt_quality", "ocr_quality", "q.data_status", "q.primary_source", F.col("r.score").alias("richness"), F.col("r.level").alias("richness_level"))
+
+
+@query("a_13_removed_words", f"""WITH {CLEAN} SELECT lang, CAST(sum(greatest({COUNT % 'c.text'} - {COUNT % 't'}, 0)) AS BIGINT) AS removed_words FROM cleaned c JOIN documents USING (doc_id) GROUP BY lang""")
+def a_13b(spark, d) -> DataFrame:
+    removed = text.process(F.col("text"))["removed_words"]
+    return table(spark, d, "documents").select("lang", removed.alias("n")).groupBy("lang").agg(F.sum("n").alias("removed_words"))

@@ -54,3 +54,18 @@ def test_files_and_stream(spark, tmp_path):
     files.write_json(rows, str(tmp_path / "out"))
     assert files.read_metadata(spark, str(tmp_path / "out"), "id long, title string").count() >= 1
     assert files.file_info(spark, str(tmp_path / "ids.txt")).first().suffix == ".txt"
+
+
+def test_api(spark, tmp_path):
+    from cliplane.api import Library, Tracker
+
+    new = spark.createDataFrame([("a", "t", "user", 0)], "id string, title string, type string, pos int")
+    t = Tracker.empty(spark).add(new, 1)
+    assert t.pending().count() == 1 and t.stats().first().pending == 1 and t.summary().count() == 2
+    t.save(str(tmp_path / "q"))
+    assert Tracker(spark.read.parquet(str(tmp_path / "q"))).reset_all().clear().objects.count() == 0
+    row = (1, "t", "a", "c", "k", 5, "analyzed", None, None, None, "u")
+    columns = "video_id long, title string, analysis_title string, category string, key_message string, score int, status string, created_at timestamp, analyzed_at timestamp, error string, url string"
+    library = Library(spark.createDataFrame([row], columns))
+    assert library.get(1).first().video_id == "1" and library.get(2).count() == 0
+    assert library.list().first().total == 1 and library.count("c") == 1 and library.analysis(1).first().has_analysis and library.stats().first().analyzed == 1
