@@ -2,7 +2,8 @@
 
 A text is the histogram of its pairs of neighbouring characters (in 64 classes:
 single letters and signs; capitals, digits and other scripts as classes of their
-own), as square roots of shares. A truncated singular value decomposition of
+own) and the share of its words that repeat the word before, all as square roots
+of shares. A truncated singular value decomposition of
 labelled texts gives the latent space. The labelled vectors are broadcast; their
 number is bounded by ``MAX_LABELLED`` rows, the first by a hash of their id. Each
 document is compared with all of them by exact cosine products, block by block,
@@ -28,6 +29,8 @@ SHARPNESS = 8
 THRESHOLD = 0.7
 CLASSES = 64
 PAIRS = CLASSES * CLASSES
+TERMS = PAIRS + 1
+PRIOR_VOTES = 1.5
 
 
 def _classes() -> np.ndarray:
@@ -45,15 +48,27 @@ def _classes() -> np.ndarray:
 BYTE_CLASS = _classes()
 
 
+def repeats(texts: kernels.Texts) -> np.ndarray:
+    """The share of each text's words that are the same as the word before."""
+    words = kernels.words_of(texts)
+    h, n = kernels.word_hashes(words, 101), np.diff(words.first)
+    same = np.zeros(len(h), bool)
+    same[1:] = h[1:] == h[:-1]
+    same[words.first[:-1][n > 0]] = False
+    return np.bincount(words.text_index(), same, len(texts)) / np.maximum(n - 1, 1)
+
+
 def histograms(texts: kernels.Texts) -> np.ndarray:
-    """A row for each text: square roots of the shares of its pairs; zero for texts of under two bytes."""
+    """A row for each text: square roots of the shares of its terms; zero for texts of under two bytes."""
     code = BYTE_CLASS[texts.buf]
     owner = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
     inside = owner[1:] == owner[:-1]
     at = owner[:-1] * PAIRS + code[:-1] * CLASSES + code[1:]
     counts = np.bincount(at[inside], minlength=len(texts) * PAIRS).reshape(-1, PAIRS).astype(np.float32)
-    total = counts.sum(1, keepdims=True)
-    return np.sqrt(counts / np.maximum(total, 1))
+    out = np.empty((len(texts), TERMS), np.float32)
+    out[:, :PAIRS] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    out[:, PAIRS] = repeats(texts)
+    return np.sqrt(out)
 
 
 def directions(x: np.ndarray, many: int = DIMENSIONS, seed: int = 3) -> np.ndarray:
@@ -86,8 +101,9 @@ class Voters:
         sims = self.embed(x) @ self.vectors.T
         k = min(NEIGHBOURS, sims.shape[1])
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(sims, near, 1), 0) ** SHARPNESS + 1e-9
-        score = (weight * self.label[near]).sum(1) / weight.sum(1)
+        weight = np.maximum(np.take_along_axis(sims, near, 1), 0) ** SHARPNESS
+        # A few votes of the prior, which only weigh where no neighbour is near.
+        score = ((weight * self.label[near]).sum(1) + PRIOR_VOTES * self.prior) / (weight.sum(1) + PRIOR_VOTES)
         return np.where(x.any(1), np.clip(score, 0, 1), self.prior).astype(float)
 
 
@@ -116,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.mapInArrow(run, "id long, label int, pairs binary, shares binary").orderBy("id", "label", "pairs", "shares").limit(MAX_LABELLED).collect()
     if not rows:
         return None
-    x = np.zeros((len(rows), PAIRS), np.float32)
+    x = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["pairs"], np.int32)] = np.frombuffer(r["shares"], np.float32)
     return Voters(x, np.array([r["label"] for r in rows]))
