@@ -98,11 +98,29 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def without(text: Column, patterns: tuple[str, ...]) -> Column:
+def any_of(patterns: tuple[str, ...]) -> str:
+    """One pattern that hits where any of them does.
+
+    Word bounds that all share are tested once. Each pattern begins with a plain
+    character, so a class of these, in both cases, is tried first.
+    """
+    bounded = [p[2:-2] for p in patterns if p.startswith(r"\b") and p.endswith(r"\b")]
+    free = [p for p in patterns if not (p.startswith(r"\b") and p.endswith(r"\b"))]
+    first = sorted({c for p in bounded + free for c in (p[0].lower(), p[0].upper())})
+    every = ([rf"\b(?:{'|'.join(bounded)})\b"] if bounded else []) + free
+    return f"(?=[{''.join(first)}])(?iuU:{'|'.join(every)})"
+
+
+def deleted(text: Column, patterns: tuple[str, ...]) -> Column:
     """Deletes the patterns one after another."""
     return reduce(lambda t, p: F.regexp_replace(t, FLAGS + p, ""), patterns, text)
 
 
+def without(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Deletes the patterns one after another; most texts hold none, which one search tells."""
+    return let(text, lambda t: F.when(t.rlike(any_of(patterns)), deleted(t, patterns)).otherwise(t))
+
+
 def lines_of(text: Column) -> Column:
     """Stripped lines; empty ones go."""
     return F.filter(F.transform(F.split(filled(text), "\n"), strip), lambda x: x != "")
@@ -120,8 +138,8 @@ def remove_fillers(text: Column) -> Column:
 def remove_noise(text: Column) -> Column:
     """Lines of which the first hit of a pattern covers over half go; from others all hits are deleted."""
     covers = lambda x: reduce(lambda a, p: a | (F.length(F.regexp_extract(x, FLAGS + p, 0)) > F.length(x) * 0.5), NOISE, F.lit(False))
-    kept = F.filter(lines_of(text), lambda x: ~covers(x))
-    return F.array_join(F.filter(F.transform(kept, lambda x: strip(without(x, NOISE))), lambda x: x != ""), "\n")
+    rest = lambda x: F.when(~x.rlike(any_of(NOISE)), x).when(covers(x), "").otherwise(strip(deleted(x, NOISE)))
+    return F.array_join(F.filter(F.transform(lines_of(text), rest), lambda x: x != ""), "\n")
 
 
 def remove_watermarks(text: Column) -> Column:
