@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # The separators of the word pattern [^\x20\x09-\x0D]+
 SEPARATOR_BYTES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)

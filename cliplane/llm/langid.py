@@ -36,6 +36,7 @@ STEPS = 500
 BATCH = 512
 RATE = 0.02
 BLOCK = 20_000
+GROUP_BYTES = 8 << 20  # of texts whose words are labelled together
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -179,23 +180,34 @@ def pieces(words: kernels.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pooled(net: Network, texts: kernels.Texts) -> np.ndarray:
     """Log-probabilities of the languages for each text (sums over its words)."""
+    out = np.zeros((len(texts), len(net.bias)))
+    for a, b in kernels.row_chunks(texts, GROUP_BYTES):
+        out[a:b] = _pooled_group(net, kernels.part_of(texts, a, b))
+    return out
+
+
+def _pooled_group(net: Network, texts: kernels.Texts) -> np.ndarray:
     hashes, starts, lengths, owners = [], [], [], []
     for a, b in kernels.row_chunks(texts):
         words = kernels.words_of(kernels.part_of(texts, a, b))
         start, length, word = pieces(words)
-        hashes.append(kernels.word_hashes(kernels.Words(words.buf, start, start + length, words.first), 303))
-        starts.append((start + texts.offsets[a]).astype(np.int64))
-        lengths.append(length.astype(np.int32))
+        hashes.append(kernels.word_hashes(kernels.Words(words.buf, start, start + length, words.first), 101))
+        starts.append((start + texts.offsets[a]).astype(np.uint32 if len(texts.buf) < 1 << 32 else np.int64))
+        lengths.append(length.astype(np.uint8))
         owners.append((np.searchsorted(words.first, word, side="right") - 1 + a).astype(np.int32))
-    out = np.zeros((len(texts), len(net.bias)))
-    if not hashes:
-        return out
     h, start, length, owner = (np.concatenate(x) for x in (hashes, starts, lengths, owners))
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    labels = net.label(texts.buf, start[one], length[one])
-    for c in range(out.shape[1]):
-        out[:, c] = np.bincount(owner, labels[which, c], len(texts))
-    return out
+    del hashes, starts, lengths, owners
+    order = np.argsort(h)
+    h = h[order]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    del h
+    one = order[head]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(head, dtype=np.int32) - 1
+    del order, head
+    labels = net.label(texts.buf, start[one].astype(np.int64), length[one].astype(np.int64))
+    return np.stack([np.bincount(owner, labels[which, c], len(texts)) for c in range(labels.shape[1])], 1)
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -235,22 +247,23 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
+            letters = batch.column(1).to_numpy(zero_copy_only=False)
             if net is None:
                 pred, score = [UNKNOWN] * len(letters), np.zeros(len(letters))
             else:
-                p = pooled(net, kernels.texts_of(batch.column(1)))
+                p = pooled(net, kernels.texts_of(batch.column(0).field(text_at)))
                 p = np.exp(p - p.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
                 score = np.where(letters, p[np.arange(len(p)), best], 0.0)
                 pred = [langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(pred, pa.string()), pa.array(score)], ["doc", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score)], ["doc", "held_out", "lang_pred", "score"])
 
     ship(docs.sparkSession)
     own = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
+    text_at = own.index(text_col)
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
-    rows = docs.select(F.struct(*own).alias("doc"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), held.alias("held"))
+    rows = docs.select(F.struct(*own).alias("doc"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), held.alias("held"))
     out = rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
     return out.select("doc.*", "held_out", "lang_pred", "score")
 

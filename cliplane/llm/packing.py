@@ -15,6 +15,7 @@ pieces first.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Iterator
 
@@ -44,9 +45,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
+        self.vocabulary = vocabulary
         self.fast = None
         if ranks:
             import tiktoken
@@ -55,6 +54,12 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not PLAIN.search(text):
             found = self.fast.encode_ordinary(text)
