@@ -143,7 +143,7 @@ def _content(spark, d) -> tuple[DataFrame, DataFrame]:
     return rows, videos
 
 
-@query("a_20_readiness", sql("chunks", f""", r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^([^ ]+ ?[^ ]*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
+@query("a_20_readiness", sql("chunks", f""", r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^(\\S+ ?\\S*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
 g AS (SELECT video_id, count(*) AS n, sum(w) AS words, count(*) FILTER (w >= 3) AS full_, count(*) FILTER (w >= 5) AS ctx, count(*) FILTER (conf = 'high') AS hi, count(*) FILTER (conf = 'medium') AS me, count(*) FILTER (conf = 'low') AS lo FROM r GROUP BY video_id),
 v AS (SELECT DISTINCT conv_id AS video_id, CASE WHEN conv_id % 2 = 0 THEN 'weak' ELSE 'valid' END AS st FROM conversations),
 j AS (SELECT v.video_id, st, coalesce(n, 0) AS n, coalesce(words, 0) AS words, coalesce(full_, 0) AS full_, coalesce(ctx, 0) AS ctx, coalesce(hi, 0) AS hi, coalesce(me, 0) AS me, coalesce(lo, 0) AS lo FROM v LEFT JOIN g USING (video_id)),
@@ -165,7 +165,7 @@ def _measures(spark, d) -> DataFrame:
     return rules.readiness(rows, videos)
 
 
-GROUPED = f"""r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^([^ ]+ ?[^ ]*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
+GROUPED = f"""r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^(\\S+ ?\\S*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
 g AS (SELECT video_id, count(*) AS n, sum(w) AS words, count(*) FILTER (w >= 3) AS f, count(*) FILTER (w >= 5) AS c, count(*) FILTER (conf = 'high') AS high, count(*) FILTER (conf = 'medium') AS medium, count(*) FILTER (conf = 'low') AS low FROM r GROUP BY video_id)"""
 
 
