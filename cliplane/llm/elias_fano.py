@@ -1,9 +1,9 @@
 """Elias-Fano sequences and a two-level n-gram trie on them, memory-mapped.
 
 A monotone sequence keeps the low bits of its values packed and the high bits in
-unary, with a directory of every 64th zero. A successor search jumps to the zero
-that opens the value's high part and looks through the few values there. All
-searches take arrays of values.
+unary, with a directory of the zeros before each word. A successor search jumps to
+the zeros that bound the values with its high part and halves the range between
+them. All searches take arrays of values.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ import tempfile
 
 import numpy as np
 
-ONE = np.uint64(1)
-SAMPLE = 64
+BLOCK = 100_000  # searches at a time
 
 
 def mapped(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -55,9 +54,7 @@ class Monotone:
         bits = np.zeros(((self.n + self.buckets + 1) // 64 + 2) * 64, np.uint8)
         bits[high + np.arange(self.n)] = 1
         words = np.packbits(bits, bitorder="little").view(np.uint64)
-        zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))])
-        # For every SAMPLE-th zero, the word that holds it and the zeros before that word.
-        sampled = np.searchsorted(zeros, np.arange(0, self.buckets + 1, SAMPLE), side="right") - 1
+        zeros = np.cumsum(64 - np.bitwise_count(words).astype(np.int64)) - (64 - np.bitwise_count(words))
         packed = np.zeros(self.n * self.low_bits // 64 + 3, np.uint64)
         if self.low_bits and self.n:
             low = values & np.uint64((1 << self.low_bits) - 1)
@@ -66,22 +63,14 @@ class Monotone:
             np.bitwise_or.at(packed, at >> 6, low << shift)
             over = (shift + np.uint64(self.low_bits)) > 64
             np.bitwise_or.at(packed, (at[over] >> 6) + 1, low[over] >> (np.uint64(64) - shift[over]))
-        self.a = mapped({"words": words, "start": sampled.astype(np.int64), "before": zeros[sampled].astype(np.int64), "low": packed})
+        self.a = mapped({"words": words, "zeros": zeros.astype(np.uint32 if len(bits) < 1 << 32 else np.int64), "low": packed})
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have a high part under ``bucket``."""
-        zero = bucket - 1  # the zero that ends the bucket before
-        word, seen = self.a["start"][np.maximum(zero, 0) // SAMPLE], self.a["before"][np.maximum(zero, 0) // SAMPLE]
-        word, seen = np.array(word), np.array(seen)
-        busy = np.flatnonzero(zero >= 0)
-        while len(busy):
-            here = 64 - np.bitwise_count(self.a["words"][word[busy]]).astype(np.int64)
-            go = seen[busy] + here <= zero[busy]
-            busy, here = busy[go], here[go]
-            seen[busy] += here
-            word[busy] += 1
-        place = word * 64 + _select_zero(self.a["words"][word], np.maximum(zero - seen, 0))
-        return np.where(zero >= 0, place - zero, 0)
+        zero = np.maximum(bucket - 1, 0)  # the zero that ends the bucket before
+        word = np.searchsorted(self.a["zeros"], zero.astype(self.a["zeros"].dtype), side="right") - 1
+        place = word * 64 + _select_zero(self.a["words"][word], zero - self.a["zeros"][word].astype(np.int64))
+        return np.where(bucket > 0, place - zero, 0)
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -101,15 +90,16 @@ class Monotone:
         bucket = (values >> np.uint64(self.low_bits)).astype(np.int64)
         inside = np.flatnonzero(bucket < self.buckets)
         want = values[inside] & np.uint64((1 << self.low_bits) - 1)
-        i, end = self._before(bucket[inside]), self._before(bucket[inside] + 1)
-        while len(inside):
-            on = i < end
-            inside, want, i, end = inside[on], want[on], i[on], end[on]
-            got = self.low(i)
-            hit = got == want
-            out[inside[hit]] = i[hit]
-            on = got < want
-            inside, want, i, end = inside[on], want[on], i[on] + 1, end[on]
+        lo, end = self._before(bucket[inside]), self._before(bucket[inside] + 1)
+        hi, busy = end.copy(), np.arange(len(inside))
+        while len(busy := busy[lo[busy] < hi[busy]]):
+            mid = (lo[busy] + hi[busy]) // 2
+            less = self.low(mid) < want[busy]
+            lo[busy] = np.where(less, mid + 1, lo[busy])
+            hi[busy] = np.where(less, hi[busy], mid)
+        there = np.flatnonzero(lo < end)
+        hit = there[self.low(lo[there]) == want[there]]
+        out[inside[hit]] = lo[hit]
         return out
 
 
@@ -133,6 +123,10 @@ class Trie:
 
     def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The stored log-probability of each word after each context, nan where the pair isn't held."""
+        parts = [self._log10(context[a : a + BLOCK], word[a : a + BLOCK]) for a in range(0, len(context), BLOCK)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(context), np.nan)
         own = self.contexts.find(context)
         known = np.flatnonzero(own >= 0)

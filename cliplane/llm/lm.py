@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from cliplane.llm.runtime import ship, stash
 
 PRIOR = 3.0
 HEAVY_SHARE = 1 / 4096
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 CHUNK = 8 << 20
 CHUNK_ROWS = 32_000
 SEED = 404
@@ -157,7 +158,7 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
 
     def run(rows: pa.Table) -> pa.Table:
         out, parts, offset, bases = [], [], 0, []
-        for base, docs, raw in zip(rows["base"].to_pylist(), rows["docs"].to_pylist(), rows["pairs"].to_pylist(), strict=True):
+        for base, docs, raw in zip(rows["base"].to_pylist(), rows["docs"].to_pylist(), (x.as_buffer() for x in rows["pairs"]), strict=True):
             if docs < 0:
                 out.append(table(**facts(base, -docs, raw)))
                 continue
@@ -169,8 +170,14 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
             return pa.concat_tables(out)
         u, low, slot, asks, high = (np.concatenate([p[i] for p in parts]) for i in range(5))
         del parts
-        contexts, own = np.unique(u, return_inverse=True)
-        del u
+        order = np.argsort(u)
+        u = u[order]
+        head = np.ones(len(u), bool)
+        head[1:] = u[1:] != u[:-1]
+        contexts = u[head]
+        own = np.empty(len(u), np.int32)
+        own[order] = np.cumsum(head, dtype=np.int32) - 1
+        del u, order, head
         count = np.bincount(own[~asks], minlength=len(contexts)).astype(np.int64)
         if len(heavy):
             at = np.minimum(np.searchsorted(heavy, contexts), len(heavy) - 1)
@@ -183,12 +190,13 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
         known = np.bincount(slot[real], count[own[real]] > 0, offset)
         pair = (own.astype(np.uint64) << np.uint64(32)) | low
         order = np.argsort(pair)
+        pair = pair[order]
         head = np.ones(len(pair), bool)
-        head[1:] = pair[order][1:] != pair[order][:-1]
+        head[1:] = pair[1:] != pair[:-1]
         at = np.flatnonzero(head)
-        group = np.empty(len(pair), np.int64)
-        group[order] = np.cumsum(head) - 1
-        different = pair[order[at]]
+        group = np.empty(len(pair), np.int32)
+        group[order] = np.cumsum(head, dtype=np.int32) - 1
+        different = pair[at]
         seen = np.add.reduceat((~asks)[order].astype(np.int64), at)
         del order, head, pair
         owner, word = (different >> np.uint64(32)).astype(np.int64), different & np.uint64(0xFFFFFFFF)
@@ -212,6 +220,21 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
     return run
 
 
+def _by_shard(scored):
+    """Hands the rows of each shard of a partition to ``scored``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            rows = pa.Table.from_batches(parts)
+            shards = sorted(set(rows["shard"].to_pylist()))
+            for shard in shards:
+                own = rows if len(shards) == 1 else rows.filter(pc.equal(rows["shard"], shard))
+                yield from scored(own).to_batches(max_chunksize=100_000)
+
+    return run
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -236,7 +259,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     heavy, heavy_count = heavy[order], heavy_count[order]
     shards = int(n // SHARD_TOKENS) + 1
     dealt = rows.mapInArrow(_deal(shards, heavy), "shard int, base long, docs int, pairs binary")
-    found = stash(dealt.groupBy("shard").applyInArrow(_score(heavy, heavy_count, stops, log_z), OUT), "lm-parts")
+    # One task for each shard, so that no task holds more than one.
+    found = stash(dealt.repartitionById(shards, F.col("shard")).mapInArrow(_by_shard(_score(heavy, heavy_count, stops, log_z)), OUT), "lm-parts")
     unseen = found.filter("w is not null").groupBy("w", "rid").agg(F.sum("n").alias("n"))
     share = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1)) - F.lit(log_z)
     lower = unseen.join(counts, "w", "left").select("rid", (share * F.col("n")).alias("score"))
