@@ -39,6 +39,8 @@ from cliplane.llm.runtime import ship, stash
 WINDOW = 35
 ROUNDS = 6
 FAR = 1 << 40
+# Names travel with 48 bits: a chance meeting only makes a candidate, which is verified.
+SENT = np.uint64(0xFFFFFFFFFFFF0000)
 SEEDS = (101, 202)
 
 
@@ -153,7 +155,7 @@ def _symbol_rows(window: int):
                 start = open_windows(x, np.zeros(len(x.name), bool), words.first, window)
                 blind = np.unique(np.searchsorted(words.first, start, side="right") - 1) + a
                 own = kernels.mixed(kernels.mixed(ids[blind].view(np.uint64)) + ths[blind].astype(np.uint64))
-                name, row = np.concatenate([name, own]).view(np.int64), np.concatenate([row, blind])
+                name, row = (np.concatenate([name, own]) & SENT).view(np.int64), np.concatenate([row, blind])
                 many = np.concatenate([many, np.full(len(blind), 2, np.int8)])
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(many), pa.array(ids[row]), pa.array(ths[row])], ["name", "many", "id", "th"])
 
@@ -180,7 +182,7 @@ def candidate_windows(word: np.ndarray, first: np.ndarray, shared: list[np.ndarr
     known = np.zeros(len(x.name), bool)
     bound = np.searchsorted(x.text, np.arange(len(first)))
     for i, names in enumerate(shared):
-        known[bound[i] : bound[i + 1]] = np.isin(x.name[bound[i] : bound[i + 1]], names)
+        known[bound[i] : bound[i + 1]] = np.isin(x.name[bound[i] : bound[i + 1]] & SENT, names)
     return open_windows(x, known, first, window)
 
 
