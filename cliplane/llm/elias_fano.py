@@ -12,6 +12,7 @@ import tempfile
 
 import numpy as np
 
+WORD_BITS = 40  # of a word, after its context
 BLOCK = 100_000  # searches at a time
 
 
@@ -42,7 +43,7 @@ def _select_zero(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
 
 
 class Monotone:
-    """A sorted sequence of integers under 2**60."""
+    """A sorted sequence of integers under 2**62."""
 
     def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
@@ -115,9 +116,9 @@ class Trie:
     STEPS = 4096
 
     def __init__(self, contexts: np.ndarray, owner: np.ndarray, words: np.ndarray, log10: np.ndarray):
-        """``contexts`` sorted; pairs sorted by (owner, word): ``owner`` indexes contexts, words are under 2**32."""
+        """``contexts`` sorted; pairs sorted by (owner, word): ``owner`` indexes contexts, words are under 2**WORD_BITS."""
         self.contexts = Monotone(contexts)
-        self.followers = Monotone((owner.astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64))
+        self.followers = Monotone((owner.astype(np.uint64) << np.uint64(WORD_BITS)) | words.astype(np.uint64))
         code = np.minimum(np.rint(-log10 * self.STEPS), 65535).astype(np.uint16)
         self.code = mapped({"code": code})["code"]
 
@@ -130,7 +131,7 @@ class Trie:
         out = np.full(len(context), np.nan)
         own = self.contexts.find(context)
         known = np.flatnonzero(own >= 0)
-        at = self.followers.find((own[known].astype(np.uint64) << np.uint64(32)) | word[known].astype(np.uint64))
+        at = self.followers.find((own[known].astype(np.uint64) << np.uint64(WORD_BITS)) | word[known].astype(np.uint64))
         hit = at >= 0
         out[known[hit]] = -self.code[at[hit]].astype(float) / self.STEPS
         return out

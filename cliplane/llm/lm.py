@@ -17,7 +17,8 @@ Contexts with a large share of all tokens (``HEAVY_SHARE`` or more, so at most
 dealt out by both words.
 
 Pairs travel packed: a chunk of documents sends each task one binary row with its
-contexts, run lengths, 32-bit word hashes and document numbers.
+contexts, run lengths, 40-bit word hashes and document numbers. Two words after one
+context that share these 40 bits and the task count as one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.llm import kernels
-from cliplane.llm.elias_fano import Trie
+from cliplane.llm.elias_fano import WORD_BITS, Trie
 from cliplane.llm.runtime import ship, stash
 
 PRIOR = 3.0
@@ -97,7 +98,7 @@ def _deal(shards: int, heavy: np.ndarray):
         shard = ((spread >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
         order = np.argsort((shard << np.uint64(44)) | (u >> np.uint64(20)))
         shard, u, w, doc = shard[order], u[order], w[order], doc[order]
-        low = w.astype(np.uint32)
+        low, mid = w.astype(np.uint32), (w >> np.uint64(32)).astype(np.uint8)
         code = doc.astype(np.uint16) | (held[doc].astype(np.uint16) << np.uint16(15))
         cut = np.searchsorted(shard, np.arange(shards + 1))
         rows = []
@@ -109,7 +110,7 @@ def _deal(shards: int, heavy: np.ndarray):
             head[1:] = u[a + 1 : b] != u[a : b - 1]
             at = np.flatnonzero(head)
             asks = held[doc[a:b]]
-            parts = [u[a:b][at], np.diff(np.append(at, b - a)).astype(np.uint32), low[a:b], code[a:b], (w[a:b][asks] >> np.uint64(32)).astype(np.uint32)]
+            parts = [u[a:b][at], np.diff(np.append(at, b - a)).astype(np.uint32), low[a:b], code[a:b], (w[a:b][asks] >> np.uint64(32)).astype(np.uint32), mid[a:b]]
             sizes = np.array([len(p) for p in parts], np.int64)
             rows.append((s, base, len(many), sizes.tobytes() + b"".join(p.tobytes() for p in parts)))
         yield batch_of(rows)
@@ -136,9 +137,9 @@ def _deal(shards: int, heavy: np.ndarray):
 
 
 def unpacked(pairs: bytes) -> tuple:
-    sizes = np.frombuffer(pairs, np.int64, 5)
-    at, out = 40, []
-    for kind, n in zip((np.uint64, np.uint32, np.uint32, np.uint16, np.uint32), sizes.tolist(), strict=True):
+    sizes = np.frombuffer(pairs, np.int64, 6)
+    at, out = 48, []
+    for kind, n in zip((np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8), sizes.tolist(), strict=True):
         out.append(np.frombuffer(pairs, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return out
@@ -162,13 +163,13 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
             if docs < 0:
                 out.append(table(**facts(base, -docs, raw)))
                 continue
-            u, runs, low, code, high = unpacked(raw)
-            parts.append((np.repeat(u, runs), low, (code & np.uint16(0x7FFF)).astype(np.int32) + offset, code >> np.uint16(15) == 1, high))
+            u, runs, low, code, high, mid = unpacked(raw)
+            parts.append((np.repeat(u, runs), low, (code & np.uint16(0x7FFF)).astype(np.int32) + offset, code >> np.uint16(15) == 1, high, mid))
             bases.append((offset, base, docs))
             offset += docs
         if not parts:
             return pa.concat_tables(out)
-        u, low, slot, asks, high = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        u, low, slot, asks, high, mid = (np.concatenate([p[i] for p in parts]) for i in range(6))
         del parts
         order = np.argsort(u)
         u = u[order]
@@ -188,7 +189,8 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
         real = contexts[own] != START
         base_score = np.bincount(slot[real], (np.log10(count + 0.1) - log_z)[own[real]], offset)
         known = np.bincount(slot[real], count[own[real]] > 0, offset)
-        pair = (own.astype(np.uint64) << np.uint64(32)) | low
+        pair = (own.astype(np.uint64) << np.uint64(WORD_BITS)) | (mid.astype(np.uint64) << np.uint64(32)) | low
+        del mid
         order = np.argsort(pair)
         pair = pair[order]
         head = np.ones(len(pair), bool)
@@ -199,9 +201,9 @@ def _score(heavy: np.ndarray, heavy_count: np.ndarray, start_count: int, log_z:
         different = pair[at]
         seen = np.add.reduceat((~asks)[order].astype(np.int64), at)
         del order, head, pair
-        owner, word = (different >> np.uint64(32)).astype(np.int64), different & np.uint64(0xFFFFFFFF)
+        owner, word = (different >> np.uint64(WORD_BITS)).astype(np.int64), different & np.uint64((1 << WORD_BITS) - 1)
         held = seen > 0
-        # Contexts drop their lowest four bits: the trie takes values under 2**60.
+        # Contexts drop their lowest four bits: a sequence takes values under 2**62.
         trie = Trie(contexts >> np.uint64(4), owner[held], word[held], np.log10(seen[held] / (count[owner[held]] + PRIOR)))
         found = trie.log10(contexts[owner] >> np.uint64(4), word)
         missing = np.isnan(found)
