@@ -7,15 +7,19 @@ word counts once per occurrence, with the mean over its positions.
 
 Equal words get equal labels, so within a batch of documents each different word
 runs through the network once and counts as often as it occurs. Words over
-``PIECE`` bytes are cut into pieces, so no step waits for one long word.
+``PIECE`` bytes are cut into pieces between characters, so no step waits for one
+long word. A piece is read with ``CONTEXT`` bytes of its word on either side;
+only its own positions count.
 
 Training is numpy back-propagation through time on the driver, over a sample
 with a documented bound: ``PER_LANGUAGE`` documents of each language (the first
-by a hash of their id), up to ``SAMPLE_CHARS`` characters of each.
+by a hash of their id), and of all their pieces, cut as for labelling, about
+twice as many at random places as training draws.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.llm import kernels
-from cliplane.llm.runtime import ship
+from cliplane.llm.runtime import ship, stash
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 64
-SAMPLE_CHARS = 20_000
 HIDDEN = 16
 PIECE = 24
+CONTEXT = 8
 STEPS = 500
 BATCH = 512
 RATE = 0.02
@@ -120,16 +124,18 @@ class Network:
             grads.append(g)
         return loss, grads, d.sum((0, 1))
 
-    def fit(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 6) -> float:
-        """Adam over random batches; classes are drawn equally often."""
+    def fit(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, seed: int = 6) -> float:
+        """Adam over random batches; classes are drawn equally often, words of a class by their weights."""
         rng = np.random.default_rng(seed)
         by_class = [np.flatnonzero(labels == c) for c in range(len(self.bias))]
+        sums = [np.cumsum(weights[c]) for c in by_class]
         every = [(w.p, k) for w in self.ways for k in w.p]
         moments = [[np.zeros_like(p[k]), np.zeros_like(p[k])] for p, k in every] + [[np.zeros_like(self.bias), np.zeros_like(self.bias)]]
         loss = 0.0
         for step in range(1, steps + 1):
-            rows = np.concatenate([rng.choice(c, -(-BATCH // len(by_class))) for c in by_class])
-            chosen = [words[i][:PIECE] for i in rows]
+            draws = [np.searchsorted(t, rng.random(-(-BATCH // len(by_class))) * t[-1], side="right") for t in sums]
+            rows = np.concatenate([c[np.minimum(at, len(c) - 1)] for c, at in zip(by_class, draws, strict=True)])
+            chosen = [words[i] for i in rows]
             length = np.array([len(w) for w in chosen])
             padded = np.frombuffer(b"".join(w.ljust(length.max(), b"\0") for w in chosen), np.uint8).reshape(len(chosen), -1)
             loss, grads, gb = self.train_step(padded, length, labels[rows])
@@ -145,8 +151,8 @@ class Network:
                     self.bias -= change
         return loss
 
-    def label(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Mean log-probabilities over the positions of each piece ``buf[start:start+length]``."""
+    def label(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray | None = None, tail: np.ndarray | None = None) -> np.ndarray:
+        """Mean log-probabilities over the positions of each piece ``buf[start:start+length]``, without its first ``lead`` and last ``tail``."""
         out = np.zeros((len(start), len(self.bias)), np.float32)
         order = np.argsort(-length, kind="stable")
         for a in range(0, len(order), BLOCK):
@@ -164,18 +170,36 @@ class Network:
                     logits[first[:many] + at] += h @ way.p["o"]
             logits -= logits.max(1, keepdims=True)
             logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-            out[rows] = np.add.reduceat(logits, first[:-1], axis=0) / n[:, None]
+            counted = n
+            if lead is not None and tail is not None and (lead[rows].any() or tail[rows].any()):
+                place = np.arange(first[-1]) - np.repeat(first[:-1], n)
+                logits[(place < np.repeat(lead[rows], n)) | (place >= np.repeat(n - tail[rows], n))] = 0
+                counted = n - lead[rows] - tail[rows]
+            out[rows] = np.add.reduceat(logits, first[:-1], axis=0) / counted[:, None]
         return out
 
 
-def pieces(words: kernels.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and words of the pieces of at most PIECE bytes."""
+def _char_start(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The start of the character that holds each place of ``buf``."""
+    for _ in range(3):
+        at = at - ((at < len(buf)) & ((buf[np.minimum(at, len(buf) - 1)] & 0xC0) == 0x80))
+    return at
+
+
+def pieces(words: kernels.Words) -> tuple[np.ndarray, ...]:
+    """Starts, lengths and words of the pieces of about PIECE bytes with their context, and the bytes of it before and after."""
     size = words.end - words.start
     many = -(-size // PIECE)
     word = np.repeat(np.arange(len(size)), many)
     nth = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
-    start = words.start[word] + nth * PIECE
-    return start, np.minimum(words.end[word] - start, PIECE), word
+    start, end = words.start[word] + nth * PIECE, words.end[word]
+    inner = np.flatnonzero(nth)
+    cut = _char_start(words.buf, start[inner])
+    lead, tail = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    lead[inner] = cut - _char_start(words.buf, cut - CONTEXT)
+    tail[inner - 1] = _char_start(words.buf, np.minimum(cut + CONTEXT, end[inner])) - cut
+    start[inner], end[inner - 1] = cut, cut
+    return start - lead, end - start + lead + tail, word, lead, tail
 
 
 def pooled(net: Network, texts: kernels.Texts) -> np.ndarray:
@@ -186,17 +210,23 @@ def pooled(net: Network, texts: kernels.Texts) -> np.ndarray:
     return out
 
 
-def _pooled_group(net: Network, texts: kernels.Texts) -> np.ndarray:
-    hashes, starts, lengths, owners = [], [], [], []
+def _pieces_of(texts: kernels.Texts) -> tuple[np.ndarray, ...]:
+    """Starts, lengths, lead, tail, text and content hash of all pieces of the texts."""
+    starts, lengths, leads, tails, owners, hashes = [], [], [], [], [], []
     for a, b in kernels.row_chunks(texts):
         words = kernels.words_of(kernels.part_of(texts, a, b))
-        start, length, word = pieces(words)
-        hashes.append(kernels.word_hashes(kernels.Words(words.buf, start, start + length, words.first), 101))
+        start, length, word, lead, tail = pieces(words)
+        h = kernels.word_hashes(kernels.Words(words.buf, start, start + length, words.first), 101)
+        hashes.append(h ^ kernels.mixed((lead | tail << 8).astype(np.uint64)))
         starts.append((start + texts.offsets[a]).astype(np.uint32 if len(texts.buf) < 1 << 32 else np.int64))
-        lengths.append(length.astype(np.uint8))
+        for kept, x in ((lengths, length), (leads, lead), (tails, tail)):
+            kept.append(x.astype(np.uint8))
         owners.append((np.searchsorted(words.first, word, side="right") - 1 + a).astype(np.int32))
-    h, start, length, owner = (np.concatenate(x) for x in (hashes, starts, lengths, owners))
-    del hashes, starts, lengths, owners
+    return tuple(np.concatenate(x) for x in (starts, lengths, leads, tails, owners, hashes))
+
+
+def _pooled_group(net: Network, texts: kernels.Texts) -> np.ndarray:
+    start, length, lead, tail, owner, h = _pieces_of(texts)
     order = np.argsort(h)
     h = h[order]
     head = np.ones(len(h), bool)
@@ -206,38 +236,62 @@ def _pooled_group(net: Network, texts: kernels.Texts) -> np.ndarray:
     which = np.empty(len(order), np.int32)
     which[order] = np.cumsum(head, dtype=np.int32) - 1
     del order, head
-    labels = net.label(texts.buf, start[one].astype(np.int64), length[one].astype(np.int64))
+    labels = net.label(texts.buf, *(x[one].astype(np.int64) for x in (start, length, lead, tail)))
     return np.stack([np.bincount(owner, labels[which, c], len(texts)) for c in range(labels.shape[1])], 1)
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, place, sizes, bytes, n) of (lang, place, wanted, text): ``wanted`` of the n pieces of each text, at random places."""
+    for batch in batches:
+        texts = kernels.texts_of(batch.column(3))
+        rows = []
+        for i, wanted in enumerate(batch.column(2).to_pylist()):
+            own = kernels.part_of(texts, i, i + 1)
+            start, length, *_ = _pieces_of(own) if len(own.buf) else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+            rng = np.random.default_rng(zlib.crc32(own.buf))
+            chosen = np.sort(rng.choice(len(start), min(wanted, len(start)), replace=False)) if len(start) else np.zeros(0, np.int64)
+            found = b"".join(own.buf[a : a + n].tobytes() for a, n in zip(start[chosen].tolist(), length[chosen].tolist(), strict=True))
+            rows.append((length[chosen].tobytes(), found, len(start)))
+        sizes, found, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["lang", "place", "sizes", "bytes", "n"])
+
+
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The sample: (lang, text), the first PER_LANGUAGE documents of each language by a hash of their id."""
+    """The sample: (lang, sizes, bytes, n), pieces of the first PER_LANGUAGE documents of each language by a hash of their id."""
     usable = docs.filter(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = stash(usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES), "langid-counts")
     # Hashes up to twice the share that is wanted: a language's rows meet in one task only as a small multiple of PER_LANGUAGE.
     share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
     rows = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # At most MAX_LANGUAGES rows of counts, so this side may be broadcast at any scale.
     near = rows.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") < share)
-    near = near.filter(F.col("text").rlike(r"\p{L}")).select("lang", "place", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
+    near = near.filter(F.col("text").rlike(r"\p{L}"))
+    # About twice the pieces that training draws, from each document by its length.
+    chars = near.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("many"))
+    draws = F.lit(2.0 * STEPS * BATCH / max(1, counts.count())) * F.greatest(F.lit(1.0), F.col("many") / F.lit(PER_LANGUAGE)) * F.length("text") / F.col("chars")
+    ship(docs.sparkSession)
+    wanted = near.join(F.broadcast(chars), "lang").select("lang", "place", (F.ceil(draws) + 16).cast("int").alias("wanted"), "text")
+    found = wanted.mapInArrow(_sampled, "lang string, place double, sizes binary, bytes binary, n long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "bytes"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "sizes", "bytes", "n")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network | None]:
     """The languages and the trained network; (none, None) if there is nothing to learn from."""
-    rows = training_rows(docs, id_col, text_col, lang_col).orderBy("lang", "text").limit(MAX_LANGUAGES * PER_LANGUAGE).collect()
+    rows = training_rows(docs, id_col, text_col, lang_col).orderBy("lang", "bytes").limit(MAX_LANGUAGES * PER_LANGUAGE).collect()
     langs = sorted({r["lang"] for r in rows})
-    words, labels = [], []
-    for r in rows:
-        found = r["text"].encode().split()
-        words += found
-        labels += [langs.index(r["lang"])] * len(found)
     if not langs:
         return [], None
+    words, labels, weights = [], [], []
+    for r in rows:
+        sizes = np.frombuffer(r["sizes"], np.uint8).astype(np.int64)
+        end = np.cumsum(sizes)
+        words += [bytes(r["bytes"][a:b]) for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True)]
+        labels += [langs.index(r["lang"])] * len(sizes)
+        weights += [r["n"] / max(1, len(sizes))] * len(sizes)
     net = Network(len(langs))
-    net.fit(words, np.array(labels))
+    net.fit(words, np.array(labels), np.array(weights))
     return langs, net
 
 

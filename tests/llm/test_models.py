@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cliplane.llm import ann, elias_fano, kernels, langid, lm, quality
@@ -151,3 +152,17 @@ def test_long_text_in_kernels():
     text = "word " * 600_000
     words = kernels.words_of(kernels.texts_of(pa.array([text, None])))
     assert len(words) == 600_000 and len(set(kernels.word_hashes(words, 1).tolist())) == 1
+
+
+def test_langid_learns_the_pieces_it_labels(spark):
+    text = "a " + "語x言文é" * 5000
+    words = kernels.words_of(kernels.texts_of(pa.array([text])))
+    start, length, word, lead, tail = langid.pieces(words)
+    buf, cut = words.buf.tobytes(), [bytes(words.buf[a : a + n]) for a, n in zip(start, length, strict=True)]
+    assert all(p.decode() for p in cut)
+    assert "".join(p[a : len(p) - b].decode() for p, a, b in zip(cut, lead, tail, strict=True)) == buf.decode().replace(" ", "")
+    assert (lead[2:] >= langid.CONTEXT).all() and (tail[1:-2] > 0).all() and (word == [0, *[1] * (len(word) - 1)]).all()
+    late = spark.createDataFrame([(i, f"{'one ' * 9000}{'語言' * 400} tail{i} ", "x") for i in range(8)], "doc_id long, text string, lang string")
+    rows = langid.training_rows(late, "doc_id", "text", "lang").collect()
+    found = b"|".join(bytes(r["bytes"]) for r in rows)
+    assert rows and b"tail" in found and max(max(r["sizes"]) for r in rows) > langid.PIECE
