@@ -14,7 +14,8 @@ only its own positions count.
 Training is numpy back-propagation through time on the driver, over a sample
 with a documented bound: ``PER_LANGUAGE`` documents of each language (the first
 by a hash of their id), and of all their pieces, cut as for labelling, about
-twice as many at random places as training draws.
+twice as many at random places as training draws. Every language that a row names
+is learned; the network grows with their number.
 """
 
 from __future__ import annotations
@@ -32,17 +33,32 @@ from cliplane.llm.runtime import ship, stash
 
 UNKNOWN = "und"
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
 HIDDEN = 16
 PIECE = 24
 CONTEXT = 8
 STEPS = 500
 BATCH = 512
+LEAST_DRAWS = 8
 RATE = 0.02
 BLOCK = 20_000
 GROUP_BYTES = 8 << 20  # of texts whose words are labelled together
 
 
+def per_class(classes: int) -> int:
+    """Words of each language in a training batch."""
+    return max(LEAST_DRAWS, -(-BATCH // classes))
+
+
+def hidden_for(classes: int) -> int:
+    """Units of each direction: HIDDEN up to 16 languages, then with the root of their number."""
+    return HIDDEN * max(1, int(np.ceil(np.sqrt(classes / 16))))
+
+
+def at_once(size: int, classes: int) -> int:
+    """``size`` words or bytes, fewer as a position's row of languages gets longer."""
+    return max(1, size // max(1, -(-classes // 16)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
@@ -133,7 +149,7 @@ class Network:
         moments = [[np.zeros_like(p[k]), np.zeros_like(p[k])] for p, k in every] + [[np.zeros_like(self.bias), np.zeros_like(self.bias)]]
         loss = 0.0
         for step in range(1, steps + 1):
-            draws = [np.searchsorted(t, rng.random(-(-BATCH // len(by_class))) * t[-1], side="right") for t in sums]
+            draws = [np.searchsorted(t, rng.random(per_class(len(by_class))) * t[-1], side="right") for t in sums]
             rows = np.concatenate([c[np.minimum(at, len(c) - 1)] for c, at in zip(by_class, draws, strict=True)])
             chosen = [words[i] for i in rows]
             length = np.array([len(w) for w in chosen])
@@ -155,8 +171,9 @@ class Network:
         """Mean log-probabilities over the positions of each piece ``buf[start:start+length]``, without its first ``lead`` and last ``tail``."""
         out = np.zeros((len(start), len(self.bias)), np.float32)
         order = np.argsort(-length, kind="stable")
-        for a in range(0, len(order), BLOCK):
-            rows = order[a : a + BLOCK]
+        block = at_once(BLOCK, len(self.bias))
+        for a in range(0, len(order), block):
+            rows = order[a : a + block]
             s, n = start[rows], length[rows]
             first = np.concatenate([[0], np.cumsum(n)])
             logits = np.empty((first[-1], len(self.bias)), np.float32)
@@ -205,7 +222,7 @@ def pieces(words: kernels.Words) -> tuple[np.ndarray, ...]:
 def pooled(net: Network, texts: kernels.Texts) -> np.ndarray:
     """Log-probabilities of the languages for each text (sums over its words)."""
     out = np.zeros((len(texts), len(net.bias)))
-    for a, b in kernels.row_chunks(texts, GROUP_BYTES):
+    for a, b in kernels.row_chunks(texts, at_once(GROUP_BYTES, len(net.bias))):
         out[a:b] = _pooled_group(net, kernels.part_of(texts, a, b))
     return out
 
@@ -259,19 +276,19 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """The sample: (lang, sizes, bytes, n), pieces of the first PER_LANGUAGE documents of each language by a hash of their id."""
     usable = docs.filter(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
-    counts = stash(usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES), "langid-counts")
+    counts = stash(usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")), "langid-counts")
     # Hashes up to twice the share that is wanted: a language's rows meet in one task only as a small multiple of PER_LANGUAGE.
     share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
     rows = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # At most MAX_LANGUAGES rows of counts, so this side may be broadcast at any scale.
-    near = rows.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") < share)
+    # A row for each language, and written first: Spark knows the size when it picks the join.
+    near = rows.join(counts, "lang").withColumn("place", place).filter(F.col("place") < share)
     near = near.filter(F.col("text").rlike(r"\p{L}"))
     # About twice the pieces that training draws, from each document by its length.
-    chars = near.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("many"))
-    draws = F.lit(2.0 * STEPS * BATCH / max(1, counts.count())) * F.greatest(F.lit(1.0), F.col("many") / F.lit(PER_LANGUAGE)) * F.length("text") / F.col("chars")
+    chars = stash(near.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("many")), "langid-chars")
+    draws = F.lit(2.0 * STEPS * per_class(max(1, counts.count()))) * F.greatest(F.lit(1.0), F.col("many") / F.lit(PER_LANGUAGE)) * F.length("text") / F.col("chars")
     ship(docs.sparkSession)
-    wanted = near.join(F.broadcast(chars), "lang").select("lang", "place", (F.ceil(draws) + 16).cast("int").alias("wanted"), "text")
+    wanted = near.join(chars, "lang").select("lang", "place", (F.ceil(draws) + 16).cast("int").alias("wanted"), "text")
     found = wanted.mapInArrow(_sampled, "lang string, place double, sizes binary, bytes binary, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "bytes"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "sizes", "bytes", "n")
@@ -279,18 +296,19 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network | None]:
     """The languages and the trained network; (none, None) if there is nothing to learn from."""
-    rows = training_rows(docs, id_col, text_col, lang_col).orderBy("lang", "bytes").limit(MAX_LANGUAGES * PER_LANGUAGE).collect()
+    rows = training_rows(docs, id_col, text_col, lang_col).orderBy("lang", "bytes").collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return [], None
+    nth = {lang: i for i, lang in enumerate(langs)}
     words, labels, weights = [], [], []
     for r in rows:
         sizes = np.frombuffer(r["sizes"], np.uint8).astype(np.int64)
         end = np.cumsum(sizes)
         words += [bytes(r["bytes"][a:b]) for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True)]
-        labels += [langs.index(r["lang"])] * len(sizes)
+        labels += [nth[r["lang"]]] * len(sizes)
         weights += [r["n"] / max(1, len(sizes))] * len(sizes)
-    net = Network(len(langs))
+    net = Network(len(langs), hidden_for(len(langs)))
     net.fit(words, np.array(labels), np.array(weights))
     return langs, net
 

@@ -166,3 +166,11 @@ def test_langid_learns_the_pieces_it_labels(spark):
     rows = langid.training_rows(late, "doc_id", "text", "lang").collect()
     found = b"|".join(bytes(r["bytes"]) for r in rows)
     assert rows and b"tail" in found and max(max(r["sizes"]) for r in rows) > langid.PIECE
+
+
+def test_langid_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 2)
+    names = [f"l{i:02}" for i in range(70)]
+    rows = [(i, f"word {lang}x", lang) for i, lang in enumerate(names * 6)]
+    langs, net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == names and len(net.bias) == 70 and net.ways[0].h > langid.HIDDEN
