@@ -25,10 +25,14 @@ def stt_quality(rows: DataFrame) -> DataFrame:
     """Speech quality of (transcript, spoken, n_segments, duration); adds the measures, issues and quality."""
     t = F.trim(text.filled(F.col("transcript")))
     w = rows.withColumn("_w", text.words(t)).withColumns({"word_count": F.size("_w"), "char_count": F.length(t)})
-    n = F.col("word_count")
+    return stt_judged(w.withColumn("_distinct", F.size(F.array_distinct(F.transform("_w", F.lower)))).drop("_w")).drop("_distinct")
+
+
+def stt_judged(w: DataFrame) -> DataFrame:
+    """``stt_quality`` of counted speech: (word_count, char_count, _distinct, spoken, n_segments, duration)."""
+    n, distinct = F.col("word_count"), F.col("_distinct")
     heard = (F.col("n_segments") > 0) & (F.col("duration") > 0)
     silence = F.when(heard, 1 - F.col("spoken") / F.nullif(F.col("duration"), F.lit(0.0))).when(n == 0, 1.0).otherwise(0.0)
-    distinct = F.size(F.array_distinct(F.transform("_w", F.lower)))
     measured = w.withColumns({
         "_wps": n / F.greatest(F.col("duration"), F.lit(1.0)), "_silence": silence,
         "_repeat": F.when(n > 5, 1 - distinct / F.nullif(n, F.lit(0))).otherwise(0.0), "_len": F.col("char_count") / at_least_one(n),
@@ -41,7 +45,7 @@ def stt_quality(rows: DataFrame) -> DataFrame:
     out = measured.withColumn("issues", found)
     low = (n < 5) | (s > 0.7) | (F.size("issues") >= 3)
     shown = {"words_per_second": F.bround("_wps", 2), "silence_ratio": F.bround("_silence", 2), "repetition_ratio": F.bround("_repeat", 2), "avg_word_length": F.bround("_len", 1)}
-    return out.withColumns({**shown, "quality": F.when(low, "low").otherwise("good")}).drop("_w", "_wps", "_silence", "_repeat", "_len")
+    return out.withColumns({**shown, "quality": F.when(low, "low").otherwise("good")}).drop("_wps", "_silence", "_repeat", "_len")
 
 
 def ocr_quality(frames: DataFrame, totals: DataFrame) -> DataFrame:

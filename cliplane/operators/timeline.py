@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliplane.functions import text
+
 MIN_SCENE = 0.5
 MIN_GAP = 1.0
 MAX_FRAMES = 10
@@ -54,6 +56,41 @@ def merge(scenes: DataFrame, segments: DataFrame, ocr: DataFrame) -> DataFrame:
     return both.select("video_id", "scene_id", "start_time", "end_time", stt.alias("stt_text"), ocr_text.alias("ocr_text"), labelled.alias("combined_text"), (stt != "").alias("has_speech"), (ocr_text != "").alias("has_text"))
 
 
+def scene_flags(scenes: DataFrame, segments: DataFrame, ocr: DataFrame) -> DataFrame:
+    """``merge`` without its texts: every scene, and whether it has speech and on-screen text."""
+    some = F.coalesce(F.max(F.col("text") != ""), F.lit(False))
+    speech = align_segments(segments, scenes).groupBy("video_id", "scene_id").agg(some.alias("speech"))
+    shown = ocr.withColumn("scene_id", F.coalesce("scene_id", F.lit(0))).groupBy("video_id", "scene_id").agg(some.alias("shown"))
+    both = scenes.select("video_id", "scene_id").join(speech, ["video_id", "scene_id"], "left").join(shown, ["video_id", "scene_id"], "left")
+    return both.select("video_id", "scene_id", F.coalesce("speech", F.lit(False)).alias("has_speech"), F.coalesce("shown", F.lit(False)).alias("has_text"))
+
+
+def speech_counts(segments: DataFrame) -> DataFrame:
+    """Each video's transcript counted, not built: word_count, char_count, _distinct, spoken, n_segments.
+
+    The counts are those of the segments' texts in order, a space apart, trimmed;
+    all are sums that tasks begin on their own, so no row holds a video's speech.
+    """
+    t = F.col("text")
+    order = ("start", "seg", "text")
+    blank = F.trim(t) == ""
+    word = segments.select("video_id", F.explode(text.words(t)).alias("w")).groupBy("video_id", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    words = word.groupBy("video_id").agg(F.sum("n").alias("word_count"), F.count("*").alias("_distinct"))
+    first = F.min(F.when(~blank, F.struct(*order, (F.length(t) - F.length(F.ltrim(t))).alias("n"))))
+    last = F.max(F.when(~blank, F.struct(*order, (F.length(t) - F.length(F.rtrim(t))).alias("n"))))
+    sums = segments.groupBy("video_id").agg(
+        F.sum(F.when(t != "", F.length(t) + 1)).alias("chars"), first.alias("first"), last.alias("last"), F.sum(F.col("end") - F.col("start")).alias("spoken"), F.count("*").alias("n_segments")
+    )
+    # Trimming also takes the segments of spaces alone before the first word and after the last.
+    key = lambda c: F.struct(*(F.col(f"{c}.{k}") for k in order))
+    own = F.struct(*(F.col(k) for k in order))
+    edges = segments.filter((t != "") & blank).join(sums.select("video_id", "first", "last"), "video_id").filter((own < key("first")) | (own > key("last")))
+    gone = edges.groupBy("video_id").agg(F.sum(F.length(t) + 1).alias("gone"))
+    chars = F.when(F.col("first").isNull(), 0).otherwise(F.col("chars") - 1 - F.col("first.n") - F.col("last.n") - F.coalesce("gone", F.lit(0)))
+    counted = sums.join(words, "video_id", "left").join(gone, "video_id", "left").fillna(0, ["word_count", "_distinct"])
+    return counted.select("video_id", "word_count", chars.alias("char_count"), "_distinct", "spoken", "n_segments")
+
+
 def scene_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("video_id").agg(F.count("*").alias("scenes"), F.count_if("has_speech").alias("scenes_with_speech"), F.count_if("has_text").alias("scenes_with_text"))
 

@@ -197,10 +197,8 @@ def phase_3(spark, d) -> DataFrame:
 def phase_2(spark, d) -> DataFrame:
     """Scenes, speech and on-screen text of each video, merged and judged, as one plan; a video without scenes has success false."""
     shown, said, cut = ocr_items(spark, d), segments(spark, d), scenes(spark, d)
-    counts = timeline.scene_counts(timeline.merge(cut, said, shown))
-    spoken = F.sum(F.col("end") - F.col("start"))
-    speech = said.groupBy("video_id").agg(timeline.joined_text((F.col("start"), F.col("seg")), F.col("text"), " ").alias("transcript"), spoken.alias("spoken"), F.count("*").alias("n_segments")).withColumn("duration", F.lit(86400.0))
-    heard = rules.stt_quality(speech).select("video_id", F.col("quality").alias("stt_quality"), "word_count")
+    counts = timeline.scene_counts(timeline.scene_flags(cut, said, shown))
+    heard = rules.stt_judged(timeline.speech_counts(said).withColumn("duration", F.lit(86400.0))).select("video_id", F.col("quality").alias("stt_quality"), "word_count")
     full = (F.col("text") != "").cast("int")
     frames = shown.select("video_id", F.length("text").alias("char_count"), full.alias("n_clean"), F.lit(1).alias("n_raw"))
     read = rules.ocr_quality(frames, frames.groupBy("video_id").agg(F.count("*").alias("total_frames"))).select("video_id", F.col("quality").alias("ocr_quality"), "total_chars")

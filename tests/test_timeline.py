@@ -59,3 +59,27 @@ def test_first_lines_twice(spark):
     once = timeline.first_lines(lines)
     assert rows(once, "video_id", "pos") == [(1, 0, "Abc"), (1, 2, "x"), (2, 0, "abc")]
     assert rows(timeline.first_lines(once), "video_id", "pos") == rows(once, "video_id", "pos")
+
+
+def test_speech_is_counted_without_a_transcript(spark):
+    from cliplane.functions import rules
+
+    texts = {1: ["  ", " one Two", None, "", " two\tone ", "   ", "x ", " "], 2: [" ", "  "], 3: [None, ""], 4: ["a b", "c"], 5: ["é É z"], 6: ["   ", "q"], 7: ["\t", "q", "\n"]}
+    rows = [(v, i, float(9 - i % 3), 10.0, t) for v, ts in texts.items() for i, t in enumerate(ts)]
+    said = spark.createDataFrame(rows, "video_id long, seg long, start double, end double, text string")
+    got = timeline.speech_counts(said)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_join" not in plan
+    whole = said.groupBy("video_id").agg(timeline.joined_text((F.col("start"), F.col("seg")), F.col("text"), " ").alias("transcript"), F.sum(F.col("end") - F.col("start")).alias("spoken"), F.count("*").alias("n_segments"))
+    shown = ["video_id", "word_count", "char_count", "words_per_second", "silence_ratio", "repetition_ratio", "avg_word_length", "issues", "quality"]
+    one, two = (f(r.withColumn("duration", F.lit(60.0))).select(shown).orderBy("video_id").collect() for f, r in ((rules.stt_judged, got), (rules.stt_quality, whole)))
+    assert one == two and len(one) == len(texts)
+
+
+def test_phase_2_and_times_gather_no_repeats(spark):
+    from cliplane.plans import rule_queries, timeline_queries
+
+    d = "/root/testdata/sf0.001"
+    assert "joined_text" not in rule_queries.phase_2.__code__.co_names
+    ts = timeline_queries._times(spark, d)
+    assert ts.filter(F.size("ts") != F.size(F.array_distinct("ts"))).count() == 0
