@@ -12,22 +12,27 @@ the points agree there in all coordinates but one at most. Each point goes into
 the 16 cells of each half that leave one coordinate open, so partners share a
 cell. Within a cell, pairs are verified exactly by Hamming distance, and only a
 spanning forest of the cell's links is passed on, never all pairs. Cells with
-over ``CELL_LIMIT`` different fingerprints are divided again without loss: three
-differing bits leave one of the four bytes of the other half untouched, so each
-point goes into four sub-cells keyed by those bytes.
-
-Only different fingerprints meet; copies of a text share one fingerprint and are
-joined to their class at the end.
+over ``CELL_LIMIT`` different fingerprints are divided without loss until they are
+small: three differing bits leave one quarter of the bits untouched, so each
+point goes into four sub-cells, each keyed by one quarter of the bits that no
+division has used yet. At the end nine bits are open, so a cell holds 512
+fingerprints at most.
+
+Only different fingerprints meet; links and components are those of fingerprints.
+Ids join their fingerprint's class at the end, so rows without an id carry links
+like all others.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cliplane.llm import components, kernels
 from cliplane.llm.runtime import ship, stash
@@ -151,22 +156,47 @@ def spanning(x: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def divided(crowded: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(cell, fp, rest) of crowded cells, in four sub-cells each, and the bits left in ``rest``.
+
+    ``rest`` holds the ``width`` bits of a fingerprint that don't decide its cell yet.
+    A sub-cell is known by a hash; if two have one hash, they are searched together.
+    """
+    part = -(-width // 4)
+    bits = lambda n: F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
+
+    def quarter(i: int) -> Column:
+        value = F.shiftrightunsigned("rest", i * part).bitwiseAND(bits(part))
+        above = F.shiftrightunsigned("rest", (i + 1) * part) if (i + 1) * part < 64 else F.lit(0).cast("long")
+        left = F.col("rest").bitwiseAND(bits(i * part)).bitwiseOR(F.shiftleft(above, i * part))
+        return F.struct(F.xxhash64("cell", F.lit(i), value).alias("cell"), left.alias("rest"))
+
+    subs = crowded.withColumn("sub", F.explode(F.array(*(quarter(i) for i in range(4)))))
+    return subs.select(F.col("sub.cell").alias("cell"), "fp", F.col("sub.rest").alias("rest")), 3 * part
+
+
 def links(points: DataFrame) -> DataFrame:
     """Links (a, b) between different fingerprints that span the same components as all links within MAX_BITS."""
-    spark = points.sparkSession
-    ship(spark)
-    placed = cells(points)
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = placed.join(counts, "cell")
-    # The half that the cell leaves out, byte by byte: three bits leave one byte of it untouched.
-    other = F.when(F.shiftright("cell", 36).bitwiseAND(F.lit(1)) == 1, F.lit(0)).otherwise(F.lit(32))
-    byte = lambda i: F.expr(f"shiftrightunsigned(fp, o + {8 * i})").bitwiseAND(F.lit(255))
-    fine = (
-        shared.withColumn("o", other.cast("int"))
-        .withColumn("sub", F.explode(F.when(F.col("n") > CELL_LIMIT, F.array(*(byte(i) + F.lit((i + 1) << 8) for i in range(4)))).otherwise(F.array(F.lit(0).cast("long")))))
-    )
-    groups = fine.groupBy("cell", "sub").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    return groups.select("fps").mapInArrow(forest, "a long, b long").distinct()
+    ship(points.sparkSession)
+    placed, width, found = cells(points).withColumn("rest", F.col("fp")), 64, []
+    while True:
+        counts = stash(placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-cells")
+        # Three quarters of nine bits are still nine when rounded up to whole ones; a cell is small then.
+        last = 3 * -(-width // 4) >= width
+        small = placed.join(counts if last else counts.filter(F.col("n") <= CELL_LIMIT), "cell")
+        groups = small.groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+        found.append(groups.select("fps").mapInArrow(forest, "a long, b long"))
+        if last or counts.filter(F.col("n") > CELL_LIMIT).isEmpty():
+            return functools.reduce(DataFrame.union, found).distinct()
+        placed, width = divided(placed.join(counts.filter(F.col("n") > CELL_LIMIT), "cell").select("cell", "fp", "rest"), width)
+        placed = stash(placed, "simhash-subcells")
+
+
+def classes(points: DataFrame) -> DataFrame:
+    """(fp, root): the smallest fingerprint, as a signed number, that each one of ``points`` (fp) reaches."""
+    edges = stash(links(points), "simhash-links")
+    labels = components.connected(edges.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    return points.join(labels, points["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,26 +210,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored, whatever their names. An empty table gives an empty result.
     """
     marked = stash(with_fingerprint(docs, id_col, text_col), "simhash-fingerprints")
-    points = stash(marked.groupBy("fp").agg(F.min("id").alias("node")), "simhash-points")
-    edges = stash(links(points), "simhash-links")
-    named = (
-        edges.join(points.withColumnsRenamed({"fp": "a", "node": "x"}), "a")
-        .join(points.withColumnsRenamed({"fp": "b", "node": "y"}), "b")
-        .filter("x is not null and y is not null and x <> y")
-        .select("x", "y")
-    )
-    labels = components.connected(named)
-    classes = points.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    points = stash(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-points")
+    roots = stash(classes(points.select("fp")).join(points, "fp"), "simhash-roots")
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = roots.join(named, "root").select("fp", "component_id")
+    return marked.join(found, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id; all columns kept.
 
-    Of rows that share an id one stays. Rows without an id can't be told apart by
-    the result; of these, one stays for each text.
+    Rows that share an id or have none are documents like all others: one row stays
+    of each group, one without an id only if the group has no other.
     """
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    key = F.xxhash64(text_col, *(c for c in docs.columns if c != text_col and not isinstance(docs.schema[c].dataType, T.MapType)))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"), F.monotonically_increasing_id().alias("row"), key.alias("own_key"))
+    at = rows.columns.index("own_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = kernels.texts_of(batch.column(at))
+            parts = [fingerprints(kernels.part_of(texts, a, b)) for a, b in kernels.row_chunks(texts)]
+            fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(fp.view(np.int64))], ["doc", "own_id", "row", "own_key", "fp"])
+
+    ship(docs.sparkSession)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc", "own_id", "row", "own_key"))
+    marked = stash(rows.mapInArrow(run, f"{kinds}, fp long"), "simhash-documents")
+    roots = stash(classes(marked.select("fp").distinct()), "simhash-roots")
+    order = F.struct(F.col("own_id").isNull(), "own_id", "own_key", "row")
+    first = marked.join(roots, "fp").groupBy("root").agg(F.min_by("row", order).alias("row"))
+    return marked.join(first.select("row"), "row", "left_semi").select("doc.*")

@@ -95,7 +95,23 @@ def test_simhash_is_brute_force(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted({v for v in least.values() if v is not None})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(least[g] for g in set(group))
+
+
+def test_rows_without_an_id_carry_links(spark, monkeypatch):
+    """1 and 2 are linked through a row that has no id."""
+    rows = [(1, 0), (None, 7), (2, 0x3F), (5, 1 << 40 | 0xFFF000)]
+    marked = spark.createDataFrame(rows, "id long, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *_: marked)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(marked).collect()}
+    assert got == {(1, f"{0:016x}", 1), (None, f"{7:016x}", 1), (2, f"{63:016x}", 1), (5, f"{1 << 40 | 0xFFF000:016x}", 5)}
+
+
+def test_rows_that_share_an_id_are_documents(spark):
+    text = lambda seed: " ".join(f"w{(seed * 7919 + i * i) % 997}" for i in range(80))
+    rows = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(3)), (None, text(1)), (4, text(3))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, text(1)), (1, text(2)), (4, text(3))])
 
 
 def test_crowded_cells_are_divided_without_loss(spark, monkeypatch):
