@@ -14,7 +14,7 @@ join by the table's size, and splits a hot source's partition if it shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.llm.runtime import stash
@@ -48,26 +48,23 @@ def rates(docs: DataFrame, key: str = "source", temperature: float = TEMPERATURE
     return weighed.withColumn("t", totals).select("key", "n", F.coalesce(F.round(F.lit(size) * share * F.col("t.n") / F.col("n"), 9), F.lit(0.0)).alias("rate"))
 
 
-def distribution(rate: Column) -> Column:
-    """The cumulative Poisson distribution at 0, 1, ... up to where doubles show no tail."""
-    steps = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    log_rate = F.log(F.greatest(rate, F.lit(1e-300)))
-    start = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+def distributions(table: DataFrame) -> DataFrame:
+    """(key, rate, cdf) of (key, rate): the cumulative Poisson distribution at 0, 1, ... up to where doubles show no tail."""
+    ordered = Window.partitionBy("key").orderBy("k")
+    steps = F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
+    counted = table.select("key", "rate", F.explode(steps).alias("k")).withColumn("log_k", F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(ordered))
+    log_p = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.col("k") * F.log(F.greatest("rate", F.lit(1e-300))) - F.col("rate") - F.col("log_k"))
+    summed = counted.withColumn("c", F.sum(F.exp(log_p)).over(ordered))
+    return summed.groupBy("key", "rate").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
-    def step(acc: Column, k: Column) -> Column:
-        log_p = F.when(k == 0, -rate).otherwise(acc["log_p"] + log_rate - F.log(F.greatest(k, F.lit(1)).cast("double")))
-        now = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), now.alias("sum"), F.concat(acc["all"], F.array(now)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(0), steps), start, step)["all"]
-
-
-def mix(docs: DataFrame, key: str = "source", id_col: str = "doc_id", seed: int = SEED, temperature: float = TEMPERATURE, weights: DataFrame | None = None, size: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, key: str = "source", id_col: str = "doc_id", seed: int = SEED, temperature: float = TEMPERATURE, weights: DataFrame | None = None, size: float = 1.0, text_col: str = "text") -> DataFrame:
     """The mixture: every column of ``docs``, and copy (from 1), n_copies, rate, shuffle_key.
 
     A source's expected number of rows follows its target weight. Null is a
-    source like any other; a null id draws as the text ``null``. Rows that repeat
-    an id draw the same number. Rows come in ``shuffle_key`` order within
+    source like any other. A document draws by its id and an MD5 of its text, so
+    rows that repeat an id draw apart unless the text is the same, too; rows without
+    an id also draw by their place in ``docs``. Rows come in ``shuffle_key`` order within
     partitions that hash of the key deals out. Columns of ``docs`` that have the
     names of the added ones are replaced by them. An empty table stays empty.
     """
@@ -75,8 +72,9 @@ def mix(docs: DataFrame, key: str = "source", id_col: str = "doc_id", seed: int
     own = [c for c in docs.columns if c.lower() not in added]
     table = rates(docs, key, temperature, weights, size)
     # Written, so that Spark knows its size when it plans the join.
-    table = stash(table.select("key", "rate", distribution(F.col("rate")).alias("cdf")), "mixing-rates")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    table = stash(distributions(table.select("key", "rate")), "mixing-rates")
+    place = F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))
+    ident = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), place), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.select(F.struct(*own).alias("doc"), F.col(key).alias("own_key"), ident.alias("ident"), uniform(F.lit(str(seed)), ident).alias("u"))
     # The number of cumulative values up to u is the first count whose cumulative value exceeds it.
     drawn = rows.join(table, F.col("own_key").eqNullSafe(F.col("key"))).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).cast("long"))

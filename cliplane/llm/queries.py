@@ -56,7 +56,7 @@ WITH c AS (
 ), f AS (
   SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p
 ), d AS (
-  SELECT doc_id, source, CAST('0x' || substr(md5('17|' || doc_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+  SELECT doc_id, source, CAST('0x' || substr(md5('17|' || doc_id || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM documents
 ), n AS (
   SELECT doc_id, any_value(rate) AS rate, count(*) FILTER (WHERE c <= u) AS n_copies
@@ -65,7 +65,7 @@ WITH c AS (
   SELECT doc_id, rate, n_copies, unnest(range(1, n_copies + 1)) AS copy FROM n
 )
 SELECT documents.*, copy, n_copies, rate,
-       CAST('0x' || substr(md5('17-order|' || x.doc_id || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
+       CAST('0x' || substr(md5('17-order|' || x.doc_id || '|' || md5(coalesce(text, '')) || '|' || copy), 1, 15) AS BIGINT) AS shuffle_key
 FROM x JOIN documents ON x.doc_id = documents.doc_id
 """
 

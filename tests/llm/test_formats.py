@@ -81,15 +81,18 @@ def test_mixing_follows_weights(spark, docs, nothing):
     copies = Counter((r.doc_id, r.text) for r in out)
     assert all(r.n_copies >= r.copy >= 1 for r in out)
     assert all(copies[(r.doc_id, r.text)] == r.n_copies for r in out if r.doc_id not in (3, None))
+    # Rows without an id and rows that share one are drawn apart.
+    for same in (None, 7):
+        one = spark.range(2000).selectExpr(f"cast({'null' if same is None else same} as long) as doc_id", "'a' as source", "concat('t', id) as text")
+        drawn = mixing.mix(one, size=0.5)
+        assert 850 < drawn.count() < 1150 and drawn.select("shuffle_key").distinct().count() > 500
     keep_all = mixing.mix(many, weights=weights.limit(1)).select("source").distinct().collect()
     assert [r.source for r in keep_all] == ["a"]
 
 
 def test_poisson_table(spark):
-    from pyspark.sql import functions as F
-
-    for rate in (0.0, 0.3, 5.0, 900.0):
-        cdf = spark.range(1).select(mixing.distribution(F.lit(rate)).alias("c")).first().c
+    table = spark.createDataFrame([(str(x), x) for x in (0.0, 0.3, 5.0, 900.0)], "key string, rate double")
+    for rate, cdf in mixing.distributions(table).select("rate", "cdf").collect():
         want, total = [], 0.0
         for k in range(len(cdf)):
             total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else float(k == 0)

@@ -62,7 +62,7 @@ def test_stages(spark, docs, tmp_path):
     want = Counter()
     for r in third:
         rate = round(math.sqrt(n[r.source]) / total * len(third) / n[r.source], 9)
-        u = int(hashlib.md5(f"{mixing.SEED}|{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"{mixing.SEED}|{r.doc_id}|{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         if many := poisson(rate, u):
             want[(r.doc_id, r.text, r.lang, r.source, r.n_chars)] += many
     assert table(outs["mixing"]) == want
