@@ -79,12 +79,12 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(buf[at[0] : at[-1]], at - at[0])
 
 
-def row_chunks(texts: Texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about ``limit`` bytes, at least one row each."""
+def row_chunks(texts: Texts, limit: int = CHUNK_BYTES, rows: int = 1 << 31) -> Iterator[tuple[int, int]]:
+    """Ranges of ``rows`` rows at most whose texts hold about ``limit`` bytes, at least one row each."""
     at, n = 0, len(texts)
     while at < n:
         to = int(np.searchsorted(texts.offsets, texts.offsets[at] + limit, side="right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, max(at + 1, to), at + rows)
         yield at, to
         at = to
 

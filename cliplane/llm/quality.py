@@ -1,13 +1,17 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text is the histogram of its pairs of neighbouring characters (in 64 classes:
-single letters and signs; capitals, digits and other scripts as classes of their
-own) and the share of its words that repeat the word before, all as square roots
-of shares. A truncated singular value decomposition of
-labelled texts gives the latent space. The labelled vectors are broadcast; their
-number is bounded by ``MAX_LABELLED`` rows, the first by a hash of their id. Each
-document is compared with all of them by exact cosine products, block by block,
-and its nearest ones vote with their labels, weighted by similarity.
+A text's terms are its words and its pairs of neighbouring characters (code
+points of any script, A-Z in lower case apart from their capitals), hashed to
+``WORD_TERMS`` and ``PAIR_TERMS`` places, and, as terms of their own, the share of
+words that repeat the word before and the share of capitals. A term weighs the
+root of its share in the text times its inverse document frequency over all
+documents. A truncated singular value decomposition of labelled texts gives the
+latent space. The labelled vectors are broadcast; their number is bounded by
+``MAX_LABELLED`` rows, the first by a hash of their id. Each document is compared
+with all of them by exact cosine products, block by block, and its ``NEIGHBOURS``
+nearest vote with their labels, weighted by similarity: the nearest with its own,
+others less by the power ``SHARPNESS`` of their share of it. Similarities are rounded
+to ``DIGITS`` places; of equal ones the voter that comes first by (id, label) votes.
 """
 
 from __future__ import annotations
@@ -26,49 +30,77 @@ MAX_LABELLED = 3000
 DIMENSIONS = 48
 NEIGHBOURS = 25
 SHARPNESS = 8
+DIGITS = 5
 THRESHOLD = 0.7
-CLASSES = 64
-PAIRS = CLASSES * CLASSES
-TERMS = PAIRS + 1
+WORD_TERMS = 1 << 14
+PAIR_TERMS = 1 << 13
+REPEATS, CAPITALS = WORD_TERMS + PAIR_TERMS, WORD_TERMS + PAIR_TERMS + 1
+TERMS = CAPITALS + 1
 PRIOR_VOTES = 1.5
+CHUNK_ROWS = 1024  # of texts at a time, whose terms and similarities are in memory together
 
 
-def _classes() -> np.ndarray:
-    """Byte to class: a-z, capitals, digits, blanks, line ends, lead and other bytes of longer characters, then signs."""
-    out = np.zeros(256, np.int32)
-    out[97:123] = np.arange(26)
-    out[65:91], out[48:58], out[32], out[10] = 26, 27, 28, 29
-    out[128:192], out[192:] = 30, 31
-    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
-    out[signs] = 32 + np.arange(len(signs)) % 31
-    out[[b for b in range(32) if b != 10] + [127]] = 63
-    return out
+class Terms:
+    """The different terms of some texts: text, term and weight of each, by text."""
 
+    def __init__(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.text, self.term, self.weight = text, term, weight
 
-BYTE_CLASS = _classes()
 
+def counted(text: np.ndarray, term: np.ndarray, texts: int) -> Terms:
+    """Terms with the root of their share among the terms of their text."""
+    key, many = np.unique(text * TERMS + term, return_counts=True)
+    text, term = key // TERMS, key % TERMS
+    total = np.bincount(text, many, texts)
+    return Terms(text, term, np.sqrt(many / total[text]))
 
-def repeats(texts: kernels.Texts) -> np.ndarray:
-    """The share of each text's words that are the same as the word before."""
-    words = kernels.words_of(texts)
-    h, n = kernels.word_hashes(words, 101), np.diff(words.first)
+
+def shares(texts: kernels.Texts, words: kernels.Words, h: np.ndarray) -> Terms:
+    """The share of each text's words that are the same as the word before, and of capitals among its bytes."""
+    n = np.diff(words.first)
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     same[words.first[:-1][n > 0]] = False
-    return np.bincount(words.text_index(), same, len(texts)) / np.maximum(n - 1, 1)
+    repeated = np.bincount(words.text_index(), same, len(texts)) / np.maximum(n - 1, 1)
+    upper = np.concatenate([[0], np.cumsum((texts.buf >= 65) & (texts.buf <= 90))])[texts.offsets]
+    capital = np.diff(upper) / np.maximum(np.diff(texts.offsets), 1)
+    at = np.arange(len(texts))
+    both = Terms(np.concatenate([at, at]), np.repeat([REPEATS, CAPITALS], len(texts)), np.sqrt(np.concatenate([repeated, capital])))
+    used = both.weight > 0
+    return Terms(both.text[used], both.term[used], both.weight[used])
+
+
+def terms_of(texts: kernels.Texts) -> Terms:
+    words = kernels.words_of(texts)
+    h = kernels.word_hashes(words, 101, lower=True)
+    word = counted(words.text_index(), (h % np.uint64(WORD_TERMS)).astype(np.int64), len(texts))
+    start = np.flatnonzero((texts.buf & 0xC0) != 0x80)
+    text = np.searchsorted(texts.offsets, start, side="right") - 1
+    inside = np.flatnonzero(text[1:] == text[:-1])
+    end = np.append(start[2:], len(texts.buf))[inside]
+    pairs = kernels.spans_hash(kernels.byte_codes(102)[texts.buf], start[inside], end, 102)
+    pair = counted(text[inside], WORD_TERMS + (pairs % np.uint64(PAIR_TERMS)).astype(np.int64), len(texts))
+    every = [word, pair, shares(texts, words, h)]
+    return Terms(*(np.concatenate([getattr(t, k) for t in every]) for k in ("text", "term", "weight")))
+
 
+def inverse_frequency(docs: DataFrame, text_col: str) -> np.ndarray:
+    """log(1 + documents / documents with the term) of every term, over all of ``docs``; TERMS numbers."""
 
-def histograms(texts: kernels.Texts) -> np.ndarray:
-    """A row for each text: square roots of the shares of its terms; zero for texts of under two bytes."""
-    code = BYTE_CLASS[texts.buf]
-    owner = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
-    inside = owner[1:] == owner[:-1]
-    at = owner[:-1] * PAIRS + code[:-1] * CLASSES + code[1:]
-    counts = np.bincount(at[inside], minlength=len(texts) * PAIRS).reshape(-1, PAIRS).astype(np.float32)
-    out = np.empty((len(texts), TERMS), np.float32)
-    out[:, :PAIRS] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    out[:, PAIRS] = repeats(texts)
-    return np.sqrt(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(TERMS, np.int64), 0
+        for batch in batches:
+            texts = kernels.texts_of(batch.column(0))
+            rows += len(texts)
+            for a, b in kernels.row_chunks(texts, rows=CHUNK_ROWS):
+                total += np.bincount(terms_of(kernels.part_of(texts, a, b)).term, minlength=TERMS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, TERMS)), pa.array(np.append(total[used], rows))], ["term", "n"])
+
+    found = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(TERMS + 1)
+    n[[r["term"] for r in found]] = [r["n"] for r in found]
+    return np.log1p(n[TERMS] / np.maximum(n[:TERMS], 1)).astype(np.float32)
 
 
 def directions(x: np.ndarray, many: int = DIMENSIONS, seed: int = 3) -> np.ndarray:
@@ -85,26 +117,52 @@ def directions(x: np.ndarray, many: int = DIMENSIONS, seed: int = 3) -> np.ndarr
 class Voters:
     """Labelled vectors on the unit sphere of the latent space."""
 
-    def __init__(self, x: np.ndarray, label: np.ndarray):
-        self.mean = x.mean(0)
-        self.basis = directions(x - self.mean)
-        self.vectors = self.embed(x)
+    def __init__(self, terms: Terms, label: np.ndarray, idf: np.ndarray):
+        self.idf = idf
+        used, at = np.unique(terms.term, return_inverse=True)
+        x = np.zeros((len(label), len(used)), np.float32)
+        x[terms.text, at] = terms.weight * idf[terms.term]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        mean = x.mean(0)
+        basis = directions(x - mean)
+        # Terms that no voter has lie outside of the space.
+        self.basis = np.zeros((len(idf), basis.shape[1]), np.float32)
+        self.basis[used] = basis
+        self.origin = mean @ basis
+        self.vectors = self.embed(terms, len(label))
         self.label = label.astype(np.float32)
         self.prior = float(label.mean())
 
-    def embed(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) @ self.basis
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    def embed(self, terms: Terms, texts: int) -> np.ndarray:
+        """Vectors of length one; zero for texts without terms."""
+        weight = (terms.weight * self.idf[terms.term]).astype(np.float32)
+        norm = np.sqrt(np.bincount(terms.text, weight.astype(float) ** 2, texts))
+        order = np.argsort(terms.text, kind="stable")
+        z = np.zeros((texts, self.basis.shape[1]), np.float32)
+        for a in range(0, len(order), 1 << 18):
+            part = order[a : a + (1 << 18)]
+            text = terms.text[part]
+            at = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            z[text[at]] += np.add.reduceat(self.basis[terms.term[part]] * weight[part, None], at, axis=0)
+        z = np.where(norm[:, None] > 0, z / np.maximum(norm, 1e-12)[:, None] - self.origin, 0)
+        return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def vote(self, vectors: np.ndarray) -> np.ndarray:
+        """The weighted share of label 1 among the nearest voters of each vector, with a few votes of the prior."""
+        sims = np.round(vectors @ self.vectors.T, DIGITS)
+        k = min(NEIGHBOURS, sims.shape[1])
+        last = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        nearer, level = sims > last, sims == last
+        votes = nearer | (level & (np.cumsum(level, 1) <= k - nearer.sum(1, keepdims=True)))
+        row, voter = np.nonzero(votes)
+        sim, best = np.maximum(sims[row, voter], 0).astype(float), np.maximum(sims.max(1), 1e-9)[row]
+        weight = best * (sim / best) ** SHARPNESS
+        good = np.bincount(row, weight * self.label[voter], len(sims)) + PRIOR_VOTES * self.prior
+        return good / (np.bincount(row, weight, len(sims)) + PRIOR_VOTES)
 
     def score(self, texts: kernels.Texts) -> np.ndarray:
-        x = histograms(texts)
-        sims = self.embed(x) @ self.vectors.T
-        k = min(NEIGHBOURS, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(sims, near, 1), 0) ** SHARPNESS
-        # A few votes of the prior, which only weigh where no neighbour is near.
-        score = ((weight * self.label[near]).sum(1) + PRIOR_VOTES * self.prior) / (weight.sum(1) + PRIOR_VOTES)
-        return np.where(x.any(1), np.clip(score, 0, 1), self.prior).astype(float)
+        vectors = self.embed(terms_of(texts), len(texts))
+        return np.where(vectors.any(1), np.clip(self.vote(vectors), 0, 1), self.prior).astype(float)
 
 
 def held_out(id_col: str):
@@ -117,33 +175,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = kernels.texts_of(batch.column(0))
-            for a, b in kernels.row_chunks(texts):
-                rows = [(np.flatnonzero(h).astype(np.int32), h) for h in histograms(kernels.part_of(texts, a, b))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([h[i].tobytes() for i, h in rows], pa.binary())],
-                    ["id", "label", "pairs", "shares"],
-                )
+            for a, b in kernels.row_chunks(texts, rows=CHUNK_ROWS):
+                terms = terms_of(kernels.part_of(texts, a, b))
+                own = [np.flatnonzero(terms.text == i) for i in range(b - a)]
+                packed = [pa.array([x[i].astype(kind).tobytes() for i in own], pa.binary()) for x, kind in ((terms.term, np.int32), (terms.weight, np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), *packed], ["id", "label", "terms", "weights"])
 
     ship(docs.sparkSession)
-    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(MAX_LABELLED)
     # At most MAX_LABELLED small rows, so this side may be broadcast at any scale.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter(F.length("text") > 1).select("text", "id", "label")
-    rows = texts.mapInArrow(run, "id long, label int, pairs binary, shares binary").orderBy("id", "label", "pairs", "shares").limit(MAX_LABELLED).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter(F.length("text") > 1).select("text", "id", "label")
+    rows = texts.mapInArrow(run, "id long, label int, terms binary, weights binary").orderBy("id", "label", "terms", "weights").limit(MAX_LABELLED).collect()
     if not rows:
         return None
-    x = np.zeros((len(rows), TERMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["pairs"], np.int32)] = np.frombuffer(r["shares"], np.float32)
-    return Voters(x, np.array([r["label"] for r in rows]))
+    each = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows]
+    weights = [np.frombuffer(r["weights"], np.float32) for r in rows]
+    terms = Terms(np.repeat(np.arange(len(rows)), [len(x) for x in each]), np.concatenate(each), np.concatenate(weights))
+    return Voters(terms, np.array([r["label"] for r in rows]), inverse_frequency(docs, text_col))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: id_col, held_out, score, predicted.
 
     ``score`` in 0..1 rises with the likelihood of label 1; ``predicted`` is 1
-    from THRESHOLD on. Texts of under two bytes and nulls get the share of label 1
-    among the voters; without any labelled row all scores are 0.5. Rows that
+    from THRESHOLD on. Texts without terms and nulls get the share of label 1 among
+    the voters; without any labelled row all scores are 0.5. Rows that
     repeat a document are scored each; rows that repeat a label vote each. A null
     id is not held out. Other columns are ignored.
     """
@@ -152,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = kernels.texts_of(batch.column(1))
-            parts = [np.zeros(0)] + [voters.score(kernels.part_of(texts, a, b)) if voters else np.full(b - a, 0.5) for a, b in kernels.row_chunks(texts)]
+            parts = [np.zeros(0)] + [voters.score(kernels.part_of(texts, a, b)) if voters else np.full(b - a, 0.5) for a, b in kernels.row_chunks(texts, rows=CHUNK_ROWS)]
             score = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 

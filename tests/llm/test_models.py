@@ -111,6 +111,38 @@ def test_quality_learns(spark, docs, nothing):
     assert quality.classify(nothing, labels).count() == 0
 
 
+def test_votes_are_brute_force():
+    """Against a plain nearest-neighbour vote over the same vectors, with ties at the last place."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeéß語言"), 4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(150)]
+    texts = texts[:60] + texts[:30] + texts[60:] + ["", None, "A"]
+    label = rng.integers(0, 2, len(texts))
+    column = kernels.texts_of(pa.array(texts))
+    voters = quality.Voters(quality.terms_of(column), label, np.linspace(1, 2, quality.TERMS).astype(np.float32))
+    vectors = voters.embed(quality.terms_of(column), len(texts))
+    for v, got in zip(vectors, voters.vote(vectors), strict=True):
+        sims = np.round(v @ voters.vectors.T, quality.DIGITS)
+        near = sorted(range(len(sims)), key=lambda i: (-sims[i], i))[: quality.NEIGHBOURS]
+        best = max(float(sims[near[0]]), 1e-9)
+        weight = [best * (max(float(sims[i]), 0) / best) ** quality.SHARPNESS for i in near]
+        want = (sum(w * label[i] for w, i in zip(weight, near, strict=True)) + quality.PRIOR_VOTES * voters.prior) / (sum(weight) + quality.PRIOR_VOTES)
+        assert got == pytest.approx(want, abs=2e-3)
+    assert not vectors[-3].any() and vectors[-4].any()
+
+
+def test_quality_reads_every_script(spark):
+    """Words tell good from bad where letters are of no Latin script; short texts come in small groups."""
+    rng = np.random.default_rng(9)
+    good, bad = (["".join(rng.choice(list(chars), 3)) for _ in range(40)] for chars in ("日本語言文化", "買賣便宜快速"))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 25))) for i in range(300)]
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")).collect()
+    held = [r for r in got if r.held_out]
+    assert held and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+    sizes = [b - a for a, b in kernels.row_chunks(kernels.texts_of(pa.array(["abcde"] * 5000)), rows=quality.CHUNK_ROWS)]
+    assert max(sizes) <= quality.CHUNK_ROWS and sum(sizes) == 5000
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 16)).astype(np.float32)
