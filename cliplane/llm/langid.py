@@ -1,20 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions (state starts anew at
-each word), and labels every byte position with a probability for each language.
-A document pools the log-probabilities of all positions of all its words: a
-word counts once per occurrence, with the mean over its positions.
+The network reads a document's bytes in both directions and labels every position
+with a probability for each language. A document pools the probabilities of all
+positions that belong to a letter (A-Z, a-z, or any byte of a longer character):
+its probability of a language is their mean, so the score of a text doesn't grow
+with its length, and a text in two languages gets the share of each.
 
-Equal words get equal labels, so within a batch of documents each different word
-runs through the network once and counts as often as it occurs. Words over
-``PIECE`` bytes are cut into pieces between characters, so no step waits for one
-long word. A piece is read with ``CONTEXT`` bytes of its word on either side;
-only its own positions count.
+So that long texts run in step with short ones, texts are read in pieces of about
+``PIECE`` bytes, cut between characters, each with ``CONTEXT`` bytes of the text on
+either side; only a piece's own positions count. Equal pieces of a batch run once.
 
 Training is numpy back-propagation through time on the driver, over a sample
 with a documented bound: ``PER_LANGUAGE`` documents of each language (the first
-by a hash of their id), and of all their pieces, cut as for labelling, about
-twice as many at random places as training draws. Every language that a row names
+by a hash of their id), and of all their pieces, cut as for labelling, about as
+many at random places as training draws. Every language that a row names
 is learned; the network grows with their number.
 """
 
@@ -34,18 +33,23 @@ from cliplane.llm.runtime import ship, stash
 UNKNOWN = "und"
 PER_LANGUAGE = 400
 HIDDEN = 16
-PIECE = 24
-CONTEXT = 8
-STEPS = 500
-BATCH = 512
+PIECE = 128
+CONTEXT = 16
+STEPS = 300
+BATCH = 160
 LEAST_DRAWS = 8
 RATE = 0.02
-BLOCK = 20_000
-GROUP_BYTES = 8 << 20  # of texts whose words are labelled together
+BLOCK = 5_000
+GROUP_BYTES = 4 << 20  # of texts whose pieces are labelled together
+LEAST_SCORE = 0.5
+
+
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 
 
 def per_class(classes: int) -> int:
-    """Words of each language in a training batch."""
+    """Pieces of each language in a training batch."""
     return max(LEAST_DRAWS, -(-BATCH // classes))
 
 
@@ -55,12 +59,35 @@ def hidden_for(classes: int) -> int:
 
 
 def at_once(size: int, classes: int) -> int:
-    """``size`` words or bytes, fewer as a position's row of languages gets longer."""
+    """``size`` pieces or bytes, fewer as a position's row of languages gets longer."""
     return max(1, size // max(1, -(-classes // 16)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+    """In place; numpy's exponential of floats is several times as fast as its tanh."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= 2
+    x = _sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
+
+
+def _by_byte(byte: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sums of the rows of each byte value, (256, columns)."""
+    order = np.argsort(byte, kind="stable")
+    head = np.flatnonzero(np.append(True, np.diff(byte[order].astype(np.int16)) != 0))
+    out = np.zeros((256, rows.shape[1]), rows.dtype)
+    out[byte[order[head]]] = np.add.reduceat(rows[order], head, axis=0)
+    return out
 
 
 class Direction:
@@ -79,7 +106,7 @@ class Direction:
         g, s = self.p["x"][byte], h @ self.p["u"]
         zr = _sigmoid(g[:, : 2 * k] + s[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * s[:, 2 * k :])
+        n = _tanh(g[:, 2 * k :] + r * s[:, 2 * k :])
         return n + z * (h - n), (h, z, r, n, s[:, 2 * k :], byte)
 
     def back(self, dh: np.ndarray, kept: tuple, grad: dict) -> np.ndarray:
@@ -89,7 +116,7 @@ class Direction:
         dz = dh * (h - n) * z * (1 - z)
         dr = dn * sn * r * (1 - r)
         da = np.concatenate([dz, dr, dn * r], axis=1)
-        np.add.at(grad["x"], byte, np.concatenate([dz, dr, dn], axis=1))
+        grad["x"].append((byte, np.concatenate([dz, dr, dn], axis=1)))
         grad["u"] += h.T @ da
         return dh * z + da @ self.p["u"].T
 
@@ -101,7 +128,7 @@ class Network:
         self.bias = np.zeros(classes, np.float32)
 
     def train_step(self, padded: np.ndarray, length: np.ndarray, label: np.ndarray) -> tuple[float, list[dict], np.ndarray]:
-        """Mean loss over all positions of a batch, and gradients. padded: (words, positions)."""
+        """Mean loss over all positions of a batch, and gradients. padded: (pieces, positions)."""
         many, steps = padded.shape
         at = np.arange(steps)
         inside = at[None, :] < length[:, None]
@@ -129,7 +156,7 @@ class Network:
         d *= (inside / total)[:, :, None].astype(np.float32)
         grads = []
         for i, way in enumerate(self.ways):
-            g = {k: np.zeros_like(v) for k, v in way.p.items()}
+            g = {k: np.zeros_like(v) for k, v in way.p.items()} | {"x": []}
             g["o"] = np.einsum("bth,btc->hc", states[i], d)
             ds = d @ way.p["o"].T
             if i:
@@ -137,11 +164,12 @@ class Network:
             dh = np.zeros((many, way.h), np.float32)
             for t in range(steps - 1, -1, -1):
                 dh = way.back(dh + ds[:, t], kept[i][t], g)
+            g["x"] = _by_byte(*(np.concatenate(x) for x in zip(*g["x"], strict=True)))
             grads.append(g)
         return loss, grads, d.sum((0, 1))
 
-    def fit(self, words: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, seed: int = 6) -> float:
-        """Adam over random batches; classes are drawn equally often, words of a class by their weights."""
+    def fit(self, pieces: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, seed: int = 6) -> float:
+        """Adam over random batches; classes are drawn equally often, pieces of a class by their weights."""
         rng = np.random.default_rng(seed)
         by_class = [np.flatnonzero(labels == c) for c in range(len(self.bias))]
         sums = [np.cumsum(weights[c]) for c in by_class]
@@ -151,7 +179,7 @@ class Network:
         for step in range(1, steps + 1):
             draws = [np.searchsorted(t, rng.random(per_class(len(by_class))) * t[-1], side="right") for t in sums]
             rows = np.concatenate([c[np.minimum(at, len(c) - 1)] for c, at in zip(by_class, draws, strict=True)])
-            chosen = [words[i] for i in rows]
+            chosen = [pieces[i] for i in rows]
             length = np.array([len(w) for w in chosen])
             padded = np.frombuffer(b"".join(w.ljust(length.max(), b"\0") for w in chosen), np.uint8).reshape(len(chosen), -1)
             loss, grads, gb = self.train_step(padded, length, labels[rows])
@@ -167,32 +195,33 @@ class Network:
                     self.bias -= change
         return loss
 
-    def label(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray | None = None, tail: np.ndarray | None = None) -> np.ndarray:
-        """Mean log-probabilities over the positions of each piece ``buf[start:start+length]``, without its first ``lead`` and last ``tail``."""
-        out = np.zeros((len(start), len(self.bias)), np.float32)
+    def label(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Probabilities of the languages, summed over the letters of each piece ``buf[start:start+length]`` without its first ``lead`` and last ``tail``."""
+        out = np.zeros((len(start), len(self.bias)))
         order = np.argsort(-length, kind="stable")
         block = at_once(BLOCK, len(self.bias))
         for a in range(0, len(order), block):
             rows = order[a : a + block]
             s, n = start[rows], length[rows]
-            first = np.concatenate([[0], np.cumsum(n)])
+            active = len(rows) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right")
+            # Positions lie step by step: those of step t from first[t] on, longest pieces first.
+            first = np.concatenate([[0], np.cumsum(active)])
             logits = np.empty((first[-1], len(self.bias)), np.float32)
             logits[:] = self.bias
-            active = len(rows) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right") if len(n) else []
             for i, way in enumerate(self.ways):
                 h = np.zeros((len(rows), way.h), np.float32)
-                for t, many in enumerate(active):
+                for t, many in enumerate(active.tolist()):
                     at = n[:many] - 1 - t if i else t
                     h = way.step(h[:many], buf[s[:many] + at])[0]
-                    logits[first[:many] + at] += h @ way.p["o"]
+                    logits[first[at] + np.arange(many)] += h @ way.p["o"]
+            piece = np.concatenate([np.arange(many) for many in active.tolist()])
+            place = np.repeat(np.arange(len(active)), active)
+            counted = IS_LETTER[buf[s[piece] + place]] & (place >= lead[rows][piece]) & (place < (n - tail[rows])[piece])
+            logits, piece = logits[counted], piece[counted]
             logits -= logits.max(1, keepdims=True)
-            logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-            counted = n
-            if lead is not None and tail is not None and (lead[rows].any() or tail[rows].any()):
-                place = np.arange(first[-1]) - np.repeat(first[:-1], n)
-                logits[(place < np.repeat(lead[rows], n)) | (place >= np.repeat(n - tail[rows], n))] = 0
-                counted = n - lead[rows] - tail[rows]
-            out[rows] = np.add.reduceat(logits, first[:-1], axis=0) / counted[:, None]
+            np.exp(logits, out=logits)
+            logits /= logits.sum(1, keepdims=True)
+            out[rows] = np.stack([np.bincount(piece, logits[:, c], len(rows)) for c in range(len(self.bias))], 1)
         return out
 
 
@@ -203,58 +232,39 @@ def _char_start(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at
 
 
-def pieces(words: kernels.Words) -> tuple[np.ndarray, ...]:
-    """Starts, lengths and words of the pieces of about PIECE bytes with their context, and the bytes of it before and after."""
-    size = words.end - words.start
-    many = -(-size // PIECE)
-    word = np.repeat(np.arange(len(size)), many)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
-    start, end = words.start[word] + nth * PIECE, words.end[word]
+def pieces(texts: kernels.Texts) -> tuple[np.ndarray, ...]:
+    """Starts, lengths and texts of the pieces of about PIECE bytes with their context, and the bytes of it before and after."""
+    begin, stop = texts.offsets[:-1], texts.offsets[1:]
+    many = -(-(stop - begin) // PIECE)
+    text = np.repeat(np.arange(len(texts)), many)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    start, end = begin[text] + nth * PIECE, stop[text]
     inner = np.flatnonzero(nth)
-    cut = _char_start(words.buf, start[inner])
-    lead, tail = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-    lead[inner] = cut - _char_start(words.buf, cut - CONTEXT)
-    tail[inner - 1] = _char_start(words.buf, np.minimum(cut + CONTEXT, end[inner])) - cut
+    cut = _char_start(texts.buf, start[inner])
+    lead, tail = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    lead[inner] = cut - _char_start(texts.buf, np.maximum(cut - CONTEXT, begin[text[inner]]))
+    tail[inner - 1] = _char_start(texts.buf, np.minimum(cut + CONTEXT, end[inner])) - cut
     start[inner], end[inner - 1] = cut, cut
-    return start - lead, end - start + lead + tail, word, lead, tail
+    return start - lead, end - start + lead + tail, text, lead, tail
 
 
 def pooled(net: Network, texts: kernels.Texts) -> np.ndarray:
-    """Log-probabilities of the languages for each text (sums over its words)."""
+    """The mean probabilities of the languages over the letters of each text; zero for texts without letters."""
     out = np.zeros((len(texts), len(net.bias)))
+    letters = np.concatenate([[0], np.cumsum(IS_LETTER[texts.buf])])[texts.offsets]
     for a, b in kernels.row_chunks(texts, at_once(GROUP_BYTES, len(net.bias))):
         out[a:b] = _pooled_group(net, kernels.part_of(texts, a, b))
-    return out
-
-
-def _pieces_of(texts: kernels.Texts) -> tuple[np.ndarray, ...]:
-    """Starts, lengths, lead, tail, text and content hash of all pieces of the texts."""
-    starts, lengths, leads, tails, owners, hashes = [], [], [], [], [], []
-    for a, b in kernels.row_chunks(texts):
-        words = kernels.words_of(kernels.part_of(texts, a, b))
-        start, length, word, lead, tail = pieces(words)
-        h = kernels.word_hashes(kernels.Words(words.buf, start, start + length, words.first), 101)
-        hashes.append(h ^ kernels.mixed((lead | tail << 8).astype(np.uint64)))
-        starts.append((start + texts.offsets[a]).astype(np.uint32 if len(texts.buf) < 1 << 32 else np.int64))
-        for kept, x in ((lengths, length), (leads, lead), (tails, tail)):
-            kept.append(x.astype(np.uint8))
-        owners.append((np.searchsorted(words.first, word, side="right") - 1 + a).astype(np.int32))
-    return tuple(np.concatenate(x) for x in (starts, lengths, leads, tails, owners, hashes))
+    return out / np.maximum(np.diff(letters), 1)[:, None]
 
 
 def _pooled_group(net: Network, texts: kernels.Texts) -> np.ndarray:
-    start, length, lead, tail, owner, h = _pieces_of(texts)
-    order = np.argsort(h)
-    h = h[order]
-    head = np.ones(len(h), bool)
-    head[1:] = h[1:] != h[:-1]
-    del h
-    one = order[head]
-    which = np.empty(len(order), np.int32)
-    which[order] = np.cumsum(head, dtype=np.int32) - 1
-    del order, head
-    labels = net.label(texts.buf, *(x[one].astype(np.int64) for x in (start, length, lead, tail)))
-    return np.stack([np.bincount(owner, labels[which, c], len(texts)) for c in range(labels.shape[1])], 1)
+    start, length, text, lead, tail = pieces(texts)
+    if not len(start):
+        return np.zeros((len(texts), len(net.bias)))
+    h = kernels.spans_hash(kernels.byte_codes(101)[texts.buf], start, start + length, 101) ^ kernels.mixed((lead | tail << 16).astype(np.uint64))
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    labels = net.label(texts.buf, start[one], length[one], lead[one], tail[one])
+    return np.stack([np.bincount(text, labels[which, c], len(texts)) for c in range(labels.shape[1])], 1)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +274,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, wanted in enumerate(batch.column(2).to_pylist()):
             own = kernels.part_of(texts, i, i + 1)
-            start, length, *_ = _pieces_of(own) if len(own.buf) else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+            start, length, *_ = pieces(own)
             rng = np.random.default_rng(zlib.crc32(own.buf))
             chosen = np.sort(rng.choice(len(start), min(wanted, len(start)), replace=False)) if len(start) else np.zeros(0, np.int64)
             found = b"".join(own.buf[a : a + n].tobytes() for a, n in zip(start[chosen].tolist(), length[chosen].tolist(), strict=True))
-            rows.append((length[chosen].tobytes(), found, len(start)))
+            rows.append((length[chosen].astype(np.uint16).tobytes(), found, len(start)))
         sizes, found, n = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(found, pa.binary()), pa.array(n, pa.int64())], ["lang", "place", "sizes", "bytes", "n"])
 
@@ -284,11 +294,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     # A row for each language, and written first: Spark knows the size when it picks the join.
     near = rows.join(counts, "lang").withColumn("place", place).filter(F.col("place") < share)
     near = near.filter(F.col("text").rlike(r"\p{L}"))
-    # About twice the pieces that training draws, from each document by its length.
+    # About as many pieces as training draws, from each document by its length.
     chars = stash(near.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("many")), "langid-chars")
-    draws = F.lit(2.0 * STEPS * per_class(max(1, counts.count()))) * F.greatest(F.lit(1.0), F.col("many") / F.lit(PER_LANGUAGE)) * F.length("text") / F.col("chars")
+    draws = F.lit(1.0 * STEPS * per_class(max(1, counts.count()))) * F.greatest(F.lit(1.0), F.col("many") / F.lit(PER_LANGUAGE)) * F.length("text") / F.col("chars")
     ship(docs.sparkSession)
-    wanted = near.join(chars, "lang").select("lang", "place", (F.ceil(draws) + 16).cast("int").alias("wanted"), "text")
+    wanted = near.join(chars, "lang").select("lang", "place", (F.ceil(draws) + 4).cast("int").alias("wanted"), "text")
     found = wanted.mapInArrow(_sampled, "lang string, place double, sizes binary, bytes binary, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "bytes"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "sizes", "bytes", "n")
@@ -296,20 +306,20 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network | None]:
     """The languages and the trained network; (none, None) if there is nothing to learn from."""
-    rows = training_rows(docs, id_col, text_col, lang_col).orderBy("lang", "bytes").collect()
+    rows = training_rows(docs, id_col, text_col, lang_col).filter(F.length("sizes") > 0).orderBy("lang", "bytes").collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return [], None
     nth = {lang: i for i, lang in enumerate(langs)}
-    words, labels, weights = [], [], []
+    found, labels, weights = [], [], []
     for r in rows:
-        sizes = np.frombuffer(r["sizes"], np.uint8).astype(np.int64)
+        sizes = np.frombuffer(r["sizes"], np.uint16).astype(np.int64)
         end = np.cumsum(sizes)
-        words += [bytes(r["bytes"][a:b]) for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True)]
+        found += [bytes(r["bytes"][a:b]) for a, b in zip((end - sizes).tolist(), end.tolist(), strict=True)]
         labels += [nth[r["lang"]]] * len(sizes)
         weights += [r["n"] / max(1, len(sizes))] * len(sizes)
     net = Network(len(langs), hidden_for(len(langs)))
-    net.fit(words, np.array(labels), np.array(weights))
+    net.fit(found, np.array(labels), np.array(weights))
     return langs, net
 
 
@@ -324,10 +334,8 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 pred, score = [UNKNOWN] * len(letters), np.zeros(len(letters))
             else:
                 p = pooled(net, kernels.texts_of(batch.column(0).field(text_at)))
-                p = np.exp(p - p.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
-                score = np.where(letters, p[np.arange(len(p)), best], 0.0)
+                score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
                 pred = [langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score)], ["doc", "held_out", "lang_pred", "score"])
 
@@ -352,6 +360,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return with_language(docs.select(id_col, text_col, lang_col), id_col, text_col, lang_col).select(id_col, "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a probability of ``least`` or more; their columns as they are."""
+def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents whose letters have one language with a mean probability of ``least`` or more; their columns as they are."""
     return with_language(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)

@@ -84,17 +84,43 @@ def test_gradients():
             assert grad[k][at] == pytest.approx((out[0] - out[1]) / 2e-3, rel=2e-2, abs=1e-5)
 
 
-def test_labels_agree_with_training_pass():
+def plain_probabilities(net, text):
+    """One document through the network, piece by piece and position by position."""
+    total, letters, data = np.zeros(len(net.bias)), 0, text.encode()
+    cuts = [0]
+    while cuts[-1] < len(data):
+        at = min(len(cuts) * langid.PIECE, len(data))
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at -= 1
+        cuts.append(at)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        lo, hi = max(a - langid.CONTEXT, 0) if a else 0, min(b + langid.CONTEXT, len(data)) if b < len(data) else b
+        while lo and data[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi -= 1
+        part, states = data[lo:hi], []
+        for way, seq in zip(net.ways, (part, part[::-1]), strict=True):
+            h, own = np.zeros((1, way.h), np.float32), []
+            for byte in seq:
+                h = way.step(h, np.array([byte]))[0]
+                own.append(h[0])
+            states.append(own)
+        for i in range(a - lo, b - lo):
+            if langid.IS_LETTER[part[i]]:
+                x = states[0][i] @ net.ways[0].p["o"] + states[1][len(part) - 1 - i] @ net.ways[1].p["o"] + net.bias
+                p = np.exp(x - x.max())
+                total += p / p.sum()
+                letters += 1
+    return total / max(letters, 1)
+
+
+def test_labels_are_a_plain_loop():
     net = langid.Network(3, seed=2)
-    words = [b"a", b"hello", "größe".encode(), b"x" * 24]
-    buf = np.frombuffer(b"".join(words), np.uint8)
-    length = np.array([len(w) for w in words])
-    start = np.cumsum(length) - length
-    got = net.label(buf, start, length)
-    for i, w in enumerate(words):
-        pad = np.frombuffer(w, np.uint8)[None]
-        for c in range(3):
-            assert -net.train_step(pad, length[i : i + 1], np.array([c]))[0] == pytest.approx(got[i, c], abs=1e-3)
+    texts = ["a", "hello größe " * 20, "", "x" * 96, "語言" * 100, None, " " * 300 + "end", "Zażółć gęślą jaźń. " * 11, "hello größe " * 20]
+    got = langid.pooled(net, kernels.texts_of(pa.array(texts)))
+    for p, text in zip(got, texts, strict=True):
+        assert p == pytest.approx(plain_probabilities(net, text or ""), abs=1e-4)
 
 
 def test_quality_learns(spark, docs, nothing):
@@ -188,16 +214,18 @@ def test_long_text_in_kernels():
 
 def test_langid_learns_the_pieces_it_labels(spark):
     text = "a " + "語x言文é" * 5000
-    words = kernels.words_of(kernels.texts_of(pa.array([text])))
-    start, length, word, lead, tail = langid.pieces(words)
-    buf, cut = words.buf.tobytes(), [bytes(words.buf[a : a + n]) for a, n in zip(start, length, strict=True)]
+    texts = kernels.texts_of(pa.array(["", text, "b"]))
+    start, length, owner, lead, tail = langid.pieces(texts)
+    cut = [bytes(texts.buf[a : a + n]) for a, n in zip(start, length, strict=True)]
     assert all(p.decode() for p in cut)
-    assert "".join(p[a : len(p) - b].decode() for p, a, b in zip(cut, lead, tail, strict=True)) == buf.decode().replace(" ", "")
-    assert (lead[2:] >= langid.CONTEXT).all() and (tail[1:-2] > 0).all() and (word == [0, *[1] * (len(word) - 1)]).all()
-    late = spark.createDataFrame([(i, f"{'one ' * 9000}{'語言' * 400} tail{i} ", "x") for i in range(8)], "doc_id long, text string, lang string")
+    assert "".join(p[a : len(p) - b].decode() for p, a, b in zip(cut, lead, tail, strict=True)) == text + "b"
+    assert (lead[1:-1] >= langid.CONTEXT).all() and (tail[:-2] > 0).all() and set(owner) == {1, 2}
+    late = spark.createDataFrame([(i, f"{' ' * 20000}{'one ' * 900}{'語言' * 400} tail{i} ", "x") for i in range(8)] + [(20, " " * 20000 + "é", "y"), (21, "12", "z")], "doc_id long, text string, lang string")
     rows = langid.training_rows(late, "doc_id", "text", "lang").collect()
+    assert {r["lang"] for r in rows} == {"x", "y"}
     found = b"|".join(bytes(r["bytes"]) for r in rows)
-    assert rows and b"tail" in found and max(max(r["sizes"]) for r in rows) > langid.PIECE
+    assert b"one" in found and "語言".encode() in found
+    assert {r.lang_pred for r in langid.identify(late).collect()} <= {"x", "y", "und"}
 
 
 def test_langid_learns_every_language(spark, monkeypatch):

@@ -24,7 +24,8 @@ def poisson(rate, u):
     return k
 
 
-def test_stages(spark, docs, tmp_path):
+def test_stages(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 80)
     docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
     given = spark.read.parquet(str(tmp_path / "documents.parquet"))
     names = [n for n, _ in corpus_pipeline.STAGES]
