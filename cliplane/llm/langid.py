@@ -35,6 +35,7 @@ PER_LANGUAGE = 400
 HIDDEN = 16
 PIECE = 128
 CONTEXT = 16
+SPAN = 64
 STEPS = 300
 BATCH = 160
 LEAST_DRAWS = 8
@@ -179,7 +180,8 @@ class Network:
         for step in range(1, steps + 1):
             draws = [np.searchsorted(t, rng.random(per_class(len(by_class))) * t[-1], side="right") for t in sums]
             rows = np.concatenate([c[np.minimum(at, len(c) - 1)] for c, at in zip(by_class, draws, strict=True)])
-            chosen = [pieces[i] for i in rows]
+            # Back-propagation goes through SPAN bytes at any place of a piece.
+            chosen = [pieces[i][a : a + SPAN] for i, a in ((i, int(x * max(1, len(pieces[i]) - SPAN + 1))) for i, x in zip(rows.tolist(), rng.random(len(rows)).tolist(), strict=True))]
             length = np.array([len(w) for w in chosen])
             padded = np.frombuffer(b"".join(w.ljust(length.max(), b"\0") for w in chosen), np.uint8).reshape(len(chosen), -1)
             loss, grads, gb = self.train_step(padded, length, labels[rows])

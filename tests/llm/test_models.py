@@ -220,7 +220,7 @@ def test_langid_learns_the_pieces_it_labels(spark):
     assert all(p.decode() for p in cut)
     assert "".join(p[a : len(p) - b].decode() for p, a, b in zip(cut, lead, tail, strict=True)) == text + "b"
     assert (lead[1:-1] >= langid.CONTEXT).all() and (tail[:-2] > 0).all() and set(owner) == {1, 2}
-    late = spark.createDataFrame([(i, f"{' ' * 20000}{'one ' * 900}{'語言' * 400} tail{i} ", "x") for i in range(8)] + [(20, " " * 20000 + "é", "y"), (21, "12", "z")], "doc_id long, text string, lang string")
+    late = spark.createDataFrame([(i, f"{' ' * 20000}{'one ' * 900}{'語言' * 400} tail{i} ", "x") for i in range(8)] + [(i, " " * 20000 + "é", "y") for i in range(20, 26)] + [(i, "12", "z") for i in range(30, 36)], "doc_id long, text string, lang string")
     rows = langid.training_rows(late, "doc_id", "text", "lang").collect()
     assert {r["lang"] for r in rows} == {"x", "y"}
     found = b"|".join(bytes(r["bytes"]) for r in rows)
