@@ -1,9 +1,14 @@
-"""Elias-Fano sequences and a two-level n-gram trie on them, memory-mapped.
+"""Elias-Fano sequences and a three-level n-gram trie on them, memory-mapped.
 
 A monotone sequence keeps the low bits of its values packed and the high bits in
-unary, with a directory of the zeros before each word. A successor search jumps to
-the zeros that bound the values with its high part and halves the range between
-them. All searches take arrays of values.
+unary, with directories of the zeros and ones before each word. A successor search
+jumps to the zeros that bound the values with its high part and halves the range
+between them; a value is read at the place of its one. All searches take arrays.
+
+A level of the trie holds the children of the nodes above it. Pointers to where
+each node's children begin are one monotone sequence. The children's words are
+another: within a node they rise, and each node goes on from the last value of the
+node before, so a child is searched relative to that value, in the pointed range.
 """
 
 from __future__ import annotations
@@ -12,8 +17,8 @@ import tempfile
 
 import numpy as np
 
-WORD_BITS = 40  # of a word, after its context
 BLOCK = 100_000  # searches at a time
+STEPS = 4096  # of the quantised logarithms, to one power of ten
 
 
 def mapped(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -64,7 +69,9 @@ class Monotone:
             np.bitwise_or.at(packed, at >> 6, low << shift)
             over = (shift + np.uint64(self.low_bits)) > 64
             np.bitwise_or.at(packed, (at[over] >> 6) + 1, low[over] >> (np.uint64(64) - shift[over]))
-        self.a = mapped({"words": words, "zeros": zeros.astype(np.uint32 if len(bits) < 1 << 32 else np.int64), "low": packed})
+        ones = 64 * np.arange(len(words)) - zeros
+        kind = np.uint32 if len(bits) < 1 << 32 else np.int64
+        self.a = mapped({"words": words, "zeros": zeros.astype(kind), "ones": ones.astype(kind), "low": packed})
 
     def _before(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have a high part under ``bucket``."""
@@ -82,6 +89,12 @@ class Monotone:
         joined = (first >> shift) | np.where(shift > 0, second << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return joined & np.uint64((1 << self.low_bits) - 1)
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places ``i``."""
+        word = np.searchsorted(self.a["ones"], i.astype(self.a["ones"].dtype), side="right") - 1
+        place = word * 64 + _select_zero(~self.a["words"][word], i - self.a["ones"][word].astype(np.int64))
+        return ((place - i) << self.low_bits) | self.low(i).astype(np.int64)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """The index of the first value equal to each of ``values``, -1 where there is none."""
         values = values.astype(np.uint64)
@@ -104,34 +117,62 @@ class Monotone:
         return out
 
 
+class Level:
+    """Children (``owner``, ``key``), in this order, of ``parents`` nodes, each with a quantised logarithm."""
+
+    def __init__(self, parents: int, owner: np.ndarray, key: np.ndarray, log10: np.ndarray):
+        self.start = Monotone(np.searchsorted(owner, np.arange(parents + 1)))
+        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        size = np.diff(np.append(head, len(owner)))
+        last = key[head + size - 1].astype(np.int64) + 1
+        self.keys = Monotone(np.repeat(np.cumsum(last) - last, size) + key + 1)
+        self.code = mapped({"code": np.minimum(np.rint(-log10 * STEPS), 65535).astype(np.uint16)})["code"]
+
+    def find(self, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The place of each child, -1 where there is none (or no parent)."""
+        out = np.full(len(parent), -1, np.int64)
+        there = np.flatnonzero(parent >= 0)
+        if not len(there) or not self.keys.n:
+            return out
+        begin, end = self.start.at(parent[there]), self.start.at(parent[there] + 1)
+        before = np.where(begin > 0, self.keys.at(np.maximum(begin - 1, 0)), 0)
+        at = self.keys.find(before + key[there] + 1)
+        out[there] = np.where((at >= begin) & (at < end), at, -1)
+        return out
+
+    def power(self, at: np.ndarray, none: float) -> np.ndarray:
+        """Ten to the stored logarithm at each place, ``none`` where it is -1."""
+        if not len(self.code):
+            return np.full(len(at), none)
+        return np.where(at >= 0, 10.0 ** (-self.code[np.maximum(at, 0)].astype(float) / STEPS), none)
+
+
 class Trie:
-    """Contexts, and the words seen after each, with a quantised log-probability for each pair.
+    """Interpolated trigrams: p(w | u v) = a3 + b3 * (a2 + b2 * p(w)).
 
-    Level one holds the contexts. Level two holds the words after each context,
-    made monotone over the level by adding the context's range; so a word is
-    searched relative to its context. Probabilities are 16-bit numbers of
-    ``STEPS`` to one power of ten.
+    Words are numbers in ``words``, a sequence of their names. Below a word v are the
+    words w seen after it, with a2 = c(v w) / (c(v) + prior), and, in a level of
+    their own, the words u seen before it, with b3 = prior / (c(u v) + prior). Below
+    u are the words w seen after u v, with a3 = c(u v w) / (c(u v) + prior).
     """
 
-    STEPS = 4096
-
-    def __init__(self, contexts: np.ndarray, owner: np.ndarray, words: np.ndarray, log10: np.ndarray):
-        """``contexts`` sorted; pairs sorted by (owner, word): ``owner`` indexes contexts, words are under 2**WORD_BITS."""
-        self.contexts = Monotone(contexts)
-        self.followers = Monotone((owner.astype(np.uint64) << np.uint64(WORD_BITS)) | words.astype(np.uint64))
-        code = np.minimum(np.rint(-log10 * self.STEPS), 65535).astype(np.uint16)
-        self.code = mapped({"code": code})["code"]
-
-    def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The stored log-probability of each word after each context, nan where the pair isn't held."""
-        parts = [self._log10(context[a : a + BLOCK], word[a : a + BLOCK]) for a in range(0, len(context), BLOCK)]
-        return np.concatenate(parts) if parts else np.zeros(0)
-
-    def _log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = np.full(len(context), np.nan)
-        own = self.contexts.find(context)
-        known = np.flatnonzero(own >= 0)
-        at = self.followers.find((own[known].astype(np.uint64) << np.uint64(WORD_BITS)) | word[known].astype(np.uint64))
-        hit = at >= 0
-        out[known[hit]] = -self.code[at[hit]].astype(float) / self.STEPS
-        return out
+    def __init__(self, names: np.ndarray, pairs: tuple, contexts: tuple, triples: tuple, weights: np.ndarray):
+        """``pairs`` (v, w, log10 a2), ``contexts`` (v, u, log10 b3), ``triples`` (number of the context, w, log10 a3), log10 b2 of each word."""
+        self.words = Monotone(names)
+        self.pairs = Level(len(names), *pairs)
+        self.contexts = Level(len(names), *contexts)
+        self.triples = Level(len(contexts[0]), *triples)
+        self.weights = mapped({"code": np.minimum(np.rint(-weights * STEPS), 65535).astype(np.uint16)})["code"]
+
+    def parts(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(a3, b3, a2, b2) of names of words."""
+        found = [self._parts(*(x[a : a + BLOCK] for x in (u, v, w))) for a in range(0, len(u), BLOCK)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
+
+    def _parts(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        nu, nv, nw = (self.words.find(x) for x in (u, v, w))
+        context = self.contexts.find(nv, nu)
+        triple = self.triples.find(context, nw)
+        pair = self.pairs.find(nv, nw)
+        b2 = np.where(nv >= 0, 10.0 ** (-self.weights[np.maximum(nv, 0)].astype(float) / STEPS), 1.0) if len(self.weights) else np.ones(len(u))
+        return self.triples.power(triple, 0.0), self.contexts.power(context, 1.0), self.pairs.power(pair, 0.0), b2

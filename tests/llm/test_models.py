@@ -13,33 +13,70 @@ WORD = "[^\x20\x09-\x0d]+"
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
 
-def test_lm_is_brute_force(docs, nothing, monkeypatch):
+@pytest.mark.parametrize("frequent", [5, 1 << 17])
+def test_lm_is_brute_force(docs, nothing, monkeypatch, frequent):
     monkeypatch.setattr(lm, "SHARD_TOKENS", 1500)
-    monkeypatch.setattr(lm, "HEAVY_SHARE", 1 / 64)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     rows = docs.select("doc_id", "text").collect()
     texts = [re.findall(WORD, (r.text or "").translate(LOWER)) for r in rows]
     held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows]
-    one, pair, context = Counter(), Counter(), Counter()
+    one, two, three, after_one, after_two = Counter(), Counter(), Counter(), Counter(), Counter()
+    steps = lambda w: list(zip([1, 1, *w], [1, *w], [*w, 0], strict=False))
     for w, h in zip(texts, held, strict=True):
         if not h:
             one.update([*w, 0])
-            pair.update(zip([1, *w], [*w, 0], strict=True))
-            context.update([1, *w])
+            for x in steps(w):
+                three[x] += 1
+                two[x[1:]] += 1
+                after_one[x[1]] += 1
+                after_two[x[:2]] += 1
     n, z = sum(one.values()), sum(one.values()) + 0.1 * (len(one) + 1)
+
+    def p(x):
+        lower = (two[x[1:]] + lm.PRIOR * (one[x[2]] + 0.1) / z) / (after_one[x[1]] + lm.PRIOR)
+        return (three[x] + lm.PRIOR * lower) / (after_two[x[:2]] + lm.PRIOR)
+
     want = []
     for r, w, h in zip(rows, texts, held, strict=True):
         t = [*w, 0]
         base = sum(math.log10((one[x] + 0.1) / z) for x in t)
-        score = sum(math.log10(pair[p] / (context[p[0]] + lm.PRIOR)) if pair[p] else math.log10(lm.PRIOR / (context[p[0]] + lm.PRIOR) * (one[p[1]] + 0.1) / z) for p in zip([1, *w], t, strict=True))
-        want.append((-1 if r.doc_id is None else r.doc_id, h, len(t), sum(one[x] > 0 for x in t), n, base, score))
+        want.append((-1 if r.doc_id is None else r.doc_id, h, len(t), sum(one[x] > 0 for x in t), n, base, sum(math.log10(p(x)) for x in steps(w))))
     got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(docs).collect()]
     assert len(got) == len(want) and any(held)
     for g, x in zip(sorted(got), sorted(want), strict=True):
         assert g[:5] == x[:5]
-        assert g[5] == pytest.approx(x[5], abs=1e-6) and g[6] == pytest.approx(x[6], abs=2e-4 * x[2] + 1e-6)
+        assert g[5] == pytest.approx(x[5], abs=1e-6) and g[6] == pytest.approx(x[6], abs=3e-4 * x[2] + 1e-6)
     assert lm.score(nothing).count() == 0
 
 
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 12, 3000) ** 2 // 12
+    names = np.sort(rng.choice(1 << 61, 12, replace=False).astype(np.uint64))
+    v = len(names)
+    c1, c2, c3 = np.bincount(text[1:-1], minlength=v), Counter(zip(text, text[1:-1], strict=False)), Counter(zip(text, text[1:], text[2:], strict=False))
+    after = Counter(zip(text[1:], text[2:], strict=False))
+    contexts = sorted({(b, a) for a, b in c2})
+    nth = {c: i for i, c in enumerate(contexts)}
+    triples = sorted((nth[b, a], w, n) for (a, b, w), n in c3.items())
+    pairs = sorted((a, b, n) for (a, b), n in after.items())
+    col = lambda x, i: np.array([r[i] for r in x])
+    size = np.array([c2[a, b] for b, a in contexts])
+    trie = elias_fano.Trie(
+        names,
+        (col(pairs, 0), col(pairs, 1), np.log10(col(pairs, 2) / (c1[col(pairs, 0)] + lm.PRIOR))),
+        (col(contexts, 0), col(contexts, 1), np.log10(lm.PRIOR / (size + lm.PRIOR))),
+        (col(triples, 0), col(triples, 1), np.log10(col(triples, 2) / (size[col(triples, 0)] + lm.PRIOR))),
+        np.log10(lm.PRIOR / (c1 + lm.PRIOR)),
+    )
+    one = (np.bincount(text, minlength=v) + 0.1) / (len(text) + 0.1 * (v + 1))
+    unknown = 0.1 / (len(text) + 0.1 * (v + 1))
+    for a in range(v):
+        for b in range(v):
+            a3, b3, a2, b2 = trie.parts(*(names[x] for x in (np.full(v, a), np.full(v, b), np.arange(v))))
+            assert (a3 + b3 * (a2 + b2 * one)).sum() + b3[0] * b2[0] * unknown == pytest.approx(1, abs=2e-3)
+
+
 def test_elias_fano_finds_every_value():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1), (500, 600), (3000, 1 << 58), (2000, 1 << 20)):
@@ -48,6 +85,7 @@ def test_elias_fano_finds_every_value():
         asked = np.concatenate([values, rng.integers(0, max(top, 2), 500).astype(np.uint64)])
         place = {int(v): i for i, v in reversed(list(enumerate(values.tolist())))}
         assert m.find(asked).tolist() == [place.get(int(v), -1) for v in asked]
+        assert m.at(np.arange(n)).tolist() == values.tolist()
 
 
 def test_langid_learns_and_labels_every_document(docs, nothing):
