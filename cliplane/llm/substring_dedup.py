@@ -2,25 +2,31 @@
 
 A document's words are compressed in rounds. Each round first names maximal runs
 of one symbol (block step), then splits the symbols into a left and a right class
-by a bit of their name and names each left-right pair (pair step). Names are
-hashes of what they stand for, so every task gives equal content the same name,
-and no dictionary has to be shared. A symbol carries the span of words that
-decides it: wherever these words occur, the parse holds this symbol, so two equal
-stretches of words have the same symbols in their interior, whatever surrounds
-them.
-
-Spark then works on the named symbols:
-
-1. Documents with equal texts share their top symbol. One of them represents the
-   group in what follows, and each is covered whole.
-2. The symbols of level ``ROUNDS`` (about six words) are counted over the corpus.
-   A window whose interior holds a symbol that occurs once cannot occur twice and
-   is ruled out; long repeats show as stretches in which all symbols are shared.
-3. The windows of those stretches are verified: each gets a 96-bit name, and
+by a bit of their name and names each left-right pair (pair step). A name is made
+from what it stands for, so equal content has the same name in every task. A symbol
+carries the span of words that decides it: wherever these words occur, the parse
+holds this symbol, so two equal stretches of words have the same symbols in their
+interior, whatever surrounds them.
+
+Spark groups the names of the whole corpus in three steps, each on what the one
+before has left over:
+
+1. The symbols of ``LOW`` rounds (about six words). A window whose interior holds a
+   symbol that occurs once in the corpus cannot occur twice and is ruled out for
+   good; so texts without any shared stretch take no part in what follows.
+2. In the stretches that are left, the symbols of the ``HIGH`` rounds that span a
+   window or more. If such a symbol occurs twice, all windows inside it are repeated.
+   One of its occurrences goes on to tell other places; the others are settled.
+3. The windows that are neither ruled out nor settled. Each gets a 128-bit name, and
    names that start at two or more places mark their words for removal.
 
 Windows that a symbol cannot judge (its deciding span does not fit) are never
 ruled out, so the result is that of comparing all windows.
+
+Names are counted by partial sums, and a task tells only whether a name occurs once
+or more often in a chunk of its texts. What is known within the chunk doesn't ask;
+the others are joined with the counts, a join of two exchanges that Spark splits
+where a name is frequent. Equal texts are one text throughout, known by its MD5.
 """
 
 from __future__ import annotations
@@ -30,18 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.llm import kernels
-from cliplane.llm.runtime import ship, stash
+from cliplane.llm.runtime import ship
 
 WINDOW = 35
-ROUNDS = 6
+LOW = 6
+HIGH = (12, 15, 18, 21, 24)
 FAR = 1 << 40
-# Names travel with 48 bits: a chance meeting only makes a candidate, which is verified.
+# Names of step 1 travel with 48 bits: a chance meeting only makes a candidate, which is verified.
 SENT = np.uint64(0xFFFFFFFFFFFF0000)
-SEEDS = (101, 202)
+SEED = 101
+MIXERS = (101, 202)  # of the two halves of a name
 
 
 class Symbols:
@@ -102,62 +110,80 @@ def _pairs(x: Symbols, salt: int) -> Symbols:
     return Symbols(name[keep], x.start[keep], end[keep], left[keep], right[keep], x.text[keep])
 
 
-def recompress(word: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Symbols:
-    """The symbols after some rounds; ``first`` bounds the words of each text."""
-    at = np.arange(len(word))
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    x = Symbols(word.copy(), at, at + 1, at, at + 1, text)
-    for r in range(rounds):
+def parsed(x: Symbols, word: np.ndarray, rounds: range) -> Symbols:
+    """``x`` after more rounds."""
+    for r in rounds:
         if len(x.name):
             x = _pairs(_blocks(x, word), 2 * r + 1)
     return x
 
 
-def spread_known(f1: np.ndarray, f2: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of windows, and their places, so that a frequent name doesn't meet in one task.
+def recompress(word: np.ndarray, first: np.ndarray, rounds: int = LOW) -> Symbols:
+    """The symbols after some rounds; ``first`` bounds the words of each text."""
+    at = np.arange(len(word))
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return parsed(Symbols(word.copy(), at, at + 1, at, at + 1, text), word, range(rounds))
+
 
-    Windows that share their name with another one of the chunk are known to be
-    repeated; their place is given as ~pos. The first keeps the name and so tells
-    other chunks; the others only carry their own fact, under a name of their own.
-    """
-    order = np.lexsort((f2, f1))
-    same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1])
-    later, known = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    later[1:] = same
-    known[1:] = same
-    known[:-1] |= same
-    hit = order[later]
-    f1 = f1.copy()
-    f1[hit] = kernels.mixed(kernels.mixed(uid[hit].view(np.uint64)) + pos[hit].astype(np.uint64)).view(np.int64)
-    return f1, np.where(known[np.argsort(order)], ~pos, pos)
+def word_names(words: kernels.Words) -> np.ndarray:
+    return kernels.word_names(words, SEED)
+
+
+def span_names(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the names of runs of words."""
+    values = (kernels.mixed(word + np.uint64(m)) for m in MIXERS)
+    return tuple(kernels.spans_hash(x, start, end, m).view(np.int64) for x, m in zip(values, MIXERS, strict=True))
+
+
+def occurrences(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each different key, how often it occurs (2 stands for more), and which key each row has."""
+    order = np.lexsort(keys[::-1])
+    head = np.ones(len(order), bool)
+    head[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(head) - 1
+    at = np.flatnonzero(head)
+    return order[at], np.minimum(np.diff(np.append(at, len(order))), 2).astype(np.int8), which
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], lists: int = 0) -> Iterator[tuple]:
+    """(ids, words, columns of lists) of chunks of the texts in (uid, text, lists...)."""
+    for batch in batches:
+        texts = kernels.texts_of(batch.column(1))
+        for a, b in kernels.row_chunks(texts):
+            words = kernels.words_of(kernels.part_of(texts, a, b))
+            if len(words):
+                yield batch.column(0).slice(a, b - a), words, [batch.column(2 + i).slice(a, b - a) for i in range(lists)]
+
+
+def flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The elements of all lists, and the row of each."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.repeat(np.arange(len(column)), sizes)
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names.split())
 
 
-def _symbol_rows(window: int):
-    """(name, many, id, th) of each text's different symbols; many is 2 if it occurs more than once there."""
+def _low(window: int, count: bool):
+    """(name, n) of the symbols of a chunk, or (uid, name, known) of those of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = kernels.texts_of(batch.column(2))
-            ids, ths = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for a, b in kernels.row_chunks(texts):
-                words = kernels.words_of(kernels.part_of(texts, a, b))
-                if not len(words):
-                    continue
-                x = recompress(kernels.word_hashes(words, SEEDS[0]), words.first)
-                order = np.lexsort((x.name, x.text))
-                name, text = x.name[order], x.text[order]
-                head = np.ones(len(name), bool)
-                head[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-                at = np.flatnonzero(head)
-                many = np.minimum(np.diff(np.append(at, len(name))), 2).astype(np.int8)
-                name, row = name[at], text[at] + a
-                # A text with windows that no symbol judges is asked for in any case, by a name of its own.
-                start = open_windows(x, np.zeros(len(x.name), bool), words.first, window)
-                blind = np.unique(np.searchsorted(words.first, start, side="right") - 1) + a
-                own = kernels.mixed(kernels.mixed(ids[blind].view(np.uint64)) + ths[blind].astype(np.uint64))
-                name, row = (np.concatenate([name, own]) & SENT).view(np.int64), np.concatenate([row, blind])
-                many = np.concatenate([many, np.full(len(blind), 2, np.int8)])
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(many), pa.array(ids[row]), pa.array(ths[row])], ["name", "many", "id", "th"])
+        for uid, words, _ in _chunks(batches):
+            x = recompress(word_names(words), words.first)
+            name = x.name & SENT
+            one, n, which = occurrences(name)
+            if count:
+                yield _batch("name n", name[one].view(np.int64), n)
+                continue
+            known = n[which] > 1
+            one, _, _ = occurrences(name, x.text)
+            # A text with windows that no symbol judges is asked for in any case.
+            start = open_windows(x, np.zeros(len(x.name), bool), words.first, window)
+            blind = np.unique(np.searchsorted(words.first, start, side="right") - 1)
+            name, text = np.append(name[one], np.zeros(len(blind), np.uint64)), np.append(x.text[one], blind)
+            yield _batch("uid name known", uid.take(pa.array(text)), name.view(np.int64), np.append(known[one], np.ones(len(blind), bool)))
 
     return run
 
@@ -176,33 +202,97 @@ def open_windows(x: Symbols, known: np.ndarray, first: np.ndarray, window: int)
     return np.flatnonzero((np.cumsum(out[:-1]) == 0) & (np.arange(n) + window <= first[text + 1]))
 
 
-def candidate_windows(word: np.ndarray, first: np.ndarray, shared: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
-    """Starts of the windows that no unshared symbol rules out; shared[i] holds the shared names of text i."""
+def left_over(word: np.ndarray, first: np.ndarray, shared: pa.ListArray, window: int) -> tuple[Symbols, np.ndarray]:
+    """The low symbols, and for each word whether the window from there on isn't ruled out. ``shared`` holds each text's shared names."""
     x = recompress(word, first)
-    known = np.zeros(len(x.name), bool)
-    bound = np.searchsorted(x.text, np.arange(len(first)))
-    for i, names in enumerate(shared):
-        known[bound[i] : bound[i + 1]] = np.isin(x.name[bound[i] : bound[i + 1]] & SENT, names)
-    return open_windows(x, known, first, window)
+    names, row = flat(shared)
+    names = names.to_numpy(zero_copy_only=False).view(np.uint64)
+    # A name together with its text, so that one search answers for all texts of the chunk.
+    key = lambda name, text: kernels.mixed(name ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    known = np.isin(key(x.name & SENT, x.text), key(names, row))
+    out = np.zeros(len(word), bool)
+    out[open_windows(x, known, first, window)] = True
+    return x, out
+
+
+def high_symbols(x: Symbols, word: np.ndarray, still: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the symbols of HIGH rounds that span a window or more, none of whose windows is ruled out."""
+    left = np.concatenate([[0], np.cumsum(still)])
+    found, done = [np.zeros((0, 3), np.int64)], LOW
+    for rounds in HIGH:
+        x = parsed(x, word, range(done, rounds))
+        done = rounds
+        last = x.end - window + 1
+        fits = np.flatnonzero(last > x.start)
+        fits = fits[left[last[fits]] - left[x.start[fits]] == last[fits] - x.start[fits]]
+        found.append(np.stack([x.start[fits], x.end[fits], x.text[fits]], 1))
+    return tuple(np.unique(np.concatenate(found), axis=0).T)
+
+
+def _high(window: int, count: bool):
+    """Of long symbols, (g1, g2, n, uid, start), the smallest uid and start of a chunk, or (g1, g2, uid, start, stop)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uid, words, (shared,) in _chunks(batches, 1):
+            word = word_names(words)
+            x, still = left_over(word, words.first, shared, window)
+            start, end, text = high_symbols(x, word, still, window)
+            g1, g2 = span_names(word, start, end)
+            start, end = ((a - words.first[text]).astype(np.int32) for a in (start, end))
+            if not count:
+                yield _batch("g1 g2 uid start stop", g1, g2, uid.take(pa.array(text)), start, end)
+                continue
+            # In the order of uid, so that the first one of a name is the smallest.
+            ids = np.array(uid.to_pylist(), object)
+            rank = np.argsort(np.argsort(ids))
+            order = np.lexsort((start, rank[text]))
+            one, n, _ = occurrences(g1[order], g2[order])
+            one = order[one]
+            yield _batch("g1 g2 n uid start", g1[one], g2[one], n, uid.take(pa.array(text[one])), start[one])
+
+    return run
+
+
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return edge[::2], edge[1::2] - edge[::2]
+
 
+def _windows(window: int, count: bool):
+    """(f1, f2, n) of a chunk's windows, or (f1, f2, uid, pos, many): those that ask, and, without a name, runs of repeated ones."""
 
-def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = kernels.texts_of(batch.column(1))
-            uids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            names, at = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            at = at - at[0]
-            for a, b in kernels.row_chunks(texts):
-                words = kernels.words_of(kernels.part_of(texts, a, b))
-                hashes = [kernels.word_hashes(words, s) for s in SEEDS]
-                start = candidate_windows(hashes[0], words.first, [names[at[i] : at[i + 1]] for i in range(a, b)], window)
-                text = np.searchsorted(words.first, start, side="right") - 1
-                f1, f2 = (kernels.spans_hash(kernels.mixed(h), start, start + window, s) for h, s in zip(hashes, SEEDS, strict=True))
-                f1, f2, uid = f1.view(np.int64), f2.astype(np.uint32).view(np.int32), uids[a + text]
-                f1, pos = spread_known(f1, f2, uid, (start - words.first[text]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (f1, f2, uid, pos)], ["f1", "f2", "uid", "pos"])
+        for uid, words, (shared, sure) in _chunks(batches, 2):
+            word, first = word_names(words), words.first
+            _, still = left_over(word, first, shared, window)
+            symbols, row = flat(sure)
+            begin, stop = (symbols.field(i).to_numpy(zero_copy_only=False) + first[row] for i in (0, 1))
+            tells = symbols.field(2).to_numpy(zero_copy_only=False).astype(bool)
+            inside = np.zeros((2, len(word) + 1), np.int64)
+            for i, own in enumerate((~tells, tells)):
+                np.add.at(inside[i], begin[own], 1)
+                np.add.at(inside[i], stop[own] - window + 1, -1)
+            settled, telling = np.cumsum(inside, 1)[:, :-1] > 0
+            repeated = settled | telling
+            start = np.flatnonzero(still & (telling | ~settled))
+            f1, f2 = span_names(word, start, start + window)
+            one, n, which = occurrences(f1, f2)
+            if count:
+                many = np.maximum(n, np.where(np.bincount(which, telling[start], len(one)) > 0, 2, 1)).astype(np.int8)
+                yield _batch("f1 f2 n", f1[one], f2[one], many)
+                continue
+            repeated[start[n[which] > 1]] = True
+            # A run ends with its text: the last window of a text is never followed by one of the next.
+            at, many = runs_of(repeated)
+            text = np.searchsorted(first, at, side="right") - 1
+            pos = (at - first[text]).astype(np.int32)
+            none = pa.nulls(len(at), pa.int64())
+            yield _batch("f1 f2 uid pos many", none, none, uid.take(pa.array(text)), pos, many.astype(np.int32))
+            ask = ~repeated[start]
+            f1, f2, start = f1[ask], f2[ask], start[ask]
+            text = np.searchsorted(first, start, side="right") - 1
+            yield _batch("f1 f2 uid pos many", f1, f2, uid.take(pa.array(text)), (start - first[text]).astype(np.int32), np.ones(len(start), np.int32))
 
     return run
 
@@ -212,24 +302,19 @@ def _cut(window: int):
         for batch in batches:
             texts = kernels.texts_of(batch.column(1))
             copies = batch.column(2).to_numpy(zero_copy_only=False)
-            lists = batch.column(3)
-            if lists.null_count:
-                lists = lists.fill_null([])
-            places, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            at = at - at[0]
             for a, b in kernels.row_chunks(texts):
                 digests, kept_texts = [], []
                 words = kernels.words_of(kernels.part_of(texts, a, b))
                 first = words.first
                 size = np.diff(first)
                 cover = np.zeros(len(words) + 1, np.int64)
-                many = np.diff(at[a : b + 1])
-                begin = places[at[a] : at[b]] + np.repeat(first[:-1], many)
+                runs, row = flat(batch.column(3).slice(a, b - a))
+                begin, many = (runs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                begin = begin + first[row]
                 np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + window, -1)
+                np.add.at(cover, begin + many + window - 1, -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                whole = (copies[a:b] > 1) & (size >= window)
-                gone |= np.repeat(whole, size)
+                gone |= np.repeat((copies[a:b] > 1) & (size >= window), size)
                 left = np.flatnonzero(~gone)
                 kept_first = np.searchsorted(left, first)
                 buf, _, end = kernels.joined_by_space(kernels.Words(*_kept_words(words, left), kept_first))
@@ -239,11 +324,7 @@ def _cut(window: int):
                     kept = buf[stop[lo] : stop[hi] - 1].tobytes() if hi > lo else b""
                     digests.append(hashlib.sha256(kept).hexdigest())
                     kept_texts.append(kept.decode("utf-8", "replace"))
-                own = [c.slice(a, b - a) for c in (batch.column(0), batch.column(4))]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(size), pa.array(size - np.diff(kept_first)), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())],
-                    ["doc_id", "rest", "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+                yield _batch("uid n_words n_removed kept_sha256 kept_text", batch.column(0).slice(a, b - a), size, size - np.diff(kept_first), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string()))
 
     return run
 
@@ -263,11 +344,26 @@ def _kept_words(words: kernels.Words, left: np.ndarray) -> tuple[np.ndarray, np.
     return buf, end - length, end
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """A row is known by its id and a hash of its text, so that rows with one id stay apart."""
-    rest = F.struct(F.lit(0).cast("tinyint").alias("_"), *keep).alias("rest")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
+def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
+    """(uid, runs): where repeated windows start in each of the different texts (uid, text), as runs of (pos, many)."""
+    low = texts.select("uid", "text")
+    counts = low.mapInArrow(_low(window, True), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
+    own = low.mapInArrow(_low(window, False), "uid binary, name long, known boolean")
+    shared = own.filter("known").select("uid", "name").union(own.filter("not known").select("uid", "name").join(counts, "name").select("uid", "name"))
+    shared = shared.groupBy("uid").agg(F.collect_list("name").alias("names"))
+
+    left = low.join(shared, "uid").select("uid", "text", "names")
+    place = F.struct("uid", "start")
+    counts = left.mapInArrow(_high(window, True), "g1 long, g2 long, n tinyint, uid binary, start int").groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(place).alias("one")).filter("n > 1").select("g1", "g2", "one")
+    sure = left.mapInArrow(_high(window, False), "g1 long, g2 long, uid binary, start int, stop int").join(counts, ["g1", "g2"])
+    sure = sure.select("uid", F.struct("start", "stop", (place == F.col("one")).alias("tells")).alias("symbol")).groupBy("uid").agg(F.collect_list("symbol").alias("sure"))
+
+    left = left.join(sure, "uid", "left").select("uid", "text", "names", "sure")
+    counts = left.mapInArrow(_windows(window, True), "f1 long, f2 long, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2")
+    asked = left.mapInArrow(_windows(window, False), "f1 long, f2 long, uid binary, pos int, many int")
+    known = asked.filter("f1 is null").select("uid", "pos", "many")
+    told = asked.filter("f1 is not null").join(counts, ["f1", "f2"]).select("uid", "pos", "many")
+    return known.union(told).groupBy("uid").agg(F.collect_list(F.struct("pos", "many")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
@@ -276,30 +372,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Words are ``[^\\x20\\x09-\\x0D]+``. Each word that a repeated window of
     ``window`` words covers is removed; ``kept_text`` holds the others, one space
     apart. Null and empty texts have no words. Texts shorter than the window lose
-    nothing. Rows that repeat an id and text repeat each other's windows and lose
-    them all. Null ids are kept as null. Other columns are ignored unless kept.
+    nothing. Rows with equal texts repeat each other's windows and lose them all,
+    whatever their ids. Null ids are kept as null. Other columns are ignored unless
+    kept. Words and windows are the same if their names of 64 and 128 bits are.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    keyed = _keyed(docs, id_col, text_col, list(keep))
-    # Equal texts: one row stands for all.
-    own = stash(keyed.select("id", "th", F.md5("text").alias("whole")), "repeats-wholes")
-    groups = own.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("copies"))
-    known = stash(groups.select("whole", "rep.id", "rep.th", "copies", F.monotonically_increasing_id().alias("uid")), "repeats-known")
-    symbols = keyed.select("id", "th", "text").mapInArrow(_symbol_rows(window), "name long, many tinyint, id long, th int")
-    shared = symbols.withColumn("n", F.sum("many").over(Window.partitionBy("name"))).filter("n > 1")
-    by_text = shared.groupBy("id", "th").agg(F.collect_list("name").alias("names"))
-    asked = known.join(by_text, ["id", "th"]).select("id", "th", "uid", "names")
-    # doc_id and rest are taken along so that this join and the last one read one and the same exchange of the texts.
-    rows = keyed.join(asked, ["id", "th"]).select("uid", "text", "names", "doc_id", "rest").mapInArrow(_window_rows(window), "f1 long, f2 int, uid long, pos int")
-    known_twice = F.when(F.col("pos") < 0, 2).otherwise(1)
-    repeated = rows.withColumn("n", F.sum(known_twice).over(Window.partitionBy("f1", "f2"))).filter("n > 1")
-    places = repeated.groupBy("uid").agg(F.collect_list(F.greatest("pos", F.bitwise_not("pos"))).alias("places"))
-    fate = own.join(known.select("whole", "copies", "uid"), "whole").join(places, "uid", "left")
-    fate = fate.select("id", "th", "copies", F.when(F.col("copies") == 1, F.col("places")).alias("places")).dropDuplicates(["id", "th"])
-    found = keyed.join(fate, ["id", "th"], "left").select("doc_id", "text", "copies", "places", "rest")
-    out = found.mapInArrow(_cut(window), f"doc_id long, rest {found.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
+    ship(docs.sparkSession)
+    rest = F.struct(F.lit(0).cast("tinyint").alias("_"), *keep).alias("rest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.unhex(F.md5(text)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
+    # All steps read one and the same exchange of the different texts.
+    texts = keyed.groupBy("uid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    found = texts.join(repeated_runs(texts, window), "uid", "left").select("uid", "text", "copies", "runs")
+    cut = found.mapInArrow(_cut(window), "uid binary, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return keyed.drop("text").join(cut, "uid").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -44,6 +44,35 @@ def test_substring_dedup_keeps_columns(docs, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_words_of_any_make_are_told_apart(spark):
+    """Words of 1,024 bytes that sums of powers can't tell apart, and a short stretch of a long repeat elsewhere."""
+    turns = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = turns.translate(str.maketrans("ab", "ba"))
+    frame = [f"w{i}" for i in range(61)]
+    rng = np.random.default_rng(5)
+    long = [f"v{i}" for i in rng.integers(0, 10**6, 400)]
+    lone = lambda n: [f"x{i}" for i in rng.integers(0, 10**9, n)]
+    texts = [" ".join(frame[:31] + [x] + frame[32:]) for x in (turns, other)]
+    texts += [" ".join([*lone(20), *long, *lone(20)]) for _ in range(3)] + [" ".join([*lone(50), *long[a : a + n], *lone(9)]) for a, n in ((100, 36), (201, 35), (250, 34), (303, 90))]
+    texts += [" ".join(["same"] * 200), " ".join(["same"] * 34), None, ""]
+    rows = [(None if i % 3 == 0 else 7, t, i) for i, t in enumerate(texts)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, uid int"), keep=["uid"]).collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in sorted(got, key=lambda r: r.uid)] == brute_repeats(texts)
+
+
+def test_long_symbols_are_found_in_long_repeats():
+    rng = np.random.default_rng(6)
+    word = kernels.mixed(rng.integers(0, 5000, 3000).astype(np.uint64))
+    first = np.array([0, 3000])
+    x = substring_dedup.recompress(word, first)
+    start, end, _ = substring_dedup.high_symbols(x, word, np.arange(3000) + 35 <= 3000, 35)
+    covered = np.zeros(3000, bool)
+    for a, b in zip(start, end, strict=True):
+        assert b - a >= 35
+        covered[a : b - 34] = True
+    assert covered.mean() > 0.7
+
+
 def test_parse_is_decided_by_its_words():
     """Wherever a symbol's deciding words occur, the same symbol is found there."""
     rng = np.random.default_rng(2)
