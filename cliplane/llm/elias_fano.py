@@ -150,7 +150,7 @@ class Level:
 class Trie:
     """Interpolated trigrams: p(w | u v) = a3 + b3 * (a2 + b2 * p(w)).
 
-    Words are numbers in ``words``, a sequence of their names. Below a word v are the
+    Words are numbers in ``words``, a sequence of their names, which ``number`` searches. Below a word v are the
     words w seen after it, with a2 = c(v w) / (c(v) + prior), and, in a level of
     their own, the words u seen before it, with b3 = prior / (c(u v) + prior). Below
     u are the words w seen after u v, with a3 = c(u v w) / (c(u v) + prior).
@@ -164,15 +164,20 @@ class Trie:
         self.triples = Level(len(contexts[0]), *triples)
         self.weights = mapped({"code": np.minimum(np.rint(-weights * STEPS), 65535).astype(np.uint16)})["code"]
 
+    def number(self, names: np.ndarray) -> np.ndarray:
+        return self.words.find(names)
+
     def parts(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(a3, b3, a2, b2) of names of words."""
+        """(a3, b3, a2, b2) of words by number; -1 is an unknown word."""
         found = [self._parts(*(x[a : a + BLOCK] for x in (u, v, w))) for a in range(0, len(u), BLOCK)]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 4
 
     def _parts(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        nu, nv, nw = (self.words.find(x) for x in (u, v, w))
-        context = self.contexts.find(nv, nu)
-        triple = self.triples.find(context, nw)
-        pair = self.pairs.find(nv, nw)
-        b2 = np.where(nv >= 0, 10.0 ** (-self.weights[np.maximum(nv, 0)].astype(float) / STEPS), 1.0) if len(self.weights) else np.ones(len(u))
+        # Searches of one context and of one pair of words are done once.
+        pairs = [np.unique(v * len(self.weights) + x, return_index=True, return_inverse=True)[1:] for x in (u, w)]
+        (one, back), (other, again) = pairs
+        context = self.contexts.find(v[one], u[one])[back]
+        pair = self.pairs.find(v[other], w[other])[again]
+        triple = self.triples.find(context, w)
+        b2 = np.where(v >= 0, 10.0 ** (-self.weights[np.maximum(v, 0)].astype(float) / STEPS), 1.0) if len(self.weights) else np.ones(len(u))
         return self.triples.power(triple, 0.0), self.contexts.power(context, 1.0), self.pairs.power(pair, 0.0), b2

@@ -16,16 +16,16 @@ middle word, so unigram scores come from the same tasks.
 
 The ``FREQUENT`` most frequent words are known beforehand with their counts, so
 that tasks have their p(w). What is asked of other words is finished by a join with
-the counts. A frequent word with over ``SHARD_TOKENS / 4`` tokens is dealt out by
+the counts. A frequent word with over ``CROWD`` times ``SHARD_TOKENS`` tokens is dealt out by
 both words u v, and a pair u v (one of the ``FREQUENT`` most frequent) with so many
 by all three; then the task lacks c(v w), and the triple is finished by a join with
 the counts of the pairs after such words. So a shard outgrows its size only by words
 that are not among the frequent ones, which have a share of under 1 / FREQUENT each.
 
 Words are known by 62 bits of their XXH64. Triples travel packed: a chunk of
-documents sends each task one binary row with the names of the words, runs of
-middle words, and numbers for the other words and the documents; there are never
-more rows than triples.
+documents sends each task one binary row with the words (frequent ones by their
+steps in the table, others by name), runs of middle words, and numbers for the
+other words and the documents; there are never more rows than triples.
 """
 
 from __future__ import annotations
@@ -46,15 +46,16 @@ from cliplane.llm.runtime import ship, stash
 PRIOR = 3.0
 FREQUENT = 1 << 17
 SHARD_TOKENS = 2_000_000
+CROWD = 1.5
 CHUNK = 8 << 20
 CHUNK_ROWS = 32_000
 SEED = 404
 START, STOP = np.uint64(1), np.uint64(2)  # names of what comes before a text and of its end
 KINDS = {
     "rid": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(),
-    "v": pa.int64(), "w": pa.int64(), "a": pa.float64(), "b": pa.float64(), "p": pa.float64(), "cv": pa.int64(), "c": pa.int64(),
+    "v": pa.int64(), "w": pa.int64(), "a": pa.float32(), "b": pa.float32(), "p": pa.float32(), "c": pa.int64(),
 }
-OUT = "rid long, doc_id long, held boolean, n_tokens long, known long, base double, score double, v long, w long, a double, b double, p double, cv long, c long"
+OUT = "rid long, doc_id long, held boolean, n_tokens long, known long, base double, score double, v long, w long, a float, b float, p float, c long"
 
 
 def tokens(texts: kernels.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +97,22 @@ class Table:
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """The count of each key, -1 where it isn't in the table."""
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't in the table."""
         if not len(self.keys):
             return np.full(len(keys), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], -1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key, -1 where it isn't in the table."""
+        at = self.place(keys)
+        return np.where(at >= 0, self.counts[at], -1) if len(self.keys) else at
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The numbers in two bytes each if they fit, else in four."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
 
 
 def held_out(id_col: str):
@@ -148,6 +159,7 @@ def _deal(shards: int, words: Table, pairs: Table, least: int):
 
     def pack(base: int, texts: kernels.Texts, held: np.ndarray, facts: dict) -> Iterator[pa.RecordBatch]:
         names, u, v, w, doc = triples(texts)
+        listed = words.place(names)
         spread = kernels.mixed(names)[v]
         hot = np.flatnonzero((words.of(names) >= least)[v])
         by_two = pair_key(names[u[hot]], names[v[hot]])
@@ -162,11 +174,16 @@ def _deal(shards: int, words: Table, pairs: Table, least: int):
         rows = []
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(shard)).tolist(), strict=True):
             used, local = np.unique(np.concatenate([v[a:b], u[a:b], w[a:b]]), return_inverse=True)
-            local = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-            n = b - a
+            # Frequent words come first, in the order of the table.
+            place = listed[used]
+            order = np.lexsort((place, place < 0))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            local = narrow(back[local])
+            n, frequent = b - a, int((place >= 0).sum())
             at = np.flatnonzero(np.append(True, local[1:n] != local[: n - 1]))
-            parts = [names[used], local[:n][at], np.diff(np.append(at, n)).astype(np.uint32), local[n:], code[a:b]]
-            sizes = np.array([len(used), len(at), n], np.int64)
+            parts = [narrow(np.diff(place[order[:frequent]], prepend=0)), names[used[order[frequent:]]], local[:n][at], narrow(np.diff(np.append(at, n))), local[n:], code[a:b]]
+            sizes = np.array([x for p in parts for x in (p.itemsize, len(p))], np.int32)
             rows.append((int(shard[a]), base, len(texts), sizes.tobytes() + b"".join(p.tobytes() for p in parts)))
         yield batch_of(rows)
         # What is known of the documents themselves goes to any shard.
@@ -190,16 +207,16 @@ def _deal(shards: int, words: Table, pairs: Table, least: int):
     return run
 
 
-def unpacked(row: bytes) -> tuple[np.ndarray, ...]:
+def unpacked(row: bytes, words: Table) -> tuple[np.ndarray, ...]:
     """Names, and of each triple the numbers of v, u and w among them, and its document's code."""
-    used, runs, n = np.frombuffer(row, np.int64, 3).tolist()
-    small = np.uint16 if used < 1 << 16 else np.uint32
-    at, out = 24, []
-    for kind, many in ((np.uint64, used), (small, runs), (np.uint32, runs), (small, 2 * n), (np.uint16, n)):
-        out.append(np.frombuffer(row, kind, many, at))
-        at += many * np.dtype(kind).itemsize
-    names, v, size, rest, code = out
-    return names, np.repeat(v, size), rest[:n], rest[n:], code
+    sizes = np.frombuffer(row, np.int32, 12).tolist()
+    at, parts = 48, []
+    for width, many in zip(sizes[::2], sizes[1::2], strict=True):
+        parts.append(np.frombuffer(row, f"u{width}", many, at))
+        at += many * width
+    steps, rare, v, runs, rest, code = parts
+    names = np.concatenate([words.keys[np.cumsum(steps, dtype=np.int64)], rare])
+    return names, np.repeat(v, runs), rest[: len(code)], rest[len(code) :], code
 
 
 def table(rid: np.ndarray, **given) -> pa.Table:
@@ -224,7 +241,7 @@ def _score(words: Table, pairs: Table, least: int, z: float):
             if docs < 0:
                 yield table(**facts(base, -docs, raw))
                 continue
-            own, v, u, w, code = unpacked(raw)
+            own, v, u, w, code = unpacked(raw, words)
             parts.append([x.astype(np.int32) + names_before for x in (v, u, w)] + [(code & np.uint16(0x7FFF)).astype(np.int32) + docs_before, code >> np.uint16(15) == 0])
             names.append(own)
             rids.append(base + np.arange(docs))
@@ -262,7 +279,7 @@ def _score(words: Table, pairs: Table, least: int, z: float):
             (triple_c[seen], triple_w[seen], np.log10(c3[seen] / (c2[triple_c[seen]] + PRIOR))),
             np.log10(PRIOR / (c1 + PRIOR)),
         )
-        a3, b3, a2, b2 = trie.parts(names[triple_u], names[triple_v], names[triple_w])
+        a3, b3, a2, b2 = trie.parts(triple_u, triple_v, triple_w)
         p = np.where(listed >= 0, (listed + 0.1) / z, np.nan)[triple_w]
         split = crowded[triple_v]
         with np.errstate(invalid="ignore"):
@@ -273,9 +290,9 @@ def _score(words: Table, pairs: Table, least: int, z: float):
         yield table(rids[there], known=known[there].astype(np.int64), base=base[there], score=np.bincount(slot, value[at], docs_before)[there])
         token = np.flatnonzero(~done[at])
         one = at[token]
-        a, b = np.where(split, a3, a3 + b3 * a2)[one], np.where(split, b3, b3 * b2)[one]
+        a, b = np.where(split, a3, a3 + b3 * a2)[one], np.where(split, b3 / (c1[triple_v] + PRIOR), b3 * b2)[one]
         alone = ~split[one]
-        yield table(rids[slot[token]], v=pa.array(names.view(np.int64)[triple_v[one]], mask=alone), w=names.view(np.int64)[triple_w[one]], a=a, b=b, p=pa.array(p[one], from_pandas=True), cv=pa.array(c1[triple_v[one]], mask=alone))
+        yield table(rids[slot[token]], v=pa.array(names.view(np.int64)[triple_v[one]], mask=alone), w=names.view(np.int64)[triple_w[one]], a=a, b=b, p=pa.array(p[one], pa.float32(), from_pandas=True))
         pair_v, pair_w, cp = (x[~whole] for x in (pair_v, pair_w, cp))
         yield table(np.zeros(len(cp), np.int64), v=names.view(np.int64)[pair_v], w=names.view(np.int64)[pair_w], c=cp)
 
@@ -305,12 +322,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     null id is learned from. Null and empty texts are the end token alone. Rows
     that repeat a document count and are scored each. Other columns are ignored.
     Without training documents all counts are zero and every token is as likely.
-    The rows are written before they are numbered, so that a task that runs again
-    gives the same numbers, whatever ``docs`` comes from.
+    Documents are numbered by where they are read, so ``docs`` is to be a table that
+    is read from files; write what comes out of a shuffle first.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = stash(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held")), "lm-rows")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
     counts = stash(word_counts(rows), "lm-words")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("w") == int(STOP), F.col("c"))).alias("stops")).first()
     n, v, stops = total["n"] or 0, total["v"], total["stops"] or 0
@@ -318,7 +335,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     most = counts.orderBy(F.desc("c"), "w").limit(FREQUENT).toArrow()
     # A text begins as often as it ends.
     words = Table(np.append(most["w"].to_numpy().view(np.uint64), START), np.append(most["c"].to_numpy(), stops))
-    least = max(2, SHARD_TOKENS // 4)
+    least = int(CROWD * SHARD_TOKENS)
     pairs = crowded_pairs(rows, words, least)
     # Shards follow all tokens: those that are only scored take room, too.
     size = rows.agg(F.sum(F.when(F.col("held"), F.length("text"))).alias("held"), F.sum(F.when(~F.col("held"), F.length("text"))).alias("learned")).first()
@@ -326,11 +343,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     dealt = rows.mapInArrow(_deal(shards, words, pairs, least), "shard int, base long, docs int, triples binary")
     # One task for each shard, so that no task holds more than one.
     found = stash(dealt.repartitionById(shards, F.col("shard")).mapInArrow(_by_shard(_score(words, pairs, least, z)), OUT), "lm-parts")
-    asked = found.filter("a is not null").select("rid", "v", "w", "a", "b", "p", "cv")
-    rare = asked.filter("p is null").drop("p").join(counts, "w", "left").withColumn("p", (F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(z)).drop("c")
+    asked = found.filter("a is not null").select("rid", "v", "w", "a", "b", "p")
+    rare = asked.filter("p is null").drop("p").join(counts, "w", "left").withColumn("p", ((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(z)).cast("float")).drop("c")
     asked = asked.filter("p is not null").unionByName(rare)
     after = found.filter("c is not null").groupBy("v", "w").agg(F.sum("c").alias("c"))
-    lower = (F.coalesce("c", F.lit(0)) + F.lit(PRIOR) * F.col("p")) / (F.col("cv") + F.lit(PRIOR))
+    lower = F.coalesce("c", F.lit(0)) + F.lit(PRIOR) * F.col("p")
     both = asked.filter("v is not null").join(after, ["v", "w"], "left").select("rid", F.log10(F.col("a") + F.col("b") * lower).alias("score"))
     one = asked.filter("v is null").select("rid", F.log10(F.col("a") + F.col("b") * F.col("p")).alias("score"))
     parts = found.filter("a is null and c is null").select("rid", "doc_id", "held", "n_tokens", "known", "base", "score").unionByName(both, allowMissingColumns=True).unionByName(one, allowMissingColumns=True)
