@@ -40,7 +40,7 @@ STEPS = 300
 BATCH = 160
 LEAST_DRAWS = 8
 RATE = 0.02
-BLOCK = 2_000
+BLOCK = 3_000
 GROUP_BYTES = 4 << 20  # of texts whose pieces are labelled together
 LEAST_SCORE = 0.5
 
