@@ -13,8 +13,8 @@ before has left over:
 
 1. The symbols of ``LOW`` rounds (about six words). A window whose interior holds a
    symbol that occurs once in the corpus cannot occur twice and is ruled out for
-   good; so texts without any shared stretch take no part in what follows.
-2. In the stretches that are left, the symbols of the ``HIGH`` rounds that span a
+   good; so words outside of shared stretches take no part in what follows.
+2. In the stretches that are left, each parsed by itself, the symbols of the ``HIGH`` rounds that span a
    window or more. If such a symbol occurs twice, all windows inside it are repeated.
    One of its occurrences goes on to tell other places; the others are settled.
 3. The windows that are neither ruled out nor settled. Each gets a 128-bit name, and
@@ -26,7 +26,9 @@ ruled out, so the result is that of comparing all windows.
 Names are counted by partial sums, and a task tells only whether a name occurs once
 or more often in a chunk of its texts. What is known within the chunk doesn't ask;
 the others are joined with the counts, a join of two exchanges that Spark splits
-where a name is frequent. Equal texts are one text throughout, known by its MD5.
+where a name is frequent. Equal texts are one text throughout, known by 96 bits of
+its MD5. Words have quick hashes in step 1, which only selects, and XXH64 names in
+the steps that decide.
 """
 
 from __future__ import annotations
@@ -125,12 +127,8 @@ def recompress(word: np.ndarray, first: np.ndarray, rounds: int = LOW) -> Symbol
     return parsed(Symbols(word.copy(), at, at + 1, at, at + 1, text), word, range(rounds))
 
 
-def word_names(words: kernels.Words) -> np.ndarray:
-    return kernels.word_names(words, SEED)
-
-
 def span_names(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of the names of runs of words."""
+    """The two halves of the names of the runs ``word[start:end]``."""
     values = (kernels.mixed(word + np.uint64(m)) for m in MIXERS)
     return tuple(kernels.spans_hash(x, start, end, m).view(np.int64) for x, m in zip(values, MIXERS, strict=True))
 
@@ -146,14 +144,18 @@ def occurrences(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[at], np.minimum(np.diff(np.append(at, len(order))), 2).astype(np.int8), which
 
 
+KEY = ["u1", "u2"]  # of a text
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], lists: int = 0) -> Iterator[tuple]:
-    """(ids, words, columns of lists) of chunks of the texts in (uid, text, lists...)."""
+    """(keys, words, columns of lists) of chunks of the texts in (u1, u2, text, lists...)."""
     for batch in batches:
-        texts = kernels.texts_of(batch.column(1))
+        texts = kernels.texts_of(batch.column(2))
         for a, b in kernels.row_chunks(texts):
             words = kernels.words_of(kernels.part_of(texts, a, b))
             if len(words):
-                yield batch.column(0).slice(a, b - a), words, [batch.column(2 + i).slice(a, b - a) for i in range(lists)]
+                keys = [batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (0, 1)]
+                yield keys, words, [batch.column(3 + i).slice(a, b - a) for i in range(lists)]
 
 
 def flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -167,23 +169,23 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def _low(window: int, count: bool):
-    """(name, n) of the symbols of a chunk, or (uid, name, known) of those of each text."""
+    """(name, n) of the symbols of a chunk, or (u1, u2, name) of those of each text, odd where the chunk knows that they are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, words, _ in _chunks(batches):
-            x = recompress(word_names(words), words.first)
+        for (u1, u2), words, _ in _chunks(batches):
+            x = recompress(kernels.word_hashes(words, SEED), words.first)
             name = x.name & SENT
             one, n, which = occurrences(name)
             if count:
                 yield _batch("name n", name[one].view(np.int64), n)
                 continue
-            known = n[which] > 1
+            name |= (n[which] > 1).astype(np.uint64)
             one, _, _ = occurrences(name, x.text)
             # A text with windows that no symbol judges is asked for in any case.
             start = open_windows(x, np.zeros(len(x.name), bool), words.first, window)
             blind = np.unique(np.searchsorted(words.first, start, side="right") - 1)
-            name, text = np.append(name[one], np.zeros(len(blind), np.uint64)), np.append(x.text[one], blind)
-            yield _batch("uid name known", uid.take(pa.array(text)), name.view(np.int64), np.append(known[one], np.ones(len(blind), bool)))
+            name, text = np.append(name[one], np.ones(len(blind), np.uint64)), np.append(x.text[one], blind)
+            yield _batch("u1 u2 name", u1[text], u2[text], name.view(np.int64))
 
     return run
 
@@ -202,97 +204,136 @@ def open_windows(x: Symbols, known: np.ndarray, first: np.ndarray, window: int)
     return np.flatnonzero((np.cumsum(out[:-1]) == 0) & (np.arange(n) + window <= first[text + 1]))
 
 
-def left_over(word: np.ndarray, first: np.ndarray, shared: pa.ListArray, window: int) -> tuple[Symbols, np.ndarray]:
-    """The low symbols, and for each word whether the window from there on isn't ruled out. ``shared`` holds each text's shared names."""
-    x = recompress(word, first)
-    names, row = flat(shared)
-    names = names.to_numpy(zero_copy_only=False).view(np.uint64)
-    # A name together with its text, so that one search answers for all texts of the chunk.
-    key = lambda name, text: kernels.mixed(name ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    known = np.isin(key(x.name & SENT, x.text), key(names, row))
-    out = np.zeros(len(word), bool)
-    out[open_windows(x, known, first, window)] = True
-    return x, out
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def _open(window: int):
+    """(u1, u2, runs): where the windows start that aren't ruled out, by text; ``names`` are the text's shared symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (u1, u2), words, (shared,) in _chunks(batches, 1):
+            x = recompress(kernels.word_hashes(words, SEED), words.first)
+            names, row = flat(shared)
+            names = names.to_numpy(zero_copy_only=False).view(np.uint64) & SENT
+            # A name together with its text, so that one search answers for all texts of the chunk.
+            key = lambda name, text: kernels.mixed(name ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            known = np.isin(key(x.name & SENT, x.text), key(names, row))
+            still = np.zeros(len(words), bool)
+            still[open_windows(x, known, words.first, window)] = True
+            # A run ends with its text: the last window of a text is never followed by one of the next.
+            at, many = runs_of(still)
+            text = np.searchsorted(words.first, at, side="right") - 1
+            cut = np.searchsorted(text, np.arange(len(u1) + 1))
+            runs = pa.StructArray.from_arrays([pa.array((at - words.first[text]).astype(np.int32)), pa.array(many.astype(np.int32))], ["pos", "many"])
+            some = np.flatnonzero(np.diff(cut))
+            yield _batch("u1 u2 runs", u1[some], u2[some], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), runs).take(pa.array(some)))
+
+    return run
 
 
-def high_symbols(x: Symbols, word: np.ndarray, still: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of the symbols of HIGH rounds that span a window or more, none of whose windows is ruled out."""
+class Stretches:
+    """The words of a chunk that windows cover which aren't ruled out.
+
+    ``still`` marks the windows' first words; ``at`` are the words, ``first`` bounds
+    the stretches among them, ``name`` are their XXH64.
+    """
+
+    def __init__(self, words: kernels.Words, runs: pa.ListArray, window: int):
+        found, row = flat(runs)
+        begin, many = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        begin = begin + words.first[row]
+        mark = np.zeros((2, len(words) + 1), np.int64)
+        np.add.at(mark[0], begin, 1)
+        np.add.at(mark[0], begin + many, -1)
+        np.add.at(mark[1], begin, 1)
+        np.add.at(mark[1], begin + many + window - 1, -1)
+        self.still, covered = np.cumsum(mark, 1)[:, :-1] > 0
+        self.at = np.flatnonzero(covered)
+        text = np.searchsorted(words.first, self.at, side="right")
+        new = np.append(True, (np.diff(self.at) > 1) | (np.diff(text) > 0)) if len(self.at) else np.zeros(0, bool)
+        self.first = np.append(np.flatnonzero(new), len(self.at))
+        self.name = kernels.xxh64(words.buf, words.start[self.at], words.end[self.at], SEED)
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of the names of runs of words of the chunk."""
+        return span_names(self.name, np.searchsorted(self.at, start), np.searchsorted(self.at, end - 1) + 1)
+
+
+def high_symbols(name: np.ndarray, first: np.ndarray, still: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the symbols of HIGH rounds that span a window or more, none of whose windows is ruled out."""
     left = np.concatenate([[0], np.cumsum(still)])
-    found, done = [np.zeros((0, 3), np.int64)], LOW
+    x, done = recompress(name, first), LOW
+    found = [np.zeros((0, 2), np.int64)]
     for rounds in HIGH:
-        x = parsed(x, word, range(done, rounds))
+        x = parsed(x, name, range(done, rounds))
         done = rounds
         last = x.end - window + 1
         fits = np.flatnonzero(last > x.start)
         fits = fits[left[last[fits]] - left[x.start[fits]] == last[fits] - x.start[fits]]
-        found.append(np.stack([x.start[fits], x.end[fits], x.text[fits]], 1))
+        found.append(np.stack([x.start[fits], x.end[fits]], 1))
     return tuple(np.unique(np.concatenate(found), axis=0).T)
 
 
 def _high(window: int, count: bool):
-    """Of long symbols, (g1, g2, n, uid, start), the smallest uid and start of a chunk, or (g1, g2, uid, start, stop)."""
+    """Of long symbols, (g1, g2, n, u1, u2, start) with the smallest place in a chunk, or (g1, g2, u1, u2, start, stop)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, words, (shared,) in _chunks(batches, 1):
-            word = word_names(words)
-            x, still = left_over(word, words.first, shared, window)
-            start, end, text = high_symbols(x, word, still, window)
-            g1, g2 = span_names(word, start, end)
-            start, end = ((a - words.first[text]).astype(np.int32) for a in (start, end))
-            if not count:
-                yield _batch("g1 g2 uid start stop", g1, g2, uid.take(pa.array(text)), start, end)
+        for (u1, u2), words, (runs,) in _chunks(batches, 1):
+            own = Stretches(words, runs, window)
+            if not len(own.at):
                 continue
-            # In the order of uid, so that the first one of a name is the smallest.
-            ids = np.array(uid.to_pylist(), object)
-            rank = np.argsort(np.argsort(ids))
-            order = np.lexsort((start, rank[text]))
-            one, n, _ = occurrences(g1[order], g2[order])
-            one = order[one]
-            yield _batch("g1 g2 n uid start", g1[one], g2[one], n, uid.take(pa.array(text[one])), start[one])
+            start, end = high_symbols(own.name, own.first, own.still[own.at], window)
+            g1, g2 = span_names(own.name, start, end)
+            start, end = own.at[start], own.at[end - 1] + 1
+            text = np.searchsorted(words.first, start, side="right") - 1
+            start, end = ((a - words.first[text]).astype(np.int32) for a in (start, end))
+            if count:
+                order = np.lexsort((start, u2[text], u1[text]))
+                one, n, _ = occurrences(g1[order], g2[order])
+                one = order[one]
+                yield _batch("g1 g2 n u1 u2 start", g1[one], g2[one], n, u1[text[one]], u2[text[one]], start[one])
+            else:
+                yield _batch("g1 g2 u1 u2 start stop", g1, g2, u1[text], u2[text], start, end)
 
     return run
 
 
-def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return edge[::2], edge[1::2] - edge[::2]
-
-
 def _windows(window: int, count: bool):
-    """(f1, f2, n) of a chunk's windows, or (f1, f2, uid, pos, many): those that ask, and, without a name, runs of repeated ones."""
+    """(f1, f2, n) of a chunk's windows, or (f1, f2, u1, u2, pos, many): those that ask, and, without a name, runs of repeated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, words, (shared, sure) in _chunks(batches, 2):
-            word, first = word_names(words), words.first
-            _, still = left_over(word, first, shared, window)
+        for (u1, u2), words, (runs, sure) in _chunks(batches, 2):
+            first, own = words.first, Stretches(words, runs, window)
+            if not len(own.at):
+                continue
             symbols, row = flat(sure)
             begin, stop = (symbols.field(i).to_numpy(zero_copy_only=False) + first[row] for i in (0, 1))
             tells = symbols.field(2).to_numpy(zero_copy_only=False).astype(bool)
-            inside = np.zeros((2, len(word) + 1), np.int64)
-            for i, own in enumerate((~tells, tells)):
-                np.add.at(inside[i], begin[own], 1)
-                np.add.at(inside[i], stop[own] - window + 1, -1)
+            inside = np.zeros((2, len(words) + 1), np.int64)
+            for i, some in enumerate((~tells, tells)):
+                np.add.at(inside[i], begin[some], 1)
+                np.add.at(inside[i], stop[some] - window + 1, -1)
             settled, telling = np.cumsum(inside, 1)[:, :-1] > 0
             repeated = settled | telling
-            start = np.flatnonzero(still & (telling | ~settled))
-            f1, f2 = span_names(word, start, start + window)
+            start = np.flatnonzero(own.still & (telling | ~settled))
+            f1, f2 = own.names(start, start + window)
             one, n, which = occurrences(f1, f2)
             if count:
                 many = np.maximum(n, np.where(np.bincount(which, telling[start], len(one)) > 0, 2, 1)).astype(np.int8)
                 yield _batch("f1 f2 n", f1[one], f2[one], many)
                 continue
             repeated[start[n[which] > 1]] = True
-            # A run ends with its text: the last window of a text is never followed by one of the next.
             at, many = runs_of(repeated)
             text = np.searchsorted(first, at, side="right") - 1
-            pos = (at - first[text]).astype(np.int32)
             none = pa.nulls(len(at), pa.int64())
-            yield _batch("f1 f2 uid pos many", none, none, uid.take(pa.array(text)), pos, many.astype(np.int32))
+            yield _batch("f1 f2 u1 u2 pos many", none, none, u1[text], u2[text], (at - first[text]).astype(np.int32), many.astype(np.int32))
             ask = ~repeated[start]
             f1, f2, start = f1[ask], f2[ask], start[ask]
             text = np.searchsorted(first, start, side="right") - 1
-            yield _batch("f1 f2 uid pos many", f1, f2, uid.take(pa.array(text)), (start - first[text]).astype(np.int32), np.ones(len(start), np.int32))
+            yield _batch("f1 f2 u1 u2 pos many", f1, f2, u1[text], u2[text], (start - first[text]).astype(np.int32), np.ones(len(start), np.int32))
 
     return run
 
@@ -300,15 +341,15 @@ def _windows(window: int, count: bool):
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = kernels.texts_of(batch.column(1))
-            copies = batch.column(2).to_numpy(zero_copy_only=False)
+            texts = kernels.texts_of(batch.column(2))
+            copies = batch.column(3).to_numpy(zero_copy_only=False)
             for a, b in kernels.row_chunks(texts):
                 digests, kept_texts = [], []
                 words = kernels.words_of(kernels.part_of(texts, a, b))
                 first = words.first
                 size = np.diff(first)
                 cover = np.zeros(len(words) + 1, np.int64)
-                runs, row = flat(batch.column(3).slice(a, b - a))
+                runs, row = flat(batch.column(4).slice(a, b - a))
                 begin, many = (runs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 begin = begin + first[row]
                 np.add.at(cover, begin, 1)
@@ -324,7 +365,7 @@ def _cut(window: int):
                     kept = buf[stop[lo] : stop[hi] - 1].tobytes() if hi > lo else b""
                     digests.append(hashlib.sha256(kept).hexdigest())
                     kept_texts.append(kept.decode("utf-8", "replace"))
-                yield _batch("uid n_words n_removed kept_sha256 kept_text", batch.column(0).slice(a, b - a), size, size - np.diff(kept_first), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string()))
+                yield _batch("u1 u2 n_words n_removed kept_sha256 kept_text", *(batch.column(i).slice(a, b - a) for i in (0, 1)), size, size - np.diff(kept_first), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string()))
 
     return run
 
@@ -345,25 +386,27 @@ def _kept_words(words: kernels.Words, left: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
-    """(uid, runs): where repeated windows start in each of the different texts (uid, text), as runs of (pos, many)."""
-    low = texts.select("uid", "text")
-    counts = low.mapInArrow(_low(window, True), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
-    own = low.mapInArrow(_low(window, False), "uid binary, name long, known boolean")
-    shared = own.filter("known").select("uid", "name").union(own.filter("not known").select("uid", "name").join(counts, "name").select("uid", "name"))
-    shared = shared.groupBy("uid").agg(F.collect_list("name").alias("names"))
-
-    left = low.join(shared, "uid").select("uid", "text", "names")
-    place = F.struct("uid", "start")
-    counts = left.mapInArrow(_high(window, True), "g1 long, g2 long, n tinyint, uid binary, start int").groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(place).alias("one")).filter("n > 1").select("g1", "g2", "one")
-    sure = left.mapInArrow(_high(window, False), "g1 long, g2 long, uid binary, start int, stop int").join(counts, ["g1", "g2"])
-    sure = sure.select("uid", F.struct("start", "stop", (place == F.col("one")).alias("tells")).alias("symbol")).groupBy("uid").agg(F.collect_list("symbol").alias("sure"))
-
-    left = left.join(sure, "uid", "left").select("uid", "text", "names", "sure")
+    """(u1, u2, runs): where repeated windows start in each of the different texts (u1, u2, text), as runs of (pos, many)."""
+    texts = texts.select(*KEY, "text")
+    odd = F.col("name").bitwiseAND(F.lit(1)) == 1
+    counts = texts.mapInArrow(_low(window, True), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
+    own = texts.mapInArrow(_low(window, False), "u1 long, u2 int, name long")
+    shared = own.filter(odd).select(*KEY, "name").union(own.filter(~odd).join(counts, "name").select(*KEY, "name"))
+    shared = shared.groupBy(*KEY).agg(F.collect_list("name").alias("names"))
+    opened = texts.join(shared, KEY).select(*KEY, "text", "names").mapInArrow(_open(window), "u1 long, u2 int, runs array<struct<pos: int, many: int>>")
+
+    left = texts.join(opened, KEY).select(*KEY, "text", "runs")
+    place = F.struct(*KEY, "start")
+    counts = left.mapInArrow(_high(window, True), "g1 long, g2 long, n tinyint, u1 long, u2 int, start int").groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(place).alias("one")).filter("n > 1").select("g1", "g2", "one")
+    sure = left.mapInArrow(_high(window, False), "g1 long, g2 long, u1 long, u2 int, start int, stop int").join(counts, ["g1", "g2"])
+    sure = sure.select(*KEY, F.struct("start", "stop", (place == F.col("one")).alias("tells")).alias("symbol")).groupBy(*KEY).agg(F.collect_list("symbol").alias("sure"))
+
+    left = left.join(sure, KEY, "left").select(*KEY, "text", "runs", "sure")
     counts = left.mapInArrow(_windows(window, True), "f1 long, f2 long, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2")
-    asked = left.mapInArrow(_windows(window, False), "f1 long, f2 long, uid binary, pos int, many int")
-    known = asked.filter("f1 is null").select("uid", "pos", "many")
-    told = asked.filter("f1 is not null").join(counts, ["f1", "f2"]).select("uid", "pos", "many")
-    return known.union(told).groupBy("uid").agg(F.collect_list(F.struct("pos", "many")).alias("runs"))
+    asked = left.mapInArrow(_windows(window, False), "f1 long, f2 long, u1 long, u2 int, pos int, many int")
+    known = asked.filter("f1 is null").select(*KEY, "pos", "many")
+    told = asked.filter("f1 is not null").join(counts, ["f1", "f2"]).select(*KEY, "pos", "many")
+    return known.union(told).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "many")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
@@ -379,12 +422,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     ship(docs.sparkSession)
     rest = F.struct(F.lit(0).cast("tinyint").alias("_"), *keep).alias("rest")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.unhex(F.md5(text)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
+    digits = lambda at, n: F.conv(F.substring(F.md5(text), at, n), 16, -10).cast("long")
+    keyed = docs.select(digits(1, 16).alias("u1"), (digits(17, 8) - F.lit(1 << 31)).cast("int").alias("u2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
     # All steps read one and the same exchange of the different texts.
-    texts = keyed.groupBy("uid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    found = texts.join(repeated_runs(texts, window), "uid", "left").select("uid", "text", "copies", "runs")
-    cut = found.mapInArrow(_cut(window), "uid binary, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return keyed.drop("text").join(cut, "uid").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
+    texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    found = texts.join(repeated_runs(texts, window), KEY, "left").select(*KEY, "text", "copies", "runs")
+    cut = found.mapInArrow(_cut(window), "u1 long, u2 int, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return keyed.drop("text").join(cut, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
