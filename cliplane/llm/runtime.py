@@ -39,6 +39,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Write ``df`` to the shared folder, dealt out and sorted by ``keys``, and read it back.
+
+    Joins by these keys then read it where it lies, without another exchange. There
+    are as many buckets as shuffle partitions, so what comes out of a shuffle by
+    ``keys`` gives one file for each.
+    """
+    spark = df.sparkSession
+    table = f"cliplane_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/cliplane/{table}")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     app = spark.sparkContext.applicationId

@@ -17,7 +17,7 @@ before has left over:
 2. In the stretches that are left, each parsed by itself, the symbols of the ``HIGH`` rounds that span a
    window or more. If such a symbol occurs twice, all windows inside it are repeated.
    One of its occurrences goes on to tell other places; the others are settled.
-3. The windows that are neither ruled out nor settled. Each gets a 128-bit name, and
+3. The windows that are neither ruled out nor settled. Each gets a 96-bit name, and
    names that start at two or more places mark their words for removal.
 
 Windows that a symbol cannot judge (its deciding span does not fit) are never
@@ -42,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.llm import kernels
-from cliplane.llm.runtime import ship
+from cliplane.llm.runtime import bucketed, ship, stash
 
 WINDOW = 35
 LOW = 6
-HIGH = (12, 15, 18, 21, 24)
+HIGH = (9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 22, 24)
 FAR = 1 << 40
 # Names of step 1 travel with 48 bits: a chance meeting only makes a candidate, which is verified.
 SENT = np.uint64(0xFFFFFFFFFFFF0000)
@@ -320,6 +320,7 @@ def _windows(window: int, count: bool):
             repeated = settled | telling
             start = np.flatnonzero(own.still & (telling | ~settled))
             f1, f2 = own.names(start, start + window)
+            f2 = f2.astype(np.int32)
             one, n, which = occurrences(f1, f2)
             if count:
                 many = np.maximum(n, np.where(np.bincount(which, telling[start], len(one)) > 0, 2, 1)).astype(np.int8)
@@ -328,8 +329,8 @@ def _windows(window: int, count: bool):
             repeated[start[n[which] > 1]] = True
             at, many = runs_of(repeated)
             text = np.searchsorted(first, at, side="right") - 1
-            none = pa.nulls(len(at), pa.int64())
-            yield _batch("f1 f2 u1 u2 pos many", none, none, u1[text], u2[text], (at - first[text]).astype(np.int32), many.astype(np.int32))
+            none = (pa.nulls(len(at), kind) for kind in (pa.int64(), pa.int32()))
+            yield _batch("f1 f2 u1 u2 pos many", *none, u1[text], u2[text], (at - first[text]).astype(np.int32), many.astype(np.int32))
             ask = ~repeated[start]
             f1, f2, start = f1[ask], f2[ask], start[ask]
             text = np.searchsorted(first, start, side="right") - 1
@@ -387,23 +388,26 @@ def _kept_words(words: kernels.Words, left: np.ndarray) -> tuple[np.ndarray, np.
 
 def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     """(u1, u2, runs): where repeated windows start in each of the different texts (u1, u2, text), as runs of (pos, many)."""
-    texts = texts.select(*KEY, "text")
+    row = [*KEY, "text"]
+    texts = texts.select(*row)
     odd = F.col("name").bitwiseAND(F.lit(1)) == 1
     counts = texts.mapInArrow(_low(window, True), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
     own = texts.mapInArrow(_low(window, False), "u1 long, u2 int, name long")
     shared = own.filter(odd).select(*KEY, "name").union(own.filter(~odd).join(counts, "name").select(*KEY, "name"))
     shared = shared.groupBy(*KEY).agg(F.collect_list("name").alias("names"))
-    opened = texts.join(shared, KEY).select(*KEY, "text", "names").mapInArrow(_open(window), "u1 long, u2 int, runs array<struct<pos: int, many: int>>")
+    opened = texts.join(shared, KEY).select(*row, "names").mapInArrow(_open(window), "u1 long, u2 int, runs array<struct<pos: int, many: int>>")
 
-    left = texts.join(opened, KEY).select(*KEY, "text", "runs")
+    opened = stash(opened, "repeats-open")
+    left = texts.join(opened, KEY).select(*row, "runs")
     place = F.struct(*KEY, "start")
     counts = left.mapInArrow(_high(window, True), "g1 long, g2 long, n tinyint, u1 long, u2 int, start int").groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(place).alias("one")).filter("n > 1").select("g1", "g2", "one")
     sure = left.mapInArrow(_high(window, False), "g1 long, g2 long, u1 long, u2 int, start int, stop int").join(counts, ["g1", "g2"])
     sure = sure.select(*KEY, F.struct("start", "stop", (place == F.col("one")).alias("tells")).alias("symbol")).groupBy(*KEY).agg(F.collect_list("symbol").alias("sure"))
+    sure = stash(sure, "repeats-sure")
 
-    left = left.join(sure, KEY, "left").select(*KEY, "text", "runs", "sure")
-    counts = left.mapInArrow(_windows(window, True), "f1 long, f2 long, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2")
-    asked = left.mapInArrow(_windows(window, False), "f1 long, f2 long, u1 long, u2 int, pos int, many int")
+    left = left.join(sure, KEY, "left").select(*row, "runs", "sure")
+    counts = left.mapInArrow(_windows(window, True), "f1 long, f2 int, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2")
+    asked = left.mapInArrow(_windows(window, False), "f1 long, f2 int, u1 long, u2 int, pos int, many int")
     known = asked.filter("f1 is null").select(*KEY, "pos", "many")
     told = asked.filter("f1 is not null").join(counts, ["f1", "f2"]).select(*KEY, "pos", "many")
     return known.union(told).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "many")).alias("runs"))
@@ -417,15 +421,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     apart. Null and empty texts have no words. Texts shorter than the window lose
     nothing. Rows with equal texts repeat each other's windows and lose them all,
     whatever their ids. Null ids are kept as null. Other columns are ignored unless
-    kept. Words and windows are the same if their names of 64 and 128 bits are.
+    kept. Words and windows are the same if their names of 64 and 96 bits are.
     """
     ship(docs.sparkSession)
     rest = F.struct(F.lit(0).cast("tinyint").alias("_"), *keep).alias("rest")
     text = F.coalesce(F.col(text_col), F.lit(""))
     digits = lambda at, n: F.conv(F.substring(F.md5(text), at, n), 16, -10).cast("long")
     keyed = docs.select(digits(1, 16).alias("u1"), (digits(17, 8) - F.lit(1 << 31)).cast("int").alias("u2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
-    # All steps read one and the same exchange of the different texts.
-    texts = keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    texts = bucketed(keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies")), KEY, "texts")
     found = texts.join(repeated_runs(texts, window), KEY, "left").select(*KEY, "text", "copies", "runs")
     cut = found.mapInArrow(_cut(window), "u1 long, u2 int, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return keyed.drop("text").join(cut, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
