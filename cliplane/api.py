@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cliplane.operators import search, tracker
 
-OBJECTS = "id string, status string, title string, type string, added_at long, attempts int, completed_at long, last_error string, last_attempt long, file_path string"
+OBJECTS = "id string, status string, title string, type string, added_at long, attempts int, completed_at long, last_error string, last_attempt long, file_path string, updated_at timestamp"
 
 
 class Library:
-    """Read side of the video library over a table or a path of Parquet files."""
+    """The video library over a table or a path of Parquet files. Changes make a new library."""
 
     def __init__(self, videos: DataFrame):
         self.videos = videos
@@ -38,6 +39,19 @@ class Library:
         return search.library_stats(self.videos)
 
 
+    def insert(self, new: DataFrame) -> Library:
+        """With the rows whose id isn't there yet; of new rows with one id the one that is smallest by all columns."""
+        fresh = search.insert(self.videos, new).filter("not duplicate").drop("duplicate")
+        first = fresh.groupBy("video_id").agg(F.min(F.struct(*new.columns)).alias("row")).select("row.*")
+        return Library(self.videos.unionByName(first, allowMissingColumns=True))
+
+    def update(self, changes: DataFrame) -> Library:
+        return Library(search.update(self.videos, changes, "video_id"))
+
+    def delete(self, ids: DataFrame) -> Library:
+        return Library(search.delete(self.videos, ids, "video_id"))
+
+
 class Tracker:
     """The work queue. Changes make a new queue; ``save`` writes it where a reader expects it."""
 
@@ -66,6 +80,21 @@ class Tracker:
     def clear(self, ids: DataFrame | None = None) -> Tracker:
         return Tracker(tracker.clear(self.objects, ids))
 
+    def status(self, object_id: str) -> DataFrame:
+        return tracker.status_of(self.objects, object_id)
+
+    def is_completed(self, ids: DataFrame) -> DataFrame:
+        return tracker.is_completed(self.objects, ids)
+
+    def errors(self) -> DataFrame:
+        return tracker.errors(self.objects)
+
+    def all_completed(self) -> DataFrame:
+        return tracker.completed(self.objects)
+
+    def rates(self) -> DataFrame:
+        return tracker.rates(self.objects)
+
     def pending(self, kind: str = "all", limit: int | None = 100) -> DataFrame:
         return tracker.pending(self.objects, kind, limit)
 

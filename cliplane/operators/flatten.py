@@ -22,8 +22,9 @@ challenges array<struct<id: string, desc: string>>"""
 
 
 def to_int(value: Column) -> Column:
-    """A whole number, or null where the text isn't one (``12.5`` isn't)."""
-    return F.when(F.trim(value.cast("string")).rlike(r"^[+-]?\d+$"), F.trim(value.cast("string"))).try_cast("bigint")
+    """A whole number, single underscores between its digits allowed, or null where the text isn't one (``12.5`` isn't)."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(text, F.lit("_"), F.lit(""))).try_cast("bigint")
 
 
 def unless_empty(items: Column) -> Column:

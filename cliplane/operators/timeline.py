@@ -29,16 +29,19 @@ def joined_text(order: tuple, text: Column, separator: str) -> Column:
     return F.array_join(F.transform(items, lambda x: x["t"]), separator)
 
 
+SLOT = 30.0  # seconds
+
+
 def align_segments(segments: DataFrame, scenes: DataFrame) -> DataFrame:
     """Each segment with the first scene that holds its middle (start included, end not); others are dropped.
 
-    The range is looked up by time slots of a length that no scene exceeds times
-    two, so that a video's segments aren't compared with all of its scenes.
+    The range is looked up by time slots of ``SLOT`` seconds: a scene has a row in
+    each slot that it touches, so that a segment is compared only with the scenes of
+    its own slot, however long one scene of some video is.
     """
     mid = (F.col("start") + F.coalesce("end", "start")) / 2
-    longest = scenes.agg(F.greatest(F.max(F.col("end_time") - F.col("start_time")), F.lit(1.0)).alias("s")).scalar()
-    slot = lambda at: F.floor(at / longest)
-    placed = scenes.select(F.col("video_id").alias("v"), "scene_id", "start_time", "end_time").withColumn("slot", F.explode(F.sequence(slot(F.col("start_time")), slot(F.col("end_time")))))
+    slot = lambda at: F.floor(at / F.lit(SLOT))
+    placed = scenes.select(F.col("video_id").alias("v"), "scene_id", "start_time", "end_time").filter("start_time < end_time").withColumn("slot", F.explode(F.sequence(slot(F.col("start_time")), slot(F.col("end_time")))))
     asked = segments.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("mid", mid).withColumn("slot", slot(F.col("mid")))
     hit = (asked["video_id"] == placed["v"]) & (asked["slot"] == placed["slot"]) & (asked["mid"] >= placed["start_time"]) & (asked["mid"] < placed["end_time"])
     found = asked.join(placed, hit).drop("v", placed["slot"], asked["slot"])

@@ -1,7 +1,10 @@
 """The work queue ``objects``: idempotent adds, state changes, probes and statistics.
 
 Each mutator takes the queue and returns the changed queue with its columns.
-``now`` is a timestamp in seconds, so that a rerun gives the same rows.
+``now`` is a timestamp in seconds, so that a rerun gives the same rows. A queue with
+the column ``updated_at`` has the time of the change there in every row that a
+mutator changes or adds. Where one batch names an id more than once, rows count in
+the order of ``pos``; without that column the greatest value counts as the last.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ OPEN = ("pending", "retry")
 
 def _set(objects: DataFrame, where: Column, **values: Column) -> DataFrame:
     hit = F.coalesce(where, F.lit(False))
+    if "updated_at" in objects.columns:
+        values |= {"updated_at": F.current_timestamp()}
     return objects.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
@@ -22,43 +27,48 @@ def add_objects(objects: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """Add (id, title, type) rows whose id is new; the first of rows with one id counts (by ``pos``), known ids stay as they are."""
     first = new.groupBy("id").agg(F.min(F.struct("pos", "title", "type")).alias("f")).select("id", "f.title", "f.type")
     fresh = first.join(objects.select("id"), "id", "left_anti")
-    filled = {"status": F.lit("pending"), "added_at": F.lit(now).cast("long"), "attempts": F.lit(0)}
+    filled = {"status": F.lit("pending"), "added_at": F.lit(now).cast("long"), "attempts": F.lit(0), "updated_at": F.current_timestamp()}
     kinds = dict(objects.dtypes)
     rows = fresh.select(*(filled[c].alias(c) if c in filled else F.col(c) if c in fresh.columns else F.lit(None).cast(kinds[c]).alias(c) for c in objects.columns))
     return objects.unionByName(rows)
 
 
+def _last(rows: DataFrame, value: str) -> DataFrame:
+    """(_id, _value, _n): the last value of each id, and how often it occurs."""
+    order = [c for c in ("pos", value) if c in rows.columns]
+    return rows.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(value), F.struct(*order))[value].alias("_value"), F.count("*").cast("int").alias("_n"))
+
+
 def mark_completed(objects: DataFrame, done: DataFrame, now: int) -> DataFrame:
-    """Complete the ids of ``done`` (id, file_path); unknown ids change nothing."""
-    paths = done.select(F.col("id").alias("_id"), F.col("file_path").alias("_path")).dropDuplicates(["_id"])
+    """Complete the ids of ``done`` (id, file_path, pos); the last path of an id wins, unknown ids change nothing."""
+    paths = _last(done, "file_path")
     joined = objects.join(paths, F.col("id") == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
-    return _set(joined, hit, status=F.lit("completed"), completed_at=F.lit(now).cast("long"), file_path=F.col("_path")).select(*objects.columns)
+    return _set(joined, hit, status=F.lit("completed"), completed_at=F.lit(now).cast("long"), file_path=F.col("_value")).select(*objects.columns)
 
 
 def zipped(ids: Column, paths: Column) -> Column:
-    """Positional pairs of ids and paths."""
-    return F.explode(F.arrays_zip(ids.alias("id"), paths.alias("file_path")))
+    """Positional pairs of ids and paths, with their position."""
+    numbered = F.transform(F.arrays_zip(ids.alias("id"), paths.alias("file_path")), lambda x, i: F.struct(x["id"].alias("id"), x["file_path"].alias("file_path"), i.alias("pos")))
+    return F.explode(numbered)
 
 
 def mark_error(objects: DataFrame, failed: DataFrame, now: int) -> DataFrame:
-    """Record errors (id, message; the message may be null) and count the attempt."""
-    said = failed.select(F.col("id").alias("_id"), F.col("message").alias("_message")).dropDuplicates(["_id"])
+    """Record errors (id, message, pos; the message may be null): every one counts as an attempt, the last message stays."""
+    said = _last(failed, "message")
     joined = objects.join(said, F.col("id") == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
-    return _set(joined, hit, status=F.lit("error"), attempts=F.col("attempts") + 1, last_error=F.col("_message"), last_attempt=F.lit(now).cast("long")).select(*objects.columns)
+    return _set(joined, hit, status=F.lit("error"), attempts=F.col("attempts") + F.col("_n"), last_error=F.col("_value"), last_attempt=F.lit(now).cast("long")).select(*objects.columns)
 
 
 def reset_errors(objects: DataFrame) -> DataFrame:
     """Errors become pending and lose their message and time; attempts stay."""
-    hit = F.col("status") == "error"
-    values = {"status": F.lit("pending"), "last_error": F.lit(None).cast("string"), "last_attempt": F.lit(None).cast("long")}
-    return objects.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+    return _set(objects, F.col("status") == "error", status=F.lit("pending"), last_error=F.lit(None).cast("string"), last_attempt=F.lit(None).cast("long"))
 
 
 def reset_all(objects: DataFrame) -> DataFrame:
     """All become pending without message and time; attempts and completion times stay."""
-    return objects.withColumns({"status": F.lit("pending"), "last_error": F.lit(None).cast("string"), "last_attempt": F.lit(None).cast("long")})
+    return _set(objects, F.lit(True), status=F.lit("pending"), last_error=F.lit(None).cast("string"), last_attempt=F.lit(None).cast("long"))
 
 
 def clear(objects: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -72,11 +82,6 @@ def put_metadata(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(last.select("key"), "key", "left_anti").unionByName(last)
 
 
-def touched(objects: DataFrame) -> DataFrame:
-    """Any change bumps ``updated_at``."""
-    return objects.withColumn("updated_at", F.current_timestamp())
-
-
 def pending(objects: DataFrame, kind: str = "all", limit: int | None = None) -> DataFrame:
     """Open work, oldest first (ties by id)."""
     rows = objects.filter(F.col("status").isin(*OPEN))

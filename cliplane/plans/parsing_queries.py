@@ -199,10 +199,11 @@ def f_20(spark, d) -> DataFrame:
     return videos(spark, d).select("video_id", parse.video_id(shape).alias("found"), parse.video_id_in_path(shape).alias("in_path"))
 
 
-@query("f_22_to_int", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS n FROM events""")
+@query("f_22_to_int", """SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 11 = 4 THEN NULL WHEN event_id % 7 = 1 THEN event_id * 1000 + 7 ELSE event_id END AS n FROM events""")
 def f_22(spark, d) -> DataFrame:
     e = F.col("event_id")
-    shape = F.when(e % 3 == 0, F.concat(e.cast("string"), F.lit(".5"))).when(e % 3 == 1, F.concat(F.lit(" "), e.cast("string"), F.lit(" "))).otherwise(e.cast("string"))
+    text = e.cast("string")
+    shape = F.when(e % 3 == 0, F.concat(text, F.lit(".5"))).when(e % 11 == 4, F.concat(text, F.lit("__1"))).when(e % 7 == 1, F.concat(text, F.lit("_007"))).when(e % 3 == 1, F.concat(F.lit(" "), e.cast("string"), F.lit(" "))).otherwise(e.cast("string"))
     return table(spark, d, "events").select("event_id", flatten.to_int(shape).alias("n"))
 
 

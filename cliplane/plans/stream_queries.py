@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cliplane.plans.registry import query
 from cliplane.session import shared_dir
+from cliplane.sources import files
+from cliplane.sources.adapters import table
 from cliplane.streaming import queue
 
 
@@ -22,3 +24,46 @@ def t_1(spark, d) -> DataFrame:
     for n in range(2):
         queue.ingest(work, f"{place}/queue", f"{place}/checkpoint-{n}", f"run{n}")
     return queue.read_queue(spark, f"{place}/queue")
+
+
+@query("k_4_json_files", "SELECT c_custkey AS id, c_name AS title, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS segment FROM customer")
+def k_4(spark, d) -> DataFrame:
+    """JSON lines, written and read again; null fields are there, too."""
+    place = f"{shared_dir(spark)}/cliplane-json-{uuid.uuid4().hex}"
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("segment"))
+    files.write_json(rows, place)
+    return spark.read.schema("id long, title string, segment string").json(place)
+
+
+@query("s_4_documents", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title FROM nation")
+def s_4(spark, d) -> DataFrame:
+    """One JSON document a file, over several lines."""
+    place = f"{shared_dir(spark)}/cliplane-documents-{uuid.uuid4().hex}"
+    text = F.concat(F.lit("{\n  \"id\": "), F.col("n_nationkey").cast("string"), F.lit(",\n  \"title\": \""), F.col("n_name"), F.lit("\"\n}"))
+    table(spark, d, "nation").select(text.alias("value"), F.col("n_nationkey").alias("key")).repartition("key").write.partitionBy("key").text(place)
+    return files.read_metadata(spark, f"{place}/*", "id long, title string")
+
+
+@query("s_22_file_info", "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(length(n_name) + 1 AS BIGINT) AS size, '.txt' AS suffix FROM nation")
+def s_22(spark, d) -> DataFrame:
+    """Size and suffix of files of a known text."""
+    place = f"{shared_dir(spark)}/cliplane-files-{uuid.uuid4().hex}"
+    table(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("id")).repartition("id").write.partitionBy("id").text(place)
+    found = files.file_info(spark, f"{place}/*/*.txt")
+    return found.select(F.regexp_extract("path", r"/id=(\d+)/", 1).cast("long").alias("id"), "size", "suffix")
+
+
+@query("t_4_state_stream", "SELECT user_id AS video_id, max_by(event_type, struct_pack(ts := ts, id := event_id)) AS state FROM events GROUP BY user_id")
+def t_4(spark, d) -> DataFrame:
+    """The latest state of each video, kept by a stream over the events."""
+    events = queue.work_stream(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema)
+    changes = events.select(F.col("user_id").alias("video_id"), F.col("event_type").alias("state"), F.struct("ts", "event_id").alias("at"))
+    place, name = f"{shared_dir(spark)}/cliplane-states-{uuid.uuid4().hex}", f"states_{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.select("video_id", "state").write.mode("overwrite").parquet(f"{place}/{name}/epoch={epoch:010}")
+
+    run = queue.states(changes).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.read.parquet(f"{place}/{name}").agg(F.max("epoch")).first()[0]
+    return spark.read.parquet(f"{place}/{name}").filter(F.col("epoch") == last).drop("epoch")

@@ -41,15 +41,19 @@ def k_7(spark, d) -> DataFrame:
 @query("k_8_mark_completed", sql("objects", f""", {PARTS} SELECT o.id, CASE WHEN p.id IS NULL THEN status ELSE 'completed' END AS status, title, type, added_at, attempts,
 CASE WHEN p.id IS NULL THEN completed_at ELSE {NOW} END AS completed_at, last_error, last_attempt, CASE WHEN p.id IS NULL THEN file_path ELSE 'done/' || p.id END AS file_path FROM objects o LEFT JOIN parts p ON o.id = p.id"""))
 def k_8(spark, d) -> DataFrame:
-    done = _parts(spark, d).select(F.array("id").alias("ids"), F.array(F.concat(F.lit("done/"), F.col("id").cast("string"))).alias("paths"))
-    pairs = done.select(tracker.zipped(F.col("ids"), F.col("paths")).alias("p")).select("p.id", "p.file_path")
+    path = lambda folder: F.concat(F.lit(folder), F.col("id").cast("string"))
+    # The id comes twice, and one that isn't in the queue between: the last path wins.
+    done = _parts(spark, d).select(F.array("id", -F.col("id") - 1, "id").alias("ids"), F.array(path("zzz/"), path("none/"), path("done/")).alias("paths"))
+    pairs = done.select(tracker.zipped(F.col("ids"), F.col("paths")).alias("p")).select("p.*")
     return tracker.mark_completed(objects(spark, d), pairs, NOW)
 
 
-@query("k_9_mark_error", sql("objects", f""", {PARTS} SELECT o.id, CASE WHEN p.id IS NULL THEN status ELSE 'error' END AS status, title, type, added_at, CASE WHEN p.id IS NULL THEN attempts ELSE attempts + 1 END AS attempts,
+@query("k_9_mark_error", sql("objects", f""", {PARTS} SELECT o.id, CASE WHEN p.id IS NULL THEN status ELSE 'error' END AS status, title, type, added_at, CASE WHEN p.id IS NULL THEN attempts ELSE attempts + CASE WHEN p.id % 3 = 0 THEN 2 ELSE 1 END END AS attempts,
 completed_at, CASE WHEN p.id IS NULL THEN last_error WHEN p.id % 2 = 0 THEN 'timeout' END AS last_error, CASE WHEN p.id IS NULL THEN last_attempt ELSE {NOW} END AS last_attempt, file_path FROM objects o LEFT JOIN parts p ON o.id = p.id"""))
 def k_9(spark, d) -> DataFrame:
-    return tracker.mark_error(objects(spark, d), _parts(spark, d).withColumn("message", F.when(F.col("id") % 2 == 0, "timeout")), NOW)
+    first = _parts(spark, d).filter("id % 3 = 0").select("id", F.lit("zzz").alias("message"), F.lit(0).alias("pos"))
+    failed = _parts(spark, d).select("id", F.when(F.col("id") % 2 == 0, "timeout").alias("message"), F.lit(1).alias("pos"))
+    return tracker.mark_error(objects(spark, d), first.unionByName(failed), NOW)
 
 
 @query("k_10_reset_errors", sql("objects", """SELECT id, CASE status WHEN 'error' THEN 'pending' ELSE status END AS status, title, type, added_at, attempts, completed_at, CASE WHEN status <> 'error' THEN last_error END AS last_error,
@@ -68,9 +72,10 @@ def k_12(spark, d) -> DataFrame:
     return tracker.clear(objects(spark, d), _parts(spark, d))
 
 
-@query("k_13_updated_at")
+@query("k_13_updated_at", sql("objects", """, fixed AS (SELECT id, CASE status WHEN 'error' THEN 'pending' ELSE status END AS status, status = 'error' AS touched FROM objects) SELECT * FROM fixed"""))
 def k_13(spark, d) -> DataFrame:
-    return tracker.touched(tracker.reset_errors(objects(spark, d))).select("id", "status", F.col("updated_at").isNotNull().alias("touched"))
+    queue = objects(spark, d).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    return tracker.reset_errors(queue).select("id", "status", F.col("updated_at").isNotNull().alias("touched"))
 
 
 @query("p_8_pending", sql("objects", "SELECT id, title, type FROM objects WHERE status IN ('pending', 'retry') AND type = 'user' ORDER BY added_at, id LIMIT 100"))

@@ -14,8 +14,14 @@ def session(app: str = "cliplane", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where the session names none."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where the session names none, a temporary one is made if the master is local; on
+    a cluster that is an error, since executors wouldn't see it.
+    """
     import tempfile
 
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or tempfile.mkdtemp(prefix="cliplane-")).rstrip("/")
