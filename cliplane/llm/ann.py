@@ -75,8 +75,14 @@ class Forest:
             yield np.flatnonzero(found)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest components to about one, so that no square is lost or too large."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, ids, cosines) of the nearest candidates of each query; a query's own row is none."""
+    x, q = scaled(x), scaled(q)
     norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     unit, q_unit = x / norm[:, None], q / q_norm[:, None]
     out: list[tuple] = []

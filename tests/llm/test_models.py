@@ -232,6 +232,16 @@ def test_neighbours(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_tiny_and_huge_components():
+    x = np.array([[1e-300, 2e-300], [2e-320, 1e-320], [1e300, 3e300], [3.0, 1.0]])
+    ids = np.arange(4)
+    with np.errstate(all="raise", under="ignore"):
+        q, found, score = ann.nearest(x, ids, x, ids, 3)
+    assert len(score) == 12 and np.isfinite(score).all() and np.abs(score).max() <= 1 + 1e-12
+    got = {(int(a), int(b)): float(s) for a, b, s in zip(q, found, score, strict=True)}
+    assert got[0, 2] == pytest.approx(7 / math.sqrt(50), abs=1e-12) and got[1, 3] == pytest.approx(got[3, 1], abs=1e-12)
+
+
 def test_forest_recall():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(8192, 64))
