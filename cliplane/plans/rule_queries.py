@@ -62,9 +62,11 @@ def _label(n):
 
 @query("a_17_richness", """SELECT doc_id, a + b AS score, CASE WHEN a + b >= 70 THEN 'high' WHEN a + b >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT doc_id,
 CASE WHEN w > 100 THEN 50 WHEN w > 50 THEN 40 WHEN w > 20 THEN 30 WHEN w > 10 THEN 20 WHEN w > 5 THEN 10 ELSE 0 END AS a, CASE WHEN c > 200 THEN 50 WHEN c > 100 THEN 40 WHEN c > 50 THEN 30 WHEN c > 20 THEN 20 WHEN c > 10 THEN 10 ELSE 0 END AS b
-FROM (SELECT doc_id, doc_id % 150 AS w, n_chars % 301 AS c FROM documents))""")
+FROM (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS w, length(coalesce(text, '')) AS c FROM documents))""")
 def a_17(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", rules.richness(F.col("doc_id") % 150, F.col("n_chars") % 301).alias("r")).select("doc_id", "r.score", "r.level")
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.filter(F.split(text, " "), lambda x: x != ""))
+    return table(spark, d, "documents").select("doc_id", rules.richness(words, F.length(text)).alias("r")).select("doc_id", "r.score", "r.level")
 
 
 @query("a_18_global_quality", f"""SELECT doc_id, CASE WHEN s = 'low' AND o = 'low' THEN 'weak' ELSE 'valid' END AS data_status,
@@ -137,13 +139,12 @@ CONF = "CASE pos % 6 WHEN 0 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
 
 def _content(spark, d) -> tuple[DataFrame, DataFrame]:
     conf = F.when(F.col("pos") % 6 == 0, "high").when(F.col("pos") % 6 == 2, "medium").otherwise("low")
-    short = F.when(F.col("video_id") % 4 == 0, F.regexp_extract("stt", "^(\\S+ ?\\S*)", 1)).otherwise(F.col("stt"))
-    rows = chunks(spark, d).select("video_id", "pos", short.alias("final_text"), F.lit("").alias("cleaned_text"), conf.alias("content_confidence"))
+    rows = chunks(spark, d).select("video_id", "pos", F.col("stt").alias("final_text"), F.lit("").alias("cleaned_text"), conf.alias("content_confidence"))
     videos = table(spark, d, "conversations").select(F.col("conv_id").alias("video_id")).distinct().withColumn("data_status", F.when(F.col("video_id") % 2 == 0, "weak").otherwise("valid"))
     return rows, videos
 
 
-@query("a_20_readiness", sql("chunks", f""", r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^(\\S+ ?\\S*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
+@query("a_20_readiness", sql("chunks", f""", r AS (SELECT video_id, {COUNT % "stt"} AS w, {CONF} AS conf FROM chunks),
 g AS (SELECT video_id, count(*) AS n, sum(w) AS words, count(*) FILTER (w >= 3) AS full_, count(*) FILTER (w >= 5) AS ctx, count(*) FILTER (conf = 'high') AS hi, count(*) FILTER (conf = 'medium') AS me, count(*) FILTER (conf = 'low') AS lo FROM r GROUP BY video_id),
 v AS (SELECT DISTINCT conv_id AS video_id, CASE WHEN conv_id % 2 = 0 THEN 'weak' ELSE 'valid' END AS st FROM conversations),
 j AS (SELECT v.video_id, st, coalesce(n, 0) AS n, coalesce(words, 0) AS words, coalesce(full_, 0) AS full_, coalesce(ctx, 0) AS ctx, coalesce(hi, 0) AS hi, coalesce(me, 0) AS me, coalesce(lo, 0) AS lo FROM v LEFT JOIN g USING (video_id)),
@@ -165,7 +166,7 @@ def _measures(spark, d) -> DataFrame:
     return rules.readiness(rows, videos)
 
 
-GROUPED = f"""r AS (SELECT video_id, {COUNT % "CASE WHEN video_id % 4 = 0 THEN regexp_extract(stt, '^(\\S+ ?\\S*)', 1) ELSE stt END"} AS w, {CONF} AS conf FROM chunks),
+GROUPED = f"""r AS (SELECT video_id, {COUNT % "stt"} AS w, {CONF} AS conf FROM chunks),
 g AS (SELECT video_id, count(*) AS n, sum(w) AS words, count(*) FILTER (w >= 3) AS f, count(*) FILTER (w >= 5) AS c, count(*) FILTER (conf = 'high') AS high, count(*) FILTER (conf = 'medium') AS medium, count(*) FILTER (conf = 'low') AS low FROM r GROUP BY video_id)"""
 
 

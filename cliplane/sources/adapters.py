@@ -27,7 +27,7 @@ def videos(spark: SparkSession, d: str) -> DataFrame:
         F.substring("text", 1, 60).alias("title"),
         F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.substring("text", 61, 40)).alias("analysis_title"),
         F.col("source").alias("category"),
-        F.substring("text", 1, 200).alias("key_message"),
+        F.col("text").alias("key_message"),
         (F.col("n_chars") % 11).cast("int").alias("score"),
         status.alias("status"),
         F.timestamp_seconds(F.col("doc_id") * 60).alias("created_at"),
@@ -40,7 +40,7 @@ def videos(spark: SparkSession, d: str) -> DataFrame:
 VIDEOS = """videos AS (
   SELECT d.doc_id AS video_id, substring(text, 1, 60) AS title,
          CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE substring(text, 61, 40) END AS analysis_title,
-         source AS category, substring(text, 1, 200) AS key_message, CAST(n_chars % 11 AS INTEGER) AS score,
+         source AS category, text AS key_message, CAST(n_chars % 11 AS INTEGER) AS score,
          CASE WHEN quality = 1 THEN 'analyzed' WHEN quality = 0 THEN 'failed' ELSE 'pending' END AS status,
          make_timestamp(d.doc_id * 60000000) AS created_at,
          CASE WHEN quality = 1 THEN make_timestamp(d.doc_id * 1000000) END AS analyzed_at,
