@@ -14,21 +14,25 @@ from cliplane.llm import kernels, webp
 from cliplane.llm.runtime import ship
 
 ROW = 576
+CHANNELS = 3
 FILL = 255
 BATCH_BYTES = 16 << 20
 
 
 def payload_of(text: bytes) -> np.ndarray:
-    """The bytes, filled up with FILL to a positive multiple of ROW, as rows of samples."""
+    """The bytes, filled up with FILL to a positive multiple of ROW, as rows of pixels of red, green and blue."""
     rows = max(1, -(-len(text) // ROW))
     out = np.full(rows * ROW, FILL, np.uint8)
     out[: len(text)] = np.frombuffer(text, np.uint8)
-    return out.reshape(rows, ROW)
+    return out.reshape(rows, ROW // CHANNELS, CHANNELS)
 
 
-def stored(payload: np.ndarray) -> bytes:
-    """One WebP file, or several one after another where the image would be too high."""
-    return b"".join(webp.encode_grey(payload[a : a + webp.MAX_SIDE]) for a in range(0, len(payload), webp.MAX_SIDE))
+def stored(samples: np.ndarray) -> bytes:
+    """Samples (h, w) of grey or (h, w, 3) of colour as one WebP file, or several one after another where the image would be too high."""
+    c = samples.astype(np.uint32)
+    red, green, blue = (c, c, c) if c.ndim == 2 else np.moveaxis(c, 2, 0)
+    argb = np.uint32(0xFF000000) | (red << 16) | (green << 8) | blue
+    return b"".join(webp.encode(argb[a : a + webp.MAX_SIDE]) for a in range(0, len(argb), webp.MAX_SIDE))
 
 
 def pixels(media: bytes) -> np.ndarray:
@@ -36,15 +40,21 @@ def pixels(media: bytes) -> np.ndarray:
     return np.concatenate([webp.decode_stream(s) for s in webp.files_in(media)])
 
 
+def samples_of(argb: np.ndarray) -> np.ndarray:
+    """(h, w, channels): red, green and blue, and alpha too unless all pixels are opaque."""
+    shifts = (16, 8, 0) if (argb >> 24 == 255).all() else (16, 8, 0, 24)
+    return np.stack([(argb >> s) & 0xFF for s in shifts], -1).astype(np.uint8)
+
+
 def feature_of(samples: np.ndarray) -> str:
     """Shape, mean, deviation, mean step to the right neighbour, and entropy in bits of the samples."""
     share = np.bincount(samples.reshape(-1), minlength=256) / samples.size
     values = np.arange(256)
     mean = float((share * values).sum())
     spread = float(np.sqrt(max(0.0, (share * values * values).sum() - mean * mean)))
-    step = float(np.abs(np.diff(samples.astype(np.int16), axis=1)).mean())
+    step = float(np.abs(np.diff(samples.astype(np.int16), axis=1)).mean()) if samples.shape[1] > 1 else 0.0
     entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
-    return f"{samples.shape[1]}x{samples.shape[0]};mean={mean:.4f};spread={spread:.4f};step={step:.4f};entropy={abs(entropy):.4f}"
+    return f"{samples.shape[1]}x{samples.shape[0]}x{samples.shape[2]};mean={mean:.4f};spread={spread:.4f};step={step:.4f};entropy={abs(entropy):.4f}"
 
 
 def _limited(rows: Iterator[tuple], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
@@ -83,9 +93,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def read(media: DataFrame) -> DataFrame:
-    """Each row of ``store``, decoded: its columns but media, and width, height, samples, media_bytes, media_sha256, feature.
+    """Each row of ``store``, decoded: its columns but media, and width, height, channels, samples, media_bytes, media_sha256, feature.
 
-    ``samples`` holds the grey pixel array row by row. Rows with a null medium are left out.
+    ``samples`` holds the pixel array row by row: red, green and blue of each pixel, and
+    alpha where a pixel is not opaque. Rows with a null medium are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +104,14 @@ def read(media: DataFrame) -> DataFrame:
             for batch in batches:
                 for doc_id, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     data = data.as_py()
-                    grey = ((pixels(data) >> 8) & 0xFF).astype(np.uint8)
-                    yield doc_id, n, grey.shape[1], grey.shape[0], len(data), hashlib.sha256(data).hexdigest(), feature_of(grey), grey.tobytes()
+                    x = samples_of(pixels(data))
+                    yield doc_id, n, x.shape[1], x.shape[0], x.shape[2], len(data), hashlib.sha256(data).hexdigest(), feature_of(x), x.tobytes()
 
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        yield from _limited(rows(), [id_col, "n_bytes", "width", "height", "media_bytes", "media_sha256", "feature", "samples"], kinds)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        yield from _limited(rows(), [id_col, "n_bytes", "width", "height", "channels", "media_bytes", "media_sha256", "feature", "samples"], kinds)
 
     id_col = media.columns[0]
-    return media.filter(F.col("media").isNotNull()).mapInArrow(run, f"`{id_col}` long, n_bytes long, width int, height int, media_bytes long, media_sha256 string, feature string, samples binary")
+    return media.filter(F.col("media").isNotNull()).mapInArrow(run, f"`{id_col}` long, n_bytes long, width int, height int, channels int, media_bytes long, media_sha256 string, feature string, samples binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -1,22 +1,29 @@
-"""Lossless WebP in numpy: a full decoder, and an encoder for grey images.
+"""Lossless WebP in numpy: a full decoder and an encoder.
 
 The decoder reads every feature of the lossless format: prefix codes, meta prefix
 codes, back-references, colour cache, and the predictor, cross-colour,
 subtract-green and colour-indexing transforms. Images whose pixels are all
-literals (as the encoder writes them) are decoded in arrays: the code length at
-every bit position is looked up at once, and only the chain of positions is
-followed step by step.
+literals are decoded in arrays: the code length at every bit position is looked up
+at once, and only the chain of positions is followed step by step.
+
+The encoder writes back-references and a colour cache, and chooses transforms by
+the entropy that they leave in the channels: a palette, or a predictor and then
+cross-colour or subtract-green, or none. It has one group of prefix codes.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 
 import numpy as np
 
 MAX_SIDE = 1 << 14
 MAX_CODE = 12  # bits of the encoder's longest code
+WINDOW_BYTES = 1 << 12  # of the stream that are looked at together
+LEAST_MATCH, MOST_MATCH, FARTHEST = 2, 4096, (1 << 20) - 120  # pixels
+BLOCK_BITS = 4  # of the encoder's predictor and cross-colour blocks
 
 # Fixed values of the lossless WebP format
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -92,13 +99,12 @@ class Code:
         self.width = int(lengths.max())
         if int((1 << (self.width - lengths[used].astype(np.int64))).sum()) != 1 << self.width:
             raise ValueError("not a complete prefix code")
-        codes = canonical(lengths)
-        self.size = np.zeros(1 << self.width, np.uint8)
-        self.symbol = np.zeros(1 << self.width, np.int32)
-        for s in used.tolist():
-            step = 1 << int(lengths[s])
-            self.size[codes[s] :: step] = lengths[s]
-            self.symbol[codes[s] :: step] = s
+        used = used[np.argsort(lengths[used], kind="stable")]
+        size = lengths[used]
+        # The numbers that start with a code follow each other if its first bit is the highest.
+        turned = TURNED[np.arange(1 << self.width)] >> (16 - self.width)
+        which = np.repeat(np.arange(len(used)), 1 << (self.width - size.astype(np.int64)))[turned]
+        self.size, self.symbol = size[which], used[which].astype(np.int32)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -111,6 +117,19 @@ class Code:
         return int(self.symbol[word])
 
 
+    def pairs(self) -> tuple[list[tuple[int, int]], int]:
+        """(symbol, size) by the next bits, and the mask of these bits."""
+        return list(zip(self.symbol.tolist(), self.size.tolist(), strict=True)), (1 << self.width) - 1
+
+
+def _window(data: bytes, byte: int) -> list[int]:
+    """The 32 bits from each of some bytes on; what lies behind the end is zero."""
+    raw = np.zeros(WINDOW_BYTES + 3, np.uint32)
+    part = np.frombuffer(data, np.uint8, min(len(raw), max(0, len(data) - byte)), min(byte, len(data)))
+    raw[: len(part)] = part
+    return (raw[:-3] | (raw[1:-2] << 8) | (raw[2:-1] << 16) | (raw[3:] << 24)).tolist()
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     lengths = np.zeros(alphabet, np.uint8)
     if bits.take(1):
@@ -124,20 +143,28 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     for i in range(4 + bits.take(4)):
         inner[LENGTH_ORDER[i]] = bits.take(3)
     most = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
-    table, at, before = Code(inner), 0, 8
-    while at < alphabet and most:
+    (table, mask), before, found = Code(inner).pairs(), 8, []
+    byte, have, ahead = (bits.at >> 3) + 8, 64 - (bits.at & 7), int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 8], "little") >> (bits.at & 7)
+    while len(found) < alphabet and most:
         most -= 1
-        s = table.read(bits)
+        if have < 32:  # a symbol and its extra bits take 14 at most
+            ahead |= int.from_bytes(bits.data[byte : byte + 4], "little") << have
+            byte, have = byte + 4, have + 32
+        s, k = table[ahead & mask]
+        ahead, have = ahead >> k, have - k
         if s < 16:
-            lengths[at] = s
+            found.append(s)
             before = s or before
-            at += 1
             continue
-        value, many = (before, 3 + bits.take(2)) if s == 16 else (0, 3 + bits.take(3)) if s == 17 else (0, 11 + bits.take(7))
-        if at + many > alphabet:
-            raise ValueError("too many code lengths")
-        lengths[at : at + many] = value
-        at += many
+        value, k, least = (before, 2, 3) if s == 16 else (0, 3, 3) if s == 17 else (0, 7, 11)
+        found += [value] * (least + (ahead & ((1 << k) - 1)))
+        ahead, have = ahead >> k, have - k
+    bits.at = 8 * byte - have
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the image ends too early")
+    if len(found) > alphabet:
+        raise ValueError("too many code lengths")
+    lengths[: len(found)] = found
     return Code(lengths)
 
 
@@ -205,17 +232,41 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     n = width * height
     if groups == 1 and not cache and codes[0][0].symbol.max() < 256:
         return _literals(bits, codes[0][:4], n).reshape(height, width)
-    out, at = [0] * n, 0
+    tables = [[c.pairs() for c in group] for group in codes]
+    out, at, kept = array("I"), 0, 0
+    size, place, base, last, window, append = 8 * len(bits.data), bits.at, 0, -1, [], out.append
+    slot = 32 - cache_bits
+    (green, m0), (red, m1), (blue, m2), (alpha, m3), (distance, m4) = tables[0]
+    a = alpha[0][0]
     while at < n:
-        x, y = at % width, at // width
-        green, red, blue, alpha, distance = codes[int(group_of[y >> block, x >> block]) if group_of is not None else 0]
-        s = green.read(bits)
+        byte = place >> 3
+        if byte > last:
+            base, last, window = byte, byte + WINDOW_BYTES - 20, _window(bits.data, byte)  # a token takes less than 20 bytes
+        if group_of is not None:
+            x, y = at % width, at // width
+            group = tables[group_of[y >> block, x >> block]]
+            (green, m0), (red, m1), (blue, m2), (alpha, m3), (distance, m4) = group
+            a = alpha[0][0]
+        s, k = green[(window[byte - base] >> (place & 7)) & m0]
+        place += k
         if s < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            new = [(a << 24) | (r << 16) | (s << 8) | b]
+            r, k = red[(window[(place >> 3) - base] >> (place & 7)) & m1]
+            place += k
+            b, k = blue[(window[(place >> 3) - base] >> (place & 7)) & m2]
+            place += k
+            if m3:
+                a, k = alpha[(window[(place >> 3) - base] >> (place & 7)) & m3]
+                place += k
+            append((a << 24) | (r << 16) | (s << 8) | b)
+            at += 1
         elif s < 280:
+            bits.at = place
             many = _extra(s - 256, bits)
-            far = _extra(distance.read(bits), bits)
+            place = bits.at
+            s, k = distance[(window[(place >> 3) - base] >> (place & 7)) & m4]
+            bits.at = place + k
+            far = _extra(s, bits)
+            place = bits.at
             if far > 120:
                 far -= 120
             else:
@@ -223,17 +274,21 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 far = max(1, dx + dy * width)
             if far > at or at + many > n:
                 raise ValueError("a reference leaves the image")
-            for i in range(at, at + many):
-                out[i] = out[i - far]
-            new = out[at : at + many]
+            if far >= many:
+                out.extend(out[at - far : at - far + many])
+            else:
+                out.extend((out[at - far :] * (many // far + 1))[:many])
+            at += many
         else:
-            new = [cache[s - 280]]
-        out[at : at + len(new)] = new
-        at += len(new)
-        if cache:
-            for v in new:
-                cache[((CACHE_MULTIPLIER * v) & 0xFFFFFFFF) >> (32 - cache_bits)] = v
-    return np.array(out, np.uint32).reshape(height, width)
+            for v in out[kept:]:
+                cache[((CACHE_MULTIPLIER * v) & 0xFFFFFFFF) >> slot] = v
+            kept = at
+            append(cache[s - 280])
+            at += 1
+        if place > size:
+            raise ValueError("the image ends too early")
+    bits.at = place
+    return np.frombuffer(out, np.uint32).reshape(height, width)
 
 
 def _channels(image: np.ndarray) -> np.ndarray:
@@ -288,6 +343,8 @@ def undo_predictor(image: np.ndarray, modes: np.ndarray, block: int) -> np.ndarr
             end = min(width, ((x >> block) + 1) << block)
             if mode == 1:
                 row[x:end] = (row[x - 1] + np.cumsum(row[x:end], 0)) & 255
+            elif mode == 2:
+                row[x:end] = (row[x:end] + above[x:end]) & 255
             else:
                 for i in range(x, end):
                     ahead = above[i + 1] if i + 1 < width else row[0]
@@ -461,27 +518,198 @@ def packed_bits(values: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.n
     return out, stop
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """A WebP file of a grey image (h, w) of 8-bit samples: subtract-green leaves one channel, coded as literals."""
-    height, width = samples.shape
-    flat = samples.reshape(-1)
-    lengths = np.zeros(280, np.uint8)
-    lengths[:256] = code_lengths(np.bincount(flat, minlength=256))
-    head = BitWriter()
-    head.put(0x2F, 8)
-    head.put(width - 1, 14)
-    head.put(height - 1, 14)
-    head.put(0, 4)  # no alpha, version 0
-    head.put(1 | 2 << 1, 3)  # subtract green
-    head.put(0, 3)  # no more transforms, no colour cache, no meta codes
-    _put_code(head, lengths)
-    for only in (0, 0, 255, 0):
-        single = np.zeros(256, np.uint8)
-        single[only] = 1
-        _put_code(head, single)
-    if np.count_nonzero(lengths) < 2:
-        return container(head.value.to_bytes(-(-head.n // 8), "little"))
-    words, stop = packed_bits(canonical(lengths)[flat], lengths[flat].astype(np.int64), head.n)
-    start = np.frombuffer(head.value.to_bytes(-(-head.n // 64) * 8, "little"), np.uint64)
-    words[: len(start)] |= start
-    return container(words.tobytes()[: -(-stop // 8)])
+def _with_extra(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, how many of them) that stand for lengths or distance codes from 1 on."""
+    x = v.astype(np.int64) - 1
+    top = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    n = np.maximum(top - 1, 0)
+    return np.where(x < 4, x, 2 * top + ((x >> n) & 1)), np.where(x < 4, 0, x & ((1 << n) - 1)), np.where(x < 4, 0, n)
+
+
+def references(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of matches, first come: each with the nearest earlier place that starts with the same pixels."""
+    key = (p[:-1].astype(np.uint64) << np.uint64(32)) | p[1:]
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(len(p), -1, np.int64)
+    before[order[again + 1]] = order[again]
+    starts = np.flatnonzero(before >= 0)
+    found, values, at, n = [], p.tolist(), 0, len(p)
+    for i, j in zip(starts.tolist(), before[starts].tolist(), strict=True):
+        if i < at or i - j > FARTHEST:
+            continue
+        at, far, end = i + LEAST_MATCH, i - j, min(n, i + MOST_MATCH)
+        while at < end and values[at] == values[at - far]:
+            at += 1
+        found.append((i, at - i, far))
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+def _cached(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot of a colour cache, and whether it holds this pixel already."""
+    slot = ((p.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(p), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+    return slot.astype(np.int64), hit
+
+
+def _put_pixels(out: BitWriter, p: np.ndarray, main: bool) -> None:
+    """An entropy-coded image: references, colours from the cache and literals."""
+    p = np.ascontiguousarray(p.reshape(-1))
+    n = len(p)
+    place, many, far = references(p)
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, place, 1)
+    np.add.at(cover, place + many, -1)
+    single = np.cumsum(cover[:-1]) == 0
+    cache_bits = min(10, max(1, n.bit_length() - 3))
+    slot, hit = _cached(p, cache_bits)
+    hit &= single
+    if not hit.any():
+        cache_bits = 0
+    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if main:
+        out.put(0, 1)  # one group of codes
+    length, length_more, length_bits = _with_extra(many)
+    reach, reach_more, reach_bits = _with_extra(far + 120)
+    symbol = ((p >> 8) & 0xFF).astype(np.int64)
+    symbol[hit] = 280 + slot[hit]
+    symbol[place] = 256 + length
+    literal = single & ~hit
+    token = single.copy()
+    token[place] = True
+    colours = [((p >> s) & 0xFF).astype(np.int64) for s in (16, 0, 24)]
+    # Up to four fields of each pixel that starts a token: value and size.
+    value, size = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+
+    def coded(field: int, where: np.ndarray, symbols: np.ndarray, alphabet: int) -> None:
+        lengths = code_lengths(np.bincount(symbols, minlength=alphabet))
+        _put_code(out, lengths)
+        if np.count_nonzero(lengths) > 1:
+            value[where, field], size[where, field] = canonical(lengths)[symbols], lengths[symbols]
+
+    coded(0, token, symbol[token], 280 + (1 << cache_bits if cache_bits else 0))
+    for i, c in enumerate(colours):
+        coded(1 + i, literal, c[literal], 256)
+    coded(2, place, reach, 40)
+    value[place, 1], size[place, 1] = length_more, length_bits
+    value[place, 3], size[place, 3] = reach_more, reach_bits
+    used = size > 0
+    words, stop = packed_bits(value[used], size[used], 0)
+    out.put(int.from_bytes(words.tobytes(), "little"), stop)
+
+
+def _entropy(image: np.ndarray) -> float:
+    """The bits that the channels take by themselves, without references."""
+    out = 0.0
+    for s in (24, 16, 8, 0) if image.min() >> 24 != 255 else (16, 8, 0):
+        count = np.bincount(((image >> s) & 0xFF).reshape(-1), minlength=256)
+        count = count[count > 0]
+        out += image.size * float(np.log2(image.size)) - float((count * np.log2(count)).sum())
+    return out
+
+
+def _grid(image: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of each pixel's block."""
+    height, width = image.shape
+    return np.arange(height)[:, None] >> block, np.arange(width)[None, :] >> block
+
+
+def _block_sums(x: np.ndarray, block: int) -> np.ndarray:
+    rows, columns = (np.arange(0, k, 1 << block) for k in x.shape)
+    return np.add.reduceat(np.add.reduceat(x, rows, 0), columns, 1)
+
+
+def predicted(image: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """What is left after predicting each block from the left or from above, whichever leaves less, and the modes."""
+    c = _channels(image)
+    left, top = np.zeros_like(c), np.zeros_like(c)
+    left[:, 1:], top[1:] = c[:, :-1], c[:-1]
+    rest = [(c - g) & 255 for g in (left, top)]
+    cost = [_block_sums(np.minimum(r, 256 - r).sum(-1), block) for r in rest]
+    mode = np.where(cost[0] <= cost[1], 1, 2)
+    out = np.where((mode[_grid(image, block)] == 1)[..., None], *rest)
+    # The edges predict in one way only.
+    out[0], out[1:, 0] = rest[0][0], rest[1][1:, 0]
+    out[0, 0] = (c[0, 0] - [255, 0, 0, 0]) & 255
+    return _packed(out), np.uint32(0xFF000000) | (mode.astype(np.uint32) << 8)
+
+
+def decorrelated(image: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of red and blue after taking green's share out, and the factors by block."""
+    c = _channels(image)
+    signed = (c ^ 128) - 128
+    green = signed[..., 2]
+    weight = np.maximum(_block_sums(green * green, block), 1)
+    to_red, to_blue = (np.clip(np.rint(32 * _block_sums(green * signed[..., k], block) / weight), -128, 127).astype(np.int32) for k in (1, 3))
+    where = _grid(image, block)
+    out = c.copy()
+    for k, t in ((1, to_red), (3, to_blue)):
+        out[..., k] = (c[..., k] - ((t[where] * green) >> 5)) & 255
+    full = np.full(to_red.shape, 255)
+    return _packed(out), _packed(np.stack([full, np.zeros_like(full), to_blue & 255, to_red & 255], -1))
+
+
+def indexed(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Palette numbers in place of the pixels, several in one where they are few, and the palette."""
+    palette, index = np.unique(image, return_inverse=True)
+    if len(palette) > 256:
+        return None
+    n, index = len(palette), index.reshape(image.shape).astype(np.uint32)
+    per_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    if per_bits:
+        per, size = 1 << per_bits, 8 >> per_bits
+        wide = np.zeros((image.shape[0], -(-image.shape[1] >> per_bits) * per), np.uint32)
+        wide[:, : image.shape[1]] = index
+        index = np.bitwise_or.reduce(wide.reshape(len(wide), -1, per) << (np.arange(per, dtype=np.uint32) * np.uint32(size)), axis=2)
+    return np.uint32(0xFF000000) | (index << 8), palette
+
+
+def without_green(image: np.ndarray) -> np.ndarray:
+    green = (image >> 8) & 0xFF
+    return (image & np.uint32(0xFF00FF00)) | ((((image >> 16) - green) & 0xFF) << 16) | ((image - green) & 0xFF)
+
+
+def encode(image: np.ndarray) -> bytes:
+    """A WebP file of ARGB pixels (h, w)."""
+    height, width = image.shape
+    image = image.astype(np.uint32)
+    out = BitWriter()
+    out.put(0x2F, 8)
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(int((image >> 24 != 255).any()), 1)
+    out.put(0, 3)
+
+    def block_image(kind: int, data: np.ndarray) -> None:
+        out.put(1 | kind << 1 | (BLOCK_BITS - 2) << 3, 6)
+        _put_pixels(out, data, False)
+
+    plain = _entropy(image)
+    numbers = indexed(image)
+    rest, modes = predicted(image)
+    guessed = _entropy(rest) + 8 * modes.size < plain
+    if not guessed:
+        rest = image
+    crossed, factors = decorrelated(rest)
+    flat = without_green(rest)
+    costs = [_entropy(rest), _entropy(crossed) + 16 * factors.size, _entropy(flat)]
+    if numbers is not None and _entropy(numbers[0]) + 24 * len(numbers[1]) <= min(costs):
+        image, palette = numbers
+        step = _channels(palette)
+        step[1:] -= step[:-1].copy()
+        out.put(1 | 3 << 1 | (len(palette) - 1) << 3, 11)
+        _put_pixels(out, _packed(step & 255), False)
+    else:
+        if guessed:
+            block_image(0, modes)
+        best = costs.index(min(costs))
+        if best == 1:
+            block_image(1, factors)
+        elif best == 2:
+            out.put(1 | 2 << 1, 3)
+        image = (rest, crossed, flat)[best]
+    out.put(0, 1)
+    _put_pixels(out, image, True)
+    return container(out.value.to_bytes(-(-out.n // 8), "little"))

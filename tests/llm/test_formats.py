@@ -315,3 +315,71 @@ def test_chat_round_trip(spark):
     assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (3, 3, hashlib.sha256(b"<|x").hexdigest())
     assert got[2].n_turns == 2 and got[None].n_turns == 1
     assert chat.read_back(chat.format_turns(turns.limit(0).withColumn("parts", chat.text_parts()))).count() == 0
+
+
+def reached(monkeypatch, samples):
+    """What decoding the stored samples goes through; they must come back unchanged."""
+    seen = Counter()
+
+    def watched(name):
+        real = getattr(webp, name)
+
+        def run(*args):
+            seen[name] += 1
+            return real(*args)
+
+        monkeypatch.setattr(webp, name, run)
+
+    for name in ("undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_palette", "_extra"):
+        watched(name)
+    assert (media.samples_of(media.pixels(media.stored(samples)))[..., : samples.shape[-1]] == samples).all()
+    monkeypatch.undo()
+    return seen
+
+
+def test_encoder_uses_every_feature(monkeypatch):
+    rng = np.random.default_rng(4)
+    smooth = np.clip(np.cumsum(rng.integers(-1, 2, (48, 64, 3)), 1) + 128, 0, 255).astype(np.uint8)
+    assert reached(monkeypatch, smooth)["undo_predictor"]
+    grey = np.repeat(rng.integers(0, 256, (40, 64, 1)), 3, 2).astype(np.uint8)
+    assert reached(monkeypatch, grey)["undo_subtract_green"]
+    green = rng.integers(0, 128, (64, 64))
+    leaning = np.stack([green // 2 + rng.integers(0, 2, green.shape), green, green // 4], -1).astype(np.uint8)
+    assert reached(monkeypatch, leaning)["undo_cross_colour"]
+    for colours in (2, 4, 16, 200):
+        few = rng.integers(0, 256, (colours, 3)).astype(np.uint8)[rng.integers(0, colours, (30, 37))]
+        assert reached(monkeypatch, few)["undo_palette"]
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(300)]
+    text = b" ".join(words[i] for i in np.minimum(rng.zipf(1.3, 2000), 300) - 1)
+    assert reached(monkeypatch, media.payload_of(text))["_extra"] > 20
+    pixels = np.uint32(0xFF000000) | rng.integers(0, 1 << 24, 600).astype(np.uint32)
+    bits = webp.BitWriter()
+    webp._put_pixels(bits, pixels[np.minimum(rng.geometric(0.02, 2000), 599)], True)
+    assert bits.value & 1  # a colour cache
+
+
+def test_references_are_matches():
+    p = np.random.default_rng(5).integers(0, 6, 3000).astype(np.uint32)
+    end = 0
+    for place, many, far in zip(*(x.tolist() for x in webp.references(p)), strict=True):
+        assert place >= end and far > 0 and all(p[i] == p[i - far] for i in range(place, place + many))
+        end = place + many
+    for v, (symbol, extra, n) in {int(v): x for v, *x in zip(*(a.tolist() for a in (np.arange(1, 70000), *webp._with_extra(np.arange(1, 70000)))), strict=True)}.items():
+        reader = webp.Bits(int(extra).to_bytes(8, "little"))
+        assert webp._extra(symbol, reader) == v and reader.at == n
+
+
+def test_random_images_come_back():
+    rng = np.random.default_rng(6)
+    for h, w, top in ((1, 1, 256), (1, 2, 256), (2, 1, 3), (17, 33, 256), (5, 192, 2), (3, 192, 40)):
+        image = rng.integers(0, top, (h, w, 4)).astype(np.uint8)
+        argb = image.view("<u4")[..., 0]
+        assert (webp.decode_stream(webp.files_in(webp.encode(argb))[0]) == argb).all()
+
+
+def test_texts_of_several_files():
+    unit = " ".join(f"w{i % 977} {i}" for i in range(3000)).encode()
+    payload = media.payload_of(unit * (10_000_000 // len(unit) + 1))
+    data = media.stored(payload)
+    assert len(webp.files_in(data)) == 2
+    assert media.samples_of(media.pixels(data)).tobytes() == payload.tobytes()
