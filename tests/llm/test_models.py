@@ -236,21 +236,56 @@ def test_tiny_and_huge_components():
     x = np.array([[1e-300, 2e-300], [2e-320, 1e-320], [1e300, 3e300], [3.0, 1.0]])
     ids = np.arange(4)
     with np.errstate(all="raise", under="ignore"):
-        q, found, score = ann.nearest(x, ids, x, ids, 3)
+        every = (np.arange(len(x)) for _ in x)
+        q, found, score = (np.array(c) for c in ann.nearest(x, ids, x, ids, every, 3).columns)
     assert len(score) == 12 and np.isfinite(score).all() and np.abs(score).max() <= 1 + 1e-12
     got = {(int(a), int(b)): float(s) for a, b, s in zip(q, found, score, strict=True)}
     assert got[0, 2] == pytest.approx(7 / math.sqrt(50), abs=1e-12) and got[1, 3] == pytest.approx(got[3, 1], abs=1e-12)
 
 
-def test_forest_recall():
+def test_forest_recall(spark, monkeypatch):
+    """Slices and levels from a sample smaller than the table, many slices a tree, several blocks of queries; share examined."""
+    monkeypatch.setattr(ann, "SAMPLE", 1000)
+    monkeypatch.setattr(ann, "SLICE_ROWS", 700)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 30)
+    monkeypatch.setattr(ann, "SCORE_ROWS", 500)
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(8192, 64))
-    q = rng.normal(size=(50, 64))
+    x = np.concatenate([rng.normal(size=(4000, 32)), rng.normal(size=32) + rng.normal(size=(2000, 32)) * 1e-3])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = vectors.filter("vec_id % 50 = 0")
+    got = ann.search(vectors, queries).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    best = np.argsort(-(q @ unit.T), axis=1)[:, :5]
-    found = list(ann.Forest(unit).candidates(q))
-    assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found, strict=True)]) >= 0.9
-    assert np.mean([len(f) for f in found]) < 0.6 * len(x)
+    at = np.arange(0, len(x), 50)
+    sims = unit[at] @ unit.T
+    sims[np.arange(len(at)), at] = -2
+    best = {(q, j) for q, row in zip(at.tolist(), np.argsort(-sims, axis=1)[:, :5].tolist(), strict=True) for j in row}
+    assert len(got) == 5 * len(at)
+    assert len(best & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(best)
+
+
+def test_neighbours_of_equal_vectors(spark):
+    """Copies of one vector stand for all of it: the smallest ids first, no query its own, repeated rows repeated."""
+    rows = [(i, [1.0, 2.0]) for i in range(200)] + [(3, [1.0, 2.0]), (500, [1.0, 0.0]), (500, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.filter("vec_id in (0, 3, 500)"), k=3).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 3, 500)}
+    assert found == {0: [1, 2, 3], 3: [0, 1, 2], 500: [0, 1, 2]}
+    assert {round(r.score, 9) for r in got if r.query_id == 500} == {round(2 / math.sqrt(5), 9)}
+
+
+def test_slices_hold_every_entry():
+    """A string shared by many is dealt out to several slices, and every range meets all slices of the strings it holds."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 700, axis=0)])
+    forest = ann.Forest(x, 50 * ann.SLICE_ROWS, 5)
+    codes = ann.hash_strings(x)
+    slices = forest.slices(codes, np.arange(len(x)))
+    low, high = forest.ranges(codes[:, ::100])
+    first, last = forest.meet(low, high)
+    assert len(np.unique(slices[0, 300:])) > 20 and slices.max() < 50
+    for q in range(low.shape[1]):
+        held = (codes >= low[:, q : q + 1]) & (codes <= high[:, q : q + 1])
+        assert held.any() and (slices >= first[:, q : q + 1])[held].all() and (slices <= last[:, q : q + 1])[held].all()
 
 
 def test_long_text_in_kernels():
