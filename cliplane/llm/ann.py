@@ -189,7 +189,10 @@ def distinct_vectors(data: DataFrame, k: int) -> DataFrame:
 
 
 def in_blocks(asked: DataFrame, rows: int) -> DataFrame:
-    """id, v, block, place: queries near each other in the first tree share a block of at most ``QUERY_ROWS``."""
+    """id, v, block, place: queries near each other in the first tree share a block of ``QUERY_ROWS``.
+
+    Blocks are counted through all partitions, so there are no more of them than the queries need.
+    """
 
     def first_string(batches):
         for batch in batches:
@@ -203,12 +206,16 @@ def in_blocks(asked: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             at = np.arange(n, n + batch.num_rows)
             n += batch.num_rows
-            block = TaskContext.get().partitionId() * 2**32 + at // QUERY_ROWS
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(block), pa.array(at % QUERY_ROWS)], ["id", "v", "block", "place"])
+            task = np.full(batch.num_rows, TaskContext.get().partitionId())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(task), pa.array(at)], ["id", "v", "task", "at"])
 
     strings = asked.mapInArrow(first_string, "id long, v array<double>, code long")
     dealt = strings.repartitionByRange(max(1, -(-rows // QUERY_ROWS)), F.size("v"), "code", "id")
-    return stash(dealt.mapInArrow(number, "id long, v array<double>, block long, place long"), "asked")
+    dealt = stash(dealt.mapInArrow(number, "id long, v array<double>, task long, at long"), "asked")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = dealt.groupBy("task").agg(F.count("*").alias("n")).select("task", before.alias("before"))
+    at = F.col("before") + F.col("at")
+    return dealt.join(tasks, "task").select("id", "v", F.floor(at / QUERY_ROWS).alias("block"), (at % QUERY_ROWS).alias("place"))
 
 
 def fit(spots: DataFrame, rows: int, k: int) -> dict[int, Forest]:
