@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import ann, chat, langid, lm, media, mixing, packing, quality, simhash, substring_dedup
+from cliplane.llm import ann, chat, codes, langid, lm, media, mixing, packing, quality, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -108,6 +108,36 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(tables(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(tables(spark, sf_dir, "embeddings")).drop("scans")
+
+
+OP11_SQL = """
+WITH q AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 16 AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS (
+  SELECT vec_id, label, p, v[p * w + 1:p * w + w] AS x FROM (SELECT *, unnest(range(0, 16)) AS p FROM q)
+), b0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM q ORDER BY vec_id LIMIT 64)
+)""" + "".join(f""", d{r} AS (
+  SELECT vec_id, p, any_value(label) AS label, any_value(x) AS x, min(struct_pack(d := d, j := j)) AS n
+  FROM (SELECT vec_id, x.p, label, x, j, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{r} b ON x.p = b.p)
+  GROUP BY vec_id, p
+), s{r} AS (
+  SELECT p, j, list(m ORDER BY i) AS c
+  FROM (SELECT p, n.j AS j, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM d{r}) GROUP BY ALL) GROUP BY p, j
+), b{r + 1} AS (
+  SELECT b.p, b.j, coalesce(s.c, b.c) AS c FROM b{r} b LEFT JOIN s{r} s ON b.p = s.p AND b.j = s.j
+)""" for r in range(3)) + """, e AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{:02x}', n.j), '' ORDER BY p) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM d2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) FROM b2) AS codebooks_sha256
+FROM e
+"""
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -135,12 +165,14 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
 
 
