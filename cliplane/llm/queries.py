@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import ann, chat, codes, langid, lm, media, mixing, packing, quality, simhash, substring_dedup
+from cliplane.llm import ann, chat, codes, langid, licenses, lm, media, mixing, packing, quality, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -112,6 +112,42 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(tables(spark, sf_dir, "embeddings")).drop("scans")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(tables(spark, sf_dir, "documents")))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+OP12_SQL = f"""
+WITH rules(rule, priority, label, base, keys, pattern) AS (VALUES
+{", ".join(f"({i}, {r.priority}, {_text(r.label)}, {base}, [{', '.join(_text(k) for k in r.keywords)}], {_text(licenses.pattern(r.regex))})" for i, (base, r) in enumerate(licenses.EVERY))}
+), n AS (
+  SELECT row_number() OVER () AS row, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}', '  ', 'g')) AS t FROM documents
+), d AS (
+  SELECT row, doc_id, ' ' || t || ' ' AS t, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, '  ')) END AS n_words FROM n
+), k AS (
+  SELECT key, list(rule) AS rules FROM (SELECT rule, unnest(keys) AS key FROM rules) GROUP BY key
+), tried AS (
+  SELECT DISTINCT row, unnest(rules) AS rule FROM d JOIN k ON contains(t, ' ' || key || ' ')
+), hit AS (
+  SELECT row, r.*, string_split(trim(regexp_replace(t, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g')), '  ') AS w
+  FROM tried JOIN d USING (row) JOIN rules r USING (rule) WHERE regexp_matches(t, pattern)
+), m AS (
+  SELECT row, rule, priority, label, base, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1][1] = chr(1))) AS s, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i][-1] = chr(2))) AS e FROM hit
+), f AS (
+  SELECT *, NOT EXISTS (SELECT 1 FROM m o WHERE o.row = m.row AND o.s <= m.s AND o.e >= m.e AND o.priority >= m.priority AND
+    (o.s < m.s OR o.e > m.e OR o.priority > m.priority OR o.rule < m.rule)) AS kept FROM m
+), a AS (
+  SELECT row, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR kept) AS labels, max(priority) FILTER (kept) / CAST(4 AS DOUBLE) AS score FROM f GROUP BY row
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN a USING (row)
+"""
+
+
 OP11_SQL = """
 WITH q AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 16 AS w
@@ -166,6 +202,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_vector_codes": op11_vector_codes,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -173,6 +210,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
 }
 
 
