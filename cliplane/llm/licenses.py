@@ -67,7 +67,8 @@ def running_max(values: Column) -> Column:
 
 def unsuppressed(found: Column) -> Column:
     """``found``, in order, with ``kept``: whether no other detection of the same or a higher priority holds it."""
-    tops = F.array(*(running_max(F.transform(found, lambda d, p=p: F.when(d["priority"] >= p, d["end"]).otherwise(-1))) for p in PRIORITIES))
+    ends = lambda p: F.transform(found, lambda d: F.when(d["priority"] >= p, d["end"]).otherwise(-1))
+    tops = F.array(*(running_max(ends(p)) for p in PRIORITIES))
 
     def one(d: Column, i: Column, held: Column) -> Column:
         before = F.coalesce(F.when(i > 0, F.get(F.get(held, d["priority"] - 1), i - 1)), F.lit(-1))
