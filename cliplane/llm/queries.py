@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplane.llm import ann, chat, codes, langid, licenses, lm, media, mixing, packing, quality, simhash, substring_dedup
+from cliplane.llm import ann, chat, codes, langid, licenses, lm, media, mixing, packing, quality, repair, simhash, substring_dedup
 from cliplane.llm.runtime import tables
 
 
@@ -148,6 +148,58 @@ FROM d LEFT JOIN a USING (row)
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tables(spark, sf_dir, "conversations")
+    return repair.digests(repair.repair(repair.damaged(turns), turns))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(0, 256) r(i))
+), src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS s FROM conversations
+), hashed AS (
+  SELECT src.*, xor(list_reduce(list_concat([4294967295], list_transform(s, lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS h FROM src, tab
+), d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(0, 2) c(k) WHERE h <> 0 AND (k = 0 OR h = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d
+), f AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+         CASE WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 0 ELSE 1 END AS cut, role[1] AS i, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) AS li FROM o
+), g AS (
+  SELECT *, blank OR again AS gone FROM f
+), b AS (
+  SELECT conv_id, count(*) AS n, [0, 4, 2, 0] AS v FROM g GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n - 1, [least(r[1], 2 + least(r[3], 2 + r[4])), least(r[2], 2 + least(r[3], 2 + r[4])), least(r[3], 2 + r[4]), least(r[4], 2 + r[3])]
+  FROM (SELECT b.conv_id, b.n, CASE WHEN gone THEN [3 + v[1], 3 + v[2], 3 + v[3], 3 + v[4]] ELSE
+          [least(3 + v[1], 2 + cut + v[3], CASE i WHEN 's' THEN cut + v[2] WHEN 'u' THEN cut + v[3] ELSE 99 END), least(3 + v[2], 2 + cut + v[3], CASE i WHEN 'u' THEN cut + v[3] ELSE 99 + v[3] END),
+           least(3 + v[3], 2 + cut + v[4], CASE i WHEN 'a' THEN cut + v[4] ELSE 99 + v[4] END), least(3 + v[4], 2 + cut + v[3], CASE i WHEN 'u' THEN cut + v[3] ELSE 99 + v[3] END)] END AS r
+        FROM b JOIN g ON g.conv_id = b.conv_id AND g.n = b.n)
+), t AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS said, 0 AS cost FROM b WHERE n = 0
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN n ELSE n + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kq ELSE dq END, audit || e,
+         CASE e WHEN 'D' THEN said WHEN 'I' THEN list_append(said, due || ':') WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, due || ':' || text) END,
+         cost + CASE e WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'K' THEN cut ELSE 2 + cut END
+  FROM (SELECT *, CASE WHEN role IS NOT NULL AND 3 + w[q + 1] = v[q + 1] THEN 'D' WHEN 2 + v[dq + 1] = v[q + 1] THEN 'I' WHEN NOT gone AND cut + w[kq + 1] = v[q + 1] THEN 'K' WHEN NOT gone AND 2 + cut + w[dq + 1] = v[q + 1] THEN 'R' END AS e
+        FROM (SELECT t.*, b.v, c.v AS w, g.role, g.text, gone, cut, CASE WHEN q = 2 THEN 3 ELSE 2 END AS dq, CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END AS due,
+                     CASE WHEN q = 0 AND i = 's' THEN 1 WHEN q <> 2 AND i = 'u' THEN 2 WHEN q = 2 AND i = 'a' THEN 3 END AS kq
+              FROM t JOIN b ON b.conv_id = t.conv_id AND b.n = t.n LEFT JOIN b c ON c.conv_id = t.conv_id AND c.n = t.n + 1 LEFT JOIN g ON g.conv_id = t.conv_id AND g.n = t.n + 1)) WHERE e IS NOT NULL
+), z AS (
+  SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(said, length(audit)) AS said, max(cost) AS cost FROM t GROUP BY conv_id
+), a AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (NOT gone AND cut = 1) AS truncated, count(*) FILTER (n > 1 AND li || i NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a ON a.conv_id = c.conv_id LEFT JOIN z ON z.conv_id = c.conv_id
+"""
+
+
 OP11_SQL = """
 WITH q AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 16 AS w
@@ -203,6 +255,7 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_vector_codes": op11_vector_codes,
     "op12_license_scan": op12_license_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -211,6 +264,7 @@ ORACLES: dict[str, str] = {
     "op9_chat_formatting": OP9_SQL,
     "op11_vector_codes": OP11_SQL,
     "op12_license_scan": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
 
 
