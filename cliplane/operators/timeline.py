@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.functions import text
+from cliplane.operators import ranges
+from cliplane.session import written
 
 MIN_SCENE = 0.5
 MIN_GAP = 1.0
@@ -19,8 +21,8 @@ LAST_CHUNK = 130.0
 
 
 def numbered(rows: DataFrame, name: str, *order: str, by: str = "video_id") -> DataFrame:
-    """Positions from 0 within each video."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    """Positions from 0 within each video, in two passes over ranges of its rows."""
+    return ranges.numbered(rows, name, *order, by=by)
 
 
 def joined_text(order: tuple, text: Column, separator: str) -> Column:
@@ -30,23 +32,32 @@ def joined_text(order: tuple, text: Column, separator: str) -> Column:
 
 
 SLOT = 30.0  # seconds
+CLASSES = 1019  # the last one is longer than any range of doubles that matters
 
 
 def align_segments(segments: DataFrame, scenes: DataFrame) -> DataFrame:
     """Each segment with the first scene that holds its middle (start included, end not); others are dropped.
 
-    The range is looked up by time slots of ``SLOT`` seconds: a scene has a row in
-    each slot that it touches, so that a segment is compared only with the scenes of
-    its own slot, however long one scene of some video is.
+    Scenes are looked up by classes of length, each twice as long as the one before. A scene is one
+    row, in the slot of its start; slots of its class are no shorter than it is, so what
+    holds a segment's middle starts in the middle's slot or the one before. A segment asks
+    these two of every class that there is. So a scene of any length costs one
+    row, and a segment meets only scenes about as near as they are long.
     """
-    mid = (F.col("start") + F.coalesce("end", "start")) / 2
-    slot = lambda at: F.floor(at / F.lit(SLOT))
-    placed = scenes.select(F.col("video_id").alias("v"), "scene_id", "start_time", "end_time").filter("start_time < end_time").withColumn("slot", F.explode(F.sequence(slot(F.col("start_time")), slot(F.col("end_time")))))
-    asked = segments.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("mid", mid).withColumn("slot", slot(F.col("mid")))
-    hit = (asked["video_id"] == placed["v"]) & (asked["slot"] == placed["slot"]) & (asked["mid"] >= placed["start_time"]) & (asked["mid"] < placed["end_time"])
-    found = asked.join(placed, hit).drop("v", placed["slot"], asked["slot"])
-    first = F.row_number().over(Window.partitionBy("video_id", "seg").orderBy("scene_id"))
-    return found.withColumn("_n", first).filter("_n = 1").drop("_n", "start_time", "end_time")
+    length = F.col("end_time") - F.col("start_time")
+    of = F.least(F.greatest(F.ceil(F.log2(length / SLOT)), F.lit(0)), F.lit(CLASSES)).cast("int")
+    slot = lambda at, c: F.floor(at / (F.lit(SLOT) * F.pow(F.lit(2.0), c)))
+    placed = scenes.filter("start_time < end_time").select(F.col("video_id").alias("v"), "scene_id", "start_time", "end_time", of.alias("class"))
+    placed = placed.withColumn("slot", slot(F.col("start_time"), F.col("class")))
+    there = sorted(r["class"] for r in placed.select("class").distinct().collect())  # at most CLASSES + 1
+    mid = (F.coalesce("start", F.lit(0.0)) + F.coalesce("end", "start", F.lit(0.0))) / 2
+    asked = segments.withColumn("start", F.coalesce("start", F.lit(0.0))).withColumn("mid", mid)
+    probes = F.array(*(F.struct(F.lit(c).alias("class"), (slot(F.col("mid"), F.lit(c)) - back).alias("slot")) for c in there for back in (0, 1))) if there else F.array().cast("array<struct<class:int,slot:bigint>>")
+    asked = asked.withColumn("_p", F.explode(probes))
+    hit = (asked["video_id"] == placed["v"]) & (asked["_p.class"] == placed["class"]) & (asked["_p.slot"] == placed["slot"]) & (asked["mid"] >= placed["start_time"]) & (asked["mid"] < placed["end_time"])
+    rest = [c for c in segments.columns if c not in ("video_id", "seg")] + ["mid"]
+    first = asked.join(placed, hit).groupBy("video_id", "seg").agg(F.min(F.struct("scene_id", *rest)).alias("_f"))
+    return first.select(*(c if c in ("video_id", "seg") else F.col(f"_f.{c}").alias(c) for c in [*segments.columns, "mid", "scene_id"]))
 
 
 def merge(scenes: DataFrame, segments: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -124,16 +135,15 @@ def windows(chunks: DataFrame, size: float = 10.0, overlap: float = 2.0) -> Data
     if overlap >= size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
-    bounds = chunks.groupBy("video_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    last = F.when(F.col("hi") - F.col("lo") <= size, 0).otherwise(F.ceil((F.col("hi") - F.col("lo")) / step) - 1).cast("int")
+    # Written, so that Spark knows its size and can split a long video's chunks in the join.
+    bounds = written(chunks.groupBy(F.col("video_id").alias("v")).agg(F.min("start").alias("lo"), F.max("end").alias("hi")), "window-bounds")
+    last = F.when(F.col("hi") - F.col("lo") <= size, 0).otherwise(F.ceil((F.col("hi") - F.col("lo")) / step) - 1)
+    # Which windows a chunk overlaps follows from its times; one more on either side for rounding.
+    k = lambda at: F.floor((at - F.col("lo")) / step)
+    placed = chunks.join(bounds, F.col("video_id") == F.col("v"))
+    made = ranges.counted(placed, "k", F.greatest(k(F.col("start") - size) - 1, F.lit(0)), F.least(k(F.col("end")) + 1, last))
     begin = F.bround(F.col("lo") + F.col("k") * step, 6)
-    made = bounds.withColumn("k", F.explode(F.sequence(F.lit(0), last))).select(F.col("video_id").alias("v"), begin.alias("w_start"), F.least(begin + size, F.col("hi")).alias("w_end"))
-    # Chunks are looked up by slots of a step: a window reaches over a known number of them.
-    slot = lambda at: F.floor(at / step)
-    placed = chunks.withColumn("slot", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
-    asked = made.withColumn("wslot", F.explode(F.sequence(slot(F.col("w_start")), slot(F.col("w_end")))))
-    hit = (placed["video_id"] == asked["v"]) & (placed["slot"] == asked["wslot"]) & (placed["start"] < asked["w_end"]) & (placed["end"] > asked["w_start"])
-    pairs = placed.join(asked, hit).dropDuplicates(["video_id", "w_start", "pos"])
+    pairs = made.withColumn("w_start", begin).withColumn("w_end", F.least(F.col("w_start") + size, F.col("hi"))).filter("start < w_end and end > w_start")
     texts = pairs.groupBy("video_id", "w_start", "w_end").agg(
         F.count("*").alias("n_chunks"), joined_text((F.col("pos"),), F.col("stt"), " ").alias("stt_text"), joined_text((F.col("pos"),), F.col("ocr"), " ").alias("ocr_text")
     )
@@ -163,22 +173,53 @@ def scenes_from_changes(videos: DataFrame) -> DataFrame:
     return found.select("video_id", "scene_id", two(F.col("s.start")).alias("start_time"), two(F.col("s.end")).alias("end_time"), two(F.col("s.end") - F.col("s.start")).alias("duration"))
 
 
-def keyframes(scenes: DataFrame) -> DataFrame:
-    """Frame times of each scene, MAX_FRAMES in a video at most, in scene order."""
-    many = F.least(F.lit(2), F.greatest(F.lit(1), F.floor(F.lit(MAX_FRAMES) / F.count("*").over(Window.partitionBy("video_id")))))
+def scenes_between(changes: DataFrame, videos: DataFrame) -> DataFrame:
+    """``scenes_from_changes`` of rows: changes (video_id, t) and videos (video_id, duration); no row holds a video's times."""
+    long = videos.filter("duration > 0")
+    ends = lambda at, k: long.select("video_id", at.alias("t"), F.lit(k).alias("k"))
+    inner = changes.join(long.select("video_id"), "video_id", "left_semi").select("video_id", "t", F.lit(1).alias("k"))
+    points = ranges.place(ends(F.lit(0.0), 0).unionByName(inner).unionByName(ends(F.col("duration"), 2)), "video_id", "k", "t")
+    pairs = ranges.following(points, "end", F.col("t"), "video_id", "k", "t").filter("k < 2")
+    found = written(pairs.filter(F.col("end") - F.col("t") >= MIN_SCENE), "scenes-found")
+    two = lambda c: F.bround(c, 2)
+    made = ranges.number(found, "scene_id", "video_id", "k", "t").select("video_id", "scene_id", F.col("t").alias("start"), "end")
+    whole = long.join(found.select("video_id"), "video_id", "left_anti").select("video_id", F.lit(0).alias("scene_id"), F.lit(0.0).alias("start"), F.col("duration").alias("end"))
+    return made.unionByName(whole).select("video_id", "scene_id", two(F.col("start")).alias("start_time"), two(F.col("end")).alias("end_time"), two(F.col("end") - F.col("start")).alias("duration"))
+
+
+def planned_frames(scenes: DataFrame) -> DataFrame:
+    """Frame times of each scene, (video_id, scene_id, i, t): two at most, one where a video has many scenes."""
+    counts = written(scenes.groupBy(F.col("video_id").alias("v")).agg(F.count("*").alias("_scenes")), "scene-counts")
+    many = F.least(F.lit(2), F.greatest(F.lit(1), F.floor(F.lit(MAX_FRAMES) / F.col("_scenes"))))
     margin = F.least(F.lit(0.2), F.lit(0.1) * F.col("duration"))
     usable = F.col("duration") - 2 * margin
     mid = (F.col("start_time") + F.col("end_time")) / 2
     at = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda i: F.when((usable <= 0) | (F.col("n") == 1), mid).otherwise(F.col("start_time") + margin + (i + 0.5) * usable / F.col("n")))
-    made = scenes.withColumn("n", many).select("video_id", "scene_id", F.posexplode(at).alias("i", "t"))
-    return numbered(made, "frame_id", "scene_id", "i").filter(F.col("frame_id") < MAX_FRAMES).select("video_id", "scene_id", "frame_id", F.bround("t", 2).alias("timestamp"))
+    return scenes.join(counts, F.col("video_id") == F.col("v")).withColumn("n", many).select("video_id", "scene_id", F.posexplode(at).alias("i", "t"))
+
+
+def capped(frames: DataFrame) -> DataFrame:
+    """The first MAX_FRAMES of each video's frames in scene order, with their number."""
+    return numbered(frames, "frame_id", "scene_id", "i").filter(F.col("frame_id") < MAX_FRAMES)
+
+
+def keyframes(scenes: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Frame times of each scene, MAX_FRAMES in a video at most, in scene order.
+
+    With ``read`` (video_id, scene_id, i), the planned frames that could be read, those that
+    couldn't don't count toward the cap and have no number.
+    """
+    planned = planned_frames(scenes)
+    if read is not None:
+        planned = planned.join(read.select("video_id", "scene_id", "i").distinct(), ["video_id", "scene_id", "i"], "left_semi")
+    return capped(planned).select("video_id", "scene_id", "frame_id", F.bround("t", 2).alias("timestamp"))
 
 
 def audio_plan(videos: DataFrame) -> DataFrame:
     """Parts of the sound track of (video_id, duration): of CHUNK seconds, the last one shorter; up to LAST_CHUNK seconds stay whole."""
     dur = F.greatest(F.col("duration"), F.lit(0.0))
-    last = F.when(dur <= LAST_CHUNK, 0).otherwise(F.floor(dur / CHUNK)).cast("int")
-    parts = videos.select("video_id", dur.alias("dur"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_id"))
+    last = F.when(dur <= LAST_CHUNK, 0).otherwise(F.floor(dur / CHUNK))
+    parts = ranges.counted(videos.select("video_id", dur.alias("dur"), last.alias("last")), "chunk_id", F.lit(0), F.col("last")).withColumn("chunk_id", F.col("chunk_id").cast("int"))
     end = F.when(F.col("dur") <= LAST_CHUNK, F.col("dur")).otherwise(F.least((F.col("chunk_id") + 1) * CHUNK, F.col("dur")))
     out = parts.select("video_id", "chunk_id", (F.col("chunk_id") * CHUNK).alias("start"), end.alias("end"))
     return out.filter((F.col("end") > F.col("start")) | (F.col("chunk_id") == 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliplane.operators import timeline
+from cliplane.operators import gaps, timeline
 from cliplane.plans.registry import query
 from cliplane.sources.adapters import chunks, lines, ocr_items, scenes, segments, sql, table
 
@@ -24,14 +24,18 @@ pairs AS (SELECT video_id, i, p[i] AS s, p[i + 1] AS e FROM (SELECT *, unnest(ra
 found AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY i) - 1 AS scene_id, round_even(s, 2) AS start_time, round_even(e, 2) AS end_time, round_even(e - s, 2) AS duration FROM pairs WHERE e - s >= 0.5)"""
 
 
+def _time_rows(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("video_id"), ((F.col("event_id") % 997).cast("double") / 4).alias("t"))
+
+
 def _times(spark, d) -> DataFrame:
-    t = table(spark, d, "events").select(F.col("user_id").alias("video_id"), ((F.col("event_id") % 997).cast("double") / 4).alias("t"))
     # Distinct before they are collected: at most 997 times of a video meet in a row.
-    return t.distinct().groupBy("video_id").agg(F.collect_list("t").alias("ts"), (F.max("t") + 5).alias("duration"))
+    return _time_rows(spark, d).distinct().groupBy("video_id").agg(F.collect_list("t").alias("ts"), (F.max("t") + 5).alias("duration"))
 
 
 def _changes(spark, d) -> DataFrame:
-    return timeline.scenes_from_changes(_times(spark, d).select("video_id", timeline.kept_gaps(F.col("ts")).alias("changes"), "duration"))
+    times = _time_rows(spark, d)
+    return timeline.scenes_between(gaps.kept_times(times, timeline.MIN_GAP), times.groupBy("video_id").agg((F.max("t") + 5).alias("duration")))
 
 
 @query("j_1_midpoint_join", sql("segments scenes", f", {ALIGNED} SELECT * FROM aligned"))
@@ -91,6 +95,13 @@ def a_15(spark, d) -> DataFrame:
 
 @query("w_3_min_gap", sql("chunks", f", {TIMES} SELECT video_id, kept FROM folded"))
 def w_3(spark, d) -> DataFrame:
+    """The times are kept as rows; only the answer has a list for each video."""
+    return gaps.kept_times(_time_rows(spark, d), timeline.MIN_GAP).groupBy("video_id").agg(F.array_sort(F.collect_list("t")).alias("kept"))
+
+
+@query("w_3_min_gap_in_row", sql("chunks", f", {TIMES} SELECT video_id, kept FROM folded"))
+def w_3b(spark, d) -> DataFrame:
+    """The fold within a row, for videos whose times are a short array already."""
     return _times(spark, d).select("video_id", timeline.kept_gaps(F.col("ts")).alias("kept"))
 
 
@@ -108,6 +119,17 @@ def w_5(spark, d) -> DataFrame:
     return timeline.keyframes(_changes(spark, d))
 
 
+@query("w_8_successful_frames", sql("chunks", f""", {CHANGES}, n AS (SELECT *, least(2, greatest(1, 10 // count(*) OVER (PARTITION BY video_id))) AS n, least(0.2::DOUBLE, 0.1::DOUBLE * duration) AS m FROM found),
+f AS (SELECT *, CASE WHEN duration - 2 * m <= 0 OR n = 1 THEN (start_time + end_time) / 2 ELSE start_time + m + (i + 0.5::DOUBLE) * (duration - 2 * m) / n END AS t FROM (SELECT *, unnest(range(0, n)) AS i FROM n)),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY scene_id, i) - 1 AS frame_id FROM f WHERE (video_id + scene_id * 3 + i) % 4 <> 0)
+SELECT video_id, scene_id, frame_id, round_even(t, 2) AS "timestamp" FROM r WHERE frame_id < 10"""))
+def w_8(spark, d) -> DataFrame:
+    """Of the planned frames every fourth can't be read; those don't count toward the cap."""
+    found = _changes(spark, d)
+    read = timeline.planned_frames(found).filter((F.col("video_id") + F.col("scene_id") * 3 + F.col("i")) % 4 != 0)
+    return timeline.keyframes(found, read)
+
+
 @query("w_6_audio_plan", """SELECT doc_id AS video_id, chunk_id, chunk_id * 120::DOUBLE AS "start", CASE WHEN dur <= 130 THEN dur ELSE least((chunk_id + 1) * 120::DOUBLE, dur) END AS "end"
 FROM (SELECT doc_id, dur, unnest(range(0, CASE WHEN dur <= 130 THEN 1 ELSE CAST(floor(dur / 120) AS BIGINT) + 1 END)) AS chunk_id FROM (SELECT doc_id, CAST(n_chars % 1441 AS DOUBLE) AS dur FROM documents))
 WHERE chunk_id = 0 OR least((chunk_id + 1) * 120::DOUBLE, dur) > chunk_id * 120::DOUBLE""")
