@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliplane.operators import tracker
-from cliplane.plans.registry import query
+from cliplane.operators.changelog import ChangeLog
+from cliplane.plans.registry import ORACLES, query
+from cliplane.session import shared_dir
 from cliplane.sources.adapters import objects, sql, table
 
 NOW = 1_000_000_000
@@ -154,3 +158,68 @@ def f_39(spark, d) -> DataFrame:
     n = F.col("n") * 2
     waiting = objects(spark, d).filter("status = 'pending'").groupBy("type").agg(F.count("*").alias("n"))
     return waiting.select("type", F.format_string("%d:%02d:%02d", F.floor(n / 3600), F.floor(n % 3600 / 60), n % 60).alias("eta"), F.format_number("n", 0).alias("n_text"))
+
+
+def _logged(spark, d, change, compact: bool = False) -> DataFrame:
+    """The queue after ``change`` of a change log over it, read from the log or after a compaction."""
+    log = ChangeLog.create(spark, f"{shared_dir(spark)}/cliplane-log-{uuid.uuid4().hex}", objects(spark, d), 16)
+    change(log)
+    if compact:
+        log.compact()
+    return log.objects()
+
+
+@query("k_6_log_add", ORACLES["k_6_add_objects"])
+def k_6_log(spark, d) -> DataFrame:
+    """K-6 by the log: the new rows are appended, not the queue written."""
+    new = table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("id"), F.col("l_linestatus").alias("title"), F.lit("content").alias("type"), F.col("l_linenumber").alias("pos"))
+    return _logged(spark, d, lambda log: log.add(new, NOW))
+
+
+@query("k_8_log_completed", ORACLES["k_8_mark_completed"])
+def k_8_log(spark, d) -> DataFrame:
+    """K-8 by the log, read after a compaction."""
+    path = lambda folder: F.concat(F.lit(folder), F.col("id").cast("string"))
+    done = _parts(spark, d).select(F.array("id", -F.col("id") - 1, "id").alias("ids"), F.array(path("zzz/"), path("none/"), path("done/")).alias("paths"))
+    return _logged(spark, d, lambda log: log.complete(done.select(tracker.zipped(F.col("ids"), F.col("paths")).alias("p")).select("p.*"), NOW), compact=True)
+
+
+@query("k_9_log_error", ORACLES["k_9_mark_error"])
+def k_9_log(spark, d) -> DataFrame:
+    """K-9 by the log, in two batches."""
+    first = _parts(spark, d).filter("id % 3 = 0").select("id", F.lit("zzz").alias("message"), F.lit(0).alias("pos"))
+    failed = _parts(spark, d).select("id", F.when(F.col("id") % 2 == 0, "timeout").alias("message"), F.lit(1).alias("pos"))
+
+    def both(log: ChangeLog) -> None:
+        log.error(first, NOW - 1)
+        log.error(failed, NOW)
+
+    return _logged(spark, d, both)
+
+
+@query("k_10_log_reset_errors", ORACLES["k_10_reset_errors"])
+def k_10_log(spark, d) -> DataFrame:
+    return _logged(spark, d, lambda log: log.reset_errors())
+
+
+@query("k_11_log_reset_all", ORACLES["k_11_reset_all"])
+def k_11_log(spark, d) -> DataFrame:
+    return _logged(spark, d, lambda log: log.reset_all(), compact=True)
+
+
+@query("k_12_log_clear", ORACLES["k_12_clear_ids"])
+def k_12_log(spark, d) -> DataFrame:
+    return _logged(spark, d, lambda log: log.clear(_parts(spark, d)))
+
+
+@query("k_13_log_updated", sql("objects", f""", {PARTS}, fresh AS (SELECT DISTINCT l_orderkey * 2 AS id FROM lineitem WHERE l_orderkey * 2 NOT IN (SELECT id FROM objects))
+SELECT o.id, CASE WHEN p.id IS NOT NULL THEN 3 WHEN status = 'error' THEN 2 END AS updated_seq FROM objects o LEFT JOIN parts p ON o.id = p.id
+UNION ALL SELECT id, 1 FROM fresh WHERE id NOT IN (SELECT id FROM parts) UNION ALL SELECT id, 3 FROM fresh WHERE id IN (SELECT id FROM parts)"""))
+def k_13_log(spark, d) -> DataFrame:
+    """K-13 in every mutator: which change touched each row last, of an add, a reset of errors and completions."""
+    new = table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("id"), F.col("l_linestatus").alias("title"), F.lit("content").alias("type"), F.col("l_linenumber").alias("pos"))
+    log = ChangeLog.create(spark, f"{shared_dir(spark)}/cliplane-log-{uuid.uuid4().hex}", objects(spark, d), 16)
+    log.add(new, NOW)
+    log.reset_errors()
+    log.complete(_parts(spark, d).withColumn("file_path", F.lit("p")), NOW)
+    return log.state().select("id", "updated_seq")
