@@ -15,6 +15,7 @@ turn at a time.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,10 +27,11 @@ from cliplane.llm.runtime import ship
 
 # The template's control strings
 START, END = "<|im_start|>", "<|im_end|>"
-PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>", "other": "<|other|>"}
 
 PATCH = 28  # an image takes a token for each patch of so many pixels a side
 AUDIO_RATE = 25  # tokens a second
+MAX_SECONDS = 1e9  # a length beyond that, or none at all, is no length
 PAGE_TOKENS = 256
 
 LEARNED_ROLE = "assistant"
@@ -59,12 +61,14 @@ def unescape_role(role: str) -> str:
 class Flatten:
     """Visits the parts of a turn; ``out`` is the content so far, ``attachments`` what it refers to."""
 
-    def __init__(self) -> None:
+    def __init__(self, strict: bool = True) -> None:
+        self.strict = strict
         self.out, self.size, self.tokens = [], 0, 0
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_unknown)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part['type']}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self._add(escape(part["text"] or ""))
@@ -74,13 +78,16 @@ class Flatten:
         self._attach("image", part, across * down)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, -int(-(part["seconds"] or 0) * AUDIO_RATE // 1)))
+        seconds = part["seconds"] or 0
+        self._attach("audio", part, max(1, math.ceil(seconds * AUDIO_RATE)) if 0 < seconds < MAX_SECONDS else 1)
 
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, PAGE_TOKENS * max(part["pages"] or 1, 1))
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown content part: {part['type']}")
+    def visit_other(self, part: dict) -> None:
+        if self.strict:
+            raise ValueError(f"unknown content part: {part['type']}")
+        self._attach("other", part, 1)
 
     def _add(self, text: str) -> None:
         self.out.append(text)
@@ -92,9 +99,9 @@ class Flatten:
         self._add(PLACEHOLDER[kind])
 
 
-def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int | None, int | None, Flatten]:
-    """A turn's text, the span of its content if it is learned from, and what the visitor recorded."""
-    flat = Flatten()
+def format_turn(role: str | None, parts: list[dict], strict: bool = True) -> tuple[str, int | None, int | None, Flatten]:
+    """A turn's text, the span of its content if it is learned from, and what the visitor recorded; if ``strict``, unknown parts are an error."""
+    flat = Flatten(strict)
     for part in parts:
         flat.visit(part)
     head = f"{START}{escape_role(role or '')}\n"
@@ -125,12 +132,14 @@ def format_turns(turns: DataFrame) -> DataFrame:
     ``formatted`` is the turn's text, ``loss_start`` and ``loss_end`` the code
     points of the content to learn from (null for other roles), ``attachments``
     the non-text parts in order with their place. Null roles are empty; null
-    parts are none; a part of unknown type is an error. Other columns are ignored.
+    parts are none, and null elements among them are left out. A part of another or no type is one
+    placeholder and token; so is audio whose length is missing, not a number, infinite, negative or over
+    MAX_SECONDS. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [format_turn(r, p or []) for r, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = [format_turn(r, p or [], strict=False) for r, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             attached = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -21,6 +21,7 @@ from cliplane.llm.runtime import stash
 
 SEED = 17
 TEMPERATURE = 0.5
+EQUAL_BLOCK = 4096  # of equal rows without an id that are numbered in one array
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,8 +64,9 @@ def mix(docs: DataFrame, key: str = "source", id_col: str = "doc_id", seed: int
 
     A source's expected number of rows follows its target weight. Null is a
     source like any other. A document draws by its id and an MD5 of its text, so
-    rows that repeat an id draw apart unless the text is the same, too; rows without
-    an id also draw by their place in ``docs``. Rows come in ``shuffle_key`` order within
+    rows that repeat an id draw apart unless the text is the same, too. Of rows without
+    an id equal ones (in all columns) are counted and numbered, and each draws by its content and
+    number, so draws don't depend on how ``docs`` lies in partitions. Rows come in ``shuffle_key`` order within
     partitions that hash of the key deals out. Columns of ``docs`` that have the
     names of the added ones are replaced by them. An empty table stays empty.
     """
@@ -73,9 +75,16 @@ def mix(docs: DataFrame, key: str = "source", id_col: str = "doc_id", seed: int
     table = rates(docs, key, temperature, weights, size)
     # Written, so that Spark knows its size when it plans the join.
     table = stash(distributions(table.select("key", "rate")), "mixing-rates")
-    place = F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))
-    ident = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), place), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.struct(*own).alias("doc"), F.col(key).alias("own_key"), ident.alias("ident"), uniform(F.lit(str(seed)), ident).alias("u"))
+    ident = F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.struct(*own).alias("doc"), F.col(key).alias("own_key"), ident.alias("ident"))
+    # Counted before they are shuffled, so that many equal rows don't meet; blocks keep arrays short.
+    content = F.md5(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}))
+    equal = docs.filter(F.col(id_col).isNull()).select(F.struct(*own).alias("doc"), F.col(key).alias("own_key"), content.alias("content"))
+    equal = equal.groupBy("content").agg(F.first("doc").alias("doc"), F.first("own_key").alias("own_key"), F.count("*").alias("many"))
+    blocks = equal.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(EQUAL_BLOCK).cast("long"))))
+    each = blocks.withColumn("number", F.explode(F.sequence("at", F.least(F.col("at") + EQUAL_BLOCK, F.col("many")) - 1)))
+    unnamed = each.select("doc", "own_key", F.concat_ws("|", F.lit("null"), F.col("content"), F.col("number").cast("string")).alias("ident"))
+    rows = named.unionByName(unnamed).withColumn("u", uniform(F.lit(str(seed)), F.col("ident")))
     # The number of cumulative values up to u is the first count whose cumulative value exceeds it.
     drawn = rows.join(table, F.col("own_key").eqNullSafe(F.col("key"))).withColumn("n_copies", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).cast("long"))
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))

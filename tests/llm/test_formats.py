@@ -90,6 +90,29 @@ def test_mixing_follows_weights(spark, docs, nothing):
     assert [r.source for r in keep_all] == ["a"]
 
 
+def test_draws_do_not_depend_on_partitions(spark, docs):
+    rows = [(i if i % 3 else None, f"t{i % 40}", f"s{i % 4}", i % 5) for i in range(600)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    drawn = [Counter(tuple(r) for r in mixing.mix(many.repartition(n)).collect()) for n in (3, 7)]
+    assert drawn[0] == drawn[1] and any(r[0] is None for r in drawn[0])
+    # Equal rows without an id are numbered over more than one block and draw apart.
+    equal = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "'t' as text", "'a' as source")
+    got = mixing.mix(equal, size=0.5)
+    assert 4700 < got.count() < 5300 and got.select("shuffle_key").distinct().count() > 4500
+
+
+def test_odd_parts_have_a_place(spark):
+    kinds = [("audio", float("nan")), ("audio", float("inf")), ("audio", -3.0), ("audio", None), ("audio", 1e300), ("audio", 2.5), ("video", 9.0), (None, None)]
+    parts = [None, *((k, None, "r", None, None, s, None) for k, s in kinds), ("text", "<|other|> a", None, None, None, None, None), None]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None), (2, 0, "user", [None])], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = {(r.conv_id, r.turn): r for r in chat.format_turns(turns).collect()}
+    assert [(a.kind, a.tokens) for a in got[1, 0].attachments] == [*[("audio", 1)] * 5, ("audio", 63), ("other", 1), ("other", 1)]
+    assert got[1, 0].formatted == "<|im_start|>user\n" + "<|audio|>" * 6 + "<|other|>" * 2 + "<\\|other|> a<|im_end|>\n"
+    for a in got[1, 0].attachments:
+        assert got[1, 0].formatted[a.at :].startswith(f"<|{a.kind}|>")
+    assert got[1, 1].n_tokens_expanded == got[2, 0].n_tokens_expanded == 0
+
+
 def test_poisson_table(spark):
     table = spark.createDataFrame([(str(x), x) for x in (0.0, 0.3, 5.0, 900.0)], "key string, rate double")
     for rate, cdf in mixing.distributions(table).select("rate", "cdf").collect():
