@@ -3,7 +3,8 @@
 A text's terms are its words and its pairs of neighbouring characters (code
 points of any script, A-Z in lower case apart from their capitals), hashed to
 ``WORD_TERMS`` and ``PAIR_TERMS`` places, and, as terms of their own, the share of
-words that repeat the word before and the share of capitals. A term weighs the
+words that repeat the word before and the share of capitals; a text without any of these has one
+term that says so. A term weighs the
 root of its share in the text times its inverse document frequency over all
 documents. A truncated singular value decomposition of labelled texts gives the
 latent space. The labelled vectors are broadcast; their number is bounded by
@@ -35,8 +36,10 @@ THRESHOLD = 0.7
 WORD_TERMS = 1 << 14
 PAIR_TERMS = 1 << 13
 REPEATS, CAPITALS = WORD_TERMS + PAIR_TERMS, WORD_TERMS + PAIR_TERMS + 1
-TERMS = CAPITALS + 1
+EMPTY = CAPITALS + 1  # the only term of a text that has no other
+TERMS = EMPTY + 1
 PRIOR_VOTES = 1.5
+CHUNK_ENTRIES = 1 << 18  # of a sparse matrix that are multiplied at a time
 CHUNK_ROWS = 1024  # of texts at a time, whose terms and similarities are in memory together
 
 
@@ -84,6 +87,13 @@ def terms_of(texts: kernels.Texts) -> Terms:
     return Terms(*(np.concatenate([getattr(t, k) for t in every]) for k in ("text", "term", "weight")))
 
 
+def all_terms(texts: kernels.Texts) -> Terms:
+    """``terms_of``, and the term of a text without any."""
+    terms = terms_of(texts)
+    empty = np.setdiff1d(np.arange(len(texts)), terms.text)
+    return Terms(np.append(terms.text, empty), np.append(terms.term, np.full(len(empty), EMPTY)), np.append(terms.weight, np.ones(len(empty))))
+
+
 def inverse_frequency(docs: DataFrame, text_col: str) -> np.ndarray:
     """log(1 + documents / documents with the term) of every term, over all of ``docs``; TERMS numbers."""
 
@@ -93,7 +103,7 @@ def inverse_frequency(docs: DataFrame, text_col: str) -> np.ndarray:
             texts = kernels.texts_of(batch.column(0))
             rows += len(texts)
             for a, b in kernels.row_chunks(texts, rows=CHUNK_ROWS):
-                total += np.bincount(terms_of(kernels.part_of(texts, a, b)).term, minlength=TERMS)
+                total += np.bincount(all_terms(kernels.part_of(texts, a, b)).term, minlength=TERMS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, TERMS)), pa.array(np.append(total[used], rows))], ["term", "n"])
 
@@ -103,14 +113,43 @@ def inverse_frequency(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.log1p(n[TERMS] / np.maximum(n[:TERMS], 1)).astype(np.float32)
 
 
-def directions(x: np.ndarray, many: int = DIMENSIONS, seed: int = 3) -> np.ndarray:
+class Matrix:
+    """Weighted terms of some texts less their mean, as a sparse matrix and the mean: products take no more than its entries."""
+
+    def __init__(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, terms: int):
+        order = np.argsort(text, kind="stable")
+        self.text, self.term, self.weight = text[order].astype(np.int32), term[order].astype(np.int32), weight[order].astype(np.float32)
+        self.shape = texts, terms
+        self.mean = (np.bincount(self.term, self.weight, terms) / texts).astype(np.float32)
+
+    def _summed(self, to: np.ndarray, of: np.ndarray, v: np.ndarray, rows: int, sorted_: bool) -> np.ndarray:
+        out = np.zeros((rows, v.shape[1]), np.float32)
+        for a in range(0, len(to), CHUNK_ENTRIES):
+            part = slice(a, a + CHUNK_ENTRIES)
+            own, value = to[part], v[of[part]] * self.weight[part, None]
+            if not sorted_:
+                order = np.argsort(own, kind="stable")
+                own, value = own[order], value[order]
+            at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[at]] += np.add.reduceat(value, at, axis=0)
+        return out
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self._summed(self.text, self.term, v, self.shape[0], True) - self.mean @ v
+
+    def transposed_times(self, u: np.ndarray) -> np.ndarray:
+        return self._summed(self.term, self.text, u, self.shape[1], False) - np.outer(self.mean, u.sum(0))
+
+
+def directions(x: Matrix, many: int = DIMENSIONS, seed: int = 3) -> np.ndarray:
     """The leading right singular vectors of ``x`` by randomised subspace iteration."""
     rng = np.random.default_rng(seed)
-    y = x.T @ (x @ rng.normal(size=(x.shape[1], min(many + 16, x.shape[1]))).astype(np.float32))
+    terms = x.shape[1]
+    y = x.transposed_times(x.times(rng.normal(size=(terms, min(many + 16, terms))).astype(np.float32)))
     for _ in range(4):
-        y = x.T @ (x @ np.linalg.qr(y)[0])
+        y = x.transposed_times(x.times(np.linalg.qr(y)[0]))
     q = np.linalg.qr(y)[0]
-    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    _, _, v = np.linalg.svd(x.times(q), full_matrices=False)
     return (q @ v.T[:, :many]).astype(np.float32)
 
 
@@ -120,15 +159,15 @@ class Voters:
     def __init__(self, terms: Terms, label: np.ndarray, idf: np.ndarray):
         self.idf = idf
         used, at = np.unique(terms.term, return_inverse=True)
-        x = np.zeros((len(label), len(used)), np.float32)
-        x[terms.text, at] = terms.weight * idf[terms.term]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        mean = x.mean(0)
-        basis = directions(x - mean)
+        weight = terms.weight * idf[terms.term]
+        norm = np.sqrt(np.bincount(terms.text, weight.astype(float) ** 2, len(label)))
+        x = Matrix(terms.text, at, weight / np.maximum(norm[terms.text], 1e-12), len(label), len(used))
+        basis = directions(x)
+        self.knows_empty = EMPTY in used
         # Terms that no voter has lie outside of the space.
         self.basis = np.zeros((len(idf), basis.shape[1]), np.float32)
         self.basis[used] = basis
-        self.origin = mean @ basis
+        self.origin = x.mean @ basis
         self.vectors = self.embed(terms, len(label))
         self.label = label.astype(np.float32)
         self.prior = float(label.mean())
@@ -161,7 +200,10 @@ class Voters:
         return good / (np.bincount(row, weight, len(sims)) + PRIOR_VOTES)
 
     def score(self, texts: kernels.Texts) -> np.ndarray:
-        vectors = self.embed(terms_of(texts), len(texts))
+        terms = all_terms(texts)
+        vectors = self.embed(terms, len(texts))
+        if not self.knows_empty:
+            vectors[terms.text[terms.term == EMPTY]] = 0
         return np.where(vectors.any(1), np.clip(self.vote(vectors), 0, 1), self.prior).astype(float)
 
 
@@ -176,20 +218,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             texts = kernels.texts_of(batch.column(0))
             for a, b in kernels.row_chunks(texts, rows=CHUNK_ROWS):
-                terms = terms_of(kernels.part_of(texts, a, b))
+                terms = all_terms(kernels.part_of(texts, a, b))
                 own = [np.flatnonzero(terms.text == i) for i in range(b - a)]
                 packed = [pa.array([x[i].astype(kind).tobytes() for i in own], pa.binary()) for x, kind in ((terms.term, np.int32), (terms.weight, np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), *packed], ["id", "label", "terms", "weights"])
 
     ship(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("id"), "id", "label").limit(MAX_LABELLED)
+    # Only labels of documents that are there, so that labels of others take no voter's place.
+    there = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null")
+    chosen = usable.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id", "label").limit(MAX_LABELLED)
     # At most MAX_LABELLED small rows, so this side may be broadcast at any scale.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter(F.length("text") > 1).select("text", "id", "label")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "id", "label")
     rows = texts.mapInArrow(run, "id long, label int, terms binary, weights binary").orderBy("id", "label", "terms", "weights").limit(MAX_LABELLED).collect()
     if not rows:
         return None
-    each = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows]
+    each = [np.frombuffer(r["terms"], np.int32) for r in rows]
     weights = [np.frombuffer(r["weights"], np.float32) for r in rows]
     terms = Terms(np.repeat(np.arange(len(rows)), [len(x) for x in each]), np.concatenate(each), np.concatenate(weights))
     return Voters(terms, np.array([r["label"] for r in rows]), inverse_frequency(docs, text_col))
@@ -199,8 +243,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id_col, held_out, score, predicted.
 
     ``score`` in 0..1 rises with the likelihood of label 1; ``predicted`` is 1
-    from THRESHOLD on. Texts without terms and nulls get the share of label 1 among
-    the voters; without any labelled row all scores are 0.5. Rows that
+    from THRESHOLD on. Empty texts and nulls are learned from and have neighbours
+    like others; where no labelled text is empty, they get the share of label 1 among the voters. Without any labelled row all scores are 0.5. Rows that
     repeat a document are scored each; rows that repeat a label vote each. A null
     id is not held out. Other columns are ignored.
     """

@@ -176,6 +176,41 @@ def test_quality_learns(spark, docs, nothing):
     assert quality.classify(nothing, labels).count() == 0
 
 
+def test_quality_learns_from_empty_texts(spark):
+    """Empty, blank and missing texts that are labelled 0 are scored low, though most labels are 1."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 30)), 1) for i in range(300)]
+    rows += [(1000 + i, ["", None, "\n"][i % 3], 0) for i in range(120)]
+    texts = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = quality.classify(texts, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")).collect()
+    assert all(r.predicted == int(r.doc_id < 1000) and (r.score < 0.3) == (r.doc_id >= 1000) for r in got)
+
+
+def test_labels_of_other_documents_take_no_place(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta"] if i % 2 else ["gamma", "delta"], 20))) for i in range(200)]
+    own = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    others = spark.range(10_000, 210_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    alone, crowded = ({r.doc_id: r.score for r in quality.classify(texts, labels).collect()} for labels in (own, own.unionByName(others)))
+    assert alone == crowded and all((s >= 0.7) == bool(i % 2) for i, s in alone.items())
+
+
+def test_sparse_products_are_dense_ones(monkeypatch):
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(quality, "CHUNK_ENTRIES", 37)
+    dense = rng.random((40, 60)) * (rng.random((40, 60)) < 0.2)
+    text, term = np.nonzero(dense)
+    mixed = rng.permutation(len(text))
+    x = quality.Matrix(text[mixed], term[mixed], dense[text, term][mixed], 40, 60)
+    centred = dense - dense.mean(0)
+    v, u = rng.random((60, 5)), rng.random((40, 5))
+    assert np.allclose(x.times(v), centred @ v, atol=1e-4) and np.allclose(x.transposed_times(u), centred.T @ u, atol=1e-4)
+    basis = quality.directions(x, 5)
+    best = np.linalg.svd(centred, full_matrices=False)[1][:5]
+    assert np.allclose(np.linalg.norm(centred @ basis), np.linalg.norm(best), rtol=1e-2)
+
+
 def test_votes_are_brute_force():
     """Against a plain nearest-neighbour vote over the same vectors, with ties at the last place."""
     rng = np.random.default_rng(8)
