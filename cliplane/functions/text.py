@@ -5,6 +5,7 @@ Java patterns need (?iuU) to fold case and to know letters beyond ASCII.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -116,9 +117,29 @@ def deleted(text: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, FLAGS + p, ""), patterns, text)
 
 
+def literal(pattern: str) -> str:
+    """The longest plain text, in lower case, that every hit of a pattern holds."""
+    return max(re.split(r"\\s\+|\\w\+|\\w\{2,\}|\\b|\+", pattern), key=len)
+
+
+# Letters that a folding pattern takes for ASCII ones though their lower case isn't: texts with them run every pattern.
+ODD = "[\u017f\u0130\u0131\u212a]"
+
+
+def triggers(patterns: tuple[str, ...]) -> Column:
+    """The patterns with their literals, as a table within the expression."""
+    return F.array(*(F.struct(F.lit(literal(p)).alias("literal"), F.lit(FLAGS + p).alias("pattern")) for p in patterns))
+
+
+def gated(text: Column, patterns: tuple[str, ...]) -> Column:
+    """``deleted``, but only those patterns run whose literal is there; as deleting may bring parts of one together, it is looked for in what is left each time."""
+    step = lambda t, p: F.when(F.lower(t).contains(p["literal"]), F.regexp_replace(t, p["pattern"], F.lit(""))).otherwise(t)
+    return F.when(text.rlike(ODD), deleted(text, patterns)).otherwise(F.aggregate(triggers(patterns), text, step))
+
+
 def without(text: Column, patterns: tuple[str, ...]) -> Column:
     """Deletes the patterns one after another; most texts hold none, which one search tells."""
-    return let(text, lambda t: F.when(t.rlike(any_of(patterns)), deleted(t, patterns)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(any_of(patterns)), gated(t, patterns)).otherwise(t))
 
 
 def lines_of(text: Column) -> Column:
@@ -137,8 +158,11 @@ def remove_fillers(text: Column) -> Column:
 
 def remove_noise(text: Column) -> Column:
     """Lines of which the first hit of a pattern covers over half go; from others all hits are deleted."""
-    covers = lambda x: reduce(lambda a, p: a | (F.length(F.regexp_extract(x, FLAGS + p, 0)) > F.length(x) * 0.5), NOISE, F.lit(False))
-    rest = lambda x: F.when(~x.rlike(any_of(NOISE)), x).when(covers(x), "").otherwise(strip(deleted(x, NOISE)))
+    over_half = lambda x, pattern: F.length(F.call_function("regexp_extract", x, pattern, F.lit(0))) > F.length(x) * 0.5
+    odd = lambda x: reduce(lambda a, p: a | over_half(x, F.lit(FLAGS + p)), NOISE, F.lit(False))
+    found = lambda x: F.exists(triggers(NOISE), lambda p: F.when(F.lower(x).contains(p["literal"]), over_half(x, p["pattern"])).otherwise(False))
+    covers = lambda x: F.when(x.rlike(ODD), odd(x)).otherwise(found(x))
+    rest = lambda x: F.when(~x.rlike(any_of(NOISE)), x).when(covers(x), "").otherwise(strip(gated(x, NOISE)))
     return F.array_join(F.filter(F.transform(lines_of(text), rest), lambda x: x != ""), "\n")
 
 
@@ -157,21 +181,18 @@ def clean(text: Column) -> Column:
 
 
 def merge_sentences(text: Column) -> Column:
-    """Lines become sentences: one that starts in lower case continues the one before; one after an open end starts after a full stop."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Lines become sentences: one that starts in lower case continues the one before; one after an open end starts after a full stop.
 
-    def add(acc: Column, line: Column) -> Column:
-        first = F.substring(line, 1, 1)
-        goes_on = (acc["open"] != "") & (first == F.lower(first)) & (first != F.upper(first))
-        unended = (acc["open"] != "") & ~acc["open"].rlike("[.!?:。]$")
-        opened = F.when(goes_on, F.concat(acc["open"], F.lit(" "), line)).when(unended, F.concat(acc["open"], F.lit(". "), line)).otherwise(line)
-        closed = ~goes_on & ~unended & (acc["open"] != "")
-        return F.struct(F.when(closed, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), opened.alias("open"))
+    The end of what is open is the end of the line before, so what stands between two
+    lines depends on these alone, and all are joined at once.
+    """
 
-    def end(acc: Column) -> Column:
-        return F.array_join(F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]), "\n")
+    def between(before: Column, line: Column) -> Column:
+        first = F.substring(line, 1, 1)
+        return F.when((first == F.lower(first)) & (first != F.upper(first)), " ").when(~before.rlike("[.!?:。]$"), ". ").otherwise("\n")
 
-    return let(filled(text), lambda t: F.when(t.contains("\n"), F.aggregate(lines_of(t), start, add, end)).otherwise(t))
+    joined = lambda lines: F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.concat(between(F.get(lines, i - 1), x), x))), "")
+    return let(filled(text), lambda t: F.when(t.contains("\n"), let(lines_of(t), joined)).otherwise(t))
 
 
 def fix_errors(text: Column) -> Column:

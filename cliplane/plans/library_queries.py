@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.operators import search
-from cliplane.plans.registry import query
+from cliplane.operators.postings import SearchIndex
+from cliplane.plans.registry import ORACLES, query
+from cliplane.session import shared_dir
 from cliplane.sources.adapters import sql, table, videos
 
 FOUND = """status = 'analyzed' AND (regexp_matches(title, 'th', 'i') OR regexp_matches(analysis_title, 'th', 'i')
@@ -125,3 +129,31 @@ def s_23(spark, d) -> DataFrame:
 @query("t_4_latest_state", """SELECT user_id AS video_id, arg_max(event_type, event_id) AS state, max(event_id) AS at FROM events GROUP BY user_id""")
 def t_4(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.max_by("event_type", "event_id").alias("state"), F.max("event_id").alias("at"))
+
+
+def _indexed(spark, d) -> SearchIndex:
+    """The library behind a trigram index, inserted in two parts."""
+    index = SearchIndex(spark, f"{shared_dir(spark)}/cliplane-index-{uuid.uuid4().hex}")
+    return index.insert(videos(spark, d).filter("video_id % 2 = 0")).insert(videos(spark, d).filter("video_id % 2 = 1"))
+
+
+@query("p_2_index_search", sql("videos", f"""SELECT video_id, coalesce(nullif(analysis_title, ''), title) AS title, category, score, strftime(analyzed_at, {ISO}) AS analyzed_at
+FROM videos WHERE status = 'analyzed' AND (regexp_matches(title, 'licen[cs]e|reserved', 'i') OR regexp_matches(analysis_title, 'licen[cs]e|reserved', 'i') OR regexp_matches(category, 'licen[cs]e|reserved', 'i') OR regexp_matches(key_message, 'licen[cs]e|reserved', 'i'))
+AND regexp_matches(category, 'src[0-4]', 'i') AND score >= 3 ORDER BY videos.analyzed_at DESC NULLS LAST, video_id LIMIT 20 OFFSET 5"""))
+def p_2_index(spark, d) -> DataFrame:
+    q = "licen[cs]e|reserved"
+    return search.search(_indexed(spark, d).candidates(q), q, "src[0-4]", 3, skip=5, limit=20)
+
+
+@query("p_9_index_any_of_four", sql("videos", """SELECT video_id FROM videos WHERE regexp_matches(title, 'gnu general|apache +license', 'i') OR regexp_matches(analysis_title, 'gnu general|apache +license', 'i')
+OR regexp_matches(category, 'gnu general|apache +license', 'i') OR regexp_matches(key_message, 'gnu general|apache +license', 'i')"""))
+def p_9_index(spark, d) -> DataFrame:
+    q = "gnu general|apache +license"
+    return _indexed(spark, d).candidates(q).filter(search.matches(q, "title", "analysis_title", "category", "key_message")).select("video_id")
+
+
+@query("p_9_index_scan", ORACLES["p_9_regex_any_of_four"])
+def p_9_scan(spark, d) -> DataFrame:
+    """A pattern from which no trigram follows falls back to the scan."""
+    q = "an|que"
+    return _indexed(spark, d).candidates(q).filter(search.matches(q, "title", "analysis_title", "category", "key_message")).select("video_id")

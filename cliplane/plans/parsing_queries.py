@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliplane.functions import parse
+from cliplane.functions import answer, parse
 from cliplane.operators import flatten
 from cliplane.plans.registry import query
 from cliplane.sources.adapters import sql, table, videos
@@ -235,6 +235,29 @@ def f_32(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.when(F.col("source").isNull(), "missing field").when(~score.between(1, 10), "score out of range").alias("error"))
 
 
+# An answer for each document, in which up to three fields are broken by its number.
+GOOD = {name: {f: ("8" if kind == "score" else '"x"') for f, optional, kind in answer._fields(fields) if not optional} for name, fields in answer.SECTIONS.items()}
+PARTS = {name: "{" + ", ".join(f'"{f}": {v}' for f, v in fields.items()) + "}" for name, fields in GOOD.items()}
+ONE_SEGMENT = "{" + ", ".join(f'"{f}": {"1" if kind == "whole" else chr(34) + "x" + chr(34)}' for f, optional, kind in answer._fields(answer.SEGMENT) if not optional) + "}"
+WHOLE_ANSWER = "{" + ", ".join(f'"{n}": {p}' for n, p in PARTS.items()) + f', "script_breakdown": [{ONE_SEGMENT}, {ONE_SEGMENT}]' + "}"
+BROKEN = (
+    # (every how many documents, what is replaced, by what, the breach)
+    (7, '"title": "x"', '"name": "x"', "general_info.title: missing"),
+    (11, '"key_message": "x"', '"key_message": 5', "content_analysis.key_message: not a text"),
+    (3, '"pacing": "x"}]', '"pacing": null}]', "script_breakdown[1].pacing: null"),
+    (6, '"cta_analysis": "x"', '"cta_analysis": []', "technical_audit.cta_analysis: not a text"),
+)
+
+
+@query("f_32_answer_breaches", f"""SELECT doc_id, list_filter([{", ".join(f"CASE WHEN doc_id % {n} = 1 THEN '{breach}' END" for n, _, _, breach in BROKEN)},
+CASE WHEN n_chars % 13 < 1 OR n_chars % 13 > 10 THEN 'virality_factors.score: not from 1 to 10' END], lambda x: x IS NOT NULL) AS breaches FROM documents""")
+def f_32_answer(spark, d) -> DataFrame:
+    text = F.replace(F.lit(WHOLE_ANSWER), F.lit('"score": 8'), F.concat(F.lit('"score": '), (F.col("n_chars") % 13).cast("string")))
+    for n, old, new, _ in BROKEN:
+        text = F.when(F.col("doc_id") % n == 1, F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+    return table(spark, d, "documents").select("doc_id", text.alias("t")).select("doc_id", answer.breaches(F.col("t")).alias("breaches"))
+
+
 @query("f_37_database_name", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'fallback' END AS db FROM nation")
 def f_37(spark, d) -> DataFrame:
     uri = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("mongodb+srv://u:p@host.example/"), "n_name", F.lit("?retryWrites=true"))).otherwise(F.lit("mongodb://host.example/"))

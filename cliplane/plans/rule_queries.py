@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cliplane.functions import compare, rules, text
 from cliplane.operators import timeline
 from cliplane.plans.registry import query
-from cliplane.plans.text_queries import CLEAN, COUNT, SPACE
+from cliplane.plans.text_queries import CLEAN, COUNT, FIX, SENTENCES, SPACE
 from cliplane.sources.adapters import chunks, lines, ocr_items, scenes, segments, sql, table
 
 HOURS = """h AS (SELECT video_id, floor("start" / 3600) AS hour, string_agg(text, ' ' ORDER BY "start", seg) AS transcript, sum(CAST(round(("end" - "start") * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS spoken, count(*) AS n FROM segments GROUP BY ALL)"""
@@ -123,7 +123,10 @@ def f_5(spark, d) -> DataFrame:
     return compare.prioritize(_with_quality(spark, d).withColumn("relation", rel)).select("video_id", "pos", "priority.primary_source", "priority.primary_text", "priority.stt_weight", "priority.content_confidence")
 
 
-@query("f_16_final_text")
+@query("f_16_final_text", sql("chunks", f""", said AS (SELECT {{'video': video_id, 'pos': pos, 'part': 0}} AS doc_id, stt AS text FROM chunks UNION ALL SELECT {{'video': video_id, 'pos': pos, 'part': 1}}, ocr FROM chunks),
+{CLEAN.replace("FROM documents", "FROM said")}, fixed AS (SELECT *, {FIX % 't'} AS u FROM cleaned), n AS (SELECT doc_id, t, {SENTENCES % 'u'} AS n FROM fixed)
+SELECT m.doc_id.video AS video_id, m.doc_id.pos AS pos, m.n || CASE WHEN m.doc_id.pos % 5 = 0 AND o.t <> '' AND NOT contains(m.n, o.t) THEN chr(10) || '[Context: ' || substring(o.t, 1, 100) || ']' ELSE '' END AS final_text
+FROM n m JOIN n o ON m.doc_id.video = o.doc_id.video AND m.doc_id.pos = o.doc_id.pos AND m.doc_id.part = 0 AND o.doc_id.part = 1"""))
 def f_16(spark, d) -> DataFrame:
     rel = F.when(F.col("pos") % 5 == 0, "merged").otherwise("stt")
     return chunks(spark, d).select("video_id", "pos", text.final_text(F.col("stt"), F.col("ocr"), rel).alias("final_text"))

@@ -11,7 +11,7 @@ from cliplane.plans.registry import query
 from cliplane.session import shared_dir
 from cliplane.sources import files
 from cliplane.sources.adapters import table
-from cliplane.streaming import queue
+from cliplane.streaming import queue, states
 
 
 @query("t_1_queue_stream", "SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_custkey % 2 = 0 THEN 'user' ELSE 'content' END AS type, 'pending' AS status, 0 AS attempts FROM orders")
@@ -67,3 +67,51 @@ def t_4(spark, d) -> DataFrame:
     run.awaitTermination()
     last = spark.read.parquet(f"{place}/{name}").agg(F.max("epoch")).first()[0]
     return spark.read.parquet(f"{place}/{name}").filter(F.col("epoch") == last).drop("epoch")
+
+
+@query("t_2_watermark_ingest", """SELECT event_id AS id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 AS day FROM events
+UNION ALL SELECT event_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 86400 + 15 FROM events""")
+def t_2(spark, d) -> DataFrame:
+    """Work that comes again half a day later is known, 15 days later it is new; what comes 20 days late is left out."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("title"), F.lit("content").alias("type"))
+    at = lambda hours: e.withColumn("ts", F.col("ts") + F.expr(f"interval {hours} hours"))
+    period = lambda rows: rows.withColumn("part", F.floor(F.unix_timestamp("ts") / (5 * 86400)))
+    first = e.agg(F.min("ts").alias("t")).first()["t"]
+    late = period(e.filter((F.col("id") % 7 == 0) & (F.datediff("ts", F.lit(first)) > 15))).withColumn("ts", F.col("ts") - F.expr("interval 20 days")).withColumn("id", -F.col("id") - 1)
+    place = f"{shared_dir(spark)}/cliplane-once-{uuid.uuid4().hex}"
+    every = period(e.unionByName(at(12)).unionByName(at(15 * 24))).unionByName(late)
+    # One batch for each five days, in order of time.
+    parts = [r["part"] for r in every.select("part").distinct().orderBy("part").collect()]
+    every.repartition("part").write.partitionBy("part").parquet(f"{place}/all")
+    for n in parts:
+        spark.read.parquet(f"{place}/all/part={n}").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    work = spark.readStream.schema("id long, ts timestamp, title string, type string").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    queue.ingest_once(work, f"{place}/queue", f"{place}/checkpoint")
+    return queue.read_bucketed(spark, f"{place}/queue").select("id", F.floor(F.unix_timestamp("ts") / 86400).alias("day"))
+
+
+@query("t_4_state_machine", """WITH RECURSIVE e AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) AS us,
+         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'analyzed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS go FROM events
+), r AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, '' AS state, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS timeouts FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, n + 1, CASE WHEN ok THEN go ELSE s END, CASE WHEN ok THEN us WHEN late THEN since + 21600000000 ELSE since END, refused + CASE WHEN ok THEN 0 ELSE 1 END, timeouts + CASE WHEN late THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE s WHEN '' THEN go IN ('pending', 'processing') WHEN 'pending' THEN go = 'processing' WHEN 'processing' THEN go IN ('analyzed', 'failed') WHEN 'analyzed' THEN go = 'processing' ELSE go IN ('processing', 'pending') END AS ok
+        FROM (SELECT r.*, e.us, e.go, state = 'processing' AND e.us - since >= 21600000000 AS late, CASE WHEN state = 'processing' AND e.us - since >= 21600000000 THEN 'failed' ELSE state END AS s FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+)
+SELECT user_id AS video_id, CASE state WHEN 'processing' THEN 'failed' ELSE state END AS state, CASE state WHEN 'processing' THEN since + 21600000000 ELSE since END AS since_us, refused,
+       timeouts + CASE state WHEN 'processing' THEN 1 ELSE 0 END AS timeouts FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
+def t_4_machine(spark, d) -> DataFrame:
+    """The status machine over the events in three batches that are out of order, then a row that moves the clock, so that timers fire."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    go = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "purchase", "analyzed").when(F.col("event_type") == "error", "failed").otherwise("processing")
+    rows = e.select(F.col("user_id").alias("video_id"), "ts", F.col("event_id").alias("pos"), go.alias("state"))
+    place = f"{shared_dir(spark)}/cliplane-machine-{uuid.uuid4().hex}"
+    for n in range(3):
+        rows.filter(F.col("pos") % 3 == n).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    clock = rows.agg((F.max("ts") + F.expr("interval 70 days")).alias("ts")).select(F.lit(-1).cast("long").alias("video_id"), "ts", F.lit(0).cast("long").alias("pos"), F.lit("pending").alias("state"))
+    clock.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    changes = spark.readStream.schema("video_id long, ts timestamp, pos long, state string").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    states.run(changes, place, delay="60 days")
+    return states.statuses(spark, place).filter("video_id >= 0")

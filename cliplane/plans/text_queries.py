@@ -60,6 +60,11 @@ FIX = f"""regexp_replace(regexp_replace({_collapse('%s')}, '{SPACE}+([.,!?:;])',
 SENTENCES = "array_to_string(list_transform(string_split(regexp_replace(trim(%s), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda s: upper(s[1]) || s[2:]), ' ')"
 
 
+# Lines as sentences: what stands before a line follows from it and the line before.
+MERGED_TEXT = f"""merged AS (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 1 THEN '' WHEN x[1] = lower(x[1]) AND x[1] <> upper(x[1]) THEN ' '
+WHEN NOT regexp_matches(l[i - 1], '[.!?:。]$') THEN '. ' ELSE chr(10) END || x), '') ELSE text END AS t FROM (SELECT doc_id, coalesce(text, '') AS text, {_lines("coalesce(text, '')")} AS l FROM documents))"""
+
+
 def _docs(spark, d, **columns) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in columns.items()))
 
@@ -99,12 +104,12 @@ def f_13(spark, d) -> DataFrame:
     return _docs(spark, d, t=text.fix_errors(F.col("text")))
 
 
-@query("w_9_merge_sentences")
+@query("w_9_merge_sentences", f"WITH {MERGED_TEXT} SELECT doc_id, t FROM merged")
 def w_9(spark, d) -> DataFrame:
     return _docs(spark, d, t=text.merge_sentences(F.col("text")))
 
 
-@query("f_14_normalize")
+@query("f_14_normalize", f"WITH {MERGED_TEXT} SELECT doc_id, {SENTENCES % 'u'} AS t FROM (SELECT doc_id, {FIX % 't'} AS u FROM merged)")
 def f_14(spark, d) -> DataFrame:
     return _docs(spark, d, t=text.normalize(F.col("text")))
 

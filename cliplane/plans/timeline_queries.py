@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliplane.operators import gaps, timeline
+from cliplane.operators import gaps, ranges, timeline
 from cliplane.plans.registry import query
 from cliplane.sources.adapters import chunks, lines, ocr_items, scenes, segments, sql, table
 
@@ -88,6 +88,14 @@ def a_7(spark, d) -> DataFrame:
     return c.filter("text <> ''").groupBy(F.col("conv_id").alias("video_id")).agg(timeline.joined_text((F.col("turn"),), F.col("text"), "\n\n").alias("script"))
 
 
+@query("a_7_script_parts", """WITH x AS (SELECT conv_id, turn, text, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM conversations WHERE text <> '')
+SELECT conv_id AS video_id, o // 300 AS part, greatest(min(o) - 2, 0) AS "offset", CASE WHEN min(o) > 0 THEN chr(10) || chr(10) ELSE '' END || string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM x GROUP BY conv_id, o // 300""")
+def a_7_parts(spark, d) -> DataFrame:
+    """Scripts in parts of 300 characters, so that no row holds a video's script."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), "turn", "text")
+    return ranges.texts_in_parts(rows, "video_id", ("turn", "text"), "text", "\n\n", 300)
+
+
 @query("a_15_ocr_by_scene", sql("ocr_items", "SELECT video_id, coalesce(scene_id, 0) AS scene_id, list(frame ORDER BY frame) AS frames FROM ocr_items GROUP BY ALL"))
 def a_15(spark, d) -> DataFrame:
     return ocr_items(spark, d).groupBy("video_id", F.coalesce("scene_id", F.lit(0)).alias("scene_id")).agg(F.array_sort(F.collect_list("frame")).alias("frames"))

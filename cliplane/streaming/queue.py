@@ -51,6 +51,29 @@ def once(work: DataFrame, delay: str = "1 day") -> DataFrame:
     return work.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def ingest_once(work: DataFrame, queue: str, checkpoint: str, delay: str = "1 day", buckets: int = 16) -> int:
+    """Add all work that is there of a stream of (id, ts, title, type) to a queue in buckets of ids; the number of rows that came too late.
+
+    An id is added once; its repeats within ``delay`` are known from the state that the watermark
+    bounds, so the queue is never read. A repeat after that is new work. Rows older than the
+    watermark are counted and left out (of the last progress reports that the session keeps, 100 unless it says
+    otherwise). A batch that runs again replaces what it wrote.
+    """
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select("id", "ts", "title", "type", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{queue}/epoch={epoch}")
+
+    run = once(work, delay).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
+
+
+def read_bucketed(spark: SparkSession, queue: str) -> DataFrame:
+    """The queue that ``ingest_once`` keeps; a filter by ``bucket`` reads that bucket only."""
+    return spark.read.schema("id long, ts timestamp, title string, type string, status string, attempts int, epoch long, bucket int").parquet(queue).drop("epoch")
+
+
 def states(changes: DataFrame) -> DataFrame:
     """The latest state of each video of (video_id, state, at), as a stream or a table."""
     return changes.groupBy("video_id").agg(F.max_by("state", "at").alias("state"), F.max("at").alias("at"))

@@ -88,6 +88,23 @@ def test_numbers_and_followers_of_a_hot_group(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_parts_concatenate_to_the_whole(spark):
+    """A hot group over many ranges and parts; one text is longer than several parts."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(4)
+    rows = [(1, i, "x" * rng.randrange(1, 40) + str(i)) for i in range(4000)] + [(1, 4000, "y" * 900), (1, 4001, "end"), (2, 0, ""), (2, 1, "only"), (3, 0, None), (None, 0, "a"), (None, 1, "b")]
+    random.Random(5).shuffle(rows)
+    parts = ranges.texts_in_parts(spark.createDataFrame(rows, "g long, n long, t string"), "g", ("n",), "t", "--", 200).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in (1, 2, None):
+        own = sorted((r for r in parts if r.g == g), key=lambda r: r.part)
+        whole = "--".join(t for _, t in sorted((n, t) for h, n, t in rows if h == g and t))
+        assert "".join(r.text for r in own) == whole
+        assert all(whole[r.offset :].startswith(r.text) for r in own)
+        assert all(len(r.text) <= 200 + 900 + 2 for r in own) and (g != 1 or len(own) > 300)
+    assert {r.g for r in parts} == {1, 2, None}
+
+
 def test_counted_numbers(spark):
     df = spark.createDataFrame([(1, 0, 9999), (2, 5, 5), (3, 3, 2), (4, -3, 1)], "g long, a long, b long")
     got = [tuple(r) for r in ranges.counted(df, "k", F.col("a"), F.col("b")).groupBy("g").agg(F.count("*"), F.min("k"), F.max("k"), F.countDistinct("k")).orderBy("g").collect()]
