@@ -41,18 +41,37 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+BUCKET_BYTES = 64 << 20
+MOST_BUCKETS = 100_000  # that Spark allows
+UNKNOWN = 1 << 60
+
+
+def buckets_for(df: DataFrame) -> int:
+    """A multiple of the shuffle partitions, so many that a bucket of ``df``'s input is of about BUCKET_BYTES."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # Rows that are no files have no size that Spark knows; it says the largest there is.
+    size = sum(x for x in sizes if x < UNKNOWN)
+    return min(-(-size // (BUCKET_BYTES * partitions)) * partitions or partitions, max(MOST_BUCKETS // partitions, 1) * partitions)
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, dealt out and sorted by ``keys``, and read it back.
 
-    Joins by these keys then read it where it lies, without another exchange. There
-    are as many buckets as shuffle partitions, so what comes out of a shuffle by
-    ``keys`` gives one file for each.
+    Joins by these keys then read it where it lies, without another exchange. With as many buckets as
+    shuffle partitions, or a multiple, what comes out of a shuffle by ``keys`` gives one file for
+    each. The catalog entry that Spark needs to write buckets goes at once; the rows that are read
+    know their files.
     """
     spark = df.sparkSession
     table = f"cliplane_{name}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/cliplane/{table}")
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(table)
-    return spark.table(table)
+    writer.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).saveAsTable(table)
+    rows = spark.table(table).select("*")
+    rows._jdf.queryExecution().optimizedPlan()
+    spark.sql(f"DROP TABLE {table}")
+    return rows
 
 
 def ship(spark: SparkSession) -> None:

@@ -24,9 +24,10 @@ Windows that a symbol cannot judge (its deciding span does not fit) are never
 ruled out, so the result is that of comparing all windows.
 
 Names are counted by partial sums, and a task tells only whether a name occurs once
-or more often in a chunk of its texts. What is known within the chunk doesn't ask;
-the others are joined with the counts, a join of two exchanges that Spark splits
-where a name is frequent. Equal texts are one text throughout, known by 96 bits of
+or more often in a chunk of its texts. The names that occur twice are written, so that
+Spark knows their size, and joined: small ones are broadcast, and of others the
+partitions of frequent names are split, which Spark doesn't do while one side is still an aggregate.
+Equal texts are one text throughout, known by 96 bits of
 its MD5. Words have quick hashes in step 1, which only selects, and XXH64 names in
 the steps that decide.
 """
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.llm import kernels
-from cliplane.llm.runtime import bucketed, ship, stash
+from cliplane.llm.runtime import bucketed, buckets_for, ship, stash
 
 WINDOW = 35
 LOW = 6
@@ -390,10 +391,13 @@ def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     """(u1, u2, runs): where repeated windows start in each of the different texts (u1, u2, text), as runs of (pos, many)."""
     row = [*KEY, "text"]
     texts = texts.select(*row)
-    odd = F.col("name").bitwiseAND(F.lit(1)) == 1
     counts = texts.mapInArrow(_low(window, True), "name long, n tinyint").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
+    # The lowest bit tells what the chunk knows; those names are among the counted ones in any case, but for the marks of blind texts.
     own = texts.mapInArrow(_low(window, False), "u1 long, u2 int, name long")
-    shared = own.filter(odd).select(*KEY, "name").union(own.filter(~odd).join(counts, "name").select(*KEY, "name"))
+    blind = F.col("name") == 1
+    own = own.withColumn("sent", F.when(blind, F.col("u1")).otherwise(F.col("name").bitwiseAND(F.lit(-2))))
+    named = stash(counts.withColumnRenamed("name", "sent"), "repeats-low")
+    shared = own.join(named.withColumn("there", F.lit(True)), "sent", "left").filter(blind | F.col("there")).select(*KEY, "name")
     shared = shared.groupBy(*KEY).agg(F.collect_list("name").alias("names"))
     opened = texts.join(shared, KEY).select(*row, "names").mapInArrow(_open(window), "u1 long, u2 int, runs array<struct<pos: int, many: int>>")
 
@@ -401,16 +405,19 @@ def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     left = texts.join(opened, KEY).select(*row, "runs")
     place = F.struct(*KEY, "start")
     counts = left.mapInArrow(_high(window, True), "g1 long, g2 long, n tinyint, u1 long, u2 int, start int").groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(place).alias("one")).filter("n > 1").select("g1", "g2", "one")
+    counts = stash(counts, "repeats-high")
     sure = left.mapInArrow(_high(window, False), "g1 long, g2 long, u1 long, u2 int, start int, stop int").join(counts, ["g1", "g2"])
     sure = sure.select(*KEY, F.struct("start", "stop", (place == F.col("one")).alias("tells")).alias("symbol")).groupBy(*KEY).agg(F.collect_list("symbol").alias("sure"))
     sure = stash(sure, "repeats-sure")
 
     left = left.join(sure, KEY, "left").select(*row, "runs", "sure")
-    counts = left.mapInArrow(_windows(window, True), "f1 long, f2 int, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2")
+    counts = left.mapInArrow(_windows(window, True), "f1 long, f2 int, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2", F.lit(True).alias("there"))
+    counts = stash(counts, "repeats-windows")
+    # Runs without a name are known; a name of their text spreads them in the join.
     asked = left.mapInArrow(_windows(window, False), "f1 long, f2 int, u1 long, u2 int, pos int, many int")
-    known = asked.filter("f1 is null").select(*KEY, "pos", "many")
-    told = asked.filter("f1 is not null").join(counts, ["f1", "f2"]).select(*KEY, "pos", "many")
-    return known.union(told).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "many")).alias("runs"))
+    asked = asked.select(F.coalesce("f1", "u1").alias("f1"), F.coalesce("f2", "u2").alias("f2"), F.col("f1").isNull().alias("known"), *KEY, "pos", "many")
+    told = asked.join(counts, ["f1", "f2"], "left").filter(F.col("known") | F.col("there"))
+    return told.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "many")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
@@ -428,7 +435,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col), F.lit(""))
     digits = lambda at, n: F.conv(F.substring(F.md5(text), at, n), 16, -10).cast("long")
     keyed = docs.select(digits(1, 16).alias("u1"), (digits(17, 8) - F.lit(1 << 31)).cast("int").alias("u2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
-    texts = bucketed(keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies")), KEY, "texts")
+    texts = bucketed(keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies")), KEY, "texts", buckets_for(docs))
     found = texts.join(repeated_runs(texts, window), KEY, "left").select(*KEY, "text", "copies", "runs")
     cut = found.mapInArrow(_cut(window), "u1 long, u2 int, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return keyed.drop("text").join(cut, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))
