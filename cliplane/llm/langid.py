@@ -43,6 +43,9 @@ RATE = 0.02
 BLOCK = 3_000
 GROUP_BYTES = 4 << 20  # of texts whose pieces are labelled together
 LEAST_SCORE = 0.5
+# The sample that training collects is bounded whatever the number of languages: beyond these, each has fewer documents and pieces, but two documents.
+SAMPLE_DOCUMENTS = 25_600
+SAMPLE_PIECES = 200_000
 
 
 IS_LETTER = np.zeros(256, bool)
@@ -54,6 +57,16 @@ def per_class(classes: int) -> int:
     return max(LEAST_DRAWS, -(-BATCH // classes))
 
 
+def documents_for(classes: int) -> int:
+    """Documents of each language in the sample."""
+    return min(PER_LANGUAGE, max(2, SAMPLE_DOCUMENTS // classes))
+
+
+def pieces_for(classes: int) -> int:
+    """Pieces of each language in the sample, but for a few more of each document."""
+    return min(STEPS * per_class(classes), max(LEAST_DRAWS, SAMPLE_PIECES // classes))
+
+
 def hidden_for(classes: int) -> int:
     """Units of each direction: HIDDEN up to 16 languages, then with the root of their number."""
     return HIDDEN * max(1, int(np.ceil(np.sqrt(classes / 16))))
@@ -316,11 +329,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The sample: (lang, sizes, bytes, n), pieces of the first PER_LANGUAGE documents of each language by a hash of their id."""
+    """The sample: (lang, sizes, bytes, n), pieces of the first documents_for() documents of each language by a hash of their id."""
     usable = docs.filter(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
     counts = stash(usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")), "langid-counts")
-    # Hashes up to twice the share that is wanted: a language's rows meet in one task only as a small multiple of PER_LANGUAGE.
-    share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))
+    # Hashes up to twice the share that is wanted and a few more, so that none of a language's rows is missing by chance: they meet in one task only as a small multiple of it.
+    classes = max(1, counts.count())
+    documents = documents_for(classes)
+    share = F.least(F.lit(1.0), F.lit(2.0 * documents + 30) / F.col("n"))
     place = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
     rows = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # A row for each language, and written first: Spark knows the size when it picks the join.
@@ -328,12 +343,12 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     near = near.filter(F.col("text").rlike(r"\p{L}"))
     # About as many pieces as training draws, from each document by its length.
     chars = stash(near.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("many")), "langid-chars")
-    draws = F.lit(1.0 * STEPS * per_class(max(1, counts.count()))) * F.greatest(F.lit(1.0), F.col("many") / F.lit(PER_LANGUAGE)) * F.length("text") / F.col("chars")
+    draws = F.lit(1.0 * pieces_for(classes)) * F.greatest(F.lit(1.0), F.col("many") / F.lit(documents)) * F.length("text") / F.col("chars")
     ship(docs.sparkSession)
     wanted = near.join(chars, "lang").select("lang", "place", (F.ceil(draws) + 4).cast("int").alias("wanted"), "text")
     found = wanted.mapInArrow(_sampled, "lang string, place double, sizes binary, bytes binary, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "bytes"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= PER_LANGUAGE).select("lang", "sizes", "bytes", "n")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= documents).select("lang", "sizes", "bytes", "n")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network | None]:

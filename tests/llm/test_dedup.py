@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from cliplane.llm import components, kernels, simhash, substring_dedup
 
@@ -167,3 +169,62 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (300, 300)]
     got = {r.node: r.label for r in components.connected(spark.createDataFrame(pairs, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(1, 51)} | {200: 100, 150: 100}
+
+
+def test_buckets_leave_no_table_and_follow_the_input(spark, tmp_path):
+    from cliplane.llm import runtime
+
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = spark.range(1000).selectExpr("id % 10 as k", "id as v")
+    kept = runtime.bucketed(rows, ["k"], "test", 8)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    joined = kept.join(kept.groupBy("k").count(), "k")
+    assert joined.count() == 1000 and "Exchange hashpartitioning(k" not in kept.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    spark.range(200_000).selectExpr("id", "uuid() as t").repartition(2).write.parquet(str(tmp_path / "in"))
+    files = spark.read.parquet(str(tmp_path / "in"))
+    assert runtime.buckets_for(rows) == 4 and runtime.buckets_for(files) == 4
+    size = sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
+    runtime.BUCKET_BYTES, kept_size = size // 10, runtime.BUCKET_BYTES
+    try:
+        assert runtime.buckets_for(files) == 12
+    finally:
+        runtime.BUCKET_BYTES = kept_size
+
+
+def test_hot_names_are_split(spark):
+    """A join of rows with written counts shows a skewed partition; with an aggregate on that side it doesn't."""
+    from cliplane.llm.runtime import stash
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    rows = spark.range(0, 400_000, 1, 8).selectExpr("if(id % 3 = 0, 7, id) as name", "id as u1")
+    counts = rows.groupBy("name").count().filter("count > 1").select("name")
+    joined = rows.join(stash(counts, "test-counts"), "name")
+    assert joined.count() == 133_334
+    seen = joined.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    rows_of = [r["count"] for r in seen.collect()]
+    for k in conf:
+        spark.conf.unset(k)
+    assert max(rows_of) < 100_000
+
+
+def test_periodic_and_edited_texts(spark):
+    """Texts of one word, of short periods, of two letters, and with edits, against plain windows."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        period = [rng.choice("ab") if rng.random() < 0.5 else f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 9))]
+        words = (period * 60)[: rng.choice([30, 35, 36, 70, 110])]
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "edit"
+        texts.append(" ".join(words))
+    texts += [f"{texts[1]} tail", f"head {texts[2]}", "x " * 400]
+    count = Counter(tuple(w[i : i + 35]) for w in (t.split() for t in texts) for i in range(len(w) - 34))
+    want = []
+    for n, t in enumerate(texts):
+        w = t.split()
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want.append((n, " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "kept_text").collect()
+    assert sorted(map(tuple, got)) == want

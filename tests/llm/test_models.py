@@ -353,3 +353,14 @@ def test_langid_learns_every_language(spark, monkeypatch):
     rows = [(i, f"word {lang}x", lang) for i, lang in enumerate(names * 6)]
     langs, net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert langs == names and len(net.bias) == 70 and net.ways[0].h > langid.HIDDEN
+
+
+def test_language_sample_is_bounded_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCUMENTS", 60)
+    monkeypatch.setattr(langid, "SAMPLE_PIECES", 240)
+    rows = [(i, f"text number {i} with some words " * 30, f"l{i % 30:02}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(docs, "doc_id", "text", "lang").collect()
+    assert len({r["lang"] for r in got}) == 30 and all(sum(r["lang"] == lang for r in got) <= 2 for lang in {r["lang"] for r in got})
+    assert sum(len(r["sizes"]) // 2 for r in got) <= 60 * (4 + langid.LEAST_DRAWS)
+    assert langid.documents_for(4) == langid.PER_LANGUAGE and langid.pieces_for(4) == langid.STEPS * langid.per_class(4)
