@@ -3,29 +3,104 @@
 from __future__ import annotations
 
 import difflib
+import sys
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.functions import text
 
+# Workers get what this module defines with their task, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_WORD = 3
 
 
+POPULAR_FROM = 200  # characters: from here on, those that are more than one in a hundred open no match
+NO_CHARACTER = "\uffff"
+
+
+@lru_cache(maxsize=4096)
+def _second(b: str) -> tuple[str, dict[int, frozenset[str]]]:
+    """The second text as it is searched, popular characters masked, and its substrings of a few characters; shared by rows that have the text.
+
+    With characters masked, few are left that can open a block, and longer substrings tell no more.
+    """
+    if len(b) < POPULAR_FROM:
+        return b, {k: frozenset([b[i : i + k] for i in range(len(b) - k + 1)]) for k in (3, 2, 1)}
+    most = len(b) // 100 + 1
+    popular = {c for c, n in Counter(b).items() if n > most}
+    return b.translate({ord(c): NO_CHARACTER for c in popular}), {1: frozenset(b) - popular}
+
+
+def _longest(a: str, places: dict[int, list[int]], find, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int]:
+    """Start and length of the longest block, the first of several; length 0 if there is none."""
+    top = max(places)
+    for k, starts in places.items():
+        i, size = alo, k - 1
+        for at in range(bisect_left(starts, alo), bisect_right(starts, ahi - k)):
+            p = starts[at]
+            while p + size < ahi and find(a[p : p + size + 1], blo, bhi) >= 0:
+                size += 1
+                i = p
+            # Longer blocks than the shorter substrings have been ruled out before.
+            if size == k < top:
+                break
+        if size >= k:
+            return i, size
+    return alo, 0
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in the matching blocks of two texts: the longest block, the first of several in ``a``, then in ``b``; then to its left and right.
+
+    Blocks are looked for only where a substring of a few characters is in the other text at
+    all, and by searches for plain strings.
+    """
+    searched, grams = _second(b)
+    places = {k: [i for i in range(len(a) - k + 1) if a[i : i + k] in own] for k, own in grams.items()}
+    find = searched.find
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, size = _longest(a, places, find, alo, ahi, blo, bhi)
+        j = find(a[i : i + size], blo, bhi) if size else blo
+        # Masked characters open no block, but lengthen one on either side.
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < i and blo < j:
+                todo.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                todo.append((i + size, ahi, j + size, bhi))
+    return total
+
+
 def ratio(a: str, b: str) -> float:
-    """Matched share of two normalised texts; depends on their order, as the matcher does."""
-    return round(difflib.SequenceMatcher(None, a, b).ratio(), 3) if a and b else 0.0
+    """Matched share of two normalised texts; depends on their order, as the blocks do."""
+    if not a or not b:
+        return 0.0
+    if NO_CHARACTER in a:
+        return round(difflib.SequenceMatcher(None, a, b).ratio(), 3)
+    return round(2.0 * matched(a, b) / (len(a) + len(b)), 3)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """The only Python in the engine: one Arrow UDF over a narrow projection, since no expression states the matcher."""
+    """One Arrow UDF over a narrow projection, since no expression states the matcher."""
 
     @F.pandas_udf("double")
-    def matched(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([round(difflib.SequenceMatcher(None, p, q).ratio(), 3) if p and q else 0.0 for p, q in zip(x, y, strict=True)], dtype=float)
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return matched(text.for_comparison(a), text.for_comparison(b))
+    return share(text.for_comparison(a), text.for_comparison(b))
 
 
 def common_keywords(a: Column, b: Column) -> Column:

@@ -53,6 +53,17 @@ def s_22(spark, d) -> DataFrame:
     return found.select(F.regexp_extract("path", r"/id=(\d+)/", 1).cast("long").alias("id"), "size", "suffix")
 
 
+@query("s_22_missing_files", "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 3 <> 0 THEN 1 END AS there FROM nation")
+def s_22b(spark, d) -> DataFrame:
+    """Files that are asked for, every third of which isn't there: null, no error."""
+    place = f"{shared_dir(spark)}/cliplane-asked-{uuid.uuid4().hex}"
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name")
+    nations.filter("id % 3 <> 0").select("n_name", "id").repartition("id").write.partitionBy("id").text(place)
+    there = files.file_info(spark, f"{place}/*/*.txt").withColumn("path", F.concat(F.regexp_extract("path", r"/id=(\d+)/", 1), F.lit(".txt")))
+    asked = nations.select("id", F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"))
+    return files.asked_files(asked, there).select("id", F.when(F.col("size").isNotNull(), 1).alias("there"))
+
+
 @query("t_4_state_stream", "SELECT user_id AS video_id, max_by(event_type, struct_pack(ts := ts, id := event_id)) AS state FROM events GROUP BY user_id")
 def t_4(spark, d) -> DataFrame:
     """The latest state of each video, kept by a stream over the events."""

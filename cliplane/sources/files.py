@@ -23,6 +23,12 @@ def file_info(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", size.alias("size"), F.bround(size / F.lit(1024.0 * 1024.0), 2).alias("size_mb"), F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("suffix"), "modificationTime")
 
 
+def asked_files(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """The files that are asked for by ``name`` (the end of their path), with what ``file_info`` found of each; null where there is none."""
+    own = found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("_name"), "size", "size_mb", "suffix", "modificationTime")
+    return asked.join(own, F.col("name") == F.col("_name"), "left").drop("_name")
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """JSON lines in UTF-8, null fields included."""
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
