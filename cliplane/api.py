@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplane.operators import search, tracker
+from cliplane.operators.postings import SearchIndex
 
 OBJECTS = "id string, status string, title string, type string, added_at long, attempts int, completed_at long, last_error string, last_attempt long, file_path string, updated_at timestamp"
 
@@ -52,6 +53,26 @@ class Library:
         return Library(search.delete(self.videos, ids, "video_id"))
 
 
+class IndexedLibrary(Library):
+    """The library behind a trigram index: searches test only rows that may hold the pattern, and inserts add to the index."""
+
+    def __init__(self, index: SearchIndex):
+        super().__init__(index.videos())
+        self.index = index
+
+    def search(self, q: str, category: str | None = None, min_score: int | None = None, skip: int = 0, limit: int = search.PAGE) -> DataFrame:
+        return search.search(self.index.candidates(q), q, category, min_score, skip, limit)
+
+    def count(self, q: str, category: str | None = None, min_score: int | None = None) -> int:
+        return search.found_by(self.index.candidates(q), q, category, min_score).count()
+
+    def insert(self, new: DataFrame) -> IndexedLibrary:
+        """With the rows whose id isn't there yet; of new rows with one id the one that is smallest by all columns."""
+        fresh = search.insert(self.videos, new).filter("not duplicate").drop("duplicate")
+        first = fresh.groupBy("video_id").agg(F.min(F.struct(*new.columns)).alias("row")).select("row.*")
+        return IndexedLibrary(self.index.insert(first))
+
+
 class Tracker:
     """The work queue. Changes make a new queue; ``save`` writes it where a reader expects it."""
 

@@ -81,6 +81,7 @@ def global_quality(stt: Column, ocr: Column) -> Column:
     usable = F.when(s & o, F.array(F.lit("stt"), F.lit("ocr"))).when(s, F.array(F.lit("stt"))).when(o, F.array(F.lit("ocr"))).otherwise(F.array(F.lit("metadata_only")))
     primary = F.when(s & o, "both").when(s, "stt").when(o, "ocr").otherwise("none")
     weak = (stt == "low") & (ocr == "low")
+    # The advice for each case
     advice = (
         F.when(weak, "Limited analysis - use metadata, scene structure, and any available text")
         .when(primary == "both", "Full multimodal analysis with STT and OCR")

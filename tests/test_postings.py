@@ -59,3 +59,14 @@ def test_index_finds_what_the_scan_finds(spark, tmp_path):
     assert (read, there) == (30, 360) and index.report("zzz")[0] == 0 and index.report("th") == (360, 360)
     plan = index.ids(("and", ("abc", "bcd")))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(shard" in plan or "shard" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_library_behind_an_index(spark, tmp_path):
+    from cliplane.api import IndexedLibrary
+
+    rows = [(i, f"title {i} {'needle' if i % 50 == 0 else 'hay'}", None, "c", None, 5, "analyzed", None) for i in range(200)]
+    library = IndexedLibrary(postings.SearchIndex(spark, str(tmp_path / "index")).insert(spark.createDataFrame(rows[:100], SCHEMA)))
+    assert library.count("needle") == 2
+    grown = library.insert(spark.createDataFrame(rows[50:], SCHEMA))
+    assert grown.count("NEEDLE|nothing") == 4 and grown.index.report("needle") == (4, 200)
+    assert [r.video_id for r in grown.search("needle").collect()] == [0, 50, 100, 150]
