@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cliplane.functions.text import let
+
 # The fields of an answer. A question mark means that a field may be missing or null.
 SECTIONS = {
     "general_info": "title category overall_sentiment target_audience",
@@ -25,17 +27,11 @@ def _fields(text: str) -> list[tuple[str, bool, str]]:
 
 def _kind(value: Column) -> Column:
     """What a part of a JSON document is; null where there is none."""
-    schema = F.schema_of_variant(value)
-    starts = lambda *names: F.coalesce(*(F.when(schema.startswith(n), True) for n in names), F.lit(False))
-    return (
-        F.when(value.isNull(), F.lit(None))
-        .when(F.is_variant_null(value), "null")
-        .when(starts("OBJECT"), "object")
-        .when(starts("ARRAY"), "list")
-        .when(starts("STRING"), "text")
-        .when(starts("BOOLEAN"), "boolean")
-        .otherwise("number")
-    )
+    plain = {"OBJECT": "object", "ARRAY": "list", "STRING": "text", "BOOLEAN": "boolean", "VOID": "null"}
+    # The first word of its schema.
+    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    found = F.create_map(*(F.lit(x) for pair in plain.items() for x in pair))
+    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(found, word), F.lit("number")))
 
 
 def _number(value: Column, kind: Column) -> Column:
@@ -45,19 +41,20 @@ def _number(value: Column, kind: Column) -> Column:
 
 def _breach(value: Column, optional: bool, kind: str) -> Column:
     """What is wrong with a field, or null."""
-    found = _kind(value)
-    number = _number(value, found)
-    whole = (number == F.floor(number)) & ~F.isnan(number)
-    texts = F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_kind(x) == "text", F.lit(False)))
-    wrong = {
-        "text": F.when(found != "text", "not a text"),
-        "number": F.when(number.isNull(), "not a number"),
-        "whole": F.when(number.isNull() | ~whole, "not a whole number"),
-        "score": F.when(number.isNull() | ~whole, "not a whole number").when(~number.between(*SCORE), f"not from {SCORE[0]} to {SCORE[1]}"),
-        "texts": F.when((found != "list") | ~texts, "not a list of texts"),
-    }[kind]
-    missing = F.when(found.isNull(), "missing").when(found == "null", "null")
-    return F.when(missing.isNotNull(), F.lit(None) if optional else missing).otherwise(wrong)
+
+    def wrong(found: Column) -> Column:
+        if kind == "text":
+            return F.when(found != "text", "not a text")
+        if kind == "texts":
+            texts = F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_kind(x) == "text", F.lit(False)))
+            return F.when((found != "list") | ~texts, "not a list of texts")
+        if kind == "number":
+            return F.when(_number(value, found).isNull(), "not a number")
+        whole = lambda n: F.when(F.coalesce((n != F.floor(n)) | F.isnan(n), F.lit(True)), "not a whole number")
+        return let(_number(value, found), lambda n: whole(n).when(~n.between(*SCORE), f"not from {SCORE[0]} to {SCORE[1]}") if kind == "score" else whole(n))
+
+    missing = lambda found: F.when(found.isNull(), F.lit(None) if optional else "missing").when(found == "null", F.lit(None) if optional else "null")
+    return let(_kind(value), lambda found: missing(found).otherwise(wrong(found)))
 
 
 def breaches(answer: Column) -> Column:
@@ -68,28 +65,25 @@ def breaches(answer: Column) -> Column:
     named = lambda place, what: F.when(what.isNotNull(), F.concat(place, F.lit(": "), what))
     part = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
 
-    def section(v: Column, name: str, fields: str) -> list[Column]:
-        own = part(v, name)
-        kind = _kind(own)
-        bad = F.when(kind.isNull(), "missing").when(kind != "object", "not an object")
-        return [named(F.lit(name), bad), *(F.when(bad.isNull(), named(F.lit(f"{name}.{f}"), _breach(part(own, f), optional, k))) for f, optional, k in _fields(fields))]
+    def fields_of(own: Column, place: Column, fields: str) -> Column:
+        field = lambda f, optional, kind: let(part(own, f), lambda x: named(F.concat(place, F.lit(f".{f}")), _breach(x, optional, kind)))
+        return F.array(*(field(*f) for f in _fields(fields)))
 
-    def segments(v: Column) -> Column:
-        own = part(v, SEGMENTS)
-        kind = _kind(own)
-        bad = named(F.lit(SEGMENTS), F.when(kind.isNull(), "missing").when(kind != "list", "not a list"))
+    def section(v: Column, name: str) -> Column:
+        bad = lambda kind: F.array(F.when(kind.isNull(), f"{name}: missing").otherwise(f"{name}: not an object"))
+        return let(part(v, name), lambda own: let(_kind(own), lambda kind: F.when(kind == "object", fields_of(own, F.lit(name), SECTIONS[name])).otherwise(bad(kind))))
 
+    def segments(v: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
             place = F.concat(F.lit(f"{SEGMENTS}["), i.cast("string"), F.lit("]"))
-            odd = F.when(F.coalesce(_kind(x) != "object", F.lit(True)), F.concat(place, F.lit(": not an object")))
-            return F.when(odd.isNotNull(), F.array(odd)).otherwise(F.array(*(named(F.concat(place, F.lit(f".{f}")), _breach(part(x, f), optional, k)) for f, optional, k in _fields(SEGMENT))))
+            return F.when(_kind(x) == "object", fields_of(x, place, SEGMENT)).otherwise(F.array(F.concat(place, F.lit(": not an object"))))
 
-        return F.concat(F.array(bad), F.coalesce(F.flatten(F.transform(F.when(kind == "list", F.try_variant_get(own, "$", "array<variant>")), one)), F.array().cast("array<string>")))
+        bad = lambda kind: F.array(F.when(kind.isNull(), f"{SEGMENTS}: missing").otherwise(f"{SEGMENTS}: not a list"))
+        every = lambda own: F.flatten(F.transform(F.try_variant_get(own, "$", "array<variant>"), one))
+        return let(part(v, SEGMENTS), lambda own: let(_kind(own), lambda kind: F.when(kind == "list", every(own)).otherwise(bad(kind))))
 
     def of(v: Column) -> Column:
-        first = [s for name in ("general_info", "content_analysis") for s in section(v, name, SECTIONS[name])]
-        last = [s for name in ("technical_audit", "virality_factors") for s in section(v, name, SECTIONS[name])]
-        every = F.filter(F.concat(F.array(*first), segments(v), F.array(*last)), lambda b: b.isNotNull())
-        return F.when(F.coalesce(_kind(v) == "object", F.lit(False)), every).otherwise(F.array(F.lit("answer: not an object")))
+        every = F.concat(section(v, "general_info"), section(v, "content_analysis"), segments(v), section(v, "technical_audit"), section(v, "virality_factors"))
+        return F.when(_kind(v) == "object", F.filter(every, lambda b: b.isNotNull())).otherwise(F.array(F.lit("answer: not an object")))
 
-    return F.when(answer.isNotNull(), F.get(F.transform(F.array(F.try_parse_json(answer)), of), F.lit(0)))
+    return F.when(answer.isNotNull(), let(F.try_parse_json(answer), of))

@@ -21,7 +21,7 @@ def test_log_equals_the_trackers_functions(spark, tmp_path, seed):
     rng = random.Random(seed)
     queue = spark.createDataFrame([(f"q{i}", rng.choice(["pending", "error", "completed"]), "t", "user", 5, i, None, "e", 6, None) for i in range(8)], COLUMNS)
     log = ChangeLog.create(spark, str(tmp_path / "log"), queue, 4)
-    for now in range(12):
+    for now in range(9):
         op = rng.choice(["add", "complete", "error", "error", "complete", "reset_errors", "reset_all", "clear", "compact", "add"])
         ids = [rng.choice([f"q{rng.randrange(10)}", f"n{rng.randrange(6)}"]) for _ in range(5)]
         if op == "add":
