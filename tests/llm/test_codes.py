@@ -47,10 +47,10 @@ def got(spark, rows, schema=SCHEMA):
 def test_codes_equal_plain_loops(spark):
     rng = random.Random(1)
     centres = [[rng.gauss(0, 0.3) for _ in range(32)] for _ in range(12)]
-    rows = [(i, [round(x + rng.gauss(0, 0.05), 3) for x in rng.choice(centres)], rng.choice([0, 1, None])) for i in range(150)]
+    rows = [(i, [round(x + rng.gauss(0, 0.05), 3) for x in rng.choice(centres)], rng.choice([0, 1, None])) for i in range(90)]
     # A crowd of equal vectors, ties on a coarse grid, repeated and null ids, and vectors that take no part.
-    rows += [(1000 + i, centres[0], 2) for i in range(80)]
-    rows += [(2000 + i, [rng.choice([-0.5, 0.0, 0.5]) for _ in range(32)], 3) for i in range(60)]
+    rows += [(1000 + i, centres[0], 2) for i in range(40)]
+    rows += [(2000 + i, [rng.choice([-0.5, 0.0, 0.5]) for _ in range(32)], 3) for i in range(30)]
     rows += [(5, rows[5][1], 0), (None, rows[6][1], 1), (None, rows[7][1], None), (3000, None, 1), (3001, [float("nan")] * 32, 1), (3002, [0.1, None] * 16, 1), (3003, [float("inf")] * 32, 1)]
     rows += [(3004, [], 4), (3005, [0.25] * 7, 4), (3006, [1e4, -1e4] * 16, 5)]
     assert got(spark, rows) == plain(rows)
