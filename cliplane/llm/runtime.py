@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -41,6 +42,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that nothing refers to any more.
+
+    It does so when the driver's collectors have seen that, which may take long on a driver with little to
+    do; after a table has been written, what led to it needs no disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BUCKET_BYTES = 64 << 20
 MOST_BUCKETS = 100_000  # that Spark allows
 UNKNOWN = 1 << 60

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplane.llm import kernels
-from cliplane.llm.runtime import bucketed, buckets_for, ship, stash
+from cliplane.llm.runtime import bucketed, buckets_for, settle, ship, stash
 
 WINDOW = 35
 LOW = 6
@@ -402,6 +402,7 @@ def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     opened = texts.join(shared, KEY).select(*row, "names").mapInArrow(_open(window), "u1 long, u2 int, runs array<struct<pos: int, many: int>>")
 
     opened = stash(opened, "repeats-open")
+    settle(texts.sparkSession)
     left = texts.join(opened, KEY).select(*row, "runs")
     place = F.struct(*KEY, "start")
     counts = left.mapInArrow(_high(window, True), "g1 long, g2 long, n tinyint, u1 long, u2 int, start int").groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(place).alias("one")).filter("n > 1").select("g1", "g2", "one")
@@ -409,6 +410,7 @@ def repeated_runs(texts: DataFrame, window: int) -> DataFrame:
     sure = left.mapInArrow(_high(window, False), "g1 long, g2 long, u1 long, u2 int, start int, stop int").join(counts, ["g1", "g2"])
     sure = sure.select(*KEY, F.struct("start", "stop", (place == F.col("one")).alias("tells")).alias("symbol")).groupBy(*KEY).agg(F.collect_list("symbol").alias("sure"))
     sure = stash(sure, "repeats-sure")
+    settle(texts.sparkSession)
 
     left = left.join(sure, KEY, "left").select(*row, "runs", "sure")
     counts = left.mapInArrow(_windows(window, True), "f1 long, f2 int, n tinyint").groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2", F.lit(True).alias("there"))
@@ -436,6 +438,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     digits = lambda at, n: F.conv(F.substring(F.md5(text), at, n), 16, -10).cast("long")
     keyed = docs.select(digits(1, 16).alias("u1"), (digits(17, 8) - F.lit(1 << 31)).cast("int").alias("u2"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), rest)
     texts = bucketed(keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies")), KEY, "texts", buckets_for(docs))
+    settle(docs.sparkSession)
     found = texts.join(repeated_runs(texts, window), KEY, "left").select(*KEY, "text", "copies", "runs")
     cut = found.mapInArrow(_cut(window), "u1 long, u2 int, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return keyed.drop("text").join(cut, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *(f"rest.{c}" for c in keep))

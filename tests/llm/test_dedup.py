@@ -201,7 +201,7 @@ def test_hot_names_are_split(spark):
     rows = spark.range(0, 400_000, 1, 8).selectExpr("if(id % 3 = 0, 7, id) as name", "id as u1")
     counts = rows.groupBy("name").count().filter("count > 1").select("name")
     joined = rows.join(stash(counts, "test-counts"), "name")
-    assert joined.count() == 133_334
+    assert joined.count() == 133_335  # 7 itself is one of them
     seen = joined.select(F.spark_partition_id().alias("p")).groupBy("p").count()
     rows_of = [r["count"] for r in seen.collect()]
     for k in conf:
