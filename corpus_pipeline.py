@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Between stages the rows are written and read
-again.
+again; what an earlier stage has shuffled needs no disk then (``settle``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cliplane.llm import langid, mixing, packing, simhash, substring_dedup
 from cliplane.llm.queries import vocabulary
-from cliplane.llm.runtime import stash, tables
+from cliplane.llm.runtime import settle, stash, tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,21 +23,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    settle(spark)
     return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur more than once are removed from the texts."""
+    settle(spark)
     return substring_dedup.without_repeats(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated so that the sources follow their target weights."""
+    settle(spark)
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of full length."""
+    settle(spark)
     return packing.pack(docs, **vocabulary())
 
 
