@@ -363,4 +363,5 @@ def test_language_sample_is_bounded_and_loses_none(spark, monkeypatch):
     got = langid.training_rows(docs, "doc_id", "text", "lang").collect()
     assert len({r["lang"] for r in got}) == 30 and all(sum(r["lang"] == lang for r in got) <= 2 for lang in {r["lang"] for r in got})
     assert sum(len(r["sizes"]) // 2 for r in got) <= 60 * (4 + langid.LEAST_DRAWS)
+    monkeypatch.undo()
     assert langid.documents_for(4) == langid.PER_LANGUAGE and langid.pieces_for(4) == langid.STEPS * langid.per_class(4)
