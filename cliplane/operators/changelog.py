@@ -170,15 +170,11 @@ class ChangeLog:
         own = log.filter("id is not null").groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct(*NAMES_OF_CHANGE)).alias("_own"))
         changes = F.array_sort(F.concat(F.coalesce(F.col("_own"), F.array().cast(kind)), every))
         fields = [*NAMES, "updated_seq"]
-
-        def after(rows: DataFrame, there: bool) -> DataFrame:
-            start = F.struct(F.lit(there).alias("there"), *(F.col(n) if there else F.lit(None).alias(n) for n in fields)).cast(STATE)
-            state = F.aggregate(changes, start, step)
-            return rows.select(F.col("id" if there else "_id").alias("id"), state.alias("_s")).filter("_s.there").select("id", *(F.col(f"_s.{n}").alias(n) for n in fields))
-
-        known = base.join(own, F.col("id") == F.col("_id"), "left")
-        fresh = own.join(base.select("id"), F.col("id") == F.col("_id"), "left_anti")
-        return after(known, True).unionByName(after(fresh, False))
+        # An outer join of both sides shuffles; two joins could broadcast all ids of the base.
+        both = base.withColumn("_there", F.lit(True)).join(own, F.col("id") == F.col("_id"), "full_outer")
+        start = F.struct(F.coalesce("_there", F.lit(False)).alias("there"), *(F.col(n) for n in fields)).cast(STATE)
+        state = F.aggregate(changes, start, step)
+        return both.select(F.coalesce("id", "_id").alias("id"), state.alias("_s")).filter("_s.there").select("id", *(F.col(f"_s.{n}").alias(n) for n in fields))
 
     def state(self) -> DataFrame:
         """The queue after all changes: id, the queue's fields, and updated_seq, the number of the change that touched the row last."""

@@ -86,3 +86,14 @@ def test_a_broken_batch_or_compaction_is_not_seen(spark, tmp_path):
     (tmp_path / "log" / "log" / f"seq={seq + 1}").mkdir()
     assert log.state().count() == 1 and log.reset_errors() == seq + 1
     assert log.state().count() == 1
+
+
+def test_no_side_of_the_fold_is_broadcast(spark, tmp_path):
+    """However small Spark takes the base for: its ids may be far more than their file's size tells."""
+    queue = spark.range(100).select("id", *(F.lit(None).cast("string").alias(n) for n in NAMES)).withColumn("status", F.lit("error"))
+    log = ChangeLog.create(spark, str(tmp_path / "log"), queue, 4)
+    log.complete(spark.createDataFrame([(7, "x", 0), (100, "y", 0)], "id long, file_path string, pos int"), 5)
+    log.add(spark.createDataFrame([(100, "t", "user", 0)], "id long, title string, type string, pos int"), 6)
+    state = log.state()
+    assert state.count() == 101 and state.filter("status = 'pending'").count() == 1
+    assert "Broadcast" not in state._jdf.queryExecution().executedPlan().toString()
