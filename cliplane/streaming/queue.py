@@ -46,27 +46,41 @@ def read_queue(spark: SparkSession, queue: str) -> DataFrame:
     return spark.read.schema(f"{QUEUE}, source string, epoch long").parquet(queue).drop("source", "epoch")
 
 
-def once(work: DataFrame, delay: str = "1 day") -> DataFrame:
-    """A stream of (id, ts, ...) without repeats of an id that come within ``delay``."""
-    return work.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
-
-
 def ingest_once(work: DataFrame, queue: str, checkpoint: str, delay: str = "1 day", buckets: int = 16) -> int:
     """Add all work that is there of a stream of (id, ts, title, type) to a queue in buckets of ids; the number of rows that came too late.
 
-    An id is added once; its repeats within ``delay`` are known from the state that the watermark
-    bounds, so the queue is never read. A repeat after that is new work. Rows older than the
-    watermark are counted and left out (of the last progress reports that the session keeps, 100 unless it says
-    otherwise). A batch that runs again replaces what it wrote.
+    An id is added once, with the earliest of its rows that a batch holds. Its repeats within ``delay`` of that are known from
+    a table of ids that the watermark bounds, so the queue is never read; a repeat after that is new work. The watermark of a batch is
+    ``delay`` before the latest time of the batches before it; rows up to it are counted and left out. (Spark's own
+    ``dropDuplicatesWithinWatermark`` keeps any row of those that a batch holds.) A batch that runs again replaces what it wrote:
+    it reads what the batch before has left, and the tables of two batches take turns.
     """
+    late = []
 
     def add(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("id", "ts", "title", "type", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
+        spark, span = batch.sparkSession, F.expr(f"interval {delay}")
+        place = lambda name, n: f"{checkpoint}/{name}/turn={n % 2}"
+        newest = spark.read.schema("newest timestamp").parquet(place("clock", epoch - 1)).first()[0] if epoch else None
+        line = F.lit(newest).cast("timestamp") - span
+        old = F.coalesce(F.col("ts") <= line, F.lit(False))
+        found = batch.agg(F.max("ts").alias("newest"), F.count_if(old).alias("late")).first()
+        order = F.struct(F.col("ts").isNull(), "ts", "title", "type")
+        fresh = batch.filter(~old).groupBy("id").agg(F.min_by(F.struct("ts", "title", "type"), order).alias("f")).select("id", "f.*")
+        if epoch:
+            known = spark.read.schema("id long, until timestamp").parquet(place("known", epoch - 1))
+            fresh = fresh.join(known.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+        rows = fresh.select("id", "ts", "title", "type", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{queue}/epoch={epoch}")
-
-    run = once(work, delay).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        latest = max((t for t in (newest, found["newest"]) if t is not None), default=None)
+        added = spark.read.schema("id long, ts timestamp").parquet(f"{queue}/epoch={epoch}").select("id", (F.col("ts") + span).alias("until"))
+        every = known.unionByName(added) if epoch else added
+        every.filter(F.col("until") > F.lit(latest).cast("timestamp") - span).write.mode("overwrite").parquet(place("known", epoch))
+        spark.createDataFrame([(latest,)], "newest timestamp").coalesce(1).write.mode("overwrite").parquet(place("clock", epoch))
+        late.append(found["late"])
+
+    run = work.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return sum(o.numRowsDroppedByWatermark for p in run.recentProgress for o in p.stateOperators)
+    return sum(late)
 
 
 def read_bucketed(spark: SparkSession, queue: str) -> DataFrame:

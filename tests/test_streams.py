@@ -35,6 +35,20 @@ def test_repeats_within_and_beyond_the_delay(spark, tmp_path):
     assert queue.read_bucketed(spark, str(tmp_path / "queue")).count() == 5
 
 
+def test_the_earliest_row_of_a_batch_is_added(spark, tmp_path):
+    """Whatever the order of a batch's rows, and when its earliest row is too late."""
+    at = lambda hours: START + timedelta(hours=hours)
+    batches = [
+        [(i, at(h), "first" if h == 0 else "again", "user") for h in (12, 5, 0, 20) for i in range(200)],
+        [(i, at(30 if i % 2 else 23), "third", "user") for i in range(200)] + [(500, at(100), "clock", "user")],
+        [(900, at(10), "too late", "user"), (900, at(90), "later", "user"), (900, at(80), "in time", "user"), (1, at(99), "new", "user")],
+    ]
+    late = queue.ingest_once(fed(spark, tmp_path / "in", batches, WORK), str(tmp_path / "queue"), str(tmp_path / "check"), "1 day", 4)
+    got = sorted((r.id, r.ts, r.title) for r in queue.read_bucketed(spark, str(tmp_path / "queue")).collect())
+    want = [(i, at(0), "first") for i in range(200)] + [(1, at(99), "new"), (500, at(100), "clock"), (900, at(80), "in time")]
+    assert got == sorted(want) and late == 1
+
+
 def test_status_machine(spark, tmp_path):
     at = lambda minutes: START + timedelta(minutes=minutes)
     batches = [
