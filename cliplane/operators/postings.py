@@ -1,6 +1,6 @@
 """An access path for pattern search: a trigram index of the library that grows by insert.
 
-A text's trigrams are those of its folded characters. The index has a row for each
+A text's trigrams are those of its folded characters. The index has rows for a
 trigram and block of ids, with the ids of the block that hold it, so that no list
 grows with the library; it lies in shards by trigram, sorted within, so that a search reads
 the shards of its trigrams and few row groups there. A pattern is translated to trigrams that
@@ -18,11 +18,13 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliplane.operators import grams
 from cliplane.operators.search import pattern as checked
 
 COLUMNS = ("title", "analysis_title", "category", "key_message")
 BLOCK = 4096  # ids in a row of the index
 SHARDS = 16
+FILES = 4  # files of a shard that an insert writes
 FEW = 1000  # ids that are pushed down to the scan one by one
 CLASS = 4  # characters of a class that are taken one by one
 # What Java's and Python's patterns don't read alike is not translated.
@@ -37,13 +39,6 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(F.upper(F.translate(text, "İẞ", "iß")), "Σ", "σ"))
 
 
-def trigrams(text: Column) -> Column:
-    """The different trigrams of a folded text."""
-    chars = F.split(folded(F.coalesce(text, F.lit(""))), "")
-    three = lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
-    return F.get(F.transform(F.array(chars), lambda c: F.array_distinct(three(c))), F.lit(0))
-
-
 def _plain(c: str) -> str | None:
     """The folded character, or None if folding it is more than a change of case."""
     up = c.upper()
@@ -124,11 +119,12 @@ class SearchIndex:
         part = uuid.uuid4().hex
         videos.repartitionByRange("video_id").sortWithinPartitions("video_id").write.parquet(f"{self.path}/videos/part={part}")
         stored = self.spark.read.schema(videos.schema).parquet(f"{self.path}/videos/part={part}")
-        every = F.array_distinct(F.flatten(F.array(*(trigrams(F.col(c)) for c in self.columns))))
-        grams = stored.filter("video_id is not null").select("video_id", F.explode(every).alias("gram"))
-        rows = grams.groupBy("gram", F.floor(F.col("video_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set("video_id")).alias("ids"))
+        # Several rows may hold a gram of a block, with ids of their own.
+        texts = stored.filter("video_id is not null").select(F.col("video_id").cast("long"), *(folded(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in self.columns))
+        rows = texts.mapInArrow(lambda batches: grams.run(batches, BLOCK), "gram string, block long, ids array<long>")
         placed = rows.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(SHARDS)).cast("int"))
-        placed.repartition("shard").sortWithinPartitions("shard", "gram", "block").write.partitionBy("shard").parquet(f"{self.path}/grams/part={part}")
+        files = F.pmod("block", F.lit(FILES))
+        placed.repartition("shard", files).sortWithinPartitions("shard", "gram", "block").write.partitionBy("shard").parquet(f"{self.path}/grams/part={part}")
         return self
 
     def videos(self) -> DataFrame:
@@ -136,10 +132,10 @@ class SearchIndex:
 
     def ids(self, formula: Formula) -> DataFrame:
         """The ids that meet a formula of trigrams."""
-        grams = sorted(_leaves(formula))
-        shards = self.spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(SHARDS)).cast("int")).distinct().collect()
+        asked_for = sorted(_leaves(formula))
+        shards = self.spark.createDataFrame([(g,) for g in asked_for], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(SHARDS)).cast("int")).distinct().collect()
         index = self.spark.read.schema("gram string, block long, ids array<long>, part string, shard int").parquet(f"{self.path}/grams")
-        asked = index.filter(F.col("shard").isin([r[0] for r in shards]) & F.col("gram").isin(grams)).select("gram", F.explode("ids").alias("video_id"))
+        asked = index.filter(F.col("shard").isin([r[0] for r in shards]) & F.col("gram").isin(asked_for)).select("gram", F.explode("ids").alias("video_id"))
         return asked.groupBy("video_id").agg(F.collect_set("gram").alias("grams")).filter(holds(formula, F.col("grams"))).select("video_id")
 
     def candidates(self, pattern: str) -> DataFrame:

@@ -1,9 +1,12 @@
 import re
+from unittest import mock
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cliplane.operators import postings, search
+from cliplane.operators import grams, postings, search
 
 SCHEMA = "video_id long, title string, analysis_title string, category string, key_message string, score int, status string, analyzed_at timestamp"
 
@@ -70,3 +73,14 @@ def test_library_behind_an_index(spark, tmp_path):
     grown = library.insert(spark.createDataFrame(rows[50:], SCHEMA))
     assert grown.count("NEEDLE|nothing") == 4 and grown.index.report("needle") == (4, 200)
     assert [r.video_id for r in grown.search("needle").collect()] == [0, 50, 100, 150]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9000, 9000), st.text("abé\U0001F600\0 ", max_size=9), st.none() | st.text(max_size=5)), max_size=12), st.sampled_from([3, 7, 1 << 22]))
+def test_trigrams_of_a_batch(rows, step):
+    """Against plain Python, whatever is sorted at a time, with no list beyond its block."""
+    ids, columns = np.array([r[0] for r in rows], np.int64), [pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]
+    with mock.patch.object(grams, "SLICE", step):
+        got = [r for b in grams.postings(ids, columns, 4096) for r in b.to_pylist()] if rows else []
+    assert {(r["gram"], i) for r in got for i in r["ids"]} == {(t[k : k + 3], i) for i, *texts in rows for t in texts if t for k in range(len(t) - 2)}
+    assert all(i // 4096 == r["block"] for r in got for i in r["ids"])
