@@ -17,6 +17,7 @@ ROW = 576
 CHANNELS = 3
 FILL = 255
 BATCH_BYTES = 16 << 20
+TEXT_BYTES, MEDIA_BYTES = 8 << 20, 8 << 20  # that are encoded or decoded together
 
 
 def payload_of(text: bytes) -> np.ndarray:
@@ -27,12 +28,30 @@ def payload_of(text: bytes) -> np.ndarray:
     return out.reshape(rows, ROW // CHANNELS, CHANNELS)
 
 
-def stored(samples: np.ndarray) -> bytes:
-    """Samples (h, w) of grey or (h, w, 3) of colour as one WebP file, or several one after another where the image would be too high."""
+def _argb(samples: np.ndarray) -> np.ndarray:
     c = samples.astype(np.uint32)
     red, green, blue = (c, c, c) if c.ndim == 2 else np.moveaxis(c, 2, 0)
-    argb = np.uint32(0xFF000000) | (red << 16) | (green << 8) | blue
-    return b"".join(webp.encode(argb[a : a + webp.MAX_SIDE]) for a in range(0, len(argb), webp.MAX_SIDE))
+    return np.uint32(0xFF000000) | (red << 16) | (green << 8) | blue
+
+
+def stored_all(every: list[np.ndarray]) -> list[bytes]:
+    """Samples (h, w) of grey or (h, w, 3) of colour, each as one WebP file, or several one after another where the image would be too high."""
+    parts = [(k, x[a : a + webp.MAX_SIDE]) for k, x in enumerate(map(_argb, every)) for a in range(0, len(x), webp.MAX_SIDE)]
+    out = [b""] * len(every)
+    for (k, _), data in zip(parts, webp.encode_all([x for _, x in parts]), strict=True):
+        out[k] += data
+    return out
+
+
+def stored(samples: np.ndarray) -> bytes:
+    return stored_all([samples])[0]
+
+
+def pixels_all(every: list[bytes]) -> list[np.ndarray]:
+    """All pixel rows (h, w) of each medium's files, as ARGB values."""
+    files = [webp.files_in(m) for m in every]
+    images = iter(webp.decode_all([s for f in files for s in f]))
+    return [np.concatenate([next(images) for _ in f]) for f in files]
 
 
 def pixels(media: bytes) -> np.ndarray:
@@ -57,6 +76,19 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]}x{samples.shape[2]};mean={mean:.4f};spread={spread:.4f};step={step:.4f};entropy={abs(entropy):.4f}"
 
 
+def _parts(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Rows in lists of about ``most`` bytes of their last column."""
+    kept, size = [], 0
+    for row in rows:
+        kept.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield kept
+            kept, size = [], 0
+    if kept:
+        yield kept
+
+
 def _limited(rows: Iterator[tuple], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
     """Record batches of about BATCH_BYTES of their last column."""
     kept, size = [], 0
@@ -82,9 +114,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 texts = kernels.texts_of(batch.column(1))
-                for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                    text = texts.bytes_of(i)
-                    yield doc_id, len(text), stored(payload_of(text))
+                every = ((doc_id, texts.bytes_of(i)) for i, doc_id in enumerate(batch.column(0).to_pylist()))
+                for some in _parts(every, TEXT_BYTES):
+                    for (doc_id, text), data in zip(some, stored_all([payload_of(text) for _, text in some]), strict=True):
+                        yield doc_id, len(text), data
 
         yield from _limited(rows(), [id_col, "n_bytes", "media"], [pa.int64(), pa.int64(), pa.binary()])
 
@@ -102,10 +135,11 @@ def read(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for doc_id, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    data = data.as_py()
-                    x = samples_of(pixels(data))
-                    yield doc_id, n, x.shape[1], x.shape[0], x.shape[2], len(data), hashlib.sha256(data).hexdigest(), feature_of(x), x.tobytes()
+                every = ((doc_id, n, data.as_py()) for doc_id, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
+                for some in _parts(every, MEDIA_BYTES):
+                    for (doc_id, n, data), argb in zip(some, pixels_all([data for *_, data in some]), strict=True):
+                        x = samples_of(argb)
+                        yield doc_id, n, x.shape[1], x.shape[0], x.shape[2], len(data), hashlib.sha256(data).hexdigest(), feature_of(x), x.tobytes()
 
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         yield from _limited(rows(), [id_col, "n_bytes", "width", "height", "channels", "media_bytes", "media_sha256", "feature", "samples"], kinds)

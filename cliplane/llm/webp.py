@@ -13,9 +13,9 @@ cross-colour or subtract-green, or none. It has one group of prefix codes.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,6 +23,10 @@ MAX_SIDE = 1 << 14
 MAX_CODE = 12  # bits of the encoder's longest code
 WINDOW_BYTES = 1 << 12  # of the stream that are looked at together
 LEAST_MATCH, MOST_MATCH, FARTHEST = 2, 4096, (1 << 20) - 120  # pixels
+CHUNK = 1 << 16  # pixels that are encoded together
+STREAM_BYTES = 2 << 20  # of streams that are decoded together
+LOOK = 15  # bits of code lengths that are looked up at once
+FEW = 24  # images that are not worth decoding together
 BLOCK_BITS = 4  # of the encoder's predictor and cross-colour blocks
 
 # Fixed values of the lossless WebP format
@@ -72,18 +76,21 @@ class BitWriter:
         self.n += n
 
 
-def canonical(lengths: np.ndarray) -> np.ndarray:
-    """The code of each symbol as it lies in the stream (its first bit lowest)."""
+def canonical(lengths: np.ndarray, segments: np.ndarray | None = None) -> np.ndarray:
+    """The code of each symbol as it lies in the stream (its first bit lowest); each segment (where it starts) is a code of its own."""
     out = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
     if not len(used):
         return out
-    order = used[np.argsort(lengths[used], kind="stable")]
-    size = lengths[order].astype(np.int64)
-    top = int(size[-1])
-    # Codes of one length follow each other; each takes 2**(top - length) of the numbers of the longest.
-    code = np.concatenate([[0], np.cumsum(1 << (top - size))[:-1]]) >> (top - size)
-    out[order] = TURNED[code] >> (16 - size)
+    of = np.zeros(len(used), np.int64) if segments is None else np.searchsorted(segments, used, "right")
+    order = np.argsort(16 * of + lengths[used], kind="stable")
+    used, of = used[order], of[order]
+    size = lengths[used].astype(np.int64)
+    # Codes of one length follow each other; each takes 2**(15 - length) of the numbers of 15 bits.
+    start = np.concatenate([[0], np.cumsum(1 << (15 - size))[:-1]])
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    start -= np.repeat(start[head], np.diff(head, append=len(of)))
+    out[used] = TURNED[start >> (15 - size)] >> (16 - size)
     return out
 
 
@@ -130,33 +137,63 @@ def _window(data: bytes, byte: int) -> list[int]:
     return (raw[:-3] | (raw[1:-2] << 8) | (raw[2:-1] << 16) | (raw[3:] << 24)).tolist()
 
 
-def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.uint8)
+@lru_cache(maxsize=64)
+def _inner(given: int, word: int) -> tuple[list[tuple[int, int]], int, dict[int, tuple[list[int], int]]]:
+    """The code for code lengths: (symbol, size) by the next bits, their mask, and what ``_ahead`` has found."""
+    inner = np.zeros(19, np.uint8)
+    for i in range(given):
+        inner[LENGTH_ORDER[i]] = (word >> (3 * i)) & 7
+    return *Code(inner).pairs(), {}
+
+
+def _ahead(table: list[tuple[int, int]], mask: int, word: int) -> tuple[list[int], int]:
+    """The code lengths that LOOK bits hold as a whole, but for repeats of the last one, and the bits that they take."""
+    found, at = [], 0
+    while True:
+        s, k = table[(word >> at) & mask]
+        more = 0 if s < 16 else 3 if s == 17 else 7
+        if s == 16 or not k or at + k + more > LOOK:
+            return found, at
+        at += k
+        found += [s] if s < 16 else [0] * ((3 if s == 17 else 11) + ((word >> at) & ((1 << more) - 1)))
+        at += more
+
+
+def read_lengths(bits: Bits, alphabet: int) -> list[int]:
+    """The code lengths of a prefix code, symbols behind the last one left out."""
     if bits.take(1):
         two, wide = bits.take(1), bits.take(1)
         first = bits.take(8 if wide else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.take(8)] = 1
-        return Code(lengths)
-    inner = np.zeros(19, np.uint8)
-    for i in range(4 + bits.take(4)):
-        inner[LENGTH_ORDER[i]] = bits.take(3)
+        second = bits.take(8) if two else first
+        found = [0] * (max(first, second) + 1)
+        found[first] = found[second] = 1
+        return found
+    given = 4 + bits.take(4)
+    table, mask, known = _inner(given, bits.take(3 * given))
     most = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
-    (table, mask), before, found = Code(inner).pairs(), 8, []
+    found, free = [], most == alphabet
     byte, have, ahead = (bits.at >> 3) + 8, 64 - (bits.at & 7), int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 8], "little") >> (bits.at & 7)
     while len(found) < alphabet and most:
-        most -= 1
         if have < 32:  # a symbol and its extra bits take 14 at most
             ahead |= int.from_bytes(bits.data[byte : byte + 4], "little") << have
             byte, have = byte + 4, have + 32
+        if free:
+            word = ahead & ((1 << LOOK) - 1)
+            next_ = known.get(word)
+            if next_ is None:
+                next_ = known[word] = _ahead(table, mask, word)
+            some, k = next_
+            if k and len(found) + len(some) <= alphabet:
+                found += some
+                ahead, have = ahead >> k, have - k
+                continue
+        most -= 1
         s, k = table[ahead & mask]
         ahead, have = ahead >> k, have - k
         if s < 16:
             found.append(s)
-            before = s or before
             continue
-        value, k, least = (before, 2, 3) if s == 16 else (0, 3, 3) if s == 17 else (0, 7, 11)
+        value, k, least = (next((x for x in reversed(found) if x), 8), 2, 3) if s == 16 else (0, 3, 3) if s == 17 else (0, 7, 11)
         found += [value] * (least + (ahead & ((1 << k) - 1)))
         ahead, have = ahead >> k, have - k
     bits.at = 8 * byte - have
@@ -164,8 +201,11 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         raise ValueError("the image ends too early")
     if len(found) > alphabet:
         raise ValueError("too many code lengths")
-    lengths[: len(found)] = found
-    return Code(lengths)
+    return found
+
+
+def read_code(bits: Bits, alphabet: int) -> Code:
+    return Code(np.array(read_lengths(bits, alphabet), np.uint8))
 
 
 def _extra(symbol: int, bits: Bits) -> int:
@@ -220,20 +260,28 @@ def _literals(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB values; only the main one can have meta prefix codes."""
     cache_bits = bits.take(4) if bits.take(1) else 0
-    cache = [0] * (1 << cache_bits) if cache_bits else []
     groups, group_of, block = 1, None, 0
     if main and bits.take(1):
         block = bits.take(3) + 2
         meta = _image(bits, -(-width >> block), -(-height >> block), False)
         group_of = (meta >> 8) & 0xFFFF
         groups = int(group_of.max()) + 1
-    sizes = (256 + 24 + len(cache), 256, 256, 256, 40)
-    codes = [[read_code(bits, s) for s in sizes] for _ in range(groups)]
+    codes = [[read_code(bits, s) for s in _alphabets(cache_bits)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache and codes[0][0].symbol.max() < 256:
+    if groups == 1 and not cache_bits and codes[0][0].symbol.max() < 256:
         return _literals(bits, codes[0][:4], n).reshape(height, width)
     tables = [[c.pairs() for c in group] for group in codes]
-    out, at, kept = array("I"), 0, 0
+    return _tokens(bits, tables, cache_bits, width, height, array("I"), group_of, block)
+
+
+def _alphabets(cache_bits: int) -> tuple[int, ...]:
+    return (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+
+
+def _tokens(bits: Bits, tables: list, cache_bits: int, width: int, height: int, out: array, group_of: np.ndarray | None = None, block: int = 0) -> np.ndarray:
+    """The pixels of an image token by token, after those that are there."""
+    n, at, kept = width * height, len(out), 0
+    cache = [0] * (1 << cache_bits) if cache_bits else []
     size, place, base, last, window, append = 8 * len(bits.data), bits.at, 0, -1, [], out.append
     slot = 32 - cache_bits
     (green, m0), (red, m1), (blue, m2), (alpha, m3), (distance, m4) = tables[0]
@@ -382,8 +430,8 @@ def undo_palette(image: np.ndarray, palette: np.ndarray, width: int) -> np.ndarr
     return table[index]
 
 
-def decode_stream(data: bytes) -> np.ndarray:
-    """The ARGB pixels of a lossless stream (what a VP8L chunk holds)."""
+def _opened(data: bytes) -> tuple[Bits, list[tuple], int, int]:
+    """A stream at its main image, the transforms before it, and the image's width and height."""
     bits = Bits(data)
     if bits.take(8) != 0x2F:
         raise ValueError("not a lossless stream")
@@ -407,7 +455,10 @@ def decode_stream(data: bytes) -> np.ndarray:
             steps.append((kind, table, now))
             per_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             now = -(-now >> per_bits)
-    image = _image(bits, now, height, True)
+    return bits, steps, now, height
+
+
+def _restored(image: np.ndarray, steps: list[tuple]) -> np.ndarray:
     for kind, data_, more in reversed(steps):
         if kind == 0:
             image = undo_predictor(image, data_, more)
@@ -420,6 +471,168 @@ def decode_stream(data: bytes) -> np.ndarray:
     return image
 
 
+def decode_stream(data: bytes) -> np.ndarray:
+    """The ARGB pixels of a lossless stream (what a VP8L chunk holds)."""
+    bits, steps, width, height = _opened(data)
+    return _restored(_image(bits, width, height, True), steps)
+
+
+def _tables(lengths: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix codes whose lengths lie in segments: 16 * symbol + size by the next bits, where each code's table starts, and the bits that it looks at."""
+    used = np.flatnonzero(lengths)
+    of = np.searchsorted(segments, used, "right") - 1
+    size = np.where(np.bincount(of, minlength=len(segments))[of] > 1, lengths[used], 0).astype(np.int64)
+    width = np.zeros(len(segments), np.int64)
+    np.maximum.at(width, of, size)
+    share = 1 << (width[of] - size)
+    if (np.bincount(of, share, len(segments)) != 1 << width).any():
+        raise ValueError("not a complete prefix code")
+    order = np.argsort(16 * of + size, kind="stable")
+    entry = np.repeat((((used - segments[of]) << 4) | size)[order], share[order])
+    base = np.cumsum(1 << width) - (1 << width)
+    # The numbers that start with a code follow each other if its first bit is the highest.
+    wide, start = np.repeat(width, 1 << width), np.repeat(base, 1 << width)
+    table = np.empty(len(entry), np.int64)
+    table[start + (TURNED[np.arange(len(entry)) - start] >> (16 - wide))] = entry
+    return table, base, width
+
+
+# What length and distance symbols stand for: the least value, and how many bits are added to it.
+_MORE = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(40)])
+_LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
+_NEAR_X, _NEAR_Y = np.array(NEAR).T
+
+
+class _Plain:
+    """A stream at the pixels of its main image, which has one group of codes."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.steps, self.width, self.height = _opened(data)
+        self.cache_bits = self.bits.take(4) if self.bits.take(1) else 0
+        self.plain = not self.bits.take(1)
+        if self.plain:
+            self.lengths = [read_lengths(self.bits, s) for s in _alphabets(self.cache_bits)]
+            self.plain = max(map(max, self.lengths)) <= MAX_CODE
+
+
+def _decoded(images: list[_Plain]) -> list[np.ndarray]:
+    """The main images of streams, all read at once, a token of each at a time; the last few go on one by one."""
+    count = len(images)
+    every = [code if any(code) else [1] for i in images for code in i.lengths]
+    segments = np.cumsum([0, *map(len, every)])[:-1]
+    table, base, wide = _tables(np.array([x for code in every for x in code], np.uint8), segments)
+    base, mask = base.reshape(-1, 5).T, ((1 << wide) - 1).reshape(-1, 5).T
+    see_through = mask[3].any()
+    alpha = (table[base[3]] >> 4) << 24
+    begin = np.cumsum([0, *(len(i.bits.data) + 8 for i in images)])
+    joined = b"".join(part for i in images for part in (i.bits.data, bytes(8)))
+    window = np.ndarray(len(joined) - 7, "<i8", joined, strides=(1,)).copy()  # 64 bits from every byte on
+    width, total = np.array([i.width for i in images]), np.array([i.width * i.height for i in images])
+    start = 8 * begin[:-1] + [i.bits.at for i in images]
+    live, place, left, told = np.arange(count), start, total, []
+    b, m = base, mask
+    while len(live):
+        # Up to 12 bits each for green, red, blue and alpha, or 12, 10, 12 and 18 for a reference; 57 are there.
+        w = window[np.minimum(place >> 3, len(window) - 1)] >> (place & 7)
+        e = table[b[0] + (w & m[0])]
+        symbol, size = e >> 4, e & 15
+        w >>= size
+        green = w
+        e = table[b[1] + (w & m[1])]
+        value, k = (symbol << 8) | ((e >> 4) << 16), e & 15
+        bits, w = size + k, w >> k
+        e = table[b[2] + (w & m[2])]
+        k = e & 15
+        value, bits = value | (e >> 4), bits + k
+        if see_through:
+            e = table[b[3] + ((w >> k) & m[3])]
+            value, bits = value | ((e >> 4) << 24), bits + (e & 15)
+        else:
+            value = value | alpha[live]
+        many = np.ones(len(live), np.int64)
+        other = np.flatnonzero(symbol > 255)
+        if len(other):
+            bits[other], value[other] = size[other], symbol[other] - 280
+            other = other[symbol[other] < 280]
+            s, w = symbol[other] - 256, green[other]
+            k = _MORE[s]
+            many[other] = _LEAST[s] + (w & ((1 << k) - 1))
+            w = w >> k
+            e = table[b[4, other] + (w & m[4, other])]
+            s, w = e >> 4, w >> (e & 15)
+            more = _MORE[s]
+            value[other] = _LEAST[s] + (w & ((1 << more) - 1))
+            bits[other] += k + (e & 15) + more
+        told.append((live.astype(np.uint16), symbol.astype(np.int16), value.astype(np.uint32), many.astype(np.int16), bits.astype(np.uint8)))
+        place, left = place + bits, left - many
+        going = left > 0
+        if 8 * np.count_nonzero(going) < 7 * len(live) or len(live) <= 2 * FEW:
+            live, place, left, b, m = live[going], place[going], left[going], b[:, going], m[:, going]
+            if len(live) <= FEW:
+                break
+    image, symbol, value, many, bits = (np.concatenate(x) for x in zip(*told, strict=True))
+    order = np.argsort(image, kind="stable")
+    image, symbol, value, many, bits = (x[order] for x in (image, symbol, value, many, bits))
+    first = np.cumsum(total) - total
+    head = np.append(0, np.flatnonzero(image[1:] != image[:-1]) + 1)
+    at = np.cumsum(many, dtype=np.int64) - many
+    at -= np.repeat(at[head], np.diff(head, append=len(at)))
+    inside = at < total[image]  # an image that has ended may have been read on
+    image, symbol, value, many, bits, at = (x[inside] for x in (image, symbol, value, many, bits, at))
+    if (start + np.bincount(image, bits, count) > 8 * begin[1:] - 64).any():
+        raise ValueError("the image ends too early")
+    copied = (symbol > 255) & (symbol < 280)
+    near = np.flatnonzero(copied & (value <= 120))
+    value[copied & (value > 120)] -= 120
+    value[near] = np.maximum(1, _NEAR_X[value[near] - 1] + _NEAR_Y[value[near] - 1] * width[image[near]])
+    if (copied & ((value > at) | (at + many > total[image]))).any():
+        raise ValueError("a reference leaves the image")
+    where = first[image] + at
+    pixels, slots = np.zeros(int(total.sum()), np.uint32), np.zeros(int(total.sum()), np.uint32)
+    literal = np.flatnonzero(symbol < 256)
+    pixels[where[literal]] = value[literal]
+    cache_bits = np.array([i.cache_bits for i in images])[image[literal]]
+    slots[where[literal]] = np.where(cache_bits > 0, (pixels[where[literal]] * np.uint32(CACHE_MULTIPLIER)) >> np.minimum(32 - cache_bits, 31).astype(np.uint32), 0)
+    out, slot = array("I", pixels.tobytes()), array("I", slots.tobytes())
+    rest, now, kept, cache = np.flatnonzero(symbol > 255), -1, 0, {}
+    for i, a, s, v, n in zip(*(x[rest].tolist() for x in (image, where, symbol, value, many)), strict=True):
+        if i != now:
+            now, kept, cache = i, int(first[i]), {}
+        if s < 280:
+            c = a - v
+            if v >= n:
+                out[a : a + n], slot[a : a + n] = out[c : c + n], slot[c : c + n]
+            else:
+                out[a : a + n], slot[a : a + n] = (out[c:a] * (n // v + 1))[:n], (slot[c:a] * (n // v + 1))[:n]
+        else:
+            if kept < a:
+                cache.update(zip(slot[kept:a], out[kept:a]))
+            kept = a
+            if v in cache:
+                out[a], slot[a], kept = cache[v], v, a + 1
+    result = [x.reshape(i.height, i.width) for x, i in zip(np.split(np.frombuffer(out, np.uint32), first[1:]), images, strict=True)]
+    for i, p, more in zip(live.tolist(), place.tolist(), left.tolist(), strict=True):
+        one = images[i]
+        one.bits.at = p - 8 * int(begin[i])
+        tables = [[Code(np.array(code, np.uint8)).pairs() for code in one.lengths]]
+        result[i] = _tokens(one.bits, tables, one.cache_bits, one.width, one.height, out[int(first[i]) : int(first[i] + total[i] - more)])
+    return result
+
+
+def decode_all(streams: list[bytes]) -> list[np.ndarray]:
+    """The ARGB pixels of each lossless stream."""
+    out = [None] * len(streams)
+    for group in together([len(s) for s in streams], STREAM_BYTES):
+        images = {k: _Plain(streams[k]) for k in group}
+        plain = [k for k, i in images.items() if i.plain]
+        for k, image in zip(plain, _decoded([images[k] for k in plain]) if plain else [], strict=True):
+            out[k] = _restored(image, images[k].steps)
+        for k in group:
+            if out[k] is None:
+                out[k] = decode_stream(streams[k])
+    return out
+
+
 def container(stream: bytes) -> bytes:
     body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -437,85 +650,107 @@ def files_in(data: bytes) -> list[bytes]:
     return out
 
 
-def code_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
-    """Lengths of a prefix code for the counted symbols, ``most`` bits at most.
+def _depths(weights: list[int], most: int) -> list[int]:
+    """Depths of the leaves of Huffman's tree for ascending weights, ``most`` at most.
 
-    Huffman's lengths; if one is too long, rare symbols are counted as more frequent.
+    Leaves and inner nodes are two queues. If a leaf is too deep, rare symbols are counted as more frequent.
     """
-    used = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.uint8)
-    if len(used) < 2:
-        out[used] = 1
-        return out
-    floor = 0
+    n, total, floor = len(weights), sum(weights), 0
+    if n < 2:
+        return [1] * n
     while True:
-        weights = np.maximum(counts[used], floor).tolist()
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used)), len(used)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heapreplace(heap, (a[0] + b[0], n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
+        queue, parent, leaf, node, nodes = [*weights, *[0] * (n - 1)], [0] * (2 * n - 1), 0, n, n
+        while nodes < 2 * n - 1:
+            weight = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= nodes or queue[leaf] <= queue[node]):
+                    one, leaf = leaf, leaf + 1
+                else:
+                    one, node = node, node + 1
+                weight += queue[one]
+                parent[one] = nodes
+            queue[nodes] = weight
+            nodes += 1
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(used)]) <= most:
-            out[used] = depth[: len(used)]
-            return out
-        floor = max(2 * floor, -(-int(counts.sum()) >> most))
+        if depth[0] <= most:
+            return depth[:n]
+        floor = max(2 * floor, -(-total >> most))
+        weights = [w if w > floor else floor for w in weights]
+
+
+def code_lengths(counts: np.ndarray, segments: np.ndarray | None = None, most: int = MAX_CODE) -> np.ndarray:
+    """Lengths of a prefix code for the counted symbols of each segment (where it starts), ``most`` bits at most."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.uint8)
+    segments = np.zeros(1, np.int64) if segments is None else segments
+    order = used[np.lexsort((counts[used], np.searchsorted(segments, used, "right")))]
+    ends = np.searchsorted(used, segments).tolist() + [len(used)]
+    weights, depths = counts[order].tolist(), []
+    for a, b in zip(ends, ends[1:]):
+        depths += _depths(weights[a:b], most)
+    out[order] = depths
+    return out
 
 
 # The encoder's code for code lengths: 13 symbols of four bits and six of five; together they are complete.
 _INNER = np.array([4] * 13 + [5] * 6, np.uint8)
 _INNER_CODES = canonical(_INNER)
+# What comes before the code lengths of a code that isn't simple, 63 bits: all lengths of the inner code, no limit of symbols.
+_HEAD = 15 << 1 | sum(int(_INNER[s]) << (5 + 3 * i) for i, s in enumerate(LENGTH_ORDER))
+
+
+def _code_fields(lengths: np.ndarray, segments: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How codes are written whose lengths lie in segments: head and its size of each, then value, size and segment of the fields that follow the heads, in order.
+
+    Runs of zeros are pieces of 138 at most; a segment ends at its ``ends``, what lies behind is not written.
+    """
+    n = len(segments)
+    i = np.arange(len(lengths))
+    of = np.repeat(np.arange(n), np.diff(segments, append=len(lengths)))
+    count = np.add.reduceat(lengths > 0, segments, dtype=np.int64)
+    last = np.maximum.reduceat(np.where(lengths > 0, i, 0), segments) - segments
+    simple = (count == 0) | ((count == 1) & (last < 256))
+    head = np.where(simple, np.where(count > 0, 5 | np.maximum(last, 0) << 3, 5), _HEAD)
+    zero = lengths == 0
+    fresh = zero.copy()
+    fresh[1:] &= ~zero[:-1]
+    fresh[segments] = zero[segments]
+    run = i - np.maximum.accumulate(np.where(fresh, i, 0))
+    field = np.flatnonzero(~(zero & (run % 138 > 0)) & (i < ends[of]) & ~simple[of])
+    if not len(field):
+        return head, np.where(simple, 11, 63), field, field, field
+    seg = of[field]
+    until = np.append(field[1:], 0)
+    edge = np.append(seg[1:] != seg[:-1], True)
+    until[edge] = ends[seg[edge]]
+    many = np.where(zero[field], until - field, 1)
+    code = np.where(zero[field] & (many >= 3), np.where(many >= 11, 18, 17), lengths[field])
+    value = _INNER_CODES[code] | np.where(code < 17, 0, (many - np.where(code == 18, 11, 3)) << 5)
+    size = np.where(code < 17, _INNER[code], np.where(code == 18, 12, 8))
+    times = np.where((code == 0) & (many == 2), 2, 1)
+    return head, np.where(simple, 11, 63), np.repeat(value, times), np.repeat(size, times), np.repeat(seg, times)
 
 
 def _put_code(out: BitWriter, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
-    if len(used) < 2 and (not len(used) or used[0] < 256):
-        out.put(1 | (0 << 1) | (1 << 2) | (int(used[0]) if len(used) else 0) << 3, 11)
-        return
-    out.put(0, 1)
-    out.put(15, 4)
-    for s in LENGTH_ORDER:
-        out.put(int(_INNER[s]), 3)
-    out.put(0, 1)
-    at, values, end = 0, lengths.tolist(), len(lengths)
-    while at < end:
-        run = at
-        while run < end and not values[run]:
-            run += 1
-        zeros = run - at
-        if zeros >= 11:
-            many = min(zeros, 138)
-            out.put(int(_INNER_CODES[18]) | (many - 11) << 5, 12)
-        elif zeros >= 3:
-            many = zeros
-            out.put(int(_INNER_CODES[17]) | (many - 3) << 5, 8)
-        else:
-            many = 1
-            out.put(int(_INNER_CODES[values[at]]), int(_INNER[values[at]]))
-        at += many
+    head, head_size, value, size, _ = _code_fields(np.asarray(lengths), np.zeros(1, np.int64), np.array([len(lengths)]))
+    for v, k in [(head[0], head_size[0]), *zip(value, size, strict=True)]:
+        out.put(int(v), int(k))
 
 
-def packed_bits(values: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, int]:
-    """The values, one after another from bit ``first`` on, as 64-bit words, and the bit after the last."""
-    end = np.cumsum(sizes, dtype=np.int64) + first
-    at = end - sizes
+def put_fields(words: np.ndarray, at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+    """Add values to 64-bit words, each at its bit; the bits are ascending and what they meet is zero."""
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return
+    at, values, sizes = at[some], values[some].astype(np.uint64), sizes[some]
     word, shift = at >> 6, (at & 63).astype(np.uint64)
-    values = values.astype(np.uint64)
-    stop = int(end[-1]) if len(end) else first
-    out = np.zeros((stop >> 6) + 2, np.uint64)
-    if len(values):
-        head = np.ones(len(word), bool)
-        head[1:] = word[1:] != word[:-1]
-        out[word[head]] = np.bitwise_or.reduceat(values << shift, np.flatnonzero(head))
-        over = np.flatnonzero((at & 63) + sizes > 64)
-        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
-    return out, stop
+    head = np.ones(len(word), bool)
+    head[1:] = word[1:] != word[:-1]
+    words[word[head]] |= np.bitwise_or.reduceat(values << shift, np.flatnonzero(head))
+    over = np.flatnonzero((at & 63) + sizes > 64)
+    words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
 
 
 def _with_extra(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -526,124 +761,177 @@ def _with_extra(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(x < 4, x, 2 * top + ((x >> n) & 1)), np.where(x < 4, 0, x & ((1 << n) - 1)), np.where(x < 4, 0, n)
 
 
-def references(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, length, distance) of matches, first come: each with the nearest earlier place that starts with the same pixels."""
-    key = (p[:-1].astype(np.uint64) << np.uint64(32)) | p[1:]
+def references(p: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of matches, first come: each with the nearest earlier place that starts with the same pixels.
+
+    ``first`` says where images start; matches stay within one.
+    """
+    first = np.zeros(1, np.int64) if first is None else first
+    n = len(p)
+    ends = np.append(first[1:], n)
+    of = np.repeat(np.arange(len(first)), ends - first)
+    # 24 bits tell the pixels apart: their colours if alpha is the same, else their numbers.
+    number = (p & np.uint32(0xFFFFFF) if (p >> 24 == p[0] >> 24).all() else np.unique(p, return_inverse=True)[1]).astype(np.uint64)
+    key = (of[:-1].astype(np.uint64) << np.uint64(48)) | (number[:-1] << np.uint64(24)) | number[1:]
     order = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    before = np.full(len(p), -1, np.int64)
+    key = key[order]
+    again = np.flatnonzero(key[1:] == key[:-1])
+    before = np.full(n, -1, np.int64)
     before[order[again + 1]] = order[again]
+    before[ends - 1] = -1  # no pair starts with an image's last pixel
     starts = np.flatnonzero(before >= 0)
-    found, values, at, n = [], p.tolist(), 0, len(p)
-    for i, j in zip(starts.tolist(), before[starts].tolist(), strict=True):
+    found, values, at = [], p.tolist(), 0
+    for i, j, end in zip(starts.tolist(), before[starts].tolist(), ends[of[starts]].tolist(), strict=True):
         if i < at or i - j > FARTHEST:
             continue
-        at, far, end = i + LEAST_MATCH, i - j, min(n, i + MOST_MATCH)
+        at, far, end = i + LEAST_MATCH, i - j, min(end, i + MOST_MATCH)
         while at < end and values[at] == values[at - far]:
             at += 1
         found.append((i, at - i, far))
     return tuple(np.array(found, np.int64).reshape(-1, 3).T)
 
 
-def _cached(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each pixel's slot of a colour cache, and whether it holds this pixel already."""
-    slot = ((p.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
-    order = np.argsort(slot, kind="stable")
+def _cached(p: np.ndarray, bits: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot of its image's colour cache, and whether it holds this pixel already."""
+    slot = (p * np.uint32(CACHE_MULTIPLIER)) >> (32 - bits).astype(np.uint32)
+    key = (of << 11) | slot
+    order = np.argsort(key, kind="stable")
     hit = np.zeros(len(p), bool)
-    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
     return slot.astype(np.int64), hit
 
 
-def _put_pixels(out: BitWriter, p: np.ndarray, main: bool) -> None:
-    """An entropy-coded image: references, colours from the cache and literals."""
-    p = np.ascontiguousarray(p.reshape(-1))
-    n = len(p)
-    place, many, far = references(p)
+# Where the five codes of an image lie in a row of counts; the first has room for the largest cache.
+_PLACES = np.array([0, 280 + 1024, 280 + 1024 + 256, 280 + 1024 + 512, 280 + 1024 + 768])
+_ROW = int(_PLACES[-1]) + 40
+
+
+def _image_bits(images: list[np.ndarray], main: bool, openings: list[BitWriter]) -> list[tuple[bytes, int]]:
+    """Entropy-coded images, each behind its opening: references, colours from the cache and literals. Bytes and number of bits."""
+    p = np.concatenate([i.reshape(-1) for i in images])
+    sizes = np.array([i.size for i in images])
+    count, n, first = len(images), len(p), np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(count), sizes)
+    place, many, far = references(p, first)
     cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + many, -1)
+    cover[place] += 1
+    np.subtract.at(cover, place + many, 1)
     single = np.cumsum(cover[:-1]) == 0
-    cache_bits = min(10, max(1, n.bit_length() - 3))
-    slot, hit = _cached(p, cache_bits)
+    cache_bits = np.clip(np.frexp(sizes.astype(np.float64))[1] - 3, 1, 10).astype(np.int64)
+    slot, hit = _cached(p, cache_bits[of], of)
     hit &= single
-    if not hit.any():
-        cache_bits = 0
-    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
-    if main:
-        out.put(0, 1)  # one group of codes
+    cache_bits[np.bincount(of[hit], minlength=count) == 0] = 0
     length, length_more, length_bits = _with_extra(many)
     reach, reach_more, reach_bits = _with_extra(far + 120)
     symbol = ((p >> 8) & 0xFF).astype(np.int64)
     symbol[hit] = 280 + slot[hit]
     symbol[place] = 256 + length
-    literal = single & ~hit
-    token = single.copy()
+    literal, token = np.flatnonzero(single & ~hit), single.copy()
     token[place] = True
-    colours = [((p >> s) & 0xFF).astype(np.int64) for s in (16, 0, 24)]
+    token = np.flatnonzero(token)
+    base = of * _ROW
+    # Where each pixel's symbols lie in the rows of counts.
+    at = [base[token] + symbol[token], *(base[literal] + int(_PLACES[1 + i]) + ((p[literal] >> s) & 0xFF) for i, s in enumerate((16, 0, 24))), base[place] + int(_PLACES[4]) + reach]
+    counts = sum(np.bincount(a, minlength=count * _ROW) for a in at)
+    segments = (np.arange(count)[:, None] * _ROW + _PLACES).reshape(-1)
+    ends = segments + np.stack([280 + np.where(cache_bits > 0, 1 << cache_bits, 0), *[np.full(count, k) for k in (256, 256, 256, 40)]], 1).reshape(-1)
+    lengths = code_lengths(counts, segments)
+    head, head_size, value, size, seg = _code_fields(lengths, segments, ends)
+    codes = canonical(lengths, segments)
+    # A code of one symbol takes no bits.
+    alone = np.add.reduceat(lengths > 0, segments, dtype=np.int64) < 2
+    lengths = np.where(np.repeat(alone, np.diff(segments, append=len(lengths))), 0, lengths).astype(np.int64)
     # Up to four fields of each pixel that starts a token: value and size.
-    value, size = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-
-    def coded(field: int, where: np.ndarray, symbols: np.ndarray, alphabet: int) -> None:
-        lengths = code_lengths(np.bincount(symbols, minlength=alphabet))
-        _put_code(out, lengths)
-        if np.count_nonzero(lengths) > 1:
-            value[where, field], size[where, field] = canonical(lengths)[symbols], lengths[symbols]
-
-    coded(0, token, symbol[token], 280 + (1 << cache_bits if cache_bits else 0))
-    for i, c in enumerate(colours):
-        coded(1 + i, literal, c[literal], 256)
-    coded(2, place, reach, 40)
-    value[place, 1], size[place, 1] = length_more, length_bits
-    value[place, 3], size[place, 3] = reach_more, reach_bits
-    used = size > 0
-    words, stop = packed_bits(value[used], size[used], 0)
-    out.put(int.from_bytes(words.tobytes(), "little"), stop)
-
-
-def _entropy(image: np.ndarray) -> float:
-    """The bits that the channels take by themselves, without references."""
-    out = 0.0
+    values, widths = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+    for field, where, a in zip((0, 1, 2, 3, 2), (token, literal, literal, literal, place), at, strict=True):
+        values[where, field], widths[where, field] = codes[a], lengths[a]
+    values[place, 1], widths[place, 1] = length_more, length_bits
+    values[place, 3], widths[place, 3] = reach_more, reach_bits
+    # Bits of each part: the opening with cache and group flags, five codes, pixels.
+    for opening, bits in zip(openings, cache_bits.tolist(), strict=True):
+        opening.put(1 | bits << 1 if bits else 0, 5 if bits else 1)
+        if main:
+            opening.put(0, 1)  # one group of codes
+    opened = np.array([o.n for o in openings], np.int64)
+    code_bits = head_size + np.bincount(seg, size, 5 * count).astype(np.int64)
+    pixel_bits = np.add.reduceat(widths.sum(1), first)
+    total = opened + code_bits.reshape(-1, 5).sum(1) + pixel_bits
+    room = (total >> 6) + 2
+    start = 64 * (np.cumsum(room) - room)
+    words = np.zeros(int(room.sum()), np.uint64)
+    code_at = (start + opened)[:, None] + np.cumsum(code_bits.reshape(-1, 5), 1) - code_bits.reshape(-1, 5)
+    code_at = code_at.reshape(-1)
+    put_fields(words, code_at, head, head_size)
+    within = np.cumsum(size) - size
+    before = np.cumsum(code_bits - head_size) - (code_bits - head_size)
+    put_fields(words, code_at[seg] + head_size[seg] + within - before[seg], value, size)
+    within = (np.cumsum(widths) - widths.reshape(-1)).reshape(n, 4)
+    pixels_at = start + total - pixel_bits - within[first, 0]
+    put_fields(words, (pixels_at[of][:, None] + within).reshape(-1), values.reshape(-1), widths.reshape(-1))
+    out = []
+    for opening, a, k, bits in zip(openings, (start >> 6).tolist(), room.tolist(), total.tolist(), strict=True):
+        width = -(-opening.n // 64)
+        words[a : a + width] |= np.frombuffer(opening.value.to_bytes(8 * width, "little"), np.uint64)
+        out.append((words[a : a + k].tobytes()[: -(-bits // 8)], bits))
+    return out
+
+
+def _put_pixels(out: BitWriter, p: np.ndarray, main: bool) -> None:
+    """An entropy-coded image behind what is there."""
+    data, n = _image_bits([p], main, [BitWriter()])[0]
+    out.put(int.from_bytes(data, "little"), n)
+
+
+def _entropy(image: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """The bits that the channels of each image take by themselves, without references; ``of`` names each row's image."""
+    size = np.bincount(of, minlength=count) * image.shape[1]
+    out, base = np.zeros(count), (256 * of)[:, None]
     for s in (24, 16, 8, 0) if image.min() >> 24 != 255 else (16, 8, 0):
-        count = np.bincount(((image >> s) & 0xFF).reshape(-1), minlength=256)
-        count = count[count > 0]
-        out += image.size * float(np.log2(image.size)) - float((count * np.log2(count)).sum())
+        found = np.bincount((base + ((image >> s) & 0xFF)).reshape(-1), minlength=256 * count).reshape(count, 256)
+        out += size * np.log2(size) - (found * np.log2(np.maximum(found, 1))).sum(1)
     return out
 
 
-def _grid(image: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _block_rows(first: np.ndarray, height: int, block: int) -> np.ndarray:
+    """Where rows of blocks start in images that stand one above the other."""
+    return np.concatenate([np.arange(a, b, 1 << block) for a, b in zip(first, np.append(first[1:], height), strict=True)])
+
+
+def _grid(image: np.ndarray, rows: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of each pixel's block."""
     height, width = image.shape
-    return np.arange(height)[:, None] >> block, np.arange(width)[None, :] >> block
+    return np.repeat(np.arange(len(rows)), np.diff(rows, append=height))[:, None], np.arange(width)[None, :] >> block
 
 
-def _block_sums(x: np.ndarray, block: int) -> np.ndarray:
-    rows, columns = (np.arange(0, k, 1 << block) for k in x.shape)
-    return np.add.reduceat(np.add.reduceat(x, rows, 0), columns, 1)
+def _block_sums(x: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
+    return np.add.reduceat(np.add.reduceat(x, rows, 0), np.arange(0, x.shape[1], 1 << block), 1)
 
 
-def predicted(image: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
+def predicted(image: np.ndarray, first: np.ndarray, rows: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
     """What is left after predicting each block from the left or from above, whichever leaves less, and the modes."""
     c = _channels(image)
     left, top = np.zeros_like(c), np.zeros_like(c)
     left[:, 1:], top[1:] = c[:, :-1], c[:-1]
+    top[first] = 0
     rest = [(c - g) & 255 for g in (left, top)]
-    cost = [_block_sums(np.minimum(r, 256 - r).sum(-1), block) for r in rest]
+    cost = [_block_sums(np.minimum(r, 256 - r).sum(-1), rows, block) for r in rest]
     mode = np.where(cost[0] <= cost[1], 1, 2)
-    out = np.where((mode[_grid(image, block)] == 1)[..., None], *rest)
+    out = np.where((mode[_grid(image, rows, block)] == 1)[..., None], *rest)
     # The edges predict in one way only.
-    out[0], out[1:, 0] = rest[0][0], rest[1][1:, 0]
-    out[0, 0] = (c[0, 0] - [255, 0, 0, 0]) & 255
+    out[:, 0] = rest[1][:, 0]
+    out[first] = rest[0][first]
+    out[first, 0] = (c[first, 0] - [255, 0, 0, 0]) & 255
     return _packed(out), np.uint32(0xFF000000) | (mode.astype(np.uint32) << 8)
 
 
-def decorrelated(image: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
+def decorrelated(image: np.ndarray, rows: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
     """What is left of red and blue after taking green's share out, and the factors by block."""
     c = _channels(image)
     signed = (c ^ 128) - 128
     green = signed[..., 2]
-    weight = np.maximum(_block_sums(green * green, block), 1)
-    to_red, to_blue = (np.clip(np.rint(32 * _block_sums(green * signed[..., k], block) / weight), -128, 127).astype(np.int32) for k in (1, 3))
-    where = _grid(image, block)
+    weight = np.maximum(_block_sums(green * green, rows, block), 1)
+    to_red, to_blue = (np.clip(np.rint(32 * _block_sums(green * signed[..., k], rows, block) / weight), -128, 127).astype(np.int32) for k in (1, 3))
+    where = _grid(image, rows, block)
     out = c.copy()
     for k, t in ((1, to_red), (3, to_blue)):
         out[..., k] = (c[..., k] - ((t[where] * green) >> 5)) & 255
@@ -651,11 +939,12 @@ def decorrelated(image: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray
     return _packed(out), _packed(np.stack([full, np.zeros_like(full), to_blue & 255, to_red & 255], -1))
 
 
-def indexed(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Palette numbers in place of the pixels, several in one where they are few, and the palette."""
-    palette, index = np.unique(image, return_inverse=True)
-    if len(palette) > 256:
+def indexed(image: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray] | None:
+    """Palette numbers in place of the pixels, several in one where they are few, and the palette, unless that takes more bits than ``most``."""
+    colours, count = np.unique(image, return_counts=True)
+    if len(colours) > 256 or (len(colours) > 16 and 24 * len(colours) + image.size * np.log2(image.size) - (count * np.log2(count)).sum() > most):
         return None
+    palette, index = np.unique(image, return_inverse=True)
     n, index = len(palette), index.reshape(image.shape).astype(np.uint32)
     per_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
     if per_bits:
@@ -671,45 +960,78 @@ def without_green(image: np.ndarray) -> np.ndarray:
     return (image & np.uint32(0xFF00FF00)) | ((((image >> 16) - green) & 0xFF) << 16) | ((image - green) & 0xFF)
 
 
+def _encoded(images: list[np.ndarray]) -> list[bytes]:
+    """WebP files of images of one width: transforms are chosen for all that stand one above the other, then pixels are written."""
+    heights = [len(i) for i in images]
+    image, first = np.concatenate(images), np.cumsum(heights) - heights
+    count, width = len(images), image.shape[1]
+    of = np.repeat(np.arange(count), heights)
+    rows = _block_rows(first, len(image), BLOCK_BITS)
+    blocks = np.searchsorted(rows, np.append(first, len(image)))  # each image's rows of blocks
+    area = np.diff(blocks) * -(-width >> BLOCK_BITS)
+    rest, modes = predicted(image, first, rows)
+    guessed = _entropy(rest, of, count) + 8 * area < _entropy(image, of, count)
+    rest = np.where(guessed[of][:, None], rest, image)
+    crossed, factors = decorrelated(rest, rows)
+    flat = without_green(rest)
+    costs = np.stack([_entropy(rest, of, count), _entropy(crossed, of, count) + 16 * area, _entropy(flat, of, count)])
+    see_through = np.logical_or.reduceat((image >> 24 != 255).any(1), first)
+    best, least = costs.argmin(0).tolist(), costs.min(0).tolist()
+    out, mains = [], []
+    for k, (one, a, height) in enumerate(zip(images, first.tolist(), heights, strict=True)):
+        bits = BitWriter()
+        for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (int(see_through[k]), 1), (0, 3)):
+            bits.put(value, n)
+
+        def block_image(kind: int, data: np.ndarray, bits: BitWriter = bits, k: int = k) -> None:
+            bits.put(1 | kind << 1 | (BLOCK_BITS - 2) << 3, 6)
+            _put_pixels(bits, data[blocks[k] : blocks[k + 1]], False)
+
+        numbers = indexed(one, least[k])
+        if numbers is not None and _entropy(numbers[0], np.zeros(height, np.int64), 1)[0] + 24 * len(numbers[1]) <= least[k]:
+            main, palette = numbers
+            step = _channels(palette)
+            step[1:] -= step[:-1].copy()
+            bits.put(1 | 3 << 1 | (len(palette) - 1) << 3, 11)
+            _put_pixels(bits, _packed(step & 255), False)
+        else:
+            if guessed[k]:
+                block_image(0, modes)
+            if best[k] == 1:
+                block_image(1, factors)
+            elif best[k] == 2:
+                bits.put(1 | 2 << 1, 3)
+            main = (rest, crossed, flat)[best[k]][a : a + height]
+        bits.put(0, 1)
+        out.append(bits)
+        mains.append(main)
+    return [container(data) for data, _ in _image_bits(mains, True, out)]
+
+
+def together(sizes: list[int], most: int) -> list[list[int]]:
+    """Which of some sizes are taken together: of like size, and ``most`` in all, or one that is larger."""
+    out, total = [], most
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+        if total + sizes[i] > most or len(out[-1]) >= 1 << 12:
+            out.append([])
+            total = 0
+        out[-1].append(i)
+        total += sizes[i]
+    return out
+
+
+def encode_all(images: list[np.ndarray]) -> list[bytes]:
+    """A WebP file for each image of ARGB pixels (h, w)."""
+    out = [b""] * len(images)
+    for width in {i.shape[1] for i in images}:
+        these = [k for k, i in enumerate(images) if i.shape[1] == width]
+        for group in together([images[k].size for k in these], CHUNK):
+            group = [these[g] for g in group]
+            for k, data in zip(group, _encoded([images[k].astype(np.uint32, copy=False) for k in group]), strict=True):
+                out[k] = data
+    return out
+
+
 def encode(image: np.ndarray) -> bytes:
     """A WebP file of ARGB pixels (h, w)."""
-    height, width = image.shape
-    image = image.astype(np.uint32)
-    out = BitWriter()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(int((image >> 24 != 255).any()), 1)
-    out.put(0, 3)
-
-    def block_image(kind: int, data: np.ndarray) -> None:
-        out.put(1 | kind << 1 | (BLOCK_BITS - 2) << 3, 6)
-        _put_pixels(out, data, False)
-
-    plain = _entropy(image)
-    numbers = indexed(image)
-    rest, modes = predicted(image)
-    guessed = _entropy(rest) + 8 * modes.size < plain
-    if not guessed:
-        rest = image
-    crossed, factors = decorrelated(rest)
-    flat = without_green(rest)
-    costs = [_entropy(rest), _entropy(crossed) + 16 * factors.size, _entropy(flat)]
-    if numbers is not None and _entropy(numbers[0]) + 24 * len(numbers[1]) <= min(costs):
-        image, palette = numbers
-        step = _channels(palette)
-        step[1:] -= step[:-1].copy()
-        out.put(1 | 3 << 1 | (len(palette) - 1) << 3, 11)
-        _put_pixels(out, _packed(step & 255), False)
-    else:
-        if guessed:
-            block_image(0, modes)
-        best = costs.index(min(costs))
-        if best == 1:
-            block_image(1, factors)
-        elif best == 2:
-            out.put(1 | 2 << 1, 3)
-        image = (rest, crossed, flat)[best]
-    out.put(0, 1)
-    _put_pixels(out, image, True)
-    return container(out.value.to_bytes(-(-out.n // 8), "little"))
+    return encode_all([image])[0]
