@@ -63,7 +63,7 @@ def parsed(texts: DataFrame, column: str = "raw") -> DataFrame:
     return texts.select(F.from_json(column, RAW).alias("r")).select("r.*")
 
 
-def video_metadata(raw: DataFrame) -> DataFrame:
+def _video_columns() -> list[Column]:
     c = F.col
     stats = F.coalesce("statsV2", "stats")
     counts = {f"{n}count": to_int(stats[f"{n}Count"]) for n in ("digg", "share", "comment", "play", "collect", "repost")}
@@ -82,17 +82,25 @@ def video_metadata(raw: DataFrame) -> DataFrame:
         "location_created": country(c("locationCreated")), **counts, "warn_info": unless(c("warnInfo"), "{}"), "channel_tags": unless(c("channelTags"), "{}"), "ai_gc_description": unless(c("AIGCDescription"), ""),
         **{n: c(p) for n, p in plain.items()}, **{n: F.coalesce(c(p), F.lit(False)) for n, p in flags.items()}, **{n: unless_empty(c(p)) for n, p in listed.items()},
     }
-    return raw.select(*(v.alias(n) for n, v in columns.items()))
+    return [v.alias(n) for n, v in columns.items()]
 
 
-def file_metadata(raw: DataFrame) -> DataFrame:
+def video_metadata(raw: DataFrame) -> DataFrame:
+    return raw.select(*_video_columns())
+
+
+def _file_columns() -> list[Column]:
     v = F.col("video")
     cla, volume = v["claInfo"], v["volumeInfo"]
-    return raw.select(
+    return [
         to_int(F.col("id")).alias("id"), F.lit(None).cast("string").alias("filepath"), v["duration"].alias("duration"), v["height"].alias("height"), v["width"].alias("width"), lines_of_resolution(v["ratio"]).alias("ratio"),
         volume["Loudness"].alias("volume_loudness"), volume["Peak"].alias("volume_peak"), cla["hasOriginalAudio"].alias("has_original_audio"), cla["enableAutoCaption"].alias("enable_audio_caption"), cla["noCaptionReason"].alias("no_caption_reason"),
         F.col("imagePost").isNotNull().alias("is_slide"),
-    )
+    ]
+
+
+def file_metadata(raw: DataFrame) -> DataFrame:
+    return raw.select(*_file_columns())
 
 
 def music_metadata(raw: DataFrame) -> DataFrame:
@@ -126,17 +134,25 @@ def video_type(labels: Column) -> Column:
     return F.when(has("education", "learnontiktok"), "EDUCATE").when(has("entertainment", "comedy"), "ENTERTAIN").otherwise("VIDEO")
 
 
-def display_metadata(videos: DataFrame, files: DataFrame) -> DataFrame:
-    """What a library shows of a flattened item, with defaults; a null takes the default as a missing key does."""
-    v, f = videos.alias("v"), files.alias("f")
+def _shown() -> list[Column]:
     title = F.coalesce(F.nullif(F.col("v.description"), F.lit("")), F.lit("No Title"))
     count = lambda c, n: F.coalesce(F.col(f"v.{c}"), F.lit(0)).alias(n)
     audio = F.coalesce("f.has_original_audio", F.lit(True)) | F.coalesce("f.enable_audio_caption", F.lit(True))
-    return v.join(f, F.col("v.id") == F.col("f.id"), "left").select(
+    return [
         F.col("v.id").cast("string").alias("id"), title.alias("title"), F.coalesce("v.hashtags", F.array().cast("array<string>")).alias("hashtags"),
         count("playcount", "views"), count("diggcount", "likes"), count("commentcount", "comments"), count("sharecount", "shares"), count("collectcount", "saves"),
         F.coalesce("f.duration", F.lit(0)).alias("video_duration"), audio.alias("has_audio"), video_type(F.col("v.diversification_labels")).alias("video_type"),
-    )
+    ]
+
+
+def display_metadata(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """What a library shows of a flattened item, with defaults; a null takes the default as a missing key does."""
+    return videos.alias("v").join(files.alias("f"), F.col("v.id") == F.col("f.id"), "left").select(*_shown())
+
+
+def displayed(raw: DataFrame) -> DataFrame:
+    """``display_metadata`` of raw items: video and file are of one row, so each item is read once and nothing is joined."""
+    return raw.select(F.struct(*_video_columns()).alias("v"), F.struct(*_file_columns()).alias("f")).select(*_shown())
 
 
 def overlay(scraped: DataFrame, probed: DataFrame) -> DataFrame:

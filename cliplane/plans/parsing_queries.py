@@ -35,7 +35,8 @@ def raw_text(spark, d) -> DataFrame:
         F.array(tag("a", ident, none), tag("b", pick(2, F.lit("x1"), (k + 1).cast("string")), none), tag("c", none, pick(3, F.lit("9"), none))).alias("textExtra"),
         F.array(F.struct(ident.alias("id"), F.col("p_brand").alias("desc")), F.struct(ident.alias("id"), F.lit("second").alias("desc")), F.struct(F.lit("bad").alias("id"), F.lit("null id").alias("desc"))).alias("challenges"),
     )
-    return table(spark, d, "part").select(F.to_json(item).alias("raw"))
+    # Parts are few bytes, their items are much work: rows of a few row groups are dealt to all cores.
+    return table(spark, d, "part").repartition(2 * spark.sparkContext.defaultParallelism).select(F.to_json(item).alias("raw"))
 
 
 def raw(spark, d) -> DataFrame:
@@ -88,8 +89,7 @@ def s_8(spark, d) -> DataFrame:
 p_partkey % 2 = 0 OR p_partkey % 3 <> 0 AS has_audio, CASE p_partkey % 4 WHEN 0 THEN 'EDUCATE' WHEN 1 THEN 'ENTERTAIN' ELSE 'VIDEO' END AS video_type FROM part""")
 def p_6(spark, d) -> DataFrame:
     """P-6 with F-28 (video type) and F-24 (statsV2 before stats)."""
-    r = raw(spark, d)
-    return flatten.display_metadata(flatten.video_metadata(r), flatten.file_metadata(r)).select("id", "title", "views", "saves", "video_duration", "has_audio", "video_type")
+    return flatten.displayed(raw(spark, d)).select("id", "title", "views", "saves", "video_duration", "has_audio", "video_type")
 
 
 @query("j_5_overlay", """SELECT p.p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_partkey + 0.5::DOUBLE END AS duration, CASE WHEN p_partkey % 3 = 0 THEN true ELSE p_partkey % 2 = 0 END AS has_audio,

@@ -100,3 +100,21 @@ def test_parsing(spark):
     assert value(spark, flatten.to_int(F.col("v")), v=" 12 ") == 12 and value(spark, flatten.to_int(F.col("v")), v="12.5") is None
     assert value(spark, flatten.lines_of_resolution(F.col("v")), v="540p") == 540
     assert value(spark, flatten.country(F.col("v")), v="FAKE-AD") == "XX" and value(spark, flatten.country(F.col("v")), v="USA") is None
+
+
+def test_items_are_displayed_in_one_pass(spark):
+    import duckdb
+
+    import __spark_entry__
+    from cliplane.plans import parsing_queries
+
+    d = "/root/testdata/sf0.001"
+    raw = parsing_queries.raw(spark, d)
+    joined = flatten.display_metadata(flatten.video_metadata(raw), flatten.file_metadata(raw))
+    assert sorted(map(str, flatten.displayed(raw).collect())) == sorted(map(str, joined.collect()))
+    shown = __spark_entry__.queries()["p_6_display_metadata"](spark, d)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS FROM '{d}/part.parquet'")
+    assert sorted(map(tuple, shown.collect())) == sorted(db.execute(__spark_entry__.oracle_sql()["p_6_display_metadata"]).fetchall())
