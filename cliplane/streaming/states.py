@@ -9,6 +9,7 @@ whose status has changed are written.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ def _schema(ddl: str) -> StructType:
 
 
 KEPT = _schema("state string, since_us long, refused long, timeouts long, version long")
-WAITING = _schema("at_us long, pos long, state string")
+WAITING = _schema("events string")  # a batch's changes of a video: JSON of (at_us, pos, state)
+DUE = _schema("at_us long")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,12 +51,18 @@ class Machine(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("kept", KEPT)
         self.waiting = handle.getListState("waiting", WAITING)
+        self.due = handle.getValueState("due", DUE)
+
+    def _remind(self, due_us: int, now_us: int) -> None:
+        self.due.update((due_us,))
+        # Timers are in milliseconds; one too early would find nothing to do.
+        self.handle.registerTimer(max(-(-due_us // 1000), now_us // 1000 + 1))
 
     def _advanced(self, video_id: int, new: list[tuple], now_us: int) -> Iterator[Row]:
         """Take all changes up to ``now_us`` in order and set the next timer."""
-        state, since, refused, timeouts, version = self.kept.get() if self.kept.exists() else ("", 0, 0, 0, 0)
+        state, since, refused, timeouts, version = self.kept.get() or ("", 0, 0, 0, 0)
         before = version
-        events = sorted([*new, *(tuple(r) for r in self.waiting.get())])
+        events = sorted([*new, *(tuple(e) for (texts,) in self.waiting.get() for e in json.loads(texts))])
         ready = [e for e in events if e[0] <= now_us]
         for at, _, to in [*ready, (now_us, 0, None)]:
             if state == TIMED and at - since >= self.limit_us:
@@ -69,20 +77,28 @@ class Machine(StatefulProcessor):
         rest = events[len(ready) :]
         self.waiting.clear()
         if rest:
-            self.waiting.put([tuple(e) for e in rest])
+            self.waiting.put([(json.dumps(rest),)])
         if version != before:
             self.kept.update((state, since, refused, timeouts, version))
         due = [rest[0][0]] if rest else []
         due += [since + self.limit_us] if state == TIMED else []
         if due:
-            # Timers are in milliseconds; one too early would find nothing to do.
-            self.handle.registerTimer(max(-(-min(due) // 1000), now_us // 1000 + 1))
+            self._remind(min(due), now_us)
+        else:
+            self.due.clear()
         if version != before:
             yield Row(video_id=video_id, state=state, since_us=since, refused=refused, timeouts=timeouts, version=version)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["at_us"], r["pos"], r["state"]) for r in rows]
-        yield from self._advanced(key[0], new, timerValues.getCurrentWatermarkInMs() * 1000)
+        new, now_us = sorted((r[2], r[3], r[4]) for r in rows), timerValues.getCurrentWatermarkInMs() * 1000
+        if new[0][0] <= now_us:
+            yield from self._advanced(key[0], new, now_us)
+            return
+        # All of them wait: those that wait already are neither read nor written again. What is due by now comes by its timer.
+        self.waiting.appendValue((json.dumps(new),))
+        due = self.due.get()
+        if due is None or new[0][0] < due[0]:
+            self._remind(new[0][0], now_us)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._advanced(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)

@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+
 from cliplane.streaming import queue, states
 
 START = datetime(2024, 1, 1)
@@ -70,3 +72,54 @@ def test_status_machine(spark, tmp_path):
     # Only videos that changed are written by a batch.
     rows = spark.read.parquet(str(tmp_path / "statuses"))
     assert rows.groupBy("video_id", "version").count().filter("count > 1").count() == 0 and rows.filter("video_id = 2").count() == 1
+
+
+def test_changes_that_wait_are_not_written_again():
+    from types import SimpleNamespace
+
+    class State:
+        def __init__(self):
+            self.held, self.did = [], []
+
+        def get(self):
+            self.did.append("get")
+            return iter(list(self.held))
+
+        def put(self, values):
+            self.did.append("put")
+            self.held = list(values)
+
+        def appendValue(self, value):
+            self.held.append(value)
+
+        def clear(self):
+            self.held = []
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    waiting, timers = State(), []
+    handle = SimpleNamespace(getValueState=lambda *_: Value(), getListState=lambda *_: waiting, registerTimer=timers.append)
+    machine = states.Machine(10**9)
+    machine.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    row = lambda ms, pos, to: Row(video_id=1, ts=None, at_us=1000 * ms, pos=pos, state=to)
+    for n, (ms, to) in enumerate([(50, "analyzed"), (20, "pending"), (30, "processing")]):
+        assert not list(machine.handleInputRows((1,), iter([row(ms, n, to)]), at(0)))
+    assert waiting.did == [] and timers == [50, 20]
+    (out,) = machine.handleExpiredTimer((1,), at(40), None)
+    assert (out.state, out.version) == ("processing", 2) and timers[-1] == 50
+    (out,) = machine.handleExpiredTimer((1,), at(60), None)
+    assert (out.state, out.refused, out.version) == ("analyzed", 0, 3) and waiting.held == []
