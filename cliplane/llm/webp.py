@@ -24,7 +24,7 @@ MAX_CODE = 12  # bits of the encoder's longest code
 WINDOW_BYTES = 1 << 12  # of the stream that are looked at together
 LEAST_MATCH, MOST_MATCH, FARTHEST = 2, 4096, (1 << 20) - 120  # pixels
 CHUNK = 1 << 16  # pixels that are encoded together
-STREAM_BYTES = 2 << 20  # of streams that are decoded together
+STREAM_BYTES = 1 << 19  # of streams that are decoded together
 LOOK = 15  # bits of code lengths that are looked up at once
 FEW = 24  # images that are not worth decoding together
 BLOCK_BITS = 4  # of the encoder's predictor and cross-colour blocks

@@ -406,3 +406,32 @@ def test_texts_of_several_files():
     data = media.stored(payload)
     assert len(webp.files_in(data)) == 2
     assert media.samples_of(media.pixels(data)).tobytes() == payload.tobytes()
+
+
+def test_images_in_groups_come_back():
+    rng = np.random.default_rng(9)
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(500)]
+    text = lambda n: b" ".join(words[i] for i in np.minimum(rng.zipf(1.3, n), 500) - 1)
+    every = [media.payload_of(x) for x in (b"", b"a", *(text(int(n)) for n in rng.integers(1, 900, 60)), text(9000), rng.integers(0, 256, 3000).astype(np.uint8).tobytes())]
+    every.append(np.clip(np.cumsum(rng.integers(-1, 2, (48, 64, 3)), 1) + 128, 0, 255).astype(np.uint8))
+    stored = media.stored_all(every)
+    assert stored == [media.stored(x) for x in every]  # equal texts have equal media, whatever they are stored with
+    streams = [webp.files_in(s)[0] for s in stored]
+    for x, got in zip(every, webp.decode_all(streams), strict=True):
+        assert (media.samples_of(got) == x).all()
+    for k, s in enumerate(streams[2:5]):
+        with pytest.raises(ValueError):
+            webp.decode_all([*streams[: 2 + k], s[: len(s) // 2], *streams[3 + k :]])
+    # A slot of the cache that nothing has been put into holds zero, and streams with several groups are read, too.
+    writer = Writer()
+    writer.start(2, 1)
+    writer.put(0, 1)
+    writer.put(1 | 4 << 1, 5)
+    writer.put(0, 1)
+    lengths = np.zeros(280 + 16, np.uint8)
+    lengths[[280, 285]] = 1
+    webp._put_code(writer, lengths)
+    for _ in range(4):
+        writer.simple(0)
+    writer.put(3, 2)
+    assert webp.decode_all([writer.done()])[0].tolist() == [[0, 0]] == webp.decode_stream(writer.done()).tolist()
