@@ -29,9 +29,9 @@ def payload_of(text: bytes) -> np.ndarray:
 
 
 def _argb(samples: np.ndarray) -> np.ndarray:
-    c = samples.astype(np.uint32)
-    red, green, blue = (c, c, c) if c.ndim == 2 else np.moveaxis(c, 2, 0)
-    return np.uint32(0xFF000000) | (red << 16) | (green << 8) | blue
+    out = np.full((*samples.shape[:2], 4), 255, np.uint8)
+    out[..., :3] = samples[..., None] if samples.ndim == 2 else samples[..., ::-1]
+    return out.view("<u4")[..., 0]
 
 
 def stored_all(every: list[np.ndarray]) -> list[bytes]:
@@ -61,8 +61,8 @@ def pixels(media: bytes) -> np.ndarray:
 
 def samples_of(argb: np.ndarray) -> np.ndarray:
     """(h, w, channels): red, green and blue, and alpha too unless all pixels are opaque."""
-    shifts = (16, 8, 0) if (argb >> 24 == 255).all() else (16, 8, 0, 24)
-    return np.stack([(argb >> s) & 0xFF for s in shifts], -1).astype(np.uint8)
+    c = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)
+    return np.ascontiguousarray(c[..., 2::-1]) if (c[..., 3] == 255).all() else c[..., [2, 1, 0, 3]]
 
 
 def feature_of(samples: np.ndarray) -> str:

@@ -2,9 +2,9 @@
 
 The decoder reads every feature of the lossless format: prefix codes, meta prefix
 codes, back-references, colour cache, and the predictor, cross-colour,
-subtract-green and colour-indexing transforms. Images whose pixels are all
-literals are decoded in arrays: the code length at every bit position is looked up
-at once, and only the chain of positions is followed step by step.
+subtract-green and colour-indexing transforms. Images with one group of codes are
+decoded in arrays: what a token takes is looked up at every bit position at once,
+and only the chain of positions and the copies are followed step by step.
 
 The encoder writes back-references and a colour cache, and chooses transforms by
 the entropy that they leave in the channels: a palette, or a predictor and then
@@ -24,9 +24,9 @@ MAX_CODE = 12  # bits of the encoder's longest code
 WINDOW_BYTES = 1 << 12  # of the stream that are looked at together
 LEAST_MATCH, MOST_MATCH, FARTHEST = 2, 4096, (1 << 20) - 120  # pixels
 CHUNK = 1 << 16  # pixels that are encoded together
-STREAM_BYTES = 1 << 19  # of streams that are decoded together
+LOOK_BYTES = 1 << 11  # of a stream in which tokens are looked up at every bit
+STREAM_BYTES = 1 << 19  # of streams, or pixels, that are decoded together
 LOOK = 15  # bits of code lengths that are looked up at once
-FEW = 24  # images that are not worth decoding together
 BLOCK_BITS = 4  # of the encoder's predictor and cross-colour blocks
 
 # Fixed values of the lossless WebP format
@@ -138,7 +138,7 @@ def _window(data: bytes, byte: int) -> list[int]:
 
 
 @lru_cache(maxsize=64)
-def _inner(given: int, word: int) -> tuple[list[tuple[int, int]], int, dict[int, tuple[list[int], int]]]:
+def _inner(given: int, word: int) -> tuple[list[tuple[int, int]], int, dict[int, tuple[bytes, int]]]:
     """The code for code lengths: (symbol, size) by the next bits, their mask, and what ``_ahead`` has found."""
     inner = np.zeros(19, np.uint8)
     for i in range(given):
@@ -146,32 +146,32 @@ def _inner(given: int, word: int) -> tuple[list[tuple[int, int]], int, dict[int,
     return *Code(inner).pairs(), {}
 
 
-def _ahead(table: list[tuple[int, int]], mask: int, word: int) -> tuple[list[int], int]:
+def _ahead(table: list[tuple[int, int]], mask: int, word: int) -> tuple[bytes, int]:
     """The code lengths that LOOK bits hold as a whole, but for repeats of the last one, and the bits that they take."""
     found, at = [], 0
     while True:
         s, k = table[(word >> at) & mask]
         more = 0 if s < 16 else 3 if s == 17 else 7
         if s == 16 or not k or at + k + more > LOOK:
-            return found, at
+            return bytes(found), at
         at += k
         found += [s] if s < 16 else [0] * ((3 if s == 17 else 11) + ((word >> at) & ((1 << more) - 1)))
         at += more
 
 
-def read_lengths(bits: Bits, alphabet: int) -> list[int]:
+def read_lengths(bits: Bits, alphabet: int) -> bytearray:
     """The code lengths of a prefix code, symbols behind the last one left out."""
     if bits.take(1):
         two, wide = bits.take(1), bits.take(1)
         first = bits.take(8 if wide else 1)
         second = bits.take(8) if two else first
-        found = [0] * (max(first, second) + 1)
+        found = bytearray(max(first, second) + 1)
         found[first] = found[second] = 1
         return found
     given = 4 + bits.take(4)
     table, mask, known = _inner(given, bits.take(3 * given))
     most = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
-    found, free = [], most == alphabet
+    found, free = bytearray(), most == alphabet
     byte, have, ahead = (bits.at >> 3) + 8, 64 - (bits.at & 7), int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 8], "little") >> (bits.at & 7)
     while len(found) < alphabet and most:
         if have < 32:  # a symbol and its extra bits take 14 at most
@@ -194,7 +194,7 @@ def read_lengths(bits: Bits, alphabet: int) -> list[int]:
             found.append(s)
             continue
         value, k, least = (next((x for x in reversed(found) if x), 8), 2, 3) if s == 16 else (0, 3, 3) if s == 17 else (0, 7, 11)
-        found += [value] * (least + (ahead & ((1 << k) - 1)))
+        found += bytes([value]) * (least + (ahead & ((1 << k) - 1)))
         ahead, have = ahead >> k, have - k
     bits.at = 8 * byte - have
     if bits.at > 8 * len(bits.data):
@@ -205,7 +205,7 @@ def read_lengths(bits: Bits, alphabet: int) -> list[int]:
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    return Code(np.array(read_lengths(bits, alphabet), np.uint8))
+    return Code(np.frombuffer(read_lengths(bits, alphabet), np.uint8))
 
 
 def _extra(symbol: int, bits: Bits) -> int:
@@ -492,7 +492,7 @@ def _tables(lengths: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.n
     base = np.cumsum(1 << width) - (1 << width)
     # The numbers that start with a code follow each other if its first bit is the highest.
     wide, start = np.repeat(width, 1 << width), np.repeat(base, 1 << width)
-    table = np.empty(len(entry), np.int64)
+    table = np.empty(len(entry), np.uint16)  # symbols are of 12 bits
     table[start + (TURNED[np.arange(len(entry)) - start] >> (16 - wide))] = entry
     return table, base, width
 
@@ -501,6 +501,9 @@ def _tables(lengths: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.n
 _MORE = np.array([0 if s < 4 else (s - 2) >> 1 for s in range(40)])
 _LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
 _NEAR_X, _NEAR_Y = np.array(NEAR).T
+# The bits of a length or distance with its added ones, by 16 * symbol + size.
+_TAKES = (np.arange(16) + _MORE[:, None]).reshape(-1)
+_HERE = np.arange(8 * LOOK_BYTES + 64)
 
 
 class _Plain:
@@ -509,77 +512,109 @@ class _Plain:
     def __init__(self, data: bytes):
         self.bits, self.steps, self.width, self.height = _opened(data)
         self.cache_bits = self.bits.take(4) if self.bits.take(1) else 0
-        self.plain = not self.bits.take(1)
+        self.plain = not self.bits.take(1) and self.cache_bits < 12
         if self.plain:
             self.lengths = [read_lengths(self.bits, s) for s in _alphabets(self.cache_bits)]
-            self.plain = max(map(max, self.lengths)) <= MAX_CODE
+            # A green code of one symbol takes no bits, so a token could take none.
+            self.plain = len(self.lengths[0]) - self.lengths[0].count(0) > 1 and not any(k in code for code in self.lengths for k in range(MAX_CODE + 1, 16))
+
+
+def _places(window: np.ndarray, at: int, end: int, codes: list[np.ndarray], sizes: list[np.ndarray], see_through: bool) -> list[np.ndarray]:
+    """Where tokens start between two bits: what a token takes is looked up at every bit, only the chain is followed step by step.
+
+    ``window`` has the 64 bits from every byte on.
+    """
+    found, colours = [], sizes[3:0:-1] if see_through else sizes[2:0:-1]
+    while at < end:
+        byte = at >> 3
+        some = window[byte : byte + LOOK_BYTES + 8]  # a token takes less than 8 bytes
+        words = np.empty((len(some), 8), np.int64)
+        for r in range(8):
+            np.right_shift(some, r, out=words[:, r])
+        words = words.reshape(-1)
+        here = _HERE[: len(words)]
+        # What red, blue and alpha take if they start here, the last one first.
+        step = None
+        for size in colours:
+            own = size.take(words & (len(size) - 1), mode="clip") if len(size) > 1 else None
+            step = own if step is None else step if own is None else own + step.take(here + own, mode="clip")
+        e = codes[0].take(words & (len(codes[0]) - 1), mode="clip")
+        jump = (e & 15).astype(np.uint8)
+        if step is not None:
+            jump += step.take(here + jump, mode="clip")
+        other = (e >= 256 << 4).nonzero()[0]
+        e = e.take(other)
+        size = e & 15
+        jump[other] = size
+        copied = (e < 280 << 4).nonzero()[0]
+        other = other.take(copied)
+        then = other + _TAKES.take(e.take(copied) - (256 << 4))
+        e = codes[4].take(words.take(then, mode="clip") & (len(codes[4]) - 1))
+        jump[other] = then - other + _TAKES.take(e)
+        chain, jump, p, last = [], jump.tobytes(), at - 8 * byte, min(8 * LOOK_BYTES, end - 8 * byte)
+        append = chain.append
+        while p < last:
+            append(p)
+            p += jump[p]
+        found.append(np.array(chain, np.int64) + 8 * byte)
+        at = 8 * byte + p
+    return found
 
 
 def _decoded(images: list[_Plain]) -> list[np.ndarray]:
-    """The main images of streams, all read at once, a token of each at a time; the last few go on one by one."""
+    """The main images of streams, all read at once."""
     count = len(images)
-    every = [code if any(code) else [1] for i in images for code in i.lengths]
+    every = [code if any(code) else b"\1" for i in images for code in i.lengths]
     segments = np.cumsum([0, *map(len, every)])[:-1]
-    table, base, wide = _tables(np.array([x for code in every for x in code], np.uint8), segments)
+    table, base, wide = _tables(np.frombuffer(b"".join(every), np.uint8), segments)
+    codes, sizes = np.split(table, base[1:]), np.split((table & 15).astype(np.uint8), base[1:])
     base, mask = base.reshape(-1, 5).T, ((1 << wide) - 1).reshape(-1, 5).T
-    see_through = mask[3].any()
-    alpha = (table[base[3]] >> 4) << 24
+    see_through = (mask[3] > 0).tolist()
     begin = np.cumsum([0, *(len(i.bits.data) + 8 for i in images)])
     joined = b"".join(part for i in images for part in (i.bits.data, bytes(8)))
     window = np.ndarray(len(joined) - 7, "<i8", joined, strides=(1,)).copy()  # 64 bits from every byte on
     width, total = np.array([i.width for i in images]), np.array([i.width * i.height for i in images])
-    start = 8 * begin[:-1] + [i.bits.at for i in images]
-    live, place, left, told = np.arange(count), start, total, []
-    b, m = base, mask
-    while len(live):
-        # Up to 12 bits each for green, red, blue and alpha, or 12, 10, 12 and 18 for a reference; 57 are there.
-        w = window[np.minimum(place >> 3, len(window) - 1)] >> (place & 7)
-        e = table[b[0] + (w & m[0])]
-        symbol, size = e >> 4, e & 15
-        w >>= size
-        green = w
-        e = table[b[1] + (w & m[1])]
-        value, k = (symbol << 8) | ((e >> 4) << 16), e & 15
-        bits, w = size + k, w >> k
-        e = table[b[2] + (w & m[2])]
-        k = e & 15
-        value, bits = value | (e >> 4), bits + k
-        if see_through:
-            e = table[b[3] + ((w >> k) & m[3])]
-            value, bits = value | ((e >> 4) << 24), bits + (e & 15)
-        else:
-            value = value | alpha[live]
-        many = np.ones(len(live), np.int64)
-        other = np.flatnonzero(symbol > 255)
-        if len(other):
-            bits[other], value[other] = size[other], symbol[other] - 280
-            other = other[symbol[other] < 280]
-            s, w = symbol[other] - 256, green[other]
-            k = _MORE[s]
-            many[other] = _LEAST[s] + (w & ((1 << k) - 1))
-            w = w >> k
-            e = table[b[4, other] + (w & m[4, other])]
-            s, w = e >> 4, w >> (e & 15)
-            more = _MORE[s]
-            value[other] = _LEAST[s] + (w & ((1 << more) - 1))
-            bits[other] += k + (e & 15) + more
-        told.append((live.astype(np.uint16), symbol.astype(np.int16), value.astype(np.uint32), many.astype(np.int16), bits.astype(np.uint8)))
-        place, left = place + bits, left - many
-        going = left > 0
-        if 8 * np.count_nonzero(going) < 7 * len(live) or len(live) <= 2 * FEW:
-            live, place, left, b, m = live[going], place[going], left[going], b[:, going], m[:, going]
-            if len(live) <= FEW:
-                break
-    image, symbol, value, many, bits = (np.concatenate(x) for x in zip(*told, strict=True))
-    order = np.argsort(image, kind="stable")
-    image, symbol, value, many, bits = (x[order] for x in (image, symbol, value, many, bits))
+    ends = 8 * begin[1:] - 64
+    found = [_places(window, 8 * b + i.bits.at, e, codes[5 * k : 5 * k + 5], sizes[5 * k : 5 * k + 5], see_through[k]) for k, (i, b, e) in enumerate(zip(images, begin.tolist(), ends.tolist()))]
+    image = np.repeat(np.arange(count), [sum(map(len, x)) for x in found])
+    place = np.concatenate([np.zeros(0, np.int64), *(x for one in found for x in one)])
+    # Up to 12 bits each for green, red, blue and alpha, or 12, 10, 12 and 18 for a reference; 57 are there.
+    w = window[place >> 3] >> (place & 7)
+    look = lambda k, which, w: table[base[k][which] + (w & mask[k][which])]
+    e = look(0, image, w)
+    symbol = (e >> 4).astype(np.int16)
+    taken = (e & 15).astype(np.int64)
+    many = np.ones(len(place), np.int64)
+    value = symbol.astype(np.uint32)
+    value -= np.uint32(280)
+    rest = np.flatnonzero((symbol > 255) & (symbol < 280))
+    if len(rest):
+        which, s, left = image[rest], symbol[rest] - 256, w[rest] >> taken[rest]
+        k = _MORE[s]
+        many[rest] = _LEAST[s] + (left & ((1 << k) - 1))
+        left >>= k
+        e = look(4, which, left)
+        s, more = e >> 4, _MORE[e >> 4]
+        value[rest] = _LEAST[s] + ((left >> (e & 15)) & ((1 << more) - 1))
+        taken[rest] += k + (e & 15) + more
+    rest = np.flatnonzero(symbol < 256)
+    which, left = image[rest], w[rest] >> taken[rest]
+    got = symbol[rest].astype(np.uint32) << np.uint32(8)
+    for k, shift in ((1, 16), (2, 0), (3, 24)):
+        e = look(k, which, left)
+        got |= (e >> 4).astype(np.uint32) << np.uint32(shift)
+        left >>= e & 15
+        taken[rest] += e & 15
+    value[rest] = got
     first = np.cumsum(total) - total
-    head = np.append(0, np.flatnonzero(image[1:] != image[:-1]) + 1)
-    at = np.cumsum(many, dtype=np.int64) - many
-    at -= np.repeat(at[head], np.diff(head, append=len(at)))
-    inside = at < total[image]  # an image that has ended may have been read on
-    image, symbol, value, many, bits, at = (x[inside] for x in (image, symbol, value, many, bits, at))
-    if (start + np.bincount(image, bits, count) > 8 * begin[1:] - 64).any():
+    at = np.cumsum(many) - many
+    head = np.searchsorted(image, np.arange(count))
+    at -= np.append(at, 0)[head][image]
+    inside = at < total[image]  # the bits behind an image may look like tokens
+    if not inside.all():
+        image, place, symbol, value, many, taken, at = (x[inside] for x in (image, place, symbol, value, many, taken, at))
+    tail = np.searchsorted(image, np.arange(count), "right") - 1
+    if not len(image) or (tail < np.searchsorted(image, np.arange(count))).any() or ((place + taken)[tail] > ends).any() or ((at + many)[tail] < total).any():
         raise ValueError("the image ends too early")
     copied = (symbol > 255) & (symbol < 280)
     near = np.flatnonzero(copied & (value <= 120))
@@ -587,42 +622,74 @@ def _decoded(images: list[_Plain]) -> list[np.ndarray]:
     value[near] = np.maximum(1, _NEAR_X[value[near] - 1] + _NEAR_Y[value[near] - 1] * width[image[near]])
     if (copied & ((value > at) | (at + many > total[image]))).any():
         raise ValueError("a reference leaves the image")
-    where = first[image] + at
-    pixels, slots = np.zeros(int(total.sum()), np.uint32), np.zeros(int(total.sum()), np.uint32)
-    literal = np.flatnonzero(symbol < 256)
-    pixels[where[literal]] = value[literal]
-    cache_bits = np.array([i.cache_bits for i in images])[image[literal]]
-    slots[where[literal]] = np.where(cache_bits > 0, (pixels[where[literal]] * np.uint32(CACHE_MULTIPLIER)) >> np.minimum(32 - cache_bits, 31).astype(np.uint32), 0)
-    out, slot = array("I", pixels.tobytes()), array("I", slots.tobytes())
-    rest, now, kept, cache = np.flatnonzero(symbol > 255), -1, 0, {}
-    for i, a, s, v, n in zip(*(x[rest].tolist() for x in (image, where, symbol, value, many)), strict=True):
-        if i != now:
-            now, kept, cache = i, int(first[i]), {}
-        if s < 280:
-            c = a - v
-            if v >= n:
-                out[a : a + n], slot[a : a + n] = out[c : c + n], slot[c : c + n]
-            else:
-                out[a : a + n], slot[a : a + n] = (out[c:a] * (n // v + 1))[:n], (slot[c:a] * (n // v + 1))[:n]
-        else:
-            if kept < a:
-                cache.update(zip(slot[kept:a], out[kept:a]))
-            kept = a
-            if v in cache:
-                out[a], slot[a], kept = cache[v], v, a + 1
-    result = [x.reshape(i.height, i.width) for x, i in zip(np.split(np.frombuffer(out, np.uint32), first[1:]), images, strict=True)]
-    for i, p, more in zip(live.tolist(), place.tolist(), left.tolist(), strict=True):
-        one = images[i]
-        one.bits.at = p - 8 * int(begin[i])
-        tables = [[Code(np.array(code, np.uint8)).pairs() for code in one.lengths]]
-        result[i] = _tokens(one.bits, tables, one.cache_bits, one.width, one.height, out[int(first[i]) : int(first[i] + total[i] - more)])
+    cache_bits = np.array([i.cache_bits for i in images])
+    pixels, empty = _filled(first[image] + at, symbol, value, many, cache_bits[image], first, total)
+    result = [x.reshape(i.height, i.width) for x, i in zip(np.split(pixels, first[1:]), images, strict=True)]
+    # A pixel from a slot that nothing was put into is zero, and goes to another slot itself; such images are read token by token.
+    for k in np.unique(np.searchsorted(first, empty, "right") - 1).tolist():
+        one = images[k]
+        tables = [[Code(np.frombuffer(code, np.uint8)).pairs() for code in one.lengths]]
+        result[k] = _tokens(one.bits, tables, one.cache_bits, one.width, one.height, array("I"))
     return result
 
 
+def _filled(where: np.ndarray, symbol: np.ndarray, value: np.ndarray, many: np.ndarray, cache_bits: np.ndarray, first: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pixels of images (where they start, and how many there are) from tokens, and places that read an empty slot of the cache.
+
+    Each pixel has its origin: the literal or the pixel from the cache that it is a copy of. So its slot of the cache is
+    known, and what a pixel from the cache is: the last one before it of the same slot.
+    """
+    n = int(total.sum())
+    literal, cached = np.flatnonzero(symbol < 256), np.flatnonzero(symbol > 279)
+    origin = array("i", np.arange(n, dtype=np.int32).tobytes())
+    rest = np.flatnonzero((symbol > 255) & (symbol < 280))
+    for a, v, k in zip(where[rest].tolist(), value[rest].tolist(), many[rest].tolist(), strict=True):
+        c = a - v
+        if v >= k:
+            origin[a : a + k] = origin[c : c + k]
+        else:
+            origin[a : a + k] = (origin[c:a] * (k // v + 1))[:k]
+    origin = np.frombuffer(origin, np.int32)
+    pixels = np.zeros(n, np.uint32)
+    pixels[where[literal]] = value[literal]
+    if not len(cached):
+        return pixels[origin], cached
+    slot = np.zeros(n, np.uint16)
+    slot[where[literal]] = (value[literal] * np.uint32(CACHE_MULTIPLIER)) >> np.minimum(32 - cache_bits[literal], 31).astype(np.uint32)
+    slot[where[cached]] = value[cached]
+    slot = slot[origin]
+    own = np.zeros(n, bool)
+    own[where[cached]] = True
+    order = np.concatenate([(a + np.argsort(slot[a : a + k], kind="stable")).astype(np.int32) for a, k in zip(first.tolist(), total.tolist(), strict=True)])
+    # The last pixel of a slot before each that isn't from the cache itself, which has the same value; below zero, there is none.
+    slot = slot[order]
+    start = np.append(True, slot[1:] != slot[:-1])
+    start[first] = True
+    here = np.where(own[order] & ~start, 0, np.arange(n, dtype=np.int32))
+    last = np.maximum.accumulate(here)
+    link = np.empty(n, np.int32)
+    link[order] = np.where(own[order[last]], -1, origin[order[last]])
+    todo = where[cached]
+    to = link[todo]
+    while True:
+        more = np.flatnonzero((to >= 0) & own[to])
+        if not len(more):
+            break
+        to[more] = link[to[more]]
+    pixels[todo] = np.where(to >= 0, pixels[to], 0)
+    return pixels[origin], todo[to < 0]
+
+
+def _area(data: bytes) -> int:
+    """The pixels of a stream, by its head."""
+    head = int.from_bytes(data[1:5], "little")
+    return ((head & 0x3FFF) + 1) * ((head >> 14 & 0x3FFF) + 1)
+
+
 def decode_all(streams: list[bytes]) -> list[np.ndarray]:
     """The ARGB pixels of each lossless stream."""
     out = [None] * len(streams)
-    for group in together([len(s) for s in streams], STREAM_BYTES):
+    for group in together([max(len(s), _area(s)) for s in streams], STREAM_BYTES):
         images = {k: _Plain(streams[k]) for k in group}
         plain = [k for k, i in images.items() if i.plain]
         for k, image in zip(plain, _decoded([images[k] for k in plain]) if plain else [], strict=True):
@@ -772,22 +839,30 @@ def references(p: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarr
     of = np.repeat(np.arange(len(first)), ends - first)
     # 24 bits tell the pixels apart: their colours if alpha is the same, else their numbers.
     number = (p & np.uint32(0xFFFFFF) if (p >> 24 == p[0] >> 24).all() else np.unique(p, return_inverse=True)[1]).astype(np.uint64)
-    key = (of[:-1].astype(np.uint64) << np.uint64(48)) | (number[:-1] << np.uint64(24)) | number[1:]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    again = np.flatnonzero(key[1:] == key[:-1])
     before = np.full(n, -1, np.int64)
-    before[order[again + 1]] = order[again]
+    if n <= CHUNK:
+        # A place has 16 bits: numbers that hold it behind the pair are sorted faster than places are by pairs.
+        key = np.sort((number[:-1] << np.uint64(40)) | (number[1:] << np.uint64(16)) | np.arange(n - 1, dtype=np.uint64))
+        pair, order = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int64)
+        again = np.flatnonzero(pair[1:] == pair[:-1])
+        here, there = order[again + 1], order[again]
+        same = there >= first[of[here]]
+        before[here[same]] = there[same]
+    else:
+        key = (of[:-1].astype(np.uint64) << np.uint64(48)) | (number[:-1] << np.uint64(24)) | number[1:]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        again = np.flatnonzero(key[1:] == key[:-1])
+        before[order[again + 1]] = order[again]
     before[ends - 1] = -1  # no pair starts with an image's last pixel
-    starts = np.flatnonzero(before >= 0)
+    starts = np.flatnonzero((before >= 0) & (np.arange(n) - before <= FARTHEST))
     found, values, at = [], p.tolist(), 0
-    for i, j, end in zip(starts.tolist(), before[starts].tolist(), ends[of[starts]].tolist(), strict=True):
-        if i < at or i - j > FARTHEST:
-            continue
-        at, far, end = i + LEAST_MATCH, i - j, min(end, i + MOST_MATCH)
-        while at < end and values[at] == values[at - far]:
-            at += 1
-        found.append((i, at - i, far))
+    for i, far, end in zip(starts.tolist(), (starts - before[starts]).tolist(), np.minimum(ends[of[starts]], starts + MOST_MATCH).tolist(), strict=True):
+        if i >= at:
+            at = i + LEAST_MATCH
+            while at < end and values[at] == values[at - far]:
+                at += 1
+            found.append((i, at - i, far))
     return tuple(np.array(found, np.int64).reshape(-1, 3).T)
 
 
@@ -795,9 +870,15 @@ def _cached(p: np.ndarray, bits: np.ndarray, of: np.ndarray) -> tuple[np.ndarray
     """Each pixel's slot of its image's colour cache, and whether it holds this pixel already."""
     slot = (p * np.uint32(CACHE_MULTIPLIER)) >> (32 - bits).astype(np.uint32)
     key = (of << 11) | slot
-    order = np.argsort(key, kind="stable")
+    if len(p) <= CHUNK:
+        key = np.sort((key << 16) | np.arange(len(p)))
+        key, order = key >> 16, key & 0xFFFF
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
     hit = np.zeros(len(p), bool)
-    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+    sorted_ = p[order]
+    hit[order[1:]] = (key[1:] == key[:-1]) & (sorted_[1:] == sorted_[:-1])
     return slot.astype(np.int64), hit
 
 
@@ -841,12 +922,17 @@ def _image_bits(images: list[np.ndarray], main: bool, openings: list[BitWriter])
     # A code of one symbol takes no bits.
     alone = np.add.reduceat(lengths > 0, segments, dtype=np.int64) < 2
     lengths = np.where(np.repeat(alone, np.diff(segments, append=len(lengths))), 0, lengths).astype(np.int64)
-    # Up to four fields of each pixel that starts a token: value and size.
-    values, widths = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-    for field, where, a in zip((0, 1, 2, 3, 2), (token, literal, literal, literal, place), at, strict=True):
-        values[where, field], widths[where, field] = codes[a], lengths[a]
-    values[place, 1], widths[place, 1] = length_more, length_bits
-    values[place, 3], widths[place, 3] = reach_more, reach_bits
+    # Up to four fields of each token, one behind the other: 52 bits at most.
+    values, widths = codes[at[0]], lengths[at[0]]
+    number = np.zeros(n, np.int64)
+    number[token] = np.arange(len(token))
+    for where, fields in ((literal, [(codes[a], lengths[a]) for a in at[1:4]]), (place, [(length_more, length_bits), (codes[at[4]], lengths[at[4]]), (reach_more, reach_bits)])):
+        where = number[where]
+        value_, width_ = values[where], widths[where]
+        for more, k in fields:
+            value_ |= more << width_
+            width_ += k
+        values[where], widths[where] = value_, width_
     # Bits of each part: the opening with cache and group flags, five codes, pixels.
     for opening, bits in zip(openings, cache_bits.tolist(), strict=True):
         opening.put(1 | bits << 1 if bits else 0, 5 if bits else 1)
@@ -854,7 +940,8 @@ def _image_bits(images: list[np.ndarray], main: bool, openings: list[BitWriter])
             opening.put(0, 1)  # one group of codes
     opened = np.array([o.n for o in openings], np.int64)
     code_bits = head_size + np.bincount(seg, size, 5 * count).astype(np.int64)
-    pixel_bits = np.add.reduceat(widths.sum(1), first)
+    head_of = np.searchsorted(token, first)  # an image's first pixel starts a token
+    pixel_bits = np.add.reduceat(widths, head_of)
     total = opened + code_bits.reshape(-1, 5).sum(1) + pixel_bits
     room = (total >> 6) + 2
     start = 64 * (np.cumsum(room) - room)
@@ -865,9 +952,9 @@ def _image_bits(images: list[np.ndarray], main: bool, openings: list[BitWriter])
     within = np.cumsum(size) - size
     before = np.cumsum(code_bits - head_size) - (code_bits - head_size)
     put_fields(words, code_at[seg] + head_size[seg] + within - before[seg], value, size)
-    within = (np.cumsum(widths) - widths.reshape(-1)).reshape(n, 4)
-    pixels_at = start + total - pixel_bits - within[first, 0]
-    put_fields(words, (pixels_at[of][:, None] + within).reshape(-1), values.reshape(-1), widths.reshape(-1))
+    within = np.cumsum(widths) - widths
+    pixels_at = start + total - pixel_bits - within[head_of]
+    put_fields(words, pixels_at[of[token]] + within, values, widths)
     out = []
     for opening, a, k, bits in zip(openings, (start >> 6).tolist(), room.tolist(), total.tolist(), strict=True):
         width = -(-opening.n // 64)
@@ -882,13 +969,26 @@ def _put_pixels(out: BitWriter, p: np.ndarray, main: bool) -> None:
     out.put(int.from_bytes(data, "little"), n)
 
 
+def _bytes(image: np.ndarray) -> np.ndarray:
+    """(h, w, 4) bytes: blue, green, red, alpha."""
+    return np.ascontiguousarray(image, "<u4").view(np.uint8).reshape(*image.shape, 4)
+
+
+_COUNTED = np.arange(1 << 12) * np.log2(np.maximum(np.arange(1 << 12), 1))
+
+
+def _counted(found: np.ndarray) -> np.ndarray:
+    """Each count times its logarithm."""
+    return _COUNTED.take(found) if found.max() < len(_COUNTED) else found * np.log2(np.maximum(found, 1))
+
+
 def _entropy(image: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
     """The bits that the channels of each image take by themselves, without references; ``of`` names each row's image."""
     size = np.bincount(of, minlength=count) * image.shape[1]
-    out, base = np.zeros(count), (256 * of)[:, None]
-    for s in (24, 16, 8, 0) if image.min() >> 24 != 255 else (16, 8, 0):
-        found = np.bincount((base + ((image >> s) & 0xFF)).reshape(-1), minlength=256 * count).reshape(count, 256)
-        out += size * np.log2(size) - (found * np.log2(np.maximum(found, 1))).sum(1)
+    out, base, bytes_ = np.zeros(count), (256 * of)[:, None], _bytes(image)
+    for k in (3, 2, 1, 0) if image.min() >> 24 != 255 else (2, 1, 0):
+        found = np.bincount((base + bytes_[..., k]).reshape(-1), minlength=256 * count).reshape(count, 256)
+        out += size * np.log2(size) - _counted(found).sum(1)
     return out
 
 
@@ -909,19 +1009,23 @@ def _block_sums(x: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
 
 def predicted(image: np.ndarray, first: np.ndarray, rows: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
     """What is left after predicting each block from the left or from above, whichever leaves less, and the modes."""
-    c = _channels(image)
-    left, top = np.zeros_like(c), np.zeros_like(c)
-    left[:, 1:], top[1:] = c[:, :-1], c[:-1]
-    top[first] = 0
-    rest = [(c - g) & 255 for g in (left, top)]
-    cost = [_block_sums(np.minimum(r, 256 - r).sum(-1), rows, block) for r in rest]
+    c = _bytes(image)
+    height, width = image.shape
+    left, top = c.copy(), c.copy()
+    left[:, 1:] -= c[:, :-1]
+    top[1:] -= c[:-1]
+    top[first] = c[first]
+    # A byte is as far from zero as it or its negative; the columns of a block are summed first.
+    columns = np.arange(0, 4 * width, 4 << block)
+    cost = [np.add.reduceat(np.add.reduceat(np.minimum(r, -r).reshape(height, -1), columns, 1, np.int32), rows, 0) for r in (left, top)]
     mode = np.where(cost[0] <= cost[1], 1, 2)
-    out = np.where((mode[_grid(image, rows, block)] == 1)[..., None], *rest)
+    left, top = left.view("<u4")[..., 0], top.view("<u4")[..., 0]
+    out = np.where(mode[_grid(image, rows, block)] == 1, left, top)
     # The edges predict in one way only.
-    out[:, 0] = rest[1][:, 0]
-    out[first] = rest[0][first]
-    out[first, 0] = (c[first, 0] - [255, 0, 0, 0]) & 255
-    return _packed(out), np.uint32(0xFF000000) | (mode.astype(np.uint32) << 8)
+    out[:, 0] = top[:, 0]
+    out[first] = left[first]
+    out[first, 0] = _packed((_channels(image[first, 0]) - [255, 0, 0, 0]) & 255)
+    return out, np.uint32(0xFF000000) | (mode.astype(np.uint32) << 8)
 
 
 def decorrelated(image: np.ndarray, rows: np.ndarray, block: int = BLOCK_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -955,6 +1059,12 @@ def indexed(image: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.nda
     return np.uint32(0xFF000000) | (index << 8), palette
 
 
+def _colours(image: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """How many colours each image has; ``of`` names each row's image."""
+    key = np.sort(((of.astype(np.uint64) << np.uint64(32))[:, None] | image).reshape(-1))
+    return np.bincount((key[np.append(True, key[1:] != key[:-1])] >> np.uint64(32)).astype(np.int64), minlength=count)
+
+
 def without_green(image: np.ndarray) -> np.ndarray:
     green = (image >> 8) & 0xFF
     return (image & np.uint32(0xFF00FF00)) | ((((image >> 16) - green) & 0xFF) << 16) | ((image - green) & 0xFF)
@@ -970,41 +1080,44 @@ def _encoded(images: list[np.ndarray]) -> list[bytes]:
     blocks = np.searchsorted(rows, np.append(first, len(image)))  # each image's rows of blocks
     area = np.diff(blocks) * -(-width >> BLOCK_BITS)
     rest, modes = predicted(image, first, rows)
-    guessed = _entropy(rest, of, count) + 8 * area < _entropy(image, of, count)
+    left, plain = _entropy(rest, of, count), _entropy(image, of, count)
+    guessed = left + 8 * area < plain
     rest = np.where(guessed[of][:, None], rest, image)
     crossed, factors = decorrelated(rest, rows)
     flat = without_green(rest)
-    costs = np.stack([_entropy(rest, of, count), _entropy(crossed, of, count) + 16 * area, _entropy(flat, of, count)])
+    costs = np.stack([np.where(guessed, left, plain), _entropy(crossed, of, count) + 16 * area, _entropy(flat, of, count)])
     see_through = np.logical_or.reduceat((image >> 24 != 255).any(1), first)
     best, least = costs.argmin(0).tolist(), costs.min(0).tolist()
-    out, mains = [], []
+    few = _colours(image, of, count) <= 256
+    out, mains, steps = [], [], []
     for k, (one, a, height) in enumerate(zip(images, first.tolist(), heights, strict=True)):
         bits = BitWriter()
         for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (int(see_through[k]), 1), (0, 3)):
             bits.put(value, n)
-
-        def block_image(kind: int, data: np.ndarray, bits: BitWriter = bits, k: int = k) -> None:
-            bits.put(1 | kind << 1 | (BLOCK_BITS - 2) << 3, 6)
-            _put_pixels(bits, data[blocks[k] : blocks[k + 1]], False)
-
-        numbers = indexed(one, least[k])
+        numbers = indexed(one, least[k]) if few[k] else None
         if numbers is not None and _entropy(numbers[0], np.zeros(height, np.int64), 1)[0] + 24 * len(numbers[1]) <= least[k]:
             main, palette = numbers
             step = _channels(palette)
             step[1:] -= step[:-1].copy()
-            bits.put(1 | 3 << 1 | (len(palette) - 1) << 3, 11)
-            _put_pixels(bits, _packed(step & 255), False)
+            steps.append([(1 | 3 << 1 | (len(palette) - 1) << 3, 11, _packed(step & 255)[None])])
         else:
-            if guessed[k]:
-                block_image(0, modes)
-            if best[k] == 1:
-                block_image(1, factors)
-            elif best[k] == 2:
-                bits.put(1 | 2 << 1, 3)
+            above = slice(blocks[k], blocks[k + 1])
+            steps.append([(1 | kind << 1 | (BLOCK_BITS - 2) << 3, 6, data[above]) for kind, data, use in ((0, modes, guessed[k]), (1, factors, best[k] == 1)) if use])
+            if best[k] == 2:
+                steps[-1].append((1 | 2 << 1, 3, None))
             main = (rest, crossed, flat)[best[k]][a : a + height]
-        bits.put(0, 1)
         out.append(bits)
         mains.append(main)
+    # The images that transforms need are written together, too.
+    small = [x for some in steps for *_, x in some if x is not None]
+    written = iter(_image_bits(small, False, [BitWriter() for _ in small]) if small else [])
+    for bits, some in zip(out, steps, strict=True):
+        for value, n, x in some:
+            bits.put(value, n)
+            if x is not None:
+                data, n = next(written)
+                bits.put(int.from_bytes(data, "little"), n)
+        bits.put(0, 1)
     return [container(data) for data, _ in _image_bits(mains, True, out)]
 
 

@@ -435,3 +435,84 @@ def test_images_in_groups_come_back():
         writer.simple(0)
     writer.put(3, 2)
     assert webp.decode_all([writer.done()])[0].tolist() == [[0, 0]] == webp.decode_stream(writer.done()).tolist()
+
+
+def odd_stream(rng, w, h, only_filled, cache_bits):
+    """A stream of random tokens: literals that see through, copies that overlap or not, and pixels from the cache, empty slots too."""
+    out = Writer()
+    out.start(w, h)
+    out.put(0, 1)
+    out.put(1 | cache_bits << 1, 5)
+    out.put(0, 1)
+    slot_of = lambda v: ((webp.CACHE_MULTIPLIER * v) & 0xFFFFFFFF) >> (32 - cache_bits)
+    slots = list(dict.fromkeys([slot_of(g << 8) for g in range(6)] + [(1 << cache_bits) - 1 - k for k in range(12)]))[:8]
+    lengths = np.zeros(280 + (1 << cache_bits), np.uint8)
+    lengths[[*range(16), *range(256, 264), *(280 + k for k in slots)]] = 5
+    webp._put_code(out, lengths)
+    green = webp.canonical(lengths)
+    red, blue, alpha, far = out.flat(256, 2), out.flat(256, 0 if only_filled else 1), out.flat(256, 1), out.flat(40, 5)
+    at, filled = 0, set()
+    pixels = []
+    while at < w * h:
+        kind = rng.choice(["literal", "copy", "cache"])
+        if kind == "literal":
+            g, r, b, a = (int(rng.integers(0, k)) for k in (16, 4, 1 if only_filled else 2, 2))
+            for value, n in ((green[g], 5), (red[0][r], 2), *([] if only_filled else [(blue[0][b], 1)]), (alpha[0][a], 1)):
+                out.put(int(value), n)
+            pixels.append(a << 24 | r << 16 | g << 8 | b)
+        elif kind == "copy" and at:
+            s, more, d, dmore = int(rng.integers(0, 8)), int(rng.integers(0, 4)), int(rng.integers(0, 32)), int(rng.integers(0, 1 << 15))
+            n, k = webp._extra(s, webp.Bits(more.to_bytes(8, "little"))), max(0, (s - 2) >> 1) if s > 3 else 0
+            dk = (d - 2) >> 1 if d > 3 else 0
+            f = webp._extra(d, webp.Bits((dmore & ((1 << dk) - 1)).to_bytes(8, "little")))
+            dx, dy = webp.NEAR[f - 1] if f <= 120 else (0, 0)
+            f = f - 120 if f > 120 else max(1, dx + dy * w)
+            if f > at or at + n > w * h:
+                continue
+            for value, size in ((green[256 + s], 5), (more & ((1 << k) - 1), k), (far[0][d], 5), (dmore & ((1 << dk) - 1), dk)):
+                out.put(int(value), size)
+            for _ in range(n):
+                pixels.append(pixels[-f])
+        elif kind == "cache":
+            slot = slots[int(rng.integers(0, 8))]
+            if only_filled and slot not in filled:
+                continue
+            out.put(int(green[280 + slot]), 5)
+            found = [v for v in pixels if slot_of(v) == slot]
+            pixels.append(found[-1] if found else 0)
+        filled |= set(map(slot_of, pixels[at:]))
+        at = len(pixels)
+    return out.done(), pixels
+
+
+@pytest.mark.parametrize("only_filled", [True, False])
+@pytest.mark.parametrize("cache_bits", [4, 11])
+def test_odd_streams_come_back_together(only_filled, cache_bits):
+    rng = np.random.default_rng(12)
+    made = [odd_stream(rng, w, h, only_filled, cache_bits) for w, h in [(3, 2), (1, 1), (7, 30), (80, 120), *[(9, 8)] * 20]]
+    assert max(len(data) for data, _ in made) > webp.LOOK_BYTES  # of several parts
+    for (data, want), got in zip(made, webp.decode_all([data for data, _ in made]), strict=True):
+        assert got.reshape(-1).tolist() == want == webp.decode_stream(data).reshape(-1).tolist()
+
+
+def test_no_stored_text_is_decoded_token_by_token(monkeypatch):
+    rng = np.random.default_rng(13)
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(500)]
+    every = [b" ".join(words[i] for i in np.minimum(rng.zipf(1.3, n), 500) - 1) for n in (0, 1, 40, 400, 9000, 60000)]
+    stored = media.stored_all([media.payload_of(x) for x in every])
+
+    def slow(*args):
+        raise AssertionError("an image is decoded token by token")
+
+    monkeypatch.setattr(webp, "_tokens", slow)
+    for text, got in zip(every, media.pixels_all(stored), strict=True):
+        assert media.samples_of(got).tobytes() == media.payload_of(text).tobytes()
+
+
+def test_long_repeats_are_decoded_in_groups_bounded_by_pixels(monkeypatch):
+    seen, real = [], webp._decoded
+    monkeypatch.setattr(webp, "_decoded", lambda images: seen.append(sum(i.width * i.height for i in images)) or real(images))
+    payload = media.payload_of(b"ab c" * 300_000)
+    for got in media.pixels_all(media.stored_all([payload] * 4)):
+        assert media.samples_of(got).tobytes() == payload.tobytes()
+    assert len(seen) > 1 and max(seen) <= max(webp.STREAM_BYTES, payload.size // 3)
